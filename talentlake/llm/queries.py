@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentlake.llm import langid, mixing, secrets, token_files
+from talentlake.llm import langid, merkle, mixing, near_dup, secrets, token_files
 from talentlake.llm._util import new_path
 
 
@@ -35,14 +35,22 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     token_files.encode(_table(spark, sf_dir, "documents"), path, vocabulary())
     return token_files.decode(spark, path)
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edited(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_secret_scan, op9_token_files)}
+    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_secret_scan, op8_near_duplicates, op9_token_files, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
