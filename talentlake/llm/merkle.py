@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Longest leaf, in code points.
-LEAF = 160
+LEAF = 32
 LEAVES = r"[^.!?]{1,%d}[.!?]*\x20*|[.!?]+\x20*" % LEAF
 #: Documents per range, in the mean, and ranges at most.
 RANGE_DOCS, RANGES = 1024, 65_535
