@@ -41,6 +41,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Send texts to Python in batches of a few MB, so that a worker's memory follows no table's text lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return spark
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back, so lost executors cost no recomputation."""
     spark = df.sparkSession
@@ -73,6 +80,8 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
         on = F.col(k).eqNullSafe(F.col(n)) if on is None else on & F.col(k).eqNullSafe(F.col(n))
     if rows <= BROADCAST_ROWS:
         return big.join(F.broadcast(right), on, how).drop(*names)
+    if how in ("left_semi", "left_anti"):  # a plain shuffle, whose hot partitions adaptive execution splits
+        return big.join(right, on, how)
     salt_l, salt_r = fresh(big, "salt_l", "salt_r")
     left = big.withColumn(salt_l, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     right = right.withColumn(salt_r, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentlake.llm import langid, merkle, mixing, near_dup, secrets, token_files
-from talentlake.llm._util import new_path
+from talentlake.llm import decontaminate, langid, merkle, mixing, near_dup, secrets, token_files
+from talentlake.llm._util import new_path, small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -35,6 +35,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_secret_scan, op8_near_duplicates, op9_token_files, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_secret_scan, op4_decontamination, op8_near_duplicates, op9_token_files, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
