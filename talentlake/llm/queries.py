@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentlake.llm import decontaminate, langid, merkle, mixing, near_dup, secrets, token_files
+from talentlake.llm import decontaminate, html_text, langid, merkle, mixing, near_dup, secrets, token_files
 from talentlake.llm._util import new_path, small_batches
 
 
@@ -39,6 +39,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = html_text.extract(pages.select("page_id", "url", F.col("html")), html_text.train())
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -54,7 +60,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_secret_scan, op4_decontamination, op8_near_duplicates, op9_token_files, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_secret_scan, op4_decontamination, op7_main_text, op8_near_duplicates, op9_token_files, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
