@@ -4,12 +4,13 @@ One pass over the texts gives each document the size, digest and signature of it
 one class from then on, so exact copies are linked without a comparison. Each of TREES trees orders the classes by its
 own DEPTH min-hashes. Classes that share LEAST of them with nobody leave; the others are sorted tree by tree over a range
 partitioning, which splits a crowded region by its deeper hashes and ids, and each meets the WINDOW classes before it
-that share LEAST hashes: all of a small region, those with the longest common prefix in a crowded one. Mates whose
-signatures estimate a likeness under ESTIMATE are out (4.4 standard deviations under the threshold).
+that share LEAST hashes: all of a small region, those with the longest common prefix in a crowded one. A sketch of one min-hash
+in each of BINS ranges of hashes estimates the likeness of mates, all but exactly for sets of fewer shingles than bins;
+mates estimated SLACK standard deviations under the threshold are out.
 
-Links are confirmed on full sets in two rounds: first each class's likeliest mate; then, of all mates, those that the
-first round left in different components. A link inside a component would change nothing. So a group of thousands of
-near copies costs about one confirmation a class, not one a pair.
+Links are confirmed on full sets: in each of ROUNDS rounds every class's likeliest mate of another component, which at
+least halves a group's components while it has links; then all mates that are still in different components. A link
+inside a component would change nothing. So a group of thousands of near copies costs a few confirmations a class.
 
 Defined results: documents without words (null, empty, blank) have an empty set and are linked with nothing; fewer than
 five words are one shingle; repeated rows are copies; a null doc_id never names a component; an empty table gives an
@@ -25,13 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentlake.llm._util import blocks, drop_path, lookup, mix64, shingle_hashes, text_buffers, word_hashes, written
+from talentlake.llm._util import blocks, drop_path, fresh, lookup, mix64, shingle_hashes, text_buffers, word_hashes, written
 from talentlake.llm.components import components
 
 #: Words per shingle; a link needs 100 * intersection >= 75 * union.
 WIDTH, NEED, OF = 5, 75, 100
-TREES, DEPTH, LEAST, WINDOW, ESTIMATE = 20, 6, 4, 64, 0.6
+TREES, DEPTH, LEAST, WINDOW = 20, 6, 4, 64
 HASHES = TREES * DEPTH
+#: Rounds of confirmation before the last, exhaustive one.
+ROUNDS = 3
+#: Bins of the sketch that estimates a likeness, and how many standard deviations under the threshold an estimate may lie.
+BINS, SLACK = 512, 4.0
 #: Bytes of text handled at once.
 BLOCK = 1 << 20
 _MULT = np.random.Generator(np.random.PCG64(75)).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -49,6 +54,25 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tu
     return h[keep], np.concatenate(([0], np.cumsum(np.bincount(r[keep], minlength=n))))
 
 
+def sketches(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A byte for each of BINS equal ranges of hashes: 0 if a set has none there, else one made from its least."""
+    out = np.zeros((len(at) - 1, BINS), np.uint8)
+    row, bin_ = np.repeat(np.arange(len(at) - 1), np.diff(at)), (h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.ones(len(h), bool)
+    first[1:] = (bin_[1:] != bin_[:-1]) | (row[1:] != row[:-1])
+    out[row[first], bin_[first]] = ((h[first] >> np.uint64(16)) % np.uint64(255)).astype(np.uint8) + 1
+    return out
+
+
+def estimates(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(likeness, least likeness that may belong to a link) of paired sketches. The fewer elements of a union share a
+    bin, the more of them are compared, and the smaller is the deviation."""
+    used = ((x | y) > 0).sum(1).clip(1)
+    union = -BINS * np.log1p(-np.minimum(used, BINS - 0.5) / BINS)
+    part = np.maximum(1 - used / union, 0.04)
+    return ((x == y) & (x > 0)).sum(1) / used, NEED / OF - SLACK * np.sqrt(NEED * (OF - NEED) / OF**2 / used * part)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offsets = text_buffers(batch.column(1))
@@ -63,13 +87,13 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     sig[:, k] = np.minimum.reduceat(h * _MULT[k], at[full]) >> np.uint64(32)
                 sums = np.add.reduceat(mix64(h), at[full])
                 sid[full] = mix64(sums ^ mix64(np.bitwise_xor.reduceat(h, at[full]) + sizes[full].astype(np.uint64)))
-            blob, small, j = [None] * (b - a), [None] * (b - a), 0
+            blob, small, j, bins = [None] * (b - a), [None] * (b - a), 0, sketches(h, at)
             for i in full.tolist():
-                blob[i], small[i] = sig[j].astype(">u4").tobytes(), (sig[j] & np.uint32(255)).astype(np.uint8).tobytes()
+                blob[i], small[i] = sig[j].astype(">u4").tobytes(), bins[i].tobytes()
                 j += 1
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(sizes.astype(np.int64)), pa.array(sid.view(np.int64), mask=sizes == 0), pa.array(blob, pa.binary()), pa.array(small, pa.binary())],
-                ["doc_id", "n_shingles", "sid", "sig", "small"],
+                [batch.column(0).slice(a, b - a), pa.array(sizes.astype(np.int64)), pa.array(sid.view(np.int64), mask=sizes == 0), pa.array(blob, pa.binary()), pa.array(small, pa.binary()), batch.column(2).slice(a, b - a)],
+                ["doc_id", "n_shingles", "sid", "sig", "small", "text_hash"],
             )
 
 
@@ -135,7 +159,7 @@ def _mates(every: bool):
             tree = batch.column(0).to_numpy()
             prefix = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, 4 * DEPTH)[:, : 4 * LEAST].copy().view(np.uint64)
             sid, root = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            small = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(n, HASHES)
+            small = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(n, BINS)
             now = [tree, prefix, sid, root, small]
             old = len(tail[0]) if tail else 0
             tree, prefix, sid, root, small = now = [np.concatenate(x) for x in zip(tail, now, strict=True)] if tail else now
@@ -146,8 +170,8 @@ def _mates(every: bool):
                 if not len(i):
                     break
                 i = i[(sid[i] != sid[i - lag]) & (root[i] != root[i - lag])]
-                like = (small[i] == small[i - lag]).mean(1)
-                i, like = i[like >= ESTIMATE], like[like >= ESTIMATE]
+                like, least = estimates(small[i], small[i - lag])
+                i, like = i[like >= least], like[like >= least]
                 if every:
                     pairs.append((sid[i], sid[i - lag], like))
                 else:
@@ -188,9 +212,10 @@ def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+    """One row per document: doc_id, n_shingles, component_id, kept, and text_hash."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = written(docs.mapInArrow(_signed, "doc_id long, n_shingles long, sid long, sig binary, small binary"), "dup-rows")
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    rows = written(hashed.mapInArrow(_signed, "doc_id long, n_shingles long, sid long, sig binary, small binary, text_hash long"), "dup-rows")
     same = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"), F.first("small").alias("small"))
     classes = written(same, "dup-classes")
 
@@ -206,20 +231,42 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         in_order = rooted.select("tree", "prefix", "sid", "root", "small").repartitionByRange(*order).sortWithinPartitions(*order)
         return in_order.mapInArrow(_mates(every), "x long, y long, like double")
 
-    best = mates(ranked.withColumn("root", F.col("sid")), False).groupBy("x").agg(F.max(F.struct("like", "y")).alias("m"))
-    pairs = best.select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).distinct()
-    first = _confirm(written(pairs, "dup-pairs"), docs, classes)
-    roots = components(first.where("ok"))
-
-    rooted = ranked.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    more = mates(rooted, True).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = _confirm(written(more, "dup-pairs"), docs, classes)
-    roots = components(first.where("ok").union(second.where("ok")))
+    rooted, known = ranked.withColumn("root", F.col("sid")), None
+    for step in range(ROUNDS + 1):
+        last = step == ROUNDS
+        found = mates(rooted, last)
+        if not last:
+            found = found.groupBy("x").agg(F.max(F.struct("like", "y")).alias("m")).select("x", "m.y")
+        pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = written(pairs if known is None else pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), "dup-pairs")
+        judged = _confirm(pairs, docs, classes)
+        known = judged if known is None else known.union(judged)
+        roots = components(known.where("ok"))
+        rooted = ranked.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
     linked = roots.join(classes.select(F.col("sid").alias("node"), "first_id"), "node")
     least = linked.groupBy("root").agg(F.min("first_id").alias("least"))
     named = linked.join(least, "root").select(F.col("node").alias("sid"), "least")
     final = written(classes.select("sid", "first_id").join(named, "sid", "left").select("sid", F.coalesce("least", "first_id").alias("least")), "dup-names")
-    out = rows.select("doc_id", "n_shingles", "sid").join(final, "sid", "left")
+    out = rows.select("doc_id", "n_shingles", "sid", "text_hash").join(final, "sid", "left")
     component = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
+
+
+def dedupe(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs with one document of each group, that of the least id; of rows that share this id, that of the least text
+    hash, and of equal rows one. Documents without words or without an id stay."""
+    found = written(near_duplicates(docs, text, doc_id), "dup-documents")
+    mine = found.where("kept and n_shingles > 0 and doc_id is not null")
+    many = mine.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("first")).where("n > 1")
+    gone = found.where("not kept").select("doc_id", "text_hash")
+    repeated = not many.isEmpty()
+    if repeated:
+        gone = gone.union(mine.join(many, "component_id").where("text_hash != first").select("doc_id", "text_hash"))
+    h, key = fresh(docs, "text_hash", "dup_key")
+    rows = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn(key, F.col(doc_id).cast("long"))
+    out = lookup(rows, written(gone.distinct(), "dup-gone").select(F.col("doc_id").alias(key), F.col("text_hash").alias(h)), [key, h], "left_anti")
+    if repeated:
+        once = F.when(F.col(key).isNotNull() & (F.trim(F.coalesce(F.col(text), F.lit(""))) != ""), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)
+        out = out.withColumn("dup_once", once).dropDuplicates([key, h, "dup_once"]).drop("dup_once")
+    return out.select(*docs.columns)
