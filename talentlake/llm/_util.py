@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,20 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def small_batches(spark: SparkSession) -> SparkSession:
-    """Send texts to Python in batches of a few MB, so that a worker's memory follows no table's text lengths."""
+def configured(spark: SparkSession) -> SparkSession:
+    """Make a session ready for this subpackage's Python stages.
+
+    Executors get the package's modules as a Python file, as they need not see the driver's folders; texts go to Python
+    in batches of a few MB, so that a worker's memory follows no table's text lengths."""
+    sc = spark.sparkContext
+    if not getattr(sc, "talentlake_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp(prefix="talentlake-")) / "talentlake.zip"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+            for f in sorted(package.rglob("*.py")):
+                out.write(f, f.relative_to(package.parent))
+        sc.addPyFile(str(target))
+        sc.talentlake_shipped = True
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
@@ -198,13 +212,11 @@ def shingle_hashes(hashes: np.ndarray, rows: np.ndarray, n_rows: int, width: int
     short = np.flatnonzero((counts > 0) & (counts < width))
     if len(short):
         at = np.concatenate(([0], np.cumsum(counts)))
-        h = []
-        for r in short:
-            x = np.uint64(counts[r])
-            for w in hashes[at[r] : at[r + 1]]:
-                x = mix64(np.array([x * np.uint64(_P) + w], np.uint64))[0]
-            h.append(x)
-        out_h.append(np.array(h, np.uint64))
+        h = counts[short].astype(np.uint64)
+        for k in range(width - 1):
+            on = counts[short] > k
+            h[on] = mix64(h[on] * np.uint64(_P) + hashes[at[short[on]] + k])
+        out_h.append(h)
         out_r.append(short)
     h, r = np.concatenate(out_h), np.concatenate(out_r)
     if len(short):

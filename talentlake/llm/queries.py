@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentlake.llm import decontaminate, html_text, langid, merkle, mixing, near_dup, secrets, token_files
-from talentlake.llm._util import new_path, small_batches
+from talentlake.llm import decontaminate, html_text, langid, merkle, mixing, near_dup, passages, secrets, token_files
+from talentlake.llm._util import configured, new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return configured(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -39,6 +39,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
     out = html_text.extract(pages.select("page_id", "url", F.col("html")), html_text.train())
@@ -46,7 +50,7 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +64,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_secret_scan, op4_decontamination, op7_main_text, op8_near_duplicates, op9_token_files, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_secret_scan, op4_decontamination, op6_repeated_passages, op7_main_text, op8_near_duplicates, op9_token_files, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
