@@ -143,6 +143,8 @@ _P_INV = pow(_P, -1, 1 << 64)
 _BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -167,11 +169,12 @@ def _powers(n: int, base: int, name: str) -> np.ndarray:
     return have[:n]
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, start byte, end byte) of every word of a block of texts, A-Z lower-cased, in text order.
 
     A word's hash depends on its folded bytes alone: prefix sums of byte values times powers of an odd base,
-    shifted back by the base's inverse. Words never cross rows."""
+    shifted back by the base's inverse. Words never cross rows. With marks, a full stop or comma that ends a word right
+    behind an ASCII letter is a word of its own."""
     n = len(raw)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -185,7 +188,14 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     stop[:-1] = ~inside[1:]
     last = offsets[1:][offsets[:-1] < offsets[1:]] - 1
     stop[last] = True
-    ends = np.flatnonzero(stop & inside) + 1
+    stop &= inside
+    if marks:
+        own = np.flatnonzero(stop & ~begin & ((raw == 0x2E) | (raw == 0x2C)))
+        own = own[_LETTER[raw[own - 1]]]
+        begin[own] = True
+        stop[own - 1] = True
+        starts = np.flatnonzero(begin)
+    ends = np.flatnonzero(stop) + 1
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTES[_FOLD[raw]] * _powers(n, _P, "p"), out=sums[1:])
     hashes = mix64((sums[ends] - sums[starts]) * _powers(n, _P_INV, "inv")[starts] + (ends - starts).astype(np.uint64))

@@ -11,8 +11,9 @@ of the input named like an output get the output's value.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ SAMPLE_DOCS = 2500
 #: Order-3 contexts kept, the most frequent first; others are predicted by order 2.
 CONTEXTS = 24_000
 #: Bytes of text handled at once.
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -42,6 +43,7 @@ class Model:
     grams: tuple[np.ndarray, ...]
     counts: tuple[np.ndarray, ...]
     contexts: int = CONTEXTS
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -165,7 +167,15 @@ class Coder:
         return prior
 
 
-_CODERS: dict[int, Coder] = {}
+_CODERS: dict[str, Coder] = {}
+
+
+def coder_of(model: Model) -> Coder | None:
+    """This process's tables of a model: tasks of one worker share them. Those of another model are let go."""
+    if model.langs and model.key not in _CODERS:
+        _CODERS.clear()
+        _CODERS[model.key] = Coder(model)
+    return _CODERS.get(model.key)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -178,12 +188,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from talentlake.llm.langid import coder_of  # by name, as what a task brings along is built anew for each task
+
         frozen = shared.value
-        coder = None
-        if frozen.langs:
-            coder = _CODERS.get(id(frozen)) or Coder(frozen)
-            _CODERS.clear()
-            _CODERS[id(frozen)] = coder
+        coder = coder_of(frozen)
         for batch in batches:
             n = batch.num_columns - 2
             live = np.asarray(batch.column(n + 1).to_pylist(), dtype=bool)

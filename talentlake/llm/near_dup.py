@@ -38,7 +38,7 @@ ROUNDS = 3
 #: Bins of the sketch that estimates a likeness, and how many standard deviations under the threshold an estimate may lie.
 BINS, SLACK = 512, 4.0
 #: Bytes of text handled at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _MULT = np.random.Generator(np.random.PCG64(75)).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talentlake.llm._util import lookup, text_buffers
+from talentlake.llm._util import lookup, text_buffers, word_hashes
 
 #: Fixed values of the format: ids per word and bits per id by selector; selector 15 is an escape.
 PACKS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -34,23 +34,27 @@ BLOCK_IDS = 1 << 16
 #: Ids after which a segment is closed.
 SEGMENT_IDS = 1 << 20
 #: Distinct words whose ids a worker remembers.
-MEMO = 400_000
+MEMO = 1_500_000
+#: Stands between words that are encoded together; words that hold it are encoded alone.
+SEPARATOR = "\u2661"
 END_ID = 2
 SCHEMA = "part int, seq int, n_docs long, n_ids long, payload binary"
 
 
+#: Bits that the narrowest selector for an id below 2**16 has.
+_NEED = np.array(sorted(b for _, b in PACKS), np.uint8)[np.searchsorted([(1 << b) - 1 for b in sorted(b for _, b in PACKS)], np.arange(1 << 16))]
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, escapes) of unsigned ids: each word takes the longest run that some selector holds."""
     v, n = np.asarray(ids, np.uint64), len(ids)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
     wide = v >= np.uint64(1 << 60)
-    top = np.where(wide, 61, 0).astype(np.uint8)
-    small = v[~wide]
-    need = np.ones(len(small), np.uint8)
-    for _, bits in reversed(PACKS[:-1]):
-        need[(small >> np.uint64(bits)) > 0] = np.maximum(need[(small >> np.uint64(bits)) > 0], 1 + bits)
-    top[~wide] = need
+    top = _NEED[np.minimum(v, np.uint64(len(_NEED) - 1)).astype(np.int64)]
+    big = np.flatnonzero(v >= np.uint64(len(_NEED)))
+    if len(big):
+        top[big] = np.where(v[big] >> np.uint64(60) > 0, 61, np.where(v[big] >> np.uint64(30) > 0, 60, np.where(v[big] >> np.uint64(20) > 0, 30, 20)))
     best = np.full(n, ESCAPE, np.uint8)
     best[~wide] = len(PACKS) - 1
     runs, known = top, 1  # runs[i]: widest of `known` ids from i
@@ -60,7 +64,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             step = min(known, count - known)
             runs = np.maximum(runs[:-step], runs[step:]) if len(runs) > step else runs[:0]
             known += step
-        best[: len(runs)][runs <= bits] = s
+        fit = runs <= bits
+        if not fit.any():
+            break
+        best[: len(runs)][fit] = s
     counts = np.array([c for c, _ in PACKS] + [0, 1], np.int64)
     after = (np.arange(n) + counts[best]).tolist()
     at, i = [], 0
@@ -131,70 +138,141 @@ class Segment:
         return np.concatenate([np.empty(0, np.uint64), *got])[start - a * self.block : stop - a * self.block]
 
 
-class _Memo(dict):
-    """Places of words in a table of ids; a new word gets the next place."""
+class _Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        self.data, self.n = np.empty(1 << 16, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.data):
+            more = np.empty(max(2 * len(self.data), self.n + len(values)), self.data.dtype)
+            more[: self.n] = self.data[: self.n]
+            self.data = more
+        self.data[self.n : self.n + len(values)] = values
+        self.n += len(values)
 
-    def __init__(self):
-        self.new: list[bytes] = []
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = place = len(self)
-        self.new.append(word)
-        return place
+class _Places:
+    """A hash table from 64-bit word hashes to places, probed for many words at once."""
+
+    def __init__(self):
+        self.mask = np.uint64((1 << (2 * MEMO - 1).bit_length()) - 1)
+        self.keys, self.places, self.n = np.zeros(int(self.mask) + 1, np.uint64), np.empty(int(self.mask) + 1, np.int32), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places of words; -1 for unknown ones."""
+        out, slot, open_ = np.full(len(h), -1, np.int32), (h & self.mask).astype(np.int64), np.arange(len(h))
+        while len(open_):
+            at = slot[open_]
+            key = self.keys[at]
+            hit = key == h[open_]
+            out[open_[hit]] = self.places[at[hit]]
+            go = ~hit & (key != 0)
+            open_ = open_[go]
+            slot[open_] = (at[go] + 1) & int(self.mask)
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Give distinct unknown words the next places."""
+        place = np.arange(self.n, self.n + len(h), dtype=np.int32)
+        self.n += len(h)
+        slot, open_ = (h & self.mask).astype(np.int64), np.arange(len(h))
+        while len(open_):
+            at = slot[open_]
+            free = self.keys[at] == 0
+            self.keys[at[free]] = h[open_[free]]
+            won = self.keys[at] == h[open_]  # of several for one free slot, the last
+            self.places[at[won]] = place[open_[won]]
+            open_ = open_[~won]
+            slot[open_] = (at[~won] + 1) & int(self.mask)
 
 
 class Encoder:
     """Ids of whole texts. The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    words, one after another; a word's ids are computed once and remembered."""
+    words, one after another, and a stop or comma behind a letter is always apart; a word's ids are computed once and found again by a 64-bit hash of its folded bytes. The
+    tokenizer lower-cases, but for its special tokens: texts that may hold one are encoded as they are."""
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer)
+        self.mark = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
-        self.memo, self.flat, self.starts, self.counts = _Memo(), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def _learn(self) -> None:
-        new = self.memo.new
-        for i in range(0, len(new), 4096):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new[i : i + 4096]], add_special_tokens=False)]
-            counts = np.array([len(x) for x in got], np.int64)
-            flat = np.fromiter((t for x in got for t in x), np.int32, int(counts.sum()))
-            self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(counts) - counts))
-            self.counts, self.flat = np.concatenate((self.counts, counts)), np.concatenate((self.flat, flat))
-        self.memo.new = []
+        self.known, self.flat, self.starts, self.counts = _Places(), _Grown(np.int32), _Grown(np.int64), _Grown(np.int32)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode new words: many in one text, parted by SEPARATOR, which is one id that no other word has."""
+        for lo in range(0, len(new), 1024):
+            part = new[lo : lo + 1024]
+            alone = [i for i, w in enumerate(part) if len(self.mark) != 1 or SEPARATOR in w]
+            own = dict(zip(alone, self._ids([part[i] for i in alone]), strict=True))
+            joint = f" {SEPARATOR} ".join([*("" if i in own else w for i, w in enumerate(part)), ""])
+            ids = np.array(self.tokenizer.encode(joint, add_special_tokens=False).ids, np.int32) if len(self.mark) == 1 else np.empty(0, np.int32)
+            ends = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else np.empty(0, np.int64)
+            counts = np.diff(ends, prepend=-1) - 1 if len(self.mark) == 1 else np.zeros(len(part), np.int64)
+            starts = self.flat.n + np.cumsum(counts) - counts
+            self.flat.add(np.delete(ids, ends))
+            for i, x in own.items():
+                starts[i], counts[i] = self.flat.n, len(x)
+                self.flat.add(np.array(x, np.int32))
+            self.starts.add(starts)
+            self.counts.add(counts)
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids per text), each text ended by END_ID."""
-        if len(self.memo) > MEMO:
+        if self.known.n > MEMO:
             self.clear()
-        data, places, per = raw.tobytes(), [], []
-        find = self.memo.__getitem__
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            found = data[a:b].split()
-            per.append(len(found))
-            places.extend(map(find, found))
-        if self.memo.new:
-            self._learn()
-        at = np.array(places, np.int64)
-        counts = self.counts[at]
-        upto = np.concatenate(([0], np.cumsum(counts)))
-        ids = self.flat[np.repeat(self.starts[at] - upto[:-1], counts) + np.arange(upto[-1])]
-        ends = upto[np.cumsum(per)] if per else np.empty(0, np.int64)
-        return np.insert(ids, ends, END_ID), np.diff(ends, prepend=0) + 1
+        whole, size = {}, len(offsets) - 1
+        data = raw.tobytes()
+        if b"<|" in data:
+            for i in range(size):
+                if b"<|" in (text := data[offsets[i] : offsets[i + 1]]):
+                    whole[i] = self._ids([text.decode()])[0]
+        h, rows, begin, end = word_hashes(raw, offsets, marks=True)
+        if whole:
+            plain = ~np.isin(rows, list(whole))
+            h, rows, begin, end = h[plain], rows[plain], begin[plain], end[plain]
+        h[h == 0] = 1
+        at = self.known.find(h)
+        lacking = np.flatnonzero(at < 0)
+        if len(lacking):
+            fresh_, first = np.unique(h[lacking], return_index=True)
+            where = lacking[first]
+            self._learn([data[a:b].lower().decode("utf-8", "replace") for a, b in zip(begin[where].tolist(), end[where].tolist(), strict=True)])
+            self.known.add(fresh_)
+            at[lacking] = self.known.find(h[lacking])
+        counts = self.counts.data[at]
+        upto = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+        ids = self.flat.data[np.repeat(self.starts.data[at] - upto[:-1], counts) + np.arange(upto[-1])]
+        ends = upto[np.searchsorted(rows, np.arange(1, size + 1))]
+        if not whole:
+            return np.insert(ids, ends, END_ID), np.diff(ends, prepend=0) + 1
+        parts = [np.append(whole[i] if i in whole else ids[a:b], END_ID) for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))]
+        return np.concatenate(parts).astype(np.int32), np.array([len(p) for p in parts], np.int64)
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def encoder(tokenizer: str) -> Encoder:
+    """This process's encoder: tasks of one worker share what it remembers."""
+    return _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, Encoder(tokenizer))
+
+
 def encode(docs: DataFrame, path: str, tokenizer: str, text: str = "text", doc_id: str = "doc_id") -> None:
     """Write the ids of all texts, in ascending order of doc_id, as segments under path."""
     rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, Encoder(tokenizer))
+        from talentlake.llm.token_files import encoder  # by name, as what a task brings along is built anew for each task
+
+        coder = encoder(tokenizer)
         part, seq, held = TaskContext.get().partitionId(), 0, []
 
         def segment() -> pa.RecordBatch:
@@ -204,8 +282,8 @@ def encode(docs: DataFrame, path: str, tokenizer: str, text: str = "text", doc_i
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(keys)]), pa.array([len(ids)]), pa.array([data], pa.binary())], ["part", "seq", "n_docs", "n_ids", "payload"])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                cut = batch.slice(lo, 512)
+            for lo in range(0, batch.num_rows, 128):
+                cut = batch.slice(lo, 128)
                 raw, offsets = text_buffers(cut.column(1))
                 ids, lengths = coder.encode(raw, offsets)
                 keys = cut.column(0)
