@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentlake.llm import decontaminate, html_text, langid, merkle, mixing, near_dup, passages, secrets, token_files
+from talentlake.llm import decontaminate, html_text, langid, lines, merkle, mixing, near_dup, passages, secrets, token_files
 from talentlake.llm._util import configured, new_path
 
 
@@ -39,6 +39,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.near_lines(_table(spark, sf_dir, "documents"))
+
+
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.passages(_table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_secret_scan, op4_decontamination, op6_repeated_passages, op7_main_text, op8_near_duplicates, op9_token_files, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_secret_scan, op4_decontamination, op5_line_dedup, op6_repeated_passages, op7_main_text, op8_near_duplicates, op9_token_files, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
