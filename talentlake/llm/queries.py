@@ -40,7 +40,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.near_lines(_table(spark, sf_dir, "documents"))
+    return lines.near_lines(_table(spark, sf_dir, "documents")).drop("n_links")
 
 
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,5 +71,31 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_secret_scan, op4_decontamination, op5_line_dedup, op6_repeated_passages, op7_main_text, op8_near_duplicates, op9_token_files, op10_fingerprints)}
 
 
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP5_SQL = """
+WITH l AS (SELECT doc_id, generate_subscripts(t, 1) AS line_no, unnest(t) AS line FROM (SELECT doc_id, string_split(lower(text), chr(10)) AS t FROM documents)),
+s AS (SELECT doc_id, line_no, list_sort(list_distinct(list_filter(string_split(line, ' '), lambda x: x <> ''))) AS s FROM l),
+f AS (SELECT doc_id, line_no, s, row_number() OVER (PARTITION BY s ORDER BY doc_id, line_no) AS rn, first_value(doc_id) OVER (PARTITION BY s ORDER BY doc_id, line_no) AS cd, first_value(line_no) OVER (PARTITION BY s ORDER BY doc_id, line_no) AS cl FROM s WHERE len(s) > 0),
+c AS (SELECT row_number() OVER (ORDER BY doc_id, line_no) AS k, doc_id, line_no, s FROM f WHERE rn = 1),
+w AS (SELECT k, len(s) AS n, unnest(s) AS x FROM c),
+p AS (SELECT b.k, a.n AS an, b.n AS bn, count(*) AS m FROM w a JOIN w b ON a.x = b.x AND a.k < b.k AND a.n * 100 >= b.n * 75 AND b.n * 100 >= a.n * 75 GROUP BY a.k, b.k, a.n, b.n),
+r AS (SELECT DISTINCT k FROM p WHERE 100 * m >= 75 * (an + bn - m)),
+g AS (SELECT doc_id, line_no FROM c WHERE k IN (SELECT k FROM r))
+SELECT f.doc_id, CAST(f.line_no AS INT) AS line_no, f.cd AS class_doc_id, CAST(f.cl AS INT) AS class_line_no, f.rn > 1 OR g.doc_id IS NOT NULL AS removed
+FROM f LEFT JOIN g ON g.doc_id = f.cd AND g.line_no = f.cl"""
+
+OP8_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS an, b.n AS bn, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 75 * (an + bn - c)),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.root AS component_id, s.doc_id = m.root AS kept
+FROM s JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id) m ON m.doc_id = s.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express; the others are held against brute force in tests/llm."""
+    return {"op5_line_dedup": OP5_SQL, "op8_near_duplicates": OP8_SQL}
