@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -62,6 +64,27 @@ def configured(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def tidied(f: Callable) -> Callable:
+    """A function on Arrow batches that gives free memory back when a task ends: workers wait for other tasks, beside others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    """Free memory to the system, as far as this platform's allocators can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back, so lost executors cost no recomputation."""
     spark = df.sparkSession
@@ -83,9 +106,10 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", rows: int | None = None) -> DataFrame:
+def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", rows: int | None = None, hot: bool = True) -> DataFrame:
     """Join a lookup table whose keys are distinct. It is broadcast if a count finds at most BROADCAST_ROWS rows;
-    a larger one is replicated SALTS times and joined on key and salt, which spreads a hot key of big. Null keys match."""
+    a larger one is replicated SALTS times and joined on key and salt, which spreads a hot key of big. With hot=False, for
+    keys that few rows of big share, and for semi and anti joins, a larger one is shuffled as it is. Null keys match."""
     rows = small.count() if rows is None else rows
     names = fresh(big, *(f"k_{k}" for k in keys))
     right = small.withColumnsRenamed(dict(zip(keys, names, strict=True)))
@@ -94,19 +118,16 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
         on = F.col(k).eqNullSafe(F.col(n)) if on is None else on & F.col(k).eqNullSafe(F.col(n))
     if rows <= BROADCAST_ROWS:
         return big.join(F.broadcast(right), on, how).drop(*names)
-    if how in ("left_semi", "left_anti"):  # a plain shuffle, whose hot partitions adaptive execution splits
+    if how in ("left_semi", "left_anti"):
         return big.join(right, on, how)
+    if not hot:
+        return big.join(right, on, how).drop(*names)
     salt_l, salt_r = fresh(big, "salt_l", "salt_r")
     left = big.withColumn(salt_l, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     right = right.withColumn(salt_r, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return left.join(right, on & (F.col(salt_l) == F.col(salt_r)), how).drop(*names, salt_l, salt_r)
 
 
-def words(text: Column) -> Column:
-    """The words of a text, in order; an empty array for a null or blank text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-
-
 def n_words(text: Column) -> Column:
     """How many words a text has (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentlake.llm._util import fresh
+from talentlake.llm._util import fresh, tidied
 
 #: Attribute with a training page's label of an element and what is below it: 1 content, 0 not.
 LABEL = "data-label"
@@ -275,7 +275,7 @@ def extract(pages: DataFrame, model: Model, html_col: str = "html") -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string())], [*batch.schema.names[:n], "main_text"])
 
     schema = type(base.schema)([*base.schema.fields]).add("main_text", "string")
-    return base.withColumn(source, F.col(html_col)).mapInArrow(read, schema)
+    return base.withColumn(source, F.col(html_col)).mapInArrow(tidied(read), schema)
 
 
 def labelled_pages(n: int = TRAIN_PAGES, seed: int = 7) -> Iterator[str]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talentlake.llm._util import fresh, text_buffers
+from talentlake.llm._util import fresh, text_buffers, tidied
 
 UND = "und"
 #: Longest context, in bytes.
@@ -30,7 +30,7 @@ UNIT = 1 << 16
 #: Labelled documents per language that are counted, in expectation: the bound of the training sample.
 SAMPLE_DOCS = 2500
 #: Order-3 contexts kept, the most frequent first; others are predicted by order 2.
-CONTEXTS = 24_000
+CONTEXTS = 12_000
 #: Bytes of text handled at once.
 BLOCK = 1 << 17
 
@@ -96,7 +96,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
         keep = F.lit(min(1.0, sample_docs / n))
         share = F.when(F.col("l") == name, keep) if share is None else share.when(F.col("l") == name, keep)
     drawn = rows.where(F.shiftrightunsigned(F.xxhash64("i", "t"), 11) * F.lit(2.0**-53) < share)
-    counted = drawn.select(F.lower("t").alias("t"), "l").mapInArrow(_count, "lang string, gram long, n long")
+    counted = drawn.select(F.lower("t").alias("t"), "l").mapInArrow(tidied(_count), "lang string, gram long, n long")
     table = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas().sort_values(["lang", "gram"])
     langs = tuple(sorted(table["lang"].unique()))
     own = [table[table["lang"] == name] for name in langs]
@@ -212,4 +212,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema = base.schema
     for name, kind in zip(outs, ("string", "double", "double"), strict=True):
         schema = type(schema)([*schema.fields]).add(name, kind)
-    return fed.mapInArrow(scored, schema)
+    return fed.mapInArrow(tidied(scored), schema)

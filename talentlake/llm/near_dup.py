@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentlake.llm._util import blocks, drop_path, fresh, lookup, mix64, shingle_hashes, text_buffers, word_hashes, written
+from talentlake.llm._util import blocks, drop_path, fresh, lookup, mix64, shingle_hashes, text_buffers, tidied, word_hashes, written
 from talentlake.llm.components import components
 
 #: Words per shingle; a link needs 100 * intersection >= 75 * union.
@@ -202,11 +202,11 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b, ok) of candidate links: ok if their full sets, built again from one text of each class, are near."""
     nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(classes.select("sid", "first_id"), "sid"), "dup-nodes")
-    texts = lookup(docs, nodes.select(F.col("first_id").alias("doc_id"), F.col("sid").alias("found")), ["doc_id"], "inner")
-    sets = written(texts.select(F.col("found").alias("sid"), "text").mapInArrow(_sets, "sid long, members binary"), "dup-sets")
+    texts = lookup(docs, nodes.select(F.col("first_id").alias("doc_id"), F.col("sid").alias("found")), ["doc_id"], "inner", hot=False)
+    sets = written(texts.select(F.col("found").alias("sid"), "text").mapInArrow(tidied(_sets), "sid long, members binary"), "dup-sets")
     one = pairs.join(sets.select(F.col("sid").alias("a"), F.col("members").alias("p")), "a")
     two = one.join(sets.select(F.col("sid").alias("b"), F.col("members").alias("q")), "b")
-    out = written(two.select("a", "b", "p", "q").mapInArrow(_confirmed, "a long, b long, ok boolean").distinct(), "dup-links")
+    out = written(two.select("a", "b", "p", "q").mapInArrow(tidied(_confirmed), "a long, b long, ok boolean").distinct(), "dup-links")
     drop_path(docs.sparkSession, sets.written_path)
     return out
 
@@ -215,13 +215,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """One row per document: doc_id, n_shingles, component_id, kept, and text_hash."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    rows = written(hashed.mapInArrow(_signed, "doc_id long, n_shingles long, sid long, sig binary, small binary, text_hash long"), "dup-rows")
+    rows = written(hashed.mapInArrow(tidied(_signed), "doc_id long, n_shingles long, sid long, sig binary, small binary, text_hash long"), "dup-rows")
     same = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"), F.first("small").alias("small"))
     classes = written(same, "dup-classes")
 
     tree = lambda t: F.struct(t.alias("tree"), F.substring("sig", t * (4 * DEPTH) + 1, F.lit(4 * LEAST)).alias("p"))
     keys = classes.select("sid", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), tree)).alias("k")).select(F.xxhash64("k.tree", "k.p").alias("key"), "sid", "k.tree")
-    crowded = keys.repartitionByRange("key", "sid").sortWithinPartitions("key", "sid").mapInArrow(_crowded, "sid long, tree int")
+    crowded = keys.repartitionByRange("key", "sid").sortWithinPartitions("key", "sid").mapInArrow(tidied(_crowded), "sid long, tree int")
     trees = crowded.groupBy("sid").agg(F.collect_set("tree").alias("trees"))
     region = trees.join(classes, "sid").select("sid", F.explode("trees").alias("tree"), "sig", "small")
     ranked = written(region.select("tree", F.substring("sig", F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * DEPTH)).alias("prefix"), "sid", "small"), "dup-regions")
@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     def mates(rooted: DataFrame, every: bool) -> DataFrame:
         order = ["tree", "prefix", "sid"]
         in_order = rooted.select("tree", "prefix", "sid", "root", "small").repartitionByRange(*order).sortWithinPartitions(*order)
-        return in_order.mapInArrow(_mates(every), "x long, y long, like double")
+        return in_order.mapInArrow(tidied(_mates(every)), "x long, y long, like double")
 
     rooted, known = ranked.withColumn("root", F.col("sid")), None
     for step in range(ROUNDS + 1):

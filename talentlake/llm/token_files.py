@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talentlake.llm._util import lookup, text_buffers, word_hashes
+from talentlake.llm._util import lookup, text_buffers, tidied, word_hashes
 
 #: Fixed values of the format: ids per word and bits per id by selector; selector 15 is an escape.
 PACKS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -34,7 +34,7 @@ BLOCK_IDS = 1 << 16
 #: Ids after which a segment is closed.
 SEGMENT_IDS = 1 << 20
 #: Distinct words whose ids a worker remembers.
-MEMO = 1_500_000
+MEMO = 1_000_000
 #: Stands between words that are encoded together; words that hold it are encoded alone.
 SEPARATOR = "\u2661"
 END_ID = 2
@@ -294,7 +294,7 @@ def encode(docs: DataFrame, path: str, tokenizer: str, text: str = "text", doc_i
         if held:
             yield segment()
 
-    rows.repartitionByRange("i").sortWithinPartitions("i", "t").mapInArrow(coded, SCHEMA).write.option("compression", "none").parquet(path)
+    rows.repartitionByRange("i").sortWithinPartitions("i", "t").mapInArrow(tidied(coded), SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def decode(spark: SparkSession, path: str) -> DataFrame:
@@ -316,4 +316,4 @@ def decode(spark: SparkSession, path: str) -> DataFrame:
                 sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(seg.doc_ids, mask=~seg.valid), pa.array(upto[:-1] + base), pa.array(seg.lengths), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return based.mapInArrow(opened, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return based.mapInArrow(tidied(opened), "doc_id long, start long, n_tokens long, ids_crc32 long")
