@@ -1,7 +1,7 @@
 """Language identification by prediction by partial matching.
 
 Per language a byte context tree of orders 0 to 3 is counted on a bounded, labelled sample. Escape method C gives each
-byte a probability in its longest context; code lengths are fixed-point numbers (1/65536 bit) summed exactly, so results
+byte a probability in its longest context; code lengths are fixed-point numbers (1/1024 bit) summed exactly, so results
 do not depend on batches or partitions. The statistics are frozen before any text is scored.
 
 Defined results: a null text or one without a letter is `und` with score 0; an empty table gives an empty table; ties go
@@ -26,11 +26,13 @@ UND = "und"
 #: Longest context, in bytes.
 ORDER = 3
 #: Fixed-point unit of code lengths.
-UNIT = 1 << 16
+UNIT = 1 << 10
 #: Labelled documents per language that are counted, in expectation: the bound of the training sample.
 SAMPLE_DOCS = 2500
 #: Order-3 contexts kept, the most frequent first; others are predicted by order 2.
 CONTEXTS = 12_000
+#: States whose costs are computed at once.
+ROWS = 2048
 #: Bytes of text handled at once.
 BLOCK = 1 << 17
 
@@ -113,27 +115,52 @@ class Coder:
         code[seen] = np.arange(2, a)
         code[256] = 0
         self.code = code[:256].astype(np.int32)
-        split = [tuple(code[g // 257**k % 257] for k in range(ORDER, -1, -1)) for g in model.grams]
-        total = np.zeros(a**3, np.int64)
-        for (c3, c2, c1, _), n in zip(split, model.counts, strict=True):
-            total += np.bincount((c3 * a + c2) * a + c1, n, a**3).astype(np.int64)
-        kept = np.argsort(-total, kind="stable")[: model.contexts]
-        kept = np.sort(kept[total[kept] > 1])
+        keys, sums = [], []
+        for g, n in zip(model.grams, model.counts, strict=True):
+            context = self._context(g)
+            key, at = np.unique(context, return_inverse=True)
+            keys.append(key)
+            sums.append(np.bincount(at, n))
+        seen, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(at, np.concatenate(sums))
+        kept = seen[np.sort(np.argsort(-total, kind="stable")[: model.contexts])]
+        kept = kept[total[np.searchsorted(seen, kept)] > 1]
         self.state = np.tile(np.arange(a * a, dtype=np.int32), a)
         self.state[kept] = a * a + np.arange(len(kept), dtype=np.int32)
-        place = np.full(a**3, -1, np.int64)
-        place[kept] = np.arange(len(kept))
-        cost = np.empty(((a * a + len(kept)) * a, len(model.langs)), np.int32)
-        for i, ((c3, c2, c1, s), n) in enumerate(zip(split, model.counts, strict=True)):
-            n = n.astype(float)
+        self.cost = np.empty(((a * a + len(kept)) * a, len(model.langs)), np.uint16)
+        for i, (g, n) in enumerate(zip(model.grams, model.counts, strict=True)):
+            context, s = self._context(g), code[g % 257]
             p = self._mixed(np.bincount(s, n, a)[None, :], np.full((1, a), 1 / 256))
-            p = self._mixed(np.bincount(c1 * a + s, n, a * a).reshape(a, a), p)
-            p = self._mixed(np.bincount((c2 * a + c1) * a + s, n, a**3).reshape(a, a, a), p).reshape(a * a, a)
-            at = place[(c3 * a + c2) * a + c1]
-            deep = np.bincount((at * a + s)[at >= 0], n[at >= 0], len(kept) * a).reshape(len(kept), a)
-            q = self._mixed(deep, p[kept % (a * a)])
-            cost[:, i] = np.rint(-np.log2(np.concatenate([p, q]).ravel()) * UNIT)
-        self.cost = cost
+            p = self._mixed(np.bincount(context % a * a + s, n, a * a).reshape(a, a), p)
+            self._table(i, 0, context % (a * a), s, n, a * a, p)
+            at = np.searchsorted(kept, context)
+            ok = (at < len(kept)) & (kept[np.minimum(at, len(kept) - 1)] == context) if len(kept) else np.zeros(len(context), bool)
+            self._table(i, a * a, at[ok], s[ok], n[ok], len(kept), None, kept % (a * a))
+
+    def _context(self, grams: np.ndarray) -> np.ndarray:
+        """The codes of three bytes before, as a number."""
+        out = np.zeros(len(grams), np.int64)
+        for k in range(ORDER, 0, -1):
+            code = grams // 257**k % 257
+            out = out * self.size + np.where(code == 256, 0, self.code[np.minimum(code, 255)])
+        return out
+
+    def _table(self, lang: int, first: int, at: np.ndarray, s: np.ndarray, n: np.ndarray, rows: int, below: np.ndarray | None, shorter: np.ndarray | None = None) -> None:
+        """Fill a language's costs of states from `first` on, some rows at a time; the shorter context's shares are rows of
+        below by a state's last code, or what costs of order 2 say."""
+        a, order = self.size, np.argsort(at, kind="stable")
+        at, s, n = at[order], s[order], n[order]
+        for lo in range(0, rows, ROWS):
+            hi = min(rows, lo + ROWS)
+            x, y = np.searchsorted(at, (lo, hi))
+            count = np.bincount((at[x:y] - lo) * a + s[x:y], n[x:y], (hi - lo) * a).reshape(hi - lo, a)
+            if below is not None:
+                share = below[np.arange(lo, hi) % a]
+            else:
+                two = self.cost[(shorter[lo:hi, None] * a + np.arange(a)).ravel(), lang].reshape(hi - lo, a)
+                share = np.exp2(-two / UNIT)
+            bits = -np.log2(self._mixed(count, share)) * UNIT
+            self.cost[(first + lo) * a : (first + hi) * a, lang] = np.minimum(np.rint(bits), 65535).ravel()
 
     @staticmethod
     def _mixed(n: np.ndarray, shorter: np.ndarray) -> np.ndarray:
@@ -143,7 +170,7 @@ class Coder:
         return np.where(total == 0, shorter, np.where(n > 0, n / below, kinds / below * shorter))
 
     def lengths(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Exact code length of each text under each language, in 1/65536 bit."""
+        """Exact code length of each text under each language, in 1/1024 bit."""
         a, out = self.size, np.zeros((len(offsets) - 1, self.cost.shape[1]), np.int64)
         for lo in range(0, len(raw), BLOCK):
             hi, back = min(lo + BLOCK, len(raw)), max(0, lo - ORDER)
@@ -178,13 +205,14 @@ def coder_of(model: Model) -> Coder | None:
     return _CODERS.get(model.key)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score (posterior of lang_pred under equal priors, from code lengths) and bits_per_byte."""
+def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs, or its columns in keep, with lang_pred, score (posterior of lang_pred under equal priors, from code lengths)
+    and bits_per_byte. Columns that are not kept don't come back from Python, which for texts is half of what moves."""
     spark = docs.sparkSession
     outs = ["lang_pred", "score", "bits_per_byte"]
-    base = docs.drop(*[c for c in docs.columns if c.lower() in outs])
+    base = docs.select(*[c for c in docs.columns if c.lower() not in outs and (keep is None or c in keep)])
     folded, letters = fresh(base, "folded", "letters")
-    fed = base.withColumn(folded, F.lower(F.col(text))).withColumn(letters, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    fed = docs.select(*base.columns, F.lower(F.col(text)).alias(folded), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(letters))
     shared = spark.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

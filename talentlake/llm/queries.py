@@ -23,7 +23,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
-    out = langid.identify(docs.select("doc_id", "text"), model)
+    out = langid.identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
