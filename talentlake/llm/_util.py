@@ -62,7 +62,7 @@ def configured(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(target))
         sc.talentlake_shipped = True
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return spark
 
 
