@@ -174,6 +174,11 @@ def n_words(text: Column) -> Column:
 
 def replaced(text: Column, pattern: str, by) -> Column:
     """text with each match m of a pattern as by(m): the pieces between matches and what became of the matches, in turn."""
-    pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    ends = F.concat(F.transform(hits, by), F.array(F.lit("")))
-    return F.when(text.rlike(pattern), F.array_join(F.zip_with(pieces, ends, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")).otherwise(text)
+
+    def build(x: Column) -> Column:
+        pieces, hits = F.split(x, pattern, -1), F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
+        ends = F.concat(F.transform(hits, by), F.array(F.lit("")))
+        joined = F.array_join(F.zip_with(pieces, ends, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+        return F.when(x.rlike(pattern), joined).otherwise(x)
+
+    return F.transform(F.array(text), build)[0]  # a lambda's variable is evaluated once
