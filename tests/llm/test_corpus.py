@@ -247,6 +247,30 @@ def test_passages(spark, frame, empty):
     assert passages.passages(empty).count() == 0
 
 
+def joined(groups_of, rows):
+    """Whether each group of documents is connected by rows of (doc_id, other_id)."""
+    root = groups({x for p in rows for x in p} | {x for g in groups_of for x in g}, rows)
+    return [len({root[x] for x in g}) == 1 for g in groups_of]
+
+
+def test_windows_of_a_large_group_meet_by_either_side():
+    import numpy as np
+    import pyarrow as pa
+
+    def window(doc, right, left):  # (key of min-hash and side, doc, c, l, r) by either side
+        return [(1000 + right, doc, 30, 0, 60), (2000 + left, doc, 30, 0, 60)]
+
+    # two batches: 1 and 2 agree on the left, 2 and 30 on the right; each side has a large group
+    one = [*window(1, 1, 7), *window(2, 2, 7), *[w for d in range(3, 15) for w in window(d, 1, 7)]]
+    two = [*window(30, 2, 8), *[w for d in range(31, 45) for w in window(d, 3, 8)]]
+    sent = [passages._linked([np.array(x) for x in zip(*b, strict=True)], keep=True) for b in (one, two)]
+    rows = sorted((r for b in sent for r in b.to_pylist()), key=lambda r: (r["key"], r["doc"], r["c"]))
+    for n in (1, 3, 1000):  # whatever the cuts between batches
+        cuts = [pa.RecordBatch.from_pylist(rows[i : i + n], sent[0].schema) for i in range(0, len(rows), n)]
+        links = [(r["doc"], r["odoc"]) for b in passages._runs(iter(cuts)) for r in b.to_pylist()]
+        assert all(a > b for a, b in links) and joined([[*range(1, 15), *range(30, 45)]], links) == [True]
+
+
 # -- pipeline ---------------------------------------------------------------------------------------------------------
 
 
