@@ -271,6 +271,36 @@ def test_windows_of_a_large_group_meet_by_either_side():
         assert all(a > b for a, b in links) and joined([[*range(1, 15), *range(30, 45)]], links) == [True]
 
 
+def test_passages_of_boilerplate_in_differing_contexts(spark, frame):
+    configured(spark)
+    r = random.Random(17)
+    one, two, pairs, docs = [], [], [], 0
+    for _ in range(120):
+        core, x, y, a, b, c = (prose(r, n) for n in (27, 40, 40, 40, 23, 40))
+        places = [(one, x, b), *[(one, x, a)] * 13, (two, y, b), *[(two, y, c)] * 13]
+        for k, (rows, left, right) in enumerate(places):
+            rows.append((docs + k, f"{prose(r, 20)} {left} {core} {right} {prose(r, 20)}", "en", "s"))
+        pairs.append([docs, docs + 14])  # of differing batches, they alone share the core and what follows it
+        docs += len(places)
+    got = {(g["doc_id"], g["other_id"]) for g in passages.passages(frame(one).coalesce(1).union(frame(two).coalesce(1))).collect()}
+    assert joined(pairs, got) == [True] * 120
+
+
+def test_passages_between_copies_that_share_one_more(spark, frame):
+    configured(spark)
+    r = random.Random(27)
+    a, b, shared, other = (prose(r, n) for n in (150, 150, 60, 90))
+    a, b = f"{a} {shared} {prose(r, 30)}", f"{prose(r, 20)} {shared} {b}"
+    rows = [(1, a, "en", "s"), (2, a, "en", "s"), (3, b, "en", "s"), (4, b.upper(), "en", "s")]
+    # 11 and 12 share less than each shares with another document around the same place
+    left, right = prose(r, 120), prose(r, 120)
+    rows += [(11, f"{left} {other} {prose(r, 9)}", "en", "s"), (12, f"{prose(r, 9)} {other} {right}", "en", "s"), (13, f"{left} {other}", "en", "s"), (14, f"{other} {right}", "en", "s")]
+    got = {(g["doc_id"], g["other_id"]): g for g in passages.passages(frame(rows)).collect()}
+    assert set(got) == {(y, x) for k in (1, 11) for x, y in combinations(range(k, k + 4), 2)}
+    assert {g["n_passages"] for g in got.values()} == {1} and got[3, 1]["n_words"] == got[4, 2]["other_n_words"] == 60
+    assert got[2, 1]["likeness"] == 1 and got[2, 1]["n_words"] == 240
+
+
 # -- pipeline ---------------------------------------------------------------------------------------------------------
 
 
