@@ -2,15 +2,16 @@
 
 One pass over the texts gives each document the size, digest and signature of its set of 5-word shingles. Equal sets are
 one class from then on, so exact copies are linked without a comparison. Each of TREES trees orders the classes by its
-own DEPTH min-hashes. Classes that share LEAST of them with nobody leave; the others are sorted tree by tree over a range
-partitioning, which splits a crowded region by its deeper hashes and ids, and each meets the WINDOW classes before it
-that share LEAST hashes: all of a small region, those with the longest common prefix in a crowded one. A sketch of one min-hash
+own DEPTH min-hashes. Classes that share LEAST of them with nobody leave. Of a region of up to WINDOW classes that share
+LEAST hashes, which is one task's, each meets all others. A crowded region is sorted over a range partitioning, by its
+deeper hashes and ids, and each class meets the WINDOW before it. A sketch of one min-hash
 in each of BINS ranges of hashes estimates the likeness of mates, all but exactly for sets of fewer shingles than bins;
 mates estimated SLACK standard deviations under the threshold are out.
 
 Links are confirmed on full sets: in each of ROUNDS rounds every class's likeliest mate of another component, which at
 least halves a group's components while it has links; then all mates that are still in different components. A link
 inside a component would change nothing. So a group of thousands of near copies costs a few confirmations a class.
+Crowded regions that are not one component by then are joined exactly, on the prefixes of their sets in order of rarity.
 
 Defined results: documents without words (null, empty, blank) have an empty set and are linked with nothing; fewer than
 five words are one shingle; repeated rows are copies; a null doc_id never names a component; an empty table gives an
@@ -37,6 +38,8 @@ HASHES = TREES * DEPTH
 ROUNDS = 3
 #: Bins of the sketch that estimates a likeness, and how many standard deviations under the threshold an estimate may lie.
 BINS, SLACK = 512, 4.0
+#: Buckets of shingle hashes whose counts order a set's members by rarity.
+BUCKETS = 1 << 16
 #: Bytes of text handled at once.
 BLOCK = 1 << 18
 _MULT = np.random.Generator(np.random.PCG64(75)).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -187,6 +190,34 @@ def _mates(every: bool):
     return found
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets' members fall into each of BUCKETS buckets."""
+    n = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for x in batch.column(0):
+            n += np.bincount((np.frombuffer(x.as_buffer(), np.uint64) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["bucket", "n"])
+
+
+def _prefixes(counts: np.ndarray):
+    """(sid, n, token) of the prefix of each set, its rarest members first: sets of a link share one of them."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sid, size, token = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for one, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = np.frombuffer(x.as_buffer(), np.uint64)
+                keep = len(h) + (-len(h) * NEED) // OF + 1
+                rare = h[np.lexsort((h, counts[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]))[:keep]]
+                sid.append(np.full(keep, one))
+                size.append(np.full(keep, len(h)))
+                token.append(rare.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (sid, size, token)], ["sid", "n", "token"])
+
+    return found
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = []
@@ -225,11 +256,43 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     trees = crowded.groupBy("sid").agg(F.collect_set("tree").alias("trees"))
     region = trees.join(classes, "sid").select("sid", F.explode("trees").alias("tree"), "sig", "small")
     ranked = written(region.select("tree", F.substring("sig", F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * DEPTH)).alias("prefix"), "sid", "small"), "dup-regions")
+    place = [F.col("tree").alias("big_tree"), F.substring("prefix", 1, 4 * LEAST).alias("big")]
+    big = written(ranked.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WINDOW).select("big_tree", "big"), "dup-crowded")
+    any_big = not big.isEmpty()
+    if any_big:
+        keyed = ranked.withColumns({"key_tree": F.col("tree"), "key": F.substring("prefix", 1, 4 * LEAST)})
+        ranked = written(lookup(keyed, big.select(F.col("big_tree").alias("key_tree"), F.col("big").alias("key"), F.lit(True).alias("crowd")), ["key_tree", "key"]).select(*ranked.columns, F.coalesce("crowd", F.lit(False)).alias("crowd")), "dup-regions")
+    else:
+        ranked = ranked.withColumn("crowd", F.lit(False))
 
     def mates(rooted: DataFrame, every: bool) -> DataFrame:
         order = ["tree", "prefix", "sid"]
-        in_order = rooted.select("tree", "prefix", "sid", "root", "small").repartitionByRange(*order).sortWithinPartitions(*order)
-        return in_order.mapInArrow(tidied(_mates(every)), "x long, y long, like double")
+        rows = rooted.select("tree", "prefix", "sid", "root", "small", "crowd")
+        whole = rows.where("not crowd").drop("crowd").repartition("tree", F.substring("prefix", 1, 4 * LEAST)).sortWithinPartitions(*order)
+        out = whole.mapInArrow(tidied(_mates(every)), "x long, y long, like double")
+        if any_big:
+            in_order = rows.where("crowd").drop("crowd").repartitionByRange(*order).sortWithinPartitions(*order)
+            out = out.union(in_order.mapInArrow(tidied(_mates(every)), "x long, y long, like double"))
+        return out
+
+    def crowded_mates(rooted: DataFrame) -> DataFrame:
+        """Pairs of different components whose prefixes meet, among all classes of crowded regions of several components."""
+        crowd = rooted.where("crowd")
+        open_ = crowd.groupBy(*place).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("big_tree", "big")
+        mine = crowd.withColumns({"big_tree": F.col("tree"), "big": F.substring("prefix", 1, 4 * LEAST)})
+        nodes = written(mine.join(open_, ["big_tree", "big"], "left_semi").select("sid", "root").distinct().join(classes.select("sid", "first_id"), "sid"), "dup-open")
+        texts = lookup(docs, nodes.select(F.col("first_id").alias("doc_id"), F.col("sid").alias("found")), ["doc_id"], "inner", hot=False)
+        sets = texts.select(F.col("found").alias("sid"), "text").mapInArrow(tidied(_sets), "sid long, members binary")
+        sets = written(sets.dropDuplicates(["sid"]), "dup-open-sets")
+        counts = np.zeros(BUCKETS, np.int64)
+        for r in sets.select("members").mapInArrow(tidied(_members), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
+            counts[r["bucket"]] = r["n"]
+        tokens = sets.mapInArrow(tidied(_prefixes(counts)), "sid long, n long, token long").join(nodes.select("sid", "root"), "sid")
+        tokens = written(tokens, "dup-tokens")
+        drop_path(docs.sparkSession, sets.written_path)
+        other = tokens.select(F.col("sid").alias("y"), F.col("n").alias("m"), "token", F.col("root").alias("other"))
+        fits = (F.col("sid") < F.col("y")) & (F.col("root") != F.col("other")) & (F.col("n") * OF >= F.col("m") * NEED) & (F.col("m") * OF >= F.col("n") * NEED)
+        return tokens.join(other, "token").where(fits).select(F.col("sid").alias("x"), "y").distinct()
 
     rooted, known = ranked.withColumn("root", F.col("sid")), None
     for step in range(ROUNDS + 1):
@@ -237,6 +300,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         found = mates(rooted, last)
         if not last:
             found = found.groupBy("x").agg(F.max(F.struct("like", "y")).alias("m")).select("x", "m.y")
+        elif any_big:
+            found = found.select("x", "y").union(crowded_mates(rooted))
         pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         pairs = written(pairs if known is None else pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), "dup-pairs")
         judged = _confirm(pairs, docs, classes)

@@ -163,6 +163,22 @@ def test_dedupe_keeps_one_of_each_group(spark, frame, empty):
     assert near_dup.dedupe(empty).count() == 0
 
 
+def test_near_duplicates_among_boilerplate(spark, frame):
+    """Hundreds of texts with the same long boilerplate, likeness about 0.7, and a few pairs of them that are links."""
+    configured(spark)
+    r = random.Random(28)
+    boilerplate, rows = prose(r, 500), []
+    for i in range(0, 700, 2):
+        own = prose(r, 100)
+        mate = own.split()[:28] + prose(r, 72).split() if i % 14 == 0 else prose(r, 100).split()
+        rows += [(i, f"{boilerplate} {own}", "en", "s"), (i + 1, f"{boilerplate} {' '.join(mate)}", "en", "s")]
+    sets = [shingle_set(t) for _, t, _, _ in rows]
+    links = [(a, b) for a, b in combinations(range(len(rows)), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert links == [(i, i + 1) for i in range(0, 700, 14)]
+    got = {x["doc_id"]: x["component_id"] for x in near_dup.near_duplicates(frame(rows)).collect()}
+    assert got == groups(range(len(rows)), links)
+
+
 # -- decontamination --------------------------------------------------------------------------------------------------
 
 
