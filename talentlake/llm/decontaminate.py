@@ -3,8 +3,8 @@
 Numbers, names (capitalised words inside a sentence) and units after a number become typed placeholders. Windows of
 WINDOW template words of documents are hash-joined with those of benchmark items; an item that is shorter is one window.
 Windows with too few literal words are not looked up. Matches are aligned by their offset; where enough windows of an
-item match at one offset, the values in its slots are compared: a re-parameterised copy maps each value of the item to
-one value of the document and back.
+item match at one offset, the values in the slots of the matched windows are compared: a re-parameterised copy maps each
+value of the item to one value of the document. Different values of the item may become equal ones.
 
 The lookup side is broadcast only if a count finds it small, else both sides are shuffled by hash.
 
@@ -79,22 +79,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
     each = rows.select("doc_id", F.explode(F.concat(*[windows(F.col("t"), w) for w in widths])).alias("k")).select("doc_id", F.col("k.at").alias("at"), F.col("k.h").alias("h"))
     small = keys.count() <= BROADCAST_ROWS
     hits = each.join(F.broadcast(keys) if small else keys, "h")
-    aligned = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.countDistinct("item_at").alias("n_windows"))
+    aligned = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("ats"))
+    aligned = aligned.withColumn("n_windows", F.size("ats").cast("long"))
     enough = lookup(aligned, per_item, ["item_id"], "inner").where(F.col("n_windows") >= F.least(F.lit(ENOUGH), F.ceil(F.col("item_windows") * SHARE)))
     enough = written(enough, "bench-hits")
 
     texts = lookup(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), enough.select(F.col("doc_id")).distinct(), ["doc_id"], "left_semi")
     full = texts.dropDuplicates().withColumn("dw", template(F.col("text"))).select("doc_id", "dw")
-    slots = enough.join(full, "doc_id").join(bench.select("item_id", "w"), "item_id")
+    slots = enough.join(full, "doc_id").join(bench.select("item_id", "w", "width"), "item_id")
 
     def pair(x: Column, i: Column) -> Column:
         met = F.when(i + F.col("shift") >= 0, F.get(F.col("dw"), (i + F.col("shift")).cast("int")))
-        return F.struct(x["t"].alias("t"), F.lower(x["v"]).alias("item"), F.when(met["t"] == x["t"], F.lower(met["v"])).alias("doc"))
+        matched = F.exists("ats", lambda at: (at <= i) & (i < at + F.col("width")))
+        return F.struct(x["t"].alias("t"), F.lower(x["v"]).alias("item"), F.when(matched & (met["t"] == x["t"]), F.lower(met["v"])).alias("doc"))
 
     pairs = F.filter(F.transform("w", pair), lambda p: p["t"].isin(NUMBER, NAME, UNIT) & p["doc"].isNotNull())
     judged = slots.withColumn("p", F.array_distinct(pairs)).withColumn("n_slots", F.size("p"))
     one = lambda name: F.size(F.array_distinct(F.transform("p", lambda x: F.struct(x["t"], x[name])))) == F.col("n_slots")
-    kept = judged.where(one("item") & one("doc")).withColumn("same_values", F.forall("p", lambda x: x["item"] == x["doc"]))
+    kept = judged.where(one("item")).withColumn("same_values", F.forall("p", lambda x: x["item"] == x["doc"]))
     best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("n_windows"), "shift")
     return (
         kept.select("doc_id", "item_id", "shift", "n_windows", "item_windows", "n_slots", "same_values")

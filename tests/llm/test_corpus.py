@@ -196,6 +196,17 @@ def test_leaks(spark, frame, empty):
     assert decontaminate.leaks(empty, benchmark).count() == 0 and decontaminate.leaks(docs, benchmark.where("false")).count() == 0
 
 
+def test_leaks_compare_the_slots_of_matched_windows(spark, frame):
+    r = random.Random(29)
+    coincide = "the box holds 3 red and 5 blue marbles that were put there by the children of the village school"
+    first, rest = f"a train with 12 full wagons leaves the old station and {prose(r, 12)}", f"{prose(r, 6)} over 12 bridges {prose(r, 8)}"
+    benchmark = spark.createDataFrame([(0, coincide), (1, f"{first} {rest}")], "item_id long, text string")
+    own = f"{prose(r, 6)} over 40 {prose(r, 9)}"
+    cases = [coincide.replace("3", "4").replace("5", "4"), f"{first} {own}", coincide.replace("3", "4").replace("5", "6"), prose(r, 40)]
+    got = {(x["doc_id"], x["item_id"]): x["same_values"] for x in decontaminate.leaks(frame([(i, t, "en", "s") for i, t in enumerate(cases)]), benchmark).collect()}
+    assert got == {(0, 0): False, (1, 1): True, (2, 0): False}
+
+
 # -- lines ------------------------------------------------------------------------------------------------------------
 
 
