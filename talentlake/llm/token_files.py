@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talentlake.llm._util import lookup, text_buffers, tidied, word_hashes
+from talentlake.llm._util import _FOLD, _SPACE, blocks, lookup, text_buffers, tidied, word_hashes
 
 #: Fixed values of the format: ids per word and bits per id by selector; selector 15 is an escape.
 PACKS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -33,8 +33,10 @@ MAGIC, HEADER = b"TLS8", struct.Struct("<4sIQQQQQ")
 BLOCK_IDS = 1 << 16
 #: Ids after which a segment is closed.
 SEGMENT_IDS = 1 << 20
-#: Distinct words whose ids a worker remembers.
-MEMO = 1_000_000
+#: Distinct words after which a worker forgets their ids; one block may add its own to them.
+MEMO = 600_000
+#: Bytes of text encoded at once.
+BLOCK = 1 << 17
 #: Stands between words that are encoded together; words that hold it are encoded alone.
 SEPARATOR = "\u2661"
 END_ID = 2
@@ -141,12 +143,12 @@ class Segment:
 class _Grown:
     """An array that grows at its end."""
 
-    def __init__(self, kind):
-        self.data, self.n = np.empty(1 << 16, kind), 0
+    def __init__(self, kind, *width: int):
+        self.data, self.n = np.empty((1 << 14, *width), kind), 0
 
     def add(self, values: np.ndarray) -> None:
         if self.n + len(values) > len(self.data):
-            more = np.empty(max(2 * len(self.data), self.n + len(values)), self.data.dtype)
+            more = np.empty((max(2 * len(self.data), self.n + len(values)), *self.data.shape[1:]), self.data.dtype)
             more[: self.n] = self.data[: self.n]
             self.data = more
         self.data[self.n : self.n + len(values)] = values
@@ -154,11 +156,15 @@ class _Grown:
 
 
 class _Places:
-    """A hash table from 64-bit word hashes to places, probed for many words at once."""
+    """A hash table from 64-bit word hashes to places, probed for many words at once. It doubles before it is half full."""
 
-    def __init__(self):
-        self.mask = np.uint64((1 << (2 * MEMO - 1).bit_length()) - 1)
-        self.keys, self.places, self.n = np.zeros(int(self.mask) + 1, np.uint64), np.empty(int(self.mask) + 1, np.int32), 0
+    def __init__(self, slots: int = 1 << 16):
+        self.n = 0
+        self._empty(slots)
+
+    def _empty(self, slots: int) -> None:
+        self.mask = np.uint64(slots - 1)
+        self.keys, self.places = np.zeros(slots, np.uint64), np.empty(slots, np.int32)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Places of words; -1 for unknown ones."""
@@ -175,8 +181,16 @@ class _Places:
 
     def add(self, h: np.ndarray) -> None:
         """Give distinct unknown words the next places."""
-        place = np.arange(self.n, self.n + len(h), dtype=np.int32)
+        need = 2 * (self.n + len(h))
+        if need > len(self.keys):
+            used = np.flatnonzero(self.keys)
+            keys, places = self.keys[used], self.places[used]
+            self._empty(1 << int(need).bit_length())
+            self._put(keys, places)
+        self._put(h, np.arange(self.n, self.n + len(h), dtype=np.int32))
         self.n += len(h)
+
+    def _put(self, h: np.ndarray, place: np.ndarray) -> None:
         slot, open_ = (h & self.mask).astype(np.int64), np.arange(len(h))
         while len(open_):
             at = slot[open_]
@@ -188,10 +202,44 @@ class _Places:
             slot[open_] = (at[~won] + 1) & int(self.mask)
 
 
+def ends_of_words(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """What tells words of equal hash apart: length, first and last eight folded bytes (all bytes, up to sixteen)."""
+    folded = np.concatenate((_FOLD[raw], np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(folded) - 7, "<u8", folded, 0, (1,))
+    size = end - begin
+    short = np.minimum(size, 8).astype(np.uint64)
+    first = eight[begin] & (~np.uint64(0) >> (np.uint64(64) - short * np.uint64(8)))
+    last = np.where(size > 8, eight[np.maximum(end - 8, 0)], np.uint64(0))
+    return np.stack((size.astype(np.uint64), first, last), 1)
+
+
+def pieces(raw: np.ndarray, offsets: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets of pieces, text of each piece): texts of over `most` bytes are cut behind white space, at the last one
+    within `most` bytes or, where a word is longer, at the next one."""
+    cuts, owner = [0], []
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        while b - a > most:
+            gaps = np.flatnonzero(_SPACE[raw[a : a + most]])
+            upto, step = a + most, most
+            while not len(gaps) and upto < b:
+                gaps = np.flatnonzero(_SPACE[raw[upto : upto + step]]) + (upto - a)
+                upto, step = upto + step, 2 * step
+                gaps = gaps[:1]
+            if not len(gaps):
+                break
+            a += int(gaps[-1]) + 1
+            cuts.append(a)
+            owner.append(i)
+        cuts.append(b)
+        owner.append(i)
+    return np.array(cuts, np.int64), np.array(owner, np.int64)
+
+
 class Encoder:
     """Ids of whole texts. The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    words, one after another, and a stop or comma behind a letter is always apart; a word's ids are computed once and found again by a 64-bit hash of its folded bytes. The
-    tokenizer lower-cases, but for its special tokens: texts that may hold one are encoded as they are."""
+    words, one after another, and a stop or comma behind a letter is always apart. A word's ids are computed once and
+    found again by a 64-bit hash of its folded bytes, its length and its first and last eight bytes. The tokenizer
+    lower-cases, but for its special tokens: texts that may hold one are encoded as they are."""
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
@@ -202,6 +250,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.known, self.flat, self.starts, self.counts = _Places(), _Grown(np.int32), _Grown(np.int64), _Grown(np.int32)
+        self.ends = _Grown(np.uint64, 3)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -225,19 +274,29 @@ class Encoder:
             self.counts.add(counts)
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ids per text), each text ended by END_ID."""
+        """(ids, ids per text), each text ended by END_ID. Long texts are encoded piece by piece."""
+        cuts, owner = pieces(raw, offsets, BLOCK)
+        ids, counts = [], []
+        for a, b in blocks(cuts, BLOCK):
+            one, n = self._block(raw[cuts[a] : cuts[b]], cuts[a : b + 1] - cuts[a])
+            ids.append(one)
+            counts.append(n)
+        flat = np.concatenate([np.empty(0, np.int32), *ids])
+        n = np.bincount(owner, np.concatenate([np.empty(0, np.int64), *counts]), len(offsets) - 1).astype(np.int64)
+        return np.insert(flat, np.cumsum(n), END_ID), n + 1
+
+    def _block(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per text) of a block of texts, without end ids."""
         if self.known.n > MEMO:
             self.clear()
-        whole, size = {}, len(offsets) - 1
+        whole, size = set(), len(offsets) - 1
         data = raw.tobytes()
         if b"<|" in data:
-            for i in range(size):
-                if b"<|" in (text := data[offsets[i] : offsets[i + 1]]):
-                    whole[i] = self._ids([text.decode()])[0]
+            whole = {i for i in range(size) if b"<|" in data[offsets[i] : offsets[i + 1]]}
         h, rows, begin, end = word_hashes(raw, offsets, marks=True)
-        if whole:
-            plain = ~np.isin(rows, list(whole))
-            h, rows, begin, end = h[plain], rows[plain], begin[plain], end[plain]
+        if not len(h):
+            return np.empty(0, np.int32), np.zeros(size, np.int64)
+        tell = ends_of_words(raw, begin, end)
         h[h == 0] = 1
         at = self.known.find(h)
         lacking = np.flatnonzero(at < 0)
@@ -245,15 +304,21 @@ class Encoder:
             fresh_, first = np.unique(h[lacking], return_index=True)
             where = lacking[first]
             self._learn([data[a:b].lower().decode("utf-8", "replace") for a, b in zip(begin[where].tolist(), end[where].tolist(), strict=True)])
+            self.ends.add(tell[where])
             self.known.add(fresh_)
             at[lacking] = self.known.find(h[lacking])
+        other = (self.ends.data[at] != tell).any(1)
+        if other.any():  # words of one hash that differ
+            whole |= set(rows[other].tolist())
         counts = self.counts.data[at]
         upto = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
         ids = self.flat.data[np.repeat(self.starts.data[at] - upto[:-1], counts) + np.arange(upto[-1])]
         ends = upto[np.searchsorted(rows, np.arange(1, size + 1))]
         if not whole:
-            return np.insert(ids, ends, END_ID), np.diff(ends, prepend=0) + 1
-        parts = [np.append(whole[i] if i in whole else ids[a:b], END_ID) for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))]
+            return ids, np.diff(ends, prepend=0)
+        parts = []
+        for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+            parts.append(np.array(self._ids([data[offsets[i] : offsets[i + 1]].decode()])[0], np.int32) if i in whole else ids[a:b])
         return np.concatenate(parts).astype(np.int32), np.array([len(p) for p in parts], np.int64)
 
 
@@ -282,11 +347,10 @@ def encode(docs: DataFrame, path: str, tokenizer: str, text: str = "text", doc_i
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(keys)]), pa.array([len(ids)]), pa.array([data], pa.binary())], ["part", "seq", "n_docs", "n_ids", "payload"])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                cut = batch.slice(lo, 128)
-                raw, offsets = text_buffers(cut.column(1))
-                ids, lengths = coder.encode(raw, offsets)
-                keys = cut.column(0)
+            raw, offsets = text_buffers(batch.column(1))
+            for lo, hi in blocks(offsets, 8 * BLOCK):
+                ids, lengths = coder.encode(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                keys = batch.column(0).slice(lo, hi - lo)
                 held.append((keys.fill_null(0).to_numpy(zero_copy_only=False), keys.is_valid().to_numpy(zero_copy_only=False), lengths, ids))
                 if sum(len(x[3]) for x in held) >= SEGMENT_IDS:
                     yield segment()
