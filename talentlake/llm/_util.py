@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a lookup table up to which it is broadcast (checked by a count before each use).
 BROADCAST_ROWS = 50_000
-#: The same for a table of one integer column, whose broadcast takes some 16 MB at most.
+#: Values of a table of whole numbers up to which it is broadcast: some 16 MB at most.
 BROADCAST_KEYS = 500_000
 #: Replicas of a lookup table that is too large to broadcast, so that hot keys spread.
 SALTS = 16
@@ -110,8 +110,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", rows: int | None = None, hot: bool = True) -> DataFrame:
     """Join a lookup table whose keys are distinct. It is broadcast if a count finds at most BROADCAST_ROWS rows,
-    or BROADCAST_KEYS of one integer column;
-    a larger one is replicated SALTS times and joined on key and salt, which spreads a hot key of big. With hot=False, for
+    or, of whole-number columns alone, BROADCAST_KEYS values; a larger one is replicated SALTS times and joined on key and salt, which spreads a hot key of big. With hot=False, for
     keys that few rows of big share, and for semi and anti joins, a larger one is shuffled as it is. Null keys match."""
     rows = small.count() if rows is None else rows
     names = fresh(big, *(f"k_{k}" for k in keys))
@@ -119,8 +118,8 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
     on = None
     for k, n in zip(keys, names, strict=True):
         on = F.col(k).eqNullSafe(F.col(n)) if on is None else on & F.col(k).eqNullSafe(F.col(n))
-    narrow = len(small.columns) == 1 and small.dtypes[0][1] in ("bigint", "int")
-    if rows <= (BROADCAST_KEYS if narrow else BROADCAST_ROWS):
+    narrow = all(kind in ("bigint", "int") for _, kind in small.dtypes)
+    if rows <= (max(BROADCAST_KEYS // len(small.columns), BROADCAST_ROWS) if narrow else BROADCAST_ROWS):
         return big.join(F.broadcast(right), on, how).drop(*names)
     if how in ("left_semi", "left_anti"):
         return big.join(right, on, how)

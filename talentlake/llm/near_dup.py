@@ -2,16 +2,16 @@
 
 One pass over the texts gives each document the size, digest and signature of its set of 5-word shingles. Equal sets are
 one class from then on, so exact copies are linked without a comparison. Each of TREES trees orders the classes by its
-own DEPTH min-hashes. Classes that share LEAST of them with nobody leave. Of a region of up to WINDOW classes that share
-LEAST hashes, which is one task's, each meets all others. A crowded region is sorted over a range partitioning, by its
-deeper hashes and ids, and each class meets the WINDOW before it. A sketch of one min-hash
-in each of BINS ranges of hashes estimates the likeness of mates, all but exactly for sets of fewer shingles than bins;
-mates estimated SLACK standard deviations under the threshold are out.
+own DEPTH min-hashes; classes that share the first LEAST of them are a region. In a region, in the order of its deeper
+hashes, each class meets the WINDOW classes before it, those of the longest common prefixes; a region of over WINDOW
+classes is ordered in parts of some PART_ROWS. A sketch of one min-hash in each of BINS ranges of hashes estimates the
+likeness of mates, all but exactly for sets of fewer shingles than bins; mates estimated SLACK standard deviations under
+the threshold are out.
 
-Links are confirmed on full sets: in each of ROUNDS rounds every class's likeliest mate of another component, which at
-least halves a group's components while it has links; then all mates that are still in different components. A link
-inside a component would change nothing. So a group of thousands of near copies costs a few confirmations a class.
-Crowded regions that are not one component by then are joined exactly, on the prefixes of their sets in order of rarity.
+Links are confirmed on full sets, in two rounds. First every class's likeliest mate: this joins most of a group at a cost
+of one confirmation a class. Then all mates that are still in different components; a link inside a component would
+change nothing. Regions of up to WINDOW classes are whole in this round. In a larger one every class outside of its largest
+component meets all classes of other components there, by sketch, in blocks; so no bound on neighbours loses a link.
 
 Defined results: documents without words (null, empty, blank) have an empty set and are linked with nothing; fewer than
 five words are one shingle; repeated rows are copies; a null doc_id never names a component; an empty table gives an
@@ -34,12 +34,10 @@ from talentlake.llm.components import components
 WIDTH, NEED, OF = 5, 75, 100
 TREES, DEPTH, LEAST, WINDOW = 20, 6, 4, 64
 HASHES = TREES * DEPTH
-#: Rounds of confirmation before the last, exhaustive one.
-ROUNDS = 3
 #: Bins of the sketch that estimates a likeness, and how many standard deviations under the threshold an estimate may lie.
 BINS, SLACK = 512, 4.0
-#: Buckets of shingle hashes whose counts order a set's members by rarity.
-BUCKETS = 1 << 16
+#: Rows of a part of a crowded region's order, and of a side of a block that compares its components.
+PART_ROWS, BLOCK_ROWS = 1024, 512
 #: Bytes of text handled at once.
 BLOCK = 1 << 18
 _MULT = np.random.Generator(np.random.PCG64(75)).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -108,71 +106,45 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([h[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["sid", "members"])
 
 
-def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, those next to a row of equal key; the first and last row of a partition, too."""
-    held = None
-    edge = True
+def _compared(x: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in rows, likeness) of the sketches among rows that may be linked with the sketch x."""
+    like, least = estimates(rows, x[None, :])
+    ok = np.flatnonzero(like >= least)
+    return ok, like[ok]
 
-    def keep(tab: pa.RecordBatch, first: bool, last: bool) -> pa.RecordBatch:
-        key = tab.column(0).to_numpy()
-        same = key[1:] == key[:-1]
-        near = np.zeros(len(key), bool)
-        near[1:] |= same
-        near[:-1] |= same
-        near[0] |= first
-        near[-1] |= last
-        return tab.filter(pa.array(near))
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if held is not None:
-            joint = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            got = keep(joint, edge, False)
-            done = joint.num_rows - 1
-            # the last row waits for its successor; a waiting row that was kept already is kept again by its key
-            edge = bool(joint.num_rows > 1 and joint.column(0)[done].as_py() == joint.column(0)[done - 1].as_py())
-            held = joint.slice(done, 1)
-            if edge:
-                got = got.slice(0, got.num_rows - 1)
-            yield got.select(["sid", "tree"])
-        else:
-            held = batch
-            if batch.num_rows > 1:
-                got = keep(batch, True, False)
-                done = batch.num_rows - 1
-                edge = batch.column(0)[done].as_py() == batch.column(0)[done - 1].as_py()
-                if edge:
-                    got = got.slice(0, got.num_rows - 1)
-                held = batch.slice(done, 1)
-                yield got.select(["sid", "tree"])
-    if held is not None:
-        yield held.select(["sid", "tree"])
+def _columns(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
+    """n whole-number columns of a batch, then its sketches."""
+    sketch = batch.column(n)
+    joined = b"".join(sketch.to_pylist())
+    return [batch.column(k).to_numpy() for k in range(n)] + [np.frombuffer(joined, np.uint8).reshape(-1, BINS)]
+
+
+def _pairs(x: list, y: list, like: list) -> pa.RecordBatch:
+    flat = lambda parts, kind: np.concatenate([np.empty(0, kind), *parts]).astype(kind)
+    return pa.RecordBatch.from_arrays([pa.array(flat(x, np.int64)), pa.array(flat(y, np.int64)), pa.array(flat(like, np.float64))], ["x", "y", "like"])
 
 
 def _mates(every: bool):
-    """Candidate links from rows sorted by (tree, prefix): the likeliest mate of each row, or every mate of another root."""
+    """Candidate links from rows (key, part, sid, root, sketch) sorted by key, part and deeper hashes: each row against
+    the WINDOW rows before it that have its key and part, and another root; all that may be links, or the likeliest."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n = batch.num_rows
-            tree = batch.column(0).to_numpy()
-            prefix = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, 4 * DEPTH)[:, : 4 * LEAST].copy().view(np.uint64)
-            sid, root = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            small = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(n, BINS)
-            now = [tree, prefix, sid, root, small]
+            now = _columns(batch, 4)
             old = len(tail[0]) if tail else 0
-            tree, prefix, sid, root, small = now = [np.concatenate(x) for x in zip(tail, now, strict=True)] if tail else now
+            now = [np.concatenate(x) for x in zip(tail, now, strict=True)] if tail else now
+            key, part, sid, root, small = now
             best, mate, pairs = np.full(len(sid), -1.0), np.zeros(len(sid), np.int64), []
             for lag in range(1, min(WINDOW, len(sid) - 1) + 1):
                 i = np.arange(max(lag, old), len(sid))
-                i = i[(tree[i] == tree[i - lag]) & (prefix[i] == prefix[i - lag]).all(1)]
+                i = i[(key[i] == key[i - lag]) & (part[i] == part[i - lag])]
                 if not len(i):
                     break
-                i = i[(sid[i] != sid[i - lag]) & (root[i] != root[i - lag])]
+                i = i[root[i] != root[i - lag]]
                 like, least = estimates(small[i], small[i - lag])
                 i, like = i[like >= least], like[like >= least]
                 if every:
@@ -183,39 +155,41 @@ def _mates(every: bool):
             if not every:
                 i = np.flatnonzero(best >= 0)
                 pairs = [(sid[i], mate[i], best[i])]
-            x, y, like = (np.concatenate(z) for z in zip(*pairs, strict=True)) if pairs else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)), pa.array(y.astype(np.int64)), pa.array(like)], ["x", "y", "like"])
-            tail = [z[-WINDOW:] for z in now]
+            yield _pairs(*([z[k] for z in pairs] for k in range(3)))
+            tail = [z[-WINDOW:].copy() for z in now]
 
     return found
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many sets' members fall into each of BUCKETS buckets."""
-    n = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        for x in batch.column(0):
-            n += np.bincount((np.frombuffer(x.as_buffer(), np.uint64) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-    at = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["bucket", "n"])
-
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate links from rows (key, row block, column block, side, sid, root, outside, sketch), sorted by the first
+    four: each row of side 0, a class outside its region's largest component, against the rows of side 1."""
+    place, left = None, []
 
-def _prefixes(counts: np.ndarray):
-    """(sid, n, token) of the prefix of each set, its rarest members first: sets of a link share one of them."""
+    def asked(rows: list[np.ndarray]) -> pa.RecordBatch:
+        sid, root, outside, small = rows
+        xs, ys, likes = [], [], []
+        for s, r, mine in left:
+            at, like = _compared(mine, small)
+            ok = (root[at] != r) & ((outside[at] == 0) | (sid[at] > s))
+            xs.append(np.full(int(ok.sum()), s))
+            ys.append(sid[at[ok]])
+            likes.append(like[ok])
+        return _pairs(xs, ys, likes)
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sid, size, token = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for one, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h = np.frombuffer(x.as_buffer(), np.uint64)
-                keep = len(h) + (-len(h) * NEED) // OF + 1
-                rare = h[np.lexsort((h, counts[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]))[:keep]]
-                sid.append(np.full(keep, one))
-                size.append(np.full(keep, len(h)))
-                token.append(rare.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (sid, size, token)], ["sid", "n", "token"])
-
-    return found
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        *keys, side, sid, root, outside, small = _columns(batch, 7)
+        keys = np.stack(keys, 1)
+        new = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1))))
+        for lo, hi in zip(new, np.append(new[1:], len(keys)), strict=True):
+            if place != keys[lo].tolist():
+                place, left = keys[lo].tolist(), []
+            cut = lo + int(np.searchsorted(side[lo:hi], 1))
+            left += [(int(sid[i]), int(root[i]), small[i].copy()) for i in range(lo, cut)]
+            if left and cut < hi:
+                yield asked([z[cut:hi] for z in (sid, root, outside, small)])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,91 +204,90 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, ok) of candidate links: ok if their full sets, built again from one text of each class, are near."""
-    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(classes.select("sid", "first_id"), "sid"), "dup-nodes")
-    texts = lookup(docs, nodes.select(F.col("first_id").alias("doc_id"), F.col("sid").alias("found")), ["doc_id"], "inner", hot=False)
-    sets = written(texts.select(F.col("found").alias("sid"), "text").mapInArrow(tidied(_sets), "sid long, members binary"), "dup-sets")
+def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, ok) of candidate links: ok if their full sets are near."""
     one = pairs.join(sets.select(F.col("sid").alias("a"), F.col("members").alias("p")), "a")
     two = one.join(sets.select(F.col("sid").alias("b"), F.col("members").alias("q")), "b")
-    out = written(two.select("a", "b", "p", "q").mapInArrow(tidied(_confirmed), "a long, b long, ok boolean").distinct(), "dup-links")
-    drop_path(docs.sparkSession, sets.written_path)
-    return out
+    return written(two.select("a", "b", "p", "q").mapInArrow(tidied(_confirmed), "a long, b long, ok boolean"), "dup-links")
+
+
+def _crowded_pairs(rooted: DataFrame) -> DataFrame:
+    """Candidate links of regions of over WINDOW classes: every class outside the region's largest component against all
+    classes of other components there, in blocks of BLOCK_ROWS. Rows are copied to as many blocks as the other side has;
+    so a region that is one component but for few classes costs those few passes."""
+    crowd = rooted.where(F.col("n") > WINDOW)
+    each = crowd.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = each.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("total"))
+    main = main.where(F.col("m.c") < F.col("total")).select(
+        "key", F.col("m.root").alias("major"), F.ceil(F.col("total") / BLOCK_ROWS).cast("int").alias("cols"),
+        F.ceil((F.col("total") - F.col("m.c")) / BLOCK_ROWS).cast("int").alias("rows"),
+    )
+    mine = lookup(crowd.select("key", "sid", "root", "small"), written(main, "dup-open"), ["key"], "inner")
+    mine = mine.withColumn("outside", (F.col("root") != F.col("major")).cast("int"))
+    spread = F.xxhash64("sid", "key")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keep = ["sid", "root", "outside", "small"]
+    left = mine.where("outside = 1").select("key", F.pmod(spread, "rows").cast("int").alias("rb"), every("cols").alias("cb"), F.lit(0).alias("side"), *keep)
+    right = mine.select("key", every("rows").alias("rb"), F.pmod(spread, "cols").cast("int").alias("cb"), F.lit(1).alias("side"), *keep)
+    met = left.union(right).repartition("key", "rb", "cb").sortWithinPartitions("key", "rb", "cb", "side")
+    return met.mapInArrow(tidied(_blocks), "x long, y long, like double")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, and text_hash."""
+    spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    rows = written(hashed.mapInArrow(tidied(_signed), "doc_id long, n_shingles long, sid long, sig binary, small binary, text_hash long"), "dup-rows")
-    same = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"), F.first("small").alias("small"))
+    signed = hashed.mapInArrow(tidied(_signed), "doc_id long, n_shingles long, sid long, sig binary, small binary, text_hash long")
+    rows = written(signed, "dup-rows")
+    same = rows.where("sid is not null").groupBy("sid").agg(
+        F.min("doc_id").alias("first_id"), F.min(F.struct("text_hash", "doc_id")).alias("at"), F.count(F.lit(1)).alias("copies"),
+        F.first("sig").alias("sig"), F.first("small").alias("small"),
+    )
     classes = written(same, "dup-classes")
 
-    tree = lambda t: F.struct(t.alias("tree"), F.substring("sig", t * (4 * DEPTH) + 1, F.lit(4 * LEAST)).alias("p"))
-    keys = classes.select("sid", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), tree)).alias("k")).select(F.xxhash64("k.tree", "k.p").alias("key"), "sid", "k.tree")
-    crowded = keys.repartitionByRange("key", "sid").sortWithinPartitions("key", "sid").mapInArrow(tidied(_crowded), "sid long, tree int")
-    trees = crowded.groupBy("sid").agg(F.collect_set("tree").alias("trees"))
-    region = trees.join(classes, "sid").select("sid", F.explode("trees").alias("tree"), "sig", "small")
-    ranked = written(region.select("tree", F.substring("sig", F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * DEPTH)).alias("prefix"), "sid", "small"), "dup-regions")
-    place = [F.col("tree").alias("big_tree"), F.substring("prefix", 1, 4 * LEAST).alias("big")]
-    big = written(ranked.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WINDOW).select("big_tree", "big"), "dup-crowded")
-    any_big = not big.isEmpty()
-    if any_big:
-        keyed = ranked.withColumns({"key_tree": F.col("tree"), "key": F.substring("prefix", 1, 4 * LEAST)})
-        ranked = written(lookup(keyed, big.select(F.col("big_tree").alias("key_tree"), F.col("big").alias("key"), F.lit(True).alias("crowd")), ["key_tree", "key"]).select(*ranked.columns, F.coalesce("crowd", F.lit(False)).alias("crowd")), "dup-regions")
-    else:
-        ranked = ranked.withColumn("crowd", F.lit(False))
+    key = lambda t: F.xxhash64(t, F.substring("sig", t * (4 * DEPTH) + 1, F.lit(4 * LEAST)))
+    tree = lambda t: F.struct(t.alias("tree"), key(t).alias("key"))
+    trees = classes.select("sid", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), tree)).alias("k")).select("sid", "k.tree", "k.key")
+    regions = written(trees.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "dup-regions")
+    hits = written(lookup(trees, regions, ["key"], "inner", hot=False), "dup-hits")
+    deep = F.substring("sig", F.col("tree") * (4 * DEPTH) + (4 * LEAST + 1), F.lit(4 * (DEPTH - LEAST)))
+    part = F.when(F.col("n") > WINDOW, F.pmod(F.xxhash64("sid", "key"), F.ceil(F.col("n") / PART_ROWS))).otherwise(F.lit(0)).cast("int")
+    members = hits.join(classes.select("sid", "sig", "small"), "sid").select("sid", "key", "n", part.alias("part"), deep.alias("deep"), "small")
+    members = written(members, "dup-members")
+
+    nodes = written(classes.select("sid", "at").join(hits.select("sid").distinct(), "sid").select("sid", "at.*"), "dup-nodes")
+    texts = lookup(hashed, nodes, ["text_hash", "doc_id"], "inner", hot=False).select("sid", "text")
+    sets = texts.mapInArrow(tidied(_sets), "sid long, members binary")
+    sets = written(sets.groupBy("sid").agg(F.first("members").alias("members")), "dup-sets")
 
     def mates(rooted: DataFrame, every: bool) -> DataFrame:
-        order = ["tree", "prefix", "sid"]
-        rows = rooted.select("tree", "prefix", "sid", "root", "small", "crowd")
-        whole = rows.where("not crowd").drop("crowd").repartition("tree", F.substring("prefix", 1, 4 * LEAST)).sortWithinPartitions(*order)
-        out = whole.mapInArrow(tidied(_mates(every)), "x long, y long, like double")
-        if any_big:
-            in_order = rows.where("crowd").drop("crowd").repartitionByRange(*order).sortWithinPartitions(*order)
-            out = out.union(in_order.mapInArrow(tidied(_mates(every)), "x long, y long, like double"))
-        return out
-
-    def crowded_mates(rooted: DataFrame) -> DataFrame:
-        """Pairs of different components whose prefixes meet, among all classes of crowded regions of several components."""
-        crowd = rooted.where("crowd")
-        open_ = crowd.groupBy(*place).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("big_tree", "big")
-        mine = crowd.withColumns({"big_tree": F.col("tree"), "big": F.substring("prefix", 1, 4 * LEAST)})
-        nodes = written(mine.join(open_, ["big_tree", "big"], "left_semi").select("sid", "root").distinct().join(classes.select("sid", "first_id"), "sid"), "dup-open")
-        texts = lookup(docs, nodes.select(F.col("first_id").alias("doc_id"), F.col("sid").alias("found")), ["doc_id"], "inner", hot=False)
-        sets = texts.select(F.col("found").alias("sid"), "text").mapInArrow(tidied(_sets), "sid long, members binary")
-        sets = written(sets.dropDuplicates(["sid"]), "dup-open-sets")
-        counts = np.zeros(BUCKETS, np.int64)
-        for r in sets.select("members").mapInArrow(tidied(_members), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
-            counts[r["bucket"]] = r["n"]
-        tokens = sets.mapInArrow(tidied(_prefixes(counts)), "sid long, n long, token long").join(nodes.select("sid", "root"), "sid")
-        tokens = written(tokens, "dup-tokens")
-        drop_path(docs.sparkSession, sets.written_path)
-        other = tokens.select(F.col("sid").alias("y"), F.col("n").alias("m"), "token", F.col("root").alias("other"))
-        fits = (F.col("sid") < F.col("y")) & (F.col("root") != F.col("other")) & (F.col("n") * OF >= F.col("m") * NEED) & (F.col("m") * OF >= F.col("n") * NEED)
-        return tokens.join(other, "token").where(fits).select(F.col("sid").alias("x"), "y").distinct()
-
-    rooted, known = ranked.withColumn("root", F.col("sid")), None
-    for step in range(ROUNDS + 1):
-        last = step == ROUNDS
-        found = mates(rooted, last)
-        if not last:
-            found = found.groupBy("x").agg(F.max(F.struct("like", "y")).alias("m")).select("x", "m.y")
-        elif any_big:
-            found = found.select("x", "y").union(crowded_mates(rooted))
-        pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = written(pairs if known is None else pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), "dup-pairs")
-        judged = _confirm(pairs, docs, classes)
-        known = judged if known is None else known.union(judged)
-        roots = components(known.where("ok"))
-        rooted = ranked.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-
-    linked = roots.join(classes.select(F.col("sid").alias("node"), "first_id"), "node")
-    least = linked.groupBy("root").agg(F.min("first_id").alias("least"))
-    named = linked.join(least, "root").select(F.col("node").alias("sid"), "least")
-    final = written(classes.select("sid", "first_id").join(named, "sid", "left").select("sid", F.coalesce("least", "first_id").alias("least")), "dup-names")
-    out = rows.select("doc_id", "n_shingles", "sid", "text_hash").join(final, "sid", "left")
-    component = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+        met = rooted.select("key", "part", "sid", "root", "small", "deep").repartition("key", "part").sortWithinPartitions("key", "part", "deep", "sid")
+        return met.select("key", "part", "sid", "root", "small").mapInArrow(tidied(_mates(every)), "x long, y long, like double")
+
+    turned = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    likeliest = mates(members.withColumn("root", F.col("sid")), False).groupBy("x").agg(F.max(F.struct("like", "y")).alias("m"))
+    pairs = written(likeliest.select("x", "m.y").select(*turned).distinct(), "dup-pairs")
+    known = _confirm(pairs, sets)
+    roots = components(known.where("ok"))
+
+    named = lookup(members, roots.withColumnRenamed("node", "sid"), ["sid"], hot=False).withColumn("root", F.coalesce("root", "sid"))
+    rooted = written(named, "dup-rooted")
+    found = mates(rooted.where(F.col("n") <= WINDOW), True)
+    if not regions.where(F.col("n") > WINDOW).isEmpty():
+        found = found.union(_crowded_pairs(rooted))
+    rest = found.select(*turned).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+    known = known.union(_confirm(written(rest, "dup-pairs"), sets))
+    roots = components(known.where("ok"))
+    for gone in (members, rooted, sets):
+        drop_path(spark, gone.written_path)
+
+    linked = classes.select("sid", "first_id", "copies").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
+    several = linked.where("root is not null or copies > 1").withColumn("root", F.coalesce("root", "sid"))
+    least = several.groupBy("root").agg(F.min("first_id").alias("least"))
+    names = written(several.join(least, "root").select("sid", "least"), "dup-names")
+    out = lookup(rows.select("doc_id", "n_shingles", "sid", "text_hash"), names, ["sid"])
+    component = F.coalesce("least", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
 
 
@@ -332,6 +305,7 @@ def dedupe(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     rows = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).withColumn(key, F.col(doc_id).cast("long"))
     out = lookup(rows, written(gone.distinct(), "dup-gone").select(F.col("doc_id").alias(key), F.col("text_hash").alias(h)), [key, h], "left_anti")
     if repeated:
+        (own,) = fresh(out, "dup_once")
         once = F.when(F.col(key).isNotNull() & (F.trim(F.coalesce(F.col(text), F.lit(""))) != ""), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)
-        out = out.withColumn("dup_once", once).dropDuplicates([key, h, "dup_once"]).drop("dup_once")
+        out = out.withColumn(own, once).dropDuplicates([key, h, own])
     return out.select(*docs.columns)
