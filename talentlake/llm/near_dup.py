@@ -11,7 +11,8 @@ the threshold are out.
 Links are confirmed on full sets, in two rounds. First every class's likeliest mate: this joins most of a group at a cost
 of one confirmation a class. Then all mates that are still in different components; a link inside a component would
 change nothing. Regions of up to WINDOW classes are whole in this round. In a larger one every class outside of its largest
-component meets all classes of other components there, by sketch, in blocks; so no bound on neighbours loses a link.
+component meets all classes of other components there, by sketch and then by set, in blocks; so no bound on neighbours
+loses a link.
 
 Defined results: documents without words (null, empty, blank) have an empty set and are linked with nothing; fewer than
 five words are one shingle; repeated rows are copies; a null doc_id never names a component; an empty table gives an
@@ -106,13 +107,6 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([h[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["sid", "members"])
 
 
-def _compared(x: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places in rows, likeness) of the sketches among rows that may be linked with the sketch x."""
-    like, least = estimates(rows, x[None, :])
-    ok = np.flatnonzero(like >= least)
-    return ok, like[ok]
-
-
 def _columns(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
     """n whole-number columns of a batch, then its sketches."""
     sketch = batch.column(n)
@@ -161,46 +155,50 @@ def _mates(every: bool):
     return found
 
 
+def _near(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two sorted sets are a link."""
+    both = np.concatenate((p, q))
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return OF * common >= NEED * (len(p) + len(q) - common)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate links from rows (key, row block, column block, side, sid, root, outside, sketch), sorted by the first
-    four: each row of side 0, a class outside its region's largest component, against the rows of side 1."""
+    """Links among rows (key, row block, column block, side, sid, root, outside, tree, sketch, signature, members), sorted
+    by the first four: each row of side 0, a class outside its region's largest component, against the rows of side 1.
+    Pairs that their sketches leave are confirmed on the full sets, in the first tree that has both in one region."""
     place, left = None, []
 
-    def asked(rows: list[np.ndarray]) -> pa.RecordBatch:
-        sid, root, outside, small = rows
-        xs, ys, likes = [], [], []
-        for s, r, mine in left:
-            at, like = _compared(mine, small)
-            ok = (root[at] != r) & ((outside[at] == 0) | (sid[at] > s))
-            xs.append(np.full(int(ok.sum()), s))
-            ys.append(sid[at[ok]])
-            likes.append(like[ok])
-        return _pairs(xs, ys, likes)
-
     for batch in batches:
         if not batch.num_rows:
             continue
-        *keys, side, sid, root, outside, small = _columns(batch, 7)
+        *keys, side, sid, root, outside, tree, small = _columns(batch, 8)
+        prefix = np.frombuffer(b"".join(batch.column(9).to_pylist()), np.uint32).reshape(-1, TREES, DEPTH)[:, :, :LEAST]
+        members = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(10)]
         keys = np.stack(keys, 1)
         new = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1))))
-        for lo, hi in zip(new, np.append(new[1:], len(keys)), strict=True):
+        xs, ys = [], []
+        for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(keys)], strict=True):
             if place != keys[lo].tolist():
                 place, left = keys[lo].tolist(), []
             cut = lo + int(np.searchsorted(side[lo:hi], 1))
-            left += [(int(sid[i]), int(root[i]), small[i].copy()) for i in range(lo, cut)]
-            if left and cut < hi:
-                yield asked([z[cut:hi] for z in (sid, root, outside, small)])
+            left += [(int(sid[i]), int(root[i]), small[i].copy(), prefix[i].copy(), members[i].copy()) for i in range(lo, cut)]
+            for s, r, sketch, mine, own in left if cut < hi else ():
+                like, least = estimates(small[cut:hi], sketch[None, :])
+                at = cut + np.flatnonzero((like >= least) & (root[cut:hi] != r) & ((outside[cut:hi] == 0) | (sid[cut:hi] > s)))
+                first = (prefix[at] == mine).all(2).argmax(1)
+                for i in at[first == tree[at]].tolist():
+                    if _near(own, members[i]):
+                        xs.append(s)
+                        ys.append(int(sid[i]))
+        yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["a", "b"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = []
         for p, q in zip(batch.column(2), batch.column(3), strict=True):
-            p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-            both = np.concatenate((p, q))
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            ok.append(OF * common >= NEED * (len(p) + len(q) - common))
+            ok.append(_near(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
 
@@ -211,8 +209,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(two.select("a", "b", "p", "q").mapInArrow(tidied(_confirmed), "a long, b long, ok boolean"), "dup-links")
 
 
-def _crowded_pairs(rooted: DataFrame) -> DataFrame:
-    """Candidate links of regions of over WINDOW classes: every class outside the region's largest component against all
+def _crowded_links(rooted: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links of regions of over WINDOW classes: every class outside the region's largest component against all
     classes of other components there, in blocks of BLOCK_ROWS. Rows are copied to as many blocks as the other side has;
     so a region that is one component but for few classes costs those few passes."""
     crowd = rooted.where(F.col("n") > WINDOW)
@@ -222,15 +220,16 @@ def _crowded_pairs(rooted: DataFrame) -> DataFrame:
         "key", F.col("m.root").alias("major"), F.ceil(F.col("total") / BLOCK_ROWS).cast("int").alias("cols"),
         F.ceil((F.col("total") - F.col("m.c")) / BLOCK_ROWS).cast("int").alias("rows"),
     )
-    mine = lookup(crowd.select("key", "sid", "root", "small"), written(main, "dup-open"), ["key"], "inner")
+    mine = lookup(crowd.select("key", "sid", "root", "tree", "small", "sig"), written(main, "dup-open"), ["key"], "inner")
     mine = mine.withColumn("outside", (F.col("root") != F.col("major")).cast("int"))
     spread = F.xxhash64("sid", "key")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keep = ["sid", "root", "outside", "small"]
+    mine = written(mine.join(sets, "sid"), "dup-crowded")
+    keep = ["sid", "root", "outside", "tree", "small", "sig", "members"]
     left = mine.where("outside = 1").select("key", F.pmod(spread, "rows").cast("int").alias("rb"), every("cols").alias("cb"), F.lit(0).alias("side"), *keep)
     right = mine.select("key", every("rows").alias("rb"), F.pmod(spread, "cols").cast("int").alias("cb"), F.lit(1).alias("side"), *keep)
     met = left.union(right).repartition("key", "rb", "cb").sortWithinPartitions("key", "rb", "cb", "side")
-    return met.mapInArrow(tidied(_blocks), "x long, y long, like double")
+    return met.mapInArrow(tidied(_blocks), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -253,7 +252,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     hits = written(lookup(trees, regions, ["key"], "inner", hot=False), "dup-hits")
     deep = F.substring("sig", F.col("tree") * (4 * DEPTH) + (4 * LEAST + 1), F.lit(4 * (DEPTH - LEAST)))
     part = F.when(F.col("n") > WINDOW, F.pmod(F.xxhash64("sid", "key"), F.ceil(F.col("n") / PART_ROWS))).otherwise(F.lit(0)).cast("int")
-    members = hits.join(classes.select("sid", "sig", "small"), "sid").select("sid", "key", "n", part.alias("part"), deep.alias("deep"), "small")
+    members = hits.join(classes.select("sid", "sig", "small"), "sid").select("sid", "key", "tree", "n", part.alias("part"), deep.alias("deep"), "small", F.when(F.col("n") > WINDOW, F.col("sig")).alias("sig"))
     members = written(members, "dup-members")
 
     nodes = written(classes.select("sid", "at").join(hits.select("sid").distinct(), "sid").select("sid", "at.*"), "dup-nodes")
@@ -274,11 +273,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     named = lookup(members, roots.withColumnRenamed("node", "sid"), ["sid"], hot=False).withColumn("root", F.coalesce("root", "sid"))
     rooted = written(named, "dup-rooted")
     found = mates(rooted.where(F.col("n") <= WINDOW), True)
-    if not regions.where(F.col("n") > WINDOW).isEmpty():
-        found = found.union(_crowded_pairs(rooted))
     rest = found.select(*turned).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-    known = known.union(_confirm(written(rest, "dup-pairs"), sets))
-    roots = components(known.where("ok"))
+    links = known.union(_confirm(written(rest, "dup-pairs"), sets)).where("ok").select("a", "b")
+    if not regions.where(F.col("n") > WINDOW).isEmpty():
+        links = links.union(_crowded_links(rooted, sets))
+    roots = components(links)
     for gone in (members, rooted, sets):
         drop_path(spark, gone.written_path)
 
