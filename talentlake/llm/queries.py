@@ -44,7 +44,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.passages(_table(spark, sf_dir, "documents"))
+    return passages.repeated(_table(spark, sf_dir, "documents"))
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
