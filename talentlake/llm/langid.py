@@ -29,8 +29,8 @@ ORDER = 3
 UNIT = 1 << 10
 #: Labelled documents per language that are counted, in expectation: the bound of the training sample.
 SAMPLE_DOCS = 2500
-#: Order-3 contexts kept, the most frequent first; others are predicted by order 2.
-CONTEXTS = 12_000
+#: Bits of a byte without a model, and bits that a text may have on top: codes longer than that are of no learned language.
+RAW_BITS, SPARE_BITS = 8, 64
 #: States whose costs are computed at once.
 ROWS = 2048
 #: Bytes of text handled at once.
@@ -44,7 +44,6 @@ class Model:
     langs: tuple[str, ...]
     grams: tuple[np.ndarray, ...]
     counts: tuple[np.ndarray, ...]
-    contexts: int = CONTEXTS
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
@@ -84,7 +83,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS, contexts: int = CONTEXTS) -> Model:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Model:
     """Count the context trees on labelled texts (lang and text not null; the caller leaves out what is held out).
 
     Languages with more than sample_docs labelled documents are sampled by a hash of id and text; what reaches the
@@ -92,7 +91,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     rows = docs.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"), F.col(doc_id).alias("i")).where("t is not null and l is not null")
     have = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not have:
-        return Model((), (), (), contexts)
+        return Model((), (), ())
     share = None
     for name, n in have.items():
         keep = F.lit(min(1.0, sample_docs / n))
@@ -102,7 +101,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     table = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas().sort_values(["lang", "gram"])
     langs = tuple(sorted(table["lang"].unique()))
     own = [table[table["lang"] == name] for name in langs]
-    return Model(langs, tuple(t["gram"].to_numpy(np.int64) for t in own), tuple(t["n"].to_numpy(np.int64) for t in own), contexts)
+    return Model(langs, tuple(t["gram"].to_numpy(np.int64) for t in own), tuple(t["n"].to_numpy(np.int64) for t in own))
 
 
 class Coder:
@@ -123,8 +122,7 @@ class Coder:
             sums.append(np.bincount(at, n))
         seen, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, np.concatenate(sums))
-        kept = seen[np.sort(np.argsort(-total, kind="stable")[: model.contexts])]
-        kept = kept[total[np.searchsorted(seen, kept)] > 1]
+        kept = seen[total > 1]  # a context that was seen once says no more than its shorter one
         self.state = np.tile(np.arange(a * a, dtype=np.int32), a)
         self.state[kept] = a * a + np.arange(len(kept), dtype=np.int32)
         self.cost = np.empty(((a * a + len(kept)) * a, len(model.langs)), np.uint16)
@@ -170,7 +168,7 @@ class Coder:
         return np.where(total == 0, shorter, np.where(n > 0, n / below, kinds / below * shorter))
 
     def lengths(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Exact code length of each text under each language, in 1/1024 bit."""
+        """Code length of each text under each language in 1/1024 bit, each byte's rounded to one."""
         a, out = self.size, np.zeros((len(offsets) - 1, self.cost.shape[1]), np.int64)
         for lo in range(0, len(raw), BLOCK):
             hi, back = min(lo + BLOCK, len(raw)), max(0, lo - ORDER)
@@ -241,3 +239,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     for name, kind in zip(outs, ("string", "double", "double"), strict=True):
         schema = type(schema)([*schema.fields]).add(name, kind)
     return fed.mapInArrow(tidied(scored), schema)
+
+
+def foreign(judged: DataFrame, text: str = "text") -> Column:
+    """True for texts of no learned language, from identify's columns: they have no letter, or their shortest code is longer
+    than the plain bytes and SPARE_BITS."""
+    size = F.octet_length(F.lower(F.coalesce(F.col(text), F.lit(""))))
+    return (F.col("lang_pred") == UND) | (F.col("bits_per_byte") * size > RAW_BITS * size + SPARE_BITS)

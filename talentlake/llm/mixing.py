@@ -75,7 +75,7 @@ def thresholds(sized: DataFrame, goal: DataFrame, n_sources: int) -> DataFrame:
 def plan(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple = WEIGHTS, factor: int = FACTOR, share: float = 1.0) -> tuple[DataFrame, DataFrame, int]:
     """(sizes of all documents, thresholds by source, number of sources)."""
     size = n_words(F.col(text))
-    sized = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(F.col(doc_id), size).alias("h")), "mix-sizes")
+    sized = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(F.col(doc_id), size, F.col(text)).alias("h")), "mix-sizes")
     goal = written(targets(sized, weights=weights, factor=factor, share=share), "mix-targets")
     n_sources = goal.count()
     return sized, thresholds(sized, goal, n_sources), n_sources
@@ -97,7 +97,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     """The rows of docs, each as often as the mix takes it. Rows without words cost nothing and are left out."""
     _, bars, n = plan(docs, text=text, source=source, doc_id=doc_id, **options)
     size, h, key, times, one = fresh(docs, "mix_size", "mix_h", "mix_source", "mix_times", "mix_one")
-    rows = docs.withColumn(size, n_words(F.col(text))).where(F.col(size) > 0).withColumn(h, F.xxhash64(F.col(doc_id), F.col(size))).withColumn(key, F.col(source))
+    rows = docs.withColumn(size, n_words(F.col(text))).where(F.col(size) > 0).withColumn(h, F.xxhash64(F.col(doc_id), F.col(size), F.col(text))).withColumn(key, F.col(source))
     bars = bars.select(F.col("source").alias(key), F.struct("whole", "bar").alias(times))
     found = lookup(rows, bars, [key], "left", n)
     taken = F.col(times)["whole"] + (F.shiftrightunsigned(F.col(h), 64 - BITS * LEVELS) < F.col(times)["bar"]).cast("long")
