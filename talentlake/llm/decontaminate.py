@@ -2,7 +2,8 @@
 
 Numbers, names (capitalised words inside a sentence) and units after a number become typed placeholders. Windows of
 WINDOW template words of documents are hash-joined with those of benchmark items; an item that is shorter is one window.
-Windows with too few literal words are not looked up. Matches are aligned by their offset; where enough windows of an
+Windows with too few literal words are not looked up; an item of such windows alone is looked up by windows of its words as
+they are, numbers and names included, so that short items and lists are found where they are repeated. Matches are aligned by their offset; where enough windows of an
 item match at one offset, the values in the slots of the matched windows are compared: a re-parameterised copy maps each
 value of the item to one value of the document. Different values of the item may become equal ones.
 
@@ -31,6 +32,8 @@ UNITS = (
     "cent cents dollar dollars euro euros kmh mph volt volts watt watts"
 ).split()
 NUMBER, NAME, UNIT = 1, 2, 3
+#: Kind of the windows of words as they are.
+PLAIN = 1000
 
 
 def template(text: Column) -> Column:
@@ -50,11 +53,16 @@ def template(text: Column) -> Column:
     return F.transform(F.array(found), place)[0]
 
 
-def windows(t: Column, width: int) -> Column:
-    """(at, h) of each run of `width` template words."""
+def _word(x: Column) -> Column:
+    """A template word as it stands in the text."""
+    return F.xxhash64(F.lower(x["v"]))
+
+
+def windows(t: Column, width: int, kind: int = 0) -> Column:
+    """(at, h) of each run of `width` template words; windows of different kinds never match."""
     last = F.size(t) - width
     starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(width), *[F.get(t, i + k) for k in range(width)]).alias("h")))
+    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(width + kind), *[F.get(t, i + k) for k in range(width)]).alias("h")))
 
 
 def _literal(t: Column) -> Column:
@@ -73,10 +81,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
         cut = F.when(F.col("width") == w, windows(F.col("t"), w)) if cut is None else cut.when(F.col("width") == w, windows(F.col("t"), w))
     keys = bench.select("item_id", "width", "t", F.explode(cut).alias("k")).where(_literal(F.slice("t", F.col("k.at") + 1, F.col("width"))) >= F.least(F.col("width"), F.lit(LITERALS)))
     keys = written(keys.select("item_id", F.col("k.at").alias("item_at"), F.col("k.h").alias("h")), "bench-windows")
+    # items of which no window has enough literal words are looked up with their numbers and names as they are
+    plain = bench.join(keys.select("item_id").distinct(), "item_id", "left_anti").select("item_id", "width", F.transform("w", _word).alias("r"))
+    plain = written(plain, "bench-plain")
+    plain_widths = sorted(r["width"] for r in plain.select("width").distinct().collect())  # WINDOW values at most
+    if plain_widths:
+        cut = None
+        for w in plain_widths:
+            one = windows(F.col("r"), w, PLAIN)
+            cut = F.when(F.col("width") == w, one) if cut is None else cut.when(F.col("width") == w, one)
+        more = plain.select("item_id", F.explode(cut).alias("k")).select("item_id", F.col("k.at").alias("item_at"), F.col("k.h").alias("h"))
+        keys = written(keys.union(more), "bench-windows")
     per_item = keys.groupBy("item_id").agg(F.countDistinct("item_at").alias("item_windows"))
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.transform(template(F.col(text)), lambda x: x["t"]).alias("t"))
-    each = rows.select("doc_id", F.explode(F.concat(*[windows(F.col("t"), w) for w in widths])).alias("k")).select("doc_id", F.col("k.at").alias("at"), F.col("k.h").alias("h"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), template(F.col(text)).alias("w"))
+    words = [F.transform("w", lambda x: x["t"]).alias("t")] + ([F.transform("w", _word).alias("r")] if plain_widths else [])
+    cuts = [windows(F.col("t"), w) for w in widths] + [windows(F.col("r"), w, PLAIN) for w in plain_widths]
+    each = rows.select("doc_id", *words).select("doc_id", F.explode(F.concat(*cuts)).alias("k")).select("doc_id", F.col("k.at").alias("at"), F.col("k.h").alias("h"))
     small = keys.count() <= BROADCAST_ROWS
     hits = each.join(F.broadcast(keys) if small else keys, "h")
     aligned = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("ats"))

@@ -6,8 +6,8 @@ and give each node's content marginal; text of nodes above one half is kept. Pot
 generated ones (labelled_pages), whose every element carries its label, in many layouts; other labelled pages, marked
 with the attribute LABEL, may be given instead.
 
-Defined results: a null or empty page has the empty text; an unclosed tag, comment or quote runs to the page's end or is
-text; repeated rows give repeated results; very long pages are read whole; an empty table gives an empty table.
+Defined results: a null or empty page has the empty text; an unclosed tag is text, an unclosed comment, script or style
+runs to the page's end, and a tag with an unclosed quote ends at the next ">"; a page is read in one pass; repeated rows give repeated results; very long pages are read whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,11 +33,16 @@ LABEL = "data-label"
 #: Pages that are generated for training, and its passes.
 TRAIN_PAGES, PASSES = 400, 300
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: A whole tag, with quoted values; no part of it is tried twice.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title svg iframe object select head".split())
+#: Elements whose body is no text of the page: up to their end tag. Without one, the first three run to the page's end
+#: and the others are as if they weren't there.
+_RAW = frozenset("script style title textarea select template iframe svg head".split())
+_TO_END = frozenset("script style title".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html "
     "legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -51,34 +56,46 @@ _STOPS = frozenset({"table", "td", "th", "button", "html"})
 class Page:
     """A parsed page: parent, tag, words and label of each element in document order; runs of text with their element."""
 
-    __slots__ = ("attrs", "linked", "parent", "runs", "tags")
+    __slots__ = ("attrs", "last_gt", "parent", "runs", "source", "tags", "unclosed")
 
     def __init__(self, source: str):
         self.parent, self.tags, self.attrs = [-1], ["html"], [""]
         self.runs: list[tuple[int, str, bool]] = []  # element, text, in a link; element -1: a block ends
-        stack, links, at = [0], 0, 0
+        self.source, self.last_gt, self.unclosed = source, source.rfind(">"), set()
+        stack, links, at, lt = [0], 0, 0, 0
         parent, tags, attrs, runs = self.parent, self.tags, self.attrs, self.runs
+        open_at: dict[str, list[int]] = {}  # places in the stack of the open elements of each tag
+
+        def cut(k: int) -> bool:
+            """End the elements from place k of the stack on; whether one of them was a block."""
+            nonlocal links
+            block = False
+            for x in stack[k:]:
+                open_at[tags[x]].pop()
+                links -= tags[x] == "a"
+                block = block or tags[x] in _BLOCK
+            del stack[k:]
+            return block
+
+        last = lambda names: max((open_at[t][-1] for t in names if open_at.get(t)), default=0)
         while True:
-            m = _TAG.search(source, at)
-            text = source[at : m.start()] if m else source[at:]
-            if text:
+            lt = source.find("<", lt)
+            found = self._markup(lt) if lt >= 0 else (len(source), None, "", "")
+            if found is None:  # a mere character
+                lt += 1
+                continue
+            end, tag, close, own = found
+            if text := source[at : lt if lt >= 0 else len(source)]:
                 runs.append((stack[-1], text, links > 0))
-            if not m:
+            if lt < 0:
                 break
-            at = m.end()
-            tag = m[2]
+            at = lt = end
             if tag is None:
                 continue
-            tag = tag.lower()
-            if m[1]:
+            if close:
                 block = tag in _BLOCK
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] == tag:
-                        for x in stack[k:]:
-                            links -= tags[x] == "a"
-                            block = block or tags[x] in _BLOCK
-                        del stack[k:]
-                        break
+                if open_at.get(tag):
+                    block = cut(open_at[tag][-1]) or block
                 if block:
                     runs.append((-1, "", False))
                 continue
@@ -90,40 +107,55 @@ class Page:
                     runs.append((-1, "", False))
                 continue
             if tag in _RAW:
-                if m[3].endswith("/"):
-                    continue
-                if tag == "head":
-                    close = re.compile(r"</head\s*>|<body\b", re.I).search(source, at)
-                    at = at if close is None else close.start() if close[0][1] != "/" else close.end()
-                else:
-                    close = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-                    at = close.end() if close else len(source)
+                if not own.endswith("/"):
+                    at = lt = self._behind(tag, at)
                 continue
             if tag == "html":
-                attrs[0] = m[3]
+                attrs[0] = own
                 continue
             if tag in _BLOCK:
                 runs.append((-1, "", False))
-                if tag in _ENDS:
-                    what, stop = _ENDS[tag]
-                    self._end(stack, what, stop)
-                else:
-                    self._end(stack, {"p"}, _STOPS)
-                links = sum(tags[x] == "a" for x in stack)
+                what, stop = _ENDS.get(tag, ({"p"}, _STOPS))
+                if (k := last(what)) > last(stop):
+                    cut(k)
             links += tag == "a"
             parent.append(stack[-1])
             tags.append(tag)
-            attrs.append(m[3])
+            attrs.append(own)
+            open_at.setdefault(tag, []).append(len(stack))
             stack.append(len(tags) - 1)
 
-    def _end(self, stack: list[int], what: set[str], stop: Iterable[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tags[stack[k]]
-            if tag in what:
-                del stack[k:]
-                return
-            if tag in stop:
-                return
+    def _markup(self, lt: int) -> tuple[int, str | None, str, str] | None:
+        """(end, tag or None for a comment, "/" of an end tag, attributes) of what begins at a "<"; None if it is text.
+        A tag with a quote that never ends, ends at the next ">"."""
+        source = self.source
+        if source.startswith("<!--", lt):
+            end = source.find("-->", lt + 4)
+            return (len(source) if end < 0 else end + 3), None, "", ""
+        if lt > self.last_gt:
+            return None
+        if m := _TAG.match(source, lt):
+            return m.end(), m[2].lower(), m[1], m[3]
+        mark = source[lt + 1 : lt + 2]
+        name = None if mark in ("!", "?") else _NAME.match(source, lt)
+        if name is None and mark not in ("!", "?"):
+            return None
+        gt = source.find(">", lt)
+        return (gt + 1, None, "", "") if name is None else (gt + 1, name[2].lower(), name[1], source[name.end() : gt])
+
+    def _behind(self, tag: str, at: int) -> int:
+        """The place behind the body of an element that is no text."""
+        source = self.source
+        if tag == "head":
+            close = None if tag in self.unclosed else re.compile(r"</head\s*>|<body\b", re.I).search(source, at)
+            if close is not None:
+                return close.start() if close[0][1] != "/" else close.end()
+        else:
+            close = None if tag in self.unclosed else re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+            if close is not None:
+                return close.end()
+        self.unclosed.add(tag)
+        return len(source) if tag in _TO_END else at
 
     def features(self) -> list[list[str]]:
         """Of each element, the names of what its node potential reads."""
