@@ -1,14 +1,15 @@
 """Near-duplicate lines by an exact set-similarity join, in DataFrame functions alone.
 
-A line is the set of its lower-cased words. Words are ordered by rarity: by how often words of their hash bucket occur in
-the corpus (BUCKETS counts, a table of fixed size), then by hash. Lines of equal sets are one class, named by its first
-line. Two classes with a Jaccard likeness of NEED/OF share SHARED words of their prefixes (the first n - ceil(n * NEED/OF)
-+ SHARED words; fewer for lines that are shorter), lie within the length bounds, and have enough words left behind the
-first shared ones; pairs that pass are verified on their words. A line is removed if an earlier line equals or resembles
-it, removed or not.
+A line is the set of its lower-cased words. Words are ordered by rarity: by the size class of the count that their hash
+bucket has in the corpus (BUCKETS counts, a table of fixed size), then by hash. Lines of equal sets are one class, named by
+its first line. Of two classes with a Jaccard likeness of NEED/OF, the one of more words has a word of its probing prefix
+(the first n - ceil(n * NEED/OF) + 1) in the indexing prefix of the other (its first n - ceil(n * 2 * NEED/(OF + NEED)) + 1).
+Pairs that share one pass the length filter, the positional filter (enough words are left behind the shared one) and a
+filter on 64 bits of their words; what is left is verified on the lines' words, so all links between classes are found. A
+line is removed if an earlier line equals or resembles it, removed or not.
 
-First each class meets the first class of each of its prefix words; so of a large group of near copies nearly all are
-settled by one comparison each. Only what is not settled meets all earlier classes of its prefix words.
+Words that a bucket counts once are in one line alone and are not joined. Words are told apart by 56-bit hashes in the
+join and as they are when a pair is verified; equal sets are told by a 64-bit hash of these hashes.
 
 Defined results: null and blank texts and lines have no row; repeated rows with one id are lines of one document, whose
 equal numbers are equal places; a null id comes first; an empty table gives an empty table; lines of any length are whole.
@@ -16,15 +17,14 @@ equal numbers are equal places; a null id comes first; an empty table gives an e
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talentlake.llm._util import lookup, written
+from talentlake.llm._util import fresh, lookup, written
 
 NEED, OF = 75, 100
-BUCKETS = 1 << 16
-#: Words that prefixes must share. More make prefixes a little longer and candidates far fewer.
-SHARED = 3
+#: Buckets of words whose counts order them, and buckets that a row of the collected table has.
+BUCKETS, PER_ROW = 1 << 18, 1 << 10
 
 
 def line_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -34,31 +34,46 @@ def line_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     return rows.where(F.size("words") > 0)
 
 
-def _ranks(words: Column, counts: list[int]) -> Column:
-    """Distinct words as numbers whose order is that of rarity: the bucket's count, then half of the hash."""
-    known = F.split(F.lit(",".join(map(str, counts))), ",").cast("array<bigint>")
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    rank = lambda h: F.shiftleft(F.get(known, h.bitwiseAND(BUCKETS - 1).cast("int")), 32).bitwiseOR(F.shiftrightunsigned(h, 32))
-    return F.sort_array(F.array_distinct(F.transform(hashes, rank)))
-
-
-def _least(n: Column) -> Column:
-    """The overlap that a line of n words needs at least, with a line of any size."""
-    return F.ceil(n * NEED / OF).cast("int")
-
-
-def _fits(n: Column, m: Column) -> Column:
-    """Length filter: sizes near enough."""
-    return (n * OF >= m * NEED) & (m * OF >= n * NEED)
-
-
-def _candidates(met: DataFrame) -> DataFrame:
-    """(a, b) of matches (a, b, n, m, i, j: a shared prefix word at place i of n and j of m) with enough shared words, and
-    enough words left behind the first of them (positional filter)."""
-    one = met.groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("c"), F.min("i").alias("i"), F.min("j").alias("j"))
-    n, m = F.col("n"), F.col("m")
-    left = F.least(n - F.col("i"), m - F.col("j")) * (OF + NEED) >= (n + m) * NEED
-    return one.where((F.col("c") >= F.least(F.lit(SHARED), _least(n), _least(m))) & left).select("a", "b")
+def _classes_of_counts(lines: DataFrame) -> list[int]:
+    """By bucket of word hashes, 0 for a count of up to one, else one more than four times the count's binary logarithm."""
+    found = lines.select(F.explode("words").alias("w")).groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    sized = found.select("b", F.least(F.lit(127), F.when(F.col("n") > 1, 1 + F.floor(4 * F.log2("n"))).otherwise(0)).cast("int").alias("c"))
+    pairs = F.transform(F.collect_list(F.struct("b", "c")), lambda x: F.concat_ws(":", x["b"], x["c"]))
+    out = [0] * BUCKETS
+    for row in sized.groupBy((F.col("b") / PER_ROW).cast("int")).agg(F.array_join(pairs, ",").alias("s")).collect():  # BUCKETS / PER_ROW rows
+        for pair in row["s"].split(","):
+            b, c = pair.split(":")
+            out[int(b)] = int(c)
+    return out
+
+
+def _ranks(words: Column, classes: list[int]) -> Column:
+    """Distinct words as numbers whose order is that of rarity: the bucket's class, then 56 bits of the hash."""
+    known = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<tinyint>")
+    rank = lambda h: F.shiftleft(F.get(known, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    return F.sort_array(F.array_distinct(F.transform(F.transform(words, lambda w: F.xxhash64(w)), rank)))
+
+
+def _bits(t: Column, n: Column) -> Column:
+    """64 bits of a line's words; of lines of over 64 words, every other word by its hash."""
+    one = F.lit(1).cast("long")
+    bit = lambda acc, x: acc.bitwiseOR(F.when((n <= 64) | (x.bitwiseAND(64) == 0), F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int"))).otherwise(0))
+    return F.aggregate(t, F.lit(0).cast("long"), bit)
+
+
+def _candidates(tokens: DataFrame) -> DataFrame:
+    """(a, b) of classes that may be linked, from their prefix words (token, digest, n, at, bits); at counts from 0."""
+    a, b = tokens.alias("a"), tokens.alias("b")
+    n, m, i, j = F.col("a.n"), F.col("b.n"), F.col("a.at"), F.col("b.at")
+    overlap = F.ceil((n + m) * NEED / (OF + NEED))  # words that a link needs in common
+    order = (n < m) | ((n == m) & (F.col("a.digest") < F.col("b.digest")))
+    # the indexing prefix of the shorter one; asked of both sides at once, so that they remain one exchange
+    indexed = F.when(n <= m, i < n - F.ceil(n * (2 * NEED) / (OF + NEED)) + 1)
+    positional = 1 + F.least(n - 1 - i, m - 1 - j) >= overlap
+    apart = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= n + m - 2 * overlap
+    bitwise = apart | ((n <= 64) != (m <= 64))
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & order & (n * OF >= m * NEED) & indexed & positional & bitwise)
+    return met.select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -75,48 +90,39 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
 
 
 def near_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per line: doc_id, line_no, class_doc_id and class_line_no (the first line of equal words), n_links (earlier
-    classes confirmed to resemble it), removed."""
+    """One row per line: doc_id, line_no, class_doc_id and class_line_no (the first line of equal words), n_links (other
+    classes that resemble its class), removed."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     lines = line_rows(docs)
-    found = lines.select(F.explode("words").alias("w")).groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    counts = [0] * BUCKETS
-    for r in found.collect():  # BUCKETS rows at most
-        counts[r["b"]] = min(r["n"], (1 << 31) - 1)
-    ranked = lines.select("doc_id", "line_no", _ranks(F.col("words"), counts).alias("t"))
-    size = F.size("t")
-    prefix = F.slice("t", F.lit(1), size - _least(size) + F.least(F.lit(SHARED), _least(size)))
-    rows = written(ranked.select("doc_id", "line_no", F.xxhash64("t").alias("digest"), size.alias("n"), prefix.alias("prefix")), "line-rows")
-    first = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "line_no", "n", "prefix")).alias("f"))
-    classes = written(first.select("digest", "f.*"), "line-classes")
-
-    tokens = classes.select("digest", "doc_id", "line_no", "n", F.posexplode("prefix").alias("at", "token"))
-    of = Window.partitionBy("token")  # one shuffle; a group spills, and only its count and its first line are made from it
-    tokens = tokens.select("*", F.count(F.lit(1)).over(of).alias("df"), F.min(F.struct("doc_id", "line_no", "digest", "n", "at")).over(of).alias("p"))
-    tokens = written(tokens.where("df > 1").drop("df"), "line-tokens")
-    met = tokens.where((F.col("digest") != F.col("p.digest")) & _fits(F.col("n"), F.col("p.n")))
-    met = met.select(F.col("p.digest").alias("a"), F.col("digest").alias("b"), F.col("p.n").alias("n"), F.col("n").alias("m"), F.col("p.at").alias("i"), F.col("at").alias("j"))
-    one = _verified(written(_candidates(met), "line-pairs"), classes, docs)
-
-    tokens = tokens.drop("p")
-    open_ = tokens.join(one.select(F.col("b").alias("digest")).distinct(), "digest", "left_anti")
-    probe = open_.select(*[F.col(c).alias(f"q_{c}") for c in ("digest", "doc_id", "line_no", "n", "at")], "token")
-    earlier = (F.struct("doc_id", "line_no") < F.struct("q_doc_id", "q_line_no")) & _fits(F.col("n"), F.col("q_n"))
-    rest = probe.join(tokens, "token").where(earlier)
-    rest = _candidates(rest.select(F.col("digest").alias("a"), F.col("q_digest").alias("b"), "n", F.col("q_n").alias("m"), F.col("at").alias("i"), F.col("q_at").alias("j")))
-    two = _verified(written(rest.join(one.select("a", "b"), ["a", "b"], "left_anti"), "line-pairs"), classes, docs)
-    links = one.union(two).groupBy(F.col("b").alias("digest")).agg(F.count(F.lit(1)).alias("n_links"))
-
-    named = written(classes.select("digest", F.col("doc_id").alias("class_doc_id"), F.col("line_no").alias("class_line_no")).join(links, "digest", "left"), "line-named")
-    out = rows.select("doc_id", "line_no", "digest").join(named, "digest")
+    ranked = lines.select("doc_id", "line_no", _ranks(F.col("words"), _classes_of_counts(lines)).alias("t")).withColumn("n", F.size("t"))
+    n = F.col("n")
+    prefix = F.filter(
+        F.transform(F.slice("t", F.lit(1), n - F.ceil(n * NEED / OF).cast("int") + 1), lambda x, i: F.struct(x.alias("token"), i.alias("at"))),
+        lambda p: p["token"] >= 1 << 56,
+    )
+    rows = written(ranked.select("doc_id", "line_no", F.xxhash64("t").alias("digest"), "n", prefix.alias("prefix"), _bits(F.col("t"), n).alias("bits")), "line-rows")
+    place = F.min(F.struct("doc_id", "line_no")).alias("f")
+    first = rows.groupBy("digest").agg(place, F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    classes = written(first.select("digest", "f.*", "n", "prefix", "bits"), "line-classes")
+    tokens = classes.select("digest", "n", "bits", F.explode("prefix").alias("p")).select("p.token", "p.at", "digest", "n", "bits")
+    links = _verified(written(_candidates(tokens), "line-pairs"), classes, docs)
+
+    places = classes.select("digest", F.struct("doc_id", "line_no").alias("place"))
+    sided = links.join(places.select(F.col("digest").alias("a"), F.col("place").alias("pa")), "a").join(places.select(F.col("digest").alias("b"), F.col("place").alias("pb")), "b")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("digest"), (F.col("pb") < F.col("pa")).alias("late")), F.struct(F.col("b").alias("digest"), (F.col("pa") < F.col("pb")).alias("late"))))
+    counted = sided.select(ends.alias("e")).groupBy("e.digest").agg(F.count(F.lit(1)).alias("n_links"), F.max("e.late").alias("late"))
+
+    named = classes.select("digest", F.col("doc_id").alias("class_doc_id"), F.col("line_no").alias("class_line_no")).join(counted, "digest", "left")
+    out = rows.select("doc_id", "line_no", "digest").join(written(named, "line-named"), "digest")
     own = F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("line_no") == F.col("class_line_no"))
-    n = F.coalesce("n_links", F.lit(0)).cast("long")
-    return out.select("doc_id", "line_no", "class_doc_id", "class_line_no", n.alias("n_links"), (~own | (n > 0)).alias("removed"))
+    links_ = F.coalesce("n_links", F.lit(0)).cast("long")
+    return out.select("doc_id", "line_no", "class_doc_id", "class_line_no", links_.alias("n_links"), (~own | F.coalesce("late", F.lit(False))).alias("removed"))
 
 
 def kept_text(docs: DataFrame, lines: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with text as the lines that stay, from near_lines' result."""
-    gone = lines.where("removed").groupBy(F.col("doc_id").alias(doc_id)).agg(F.collect_set("line_no").alias("gone_lines"))
+    (mark,) = fresh(docs, "gone_lines")
+    gone = lines.where("removed").groupBy(F.col("doc_id").alias(doc_id)).agg(F.collect_set("line_no").alias(mark))
     joined = lookup(docs, gone, [doc_id])
-    stay = F.transform(F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct((i + 1).alias("i"), x.alias("x"))), lambda s: ~F.array_contains("gone_lines", s["i"])), lambda s: s["x"])
-    return joined.withColumn(text, F.when(F.col("gone_lines").isNull(), F.col(text)).otherwise(F.array_join(stay, "\n"))).select(*docs.columns)
+    stay = F.transform(F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct((i + 1).alias("i"), x.alias("x"))), lambda s: ~F.array_contains(mark, s["i"])), lambda s: s["x"])
+    return joined.withColumn(text, F.when(F.col(mark).isNull(), F.col(text)).otherwise(F.array_join(stay, "\n"))).select(*docs.columns)

@@ -40,7 +40,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.near_lines(_table(spark, sf_dir, "documents")).drop("n_links")
+    return lines.near_lines(_table(spark, sf_dir, "documents"))
 
 
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,10 +79,11 @@ s AS (SELECT doc_id, line_no, list_sort(list_distinct(list_filter(string_split(l
 f AS (SELECT doc_id, line_no, s, row_number() OVER (PARTITION BY s ORDER BY doc_id, line_no) AS rn, first_value(doc_id) OVER (PARTITION BY s ORDER BY doc_id, line_no) AS cd, first_value(line_no) OVER (PARTITION BY s ORDER BY doc_id, line_no) AS cl FROM s WHERE len(s) > 0),
 c AS (SELECT row_number() OVER (ORDER BY doc_id, line_no) AS k, doc_id, line_no, s FROM f WHERE rn = 1),
 w AS (SELECT k, len(s) AS n, unnest(s) AS x FROM c),
-p AS (SELECT b.k, a.n AS an, b.n AS bn, count(*) AS m FROM w a JOIN w b ON a.x = b.x AND a.k < b.k AND a.n * 100 >= b.n * 75 AND b.n * 100 >= a.n * 75 GROUP BY a.k, b.k, a.n, b.n),
-r AS (SELECT DISTINCT k FROM p WHERE 100 * m >= 75 * (an + bn - m)),
-g AS (SELECT doc_id, line_no FROM c WHERE k IN (SELECT k FROM r))
-SELECT f.doc_id, CAST(f.line_no AS INT) AS line_no, f.cd AS class_doc_id, CAST(f.cl AS INT) AS class_line_no, f.rn > 1 OR g.doc_id IS NOT NULL AS removed
+p AS (SELECT a.k AS ak, b.k, a.n AS an, b.n AS bn, count(*) AS m FROM w a JOIN w b ON a.x = b.x AND a.k < b.k AND a.n * 100 >= b.n * 75 AND b.n * 100 >= a.n * 75 GROUP BY a.k, b.k, a.n, b.n),
+r AS (SELECT ak, k FROM p WHERE 100 * m >= 75 * (an + bn - m)),
+e AS (SELECT k, true AS late FROM r UNION ALL SELECT ak, false FROM r),
+g AS (SELECT c.doc_id, c.line_no, count(*) AS n_links, bool_or(e.late) AS late FROM c JOIN e ON e.k = c.k GROUP BY ALL)
+SELECT f.doc_id, CAST(f.line_no AS INT) AS line_no, f.cd AS class_doc_id, CAST(f.cl AS INT) AS class_line_no, coalesce(g.n_links, 0) AS n_links, f.rn > 1 OR coalesce(g.late, false) AS removed
 FROM f LEFT JOIN g ON g.doc_id = f.cd AND g.line_no = f.cl"""
 
 OP8_SQL = f"""
