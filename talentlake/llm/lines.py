@@ -5,7 +5,7 @@ bucket has in the corpus (BUCKETS counts, a table of fixed size), then by hash.
 its first line. Of two classes with a Jaccard likeness of NEED/OF, the one of more words has a word of its probing prefix
 (the first n - ceil(n * NEED/OF) + 1) in the indexing prefix of the other (its first n - ceil(n * 2 * NEED/(OF + NEED)) + 1).
 Pairs that share one pass the length filter, the positional filter (enough words are left behind the shared one) and a
-filter on 64 bits of their words; what is left is verified on the lines' words, so all links between classes are found. A
+filter on 128 bits of their words; what is left is verified on the lines' words, so all links between classes are found. A
 line is removed if an earlier line equals or resembles it, removed or not.
 
 Words that a bucket counts once are in one line alone and are not joined. Words are told apart by 56-bit hashes in the
@@ -54,15 +54,15 @@ def _ranks(words: Column, classes: list[int]) -> Column:
     return F.sort_array(F.array_distinct(F.transform(F.transform(words, lambda w: F.xxhash64(w)), rank)))
 
 
-def _bits(t: Column, n: Column) -> Column:
-    """64 bits of a line's words; of lines of over 64 words, every other word by its hash."""
+def _bits(t: Column, half: int) -> Column:
+    """One half of 128 bits of a line's words: those whose bit's number has it in its place 6."""
     one = F.lit(1).cast("long")
-    bit = lambda acc, x: acc.bitwiseOR(F.when((n <= 64) | (x.bitwiseAND(64) == 0), F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int"))).otherwise(0))
-    return F.aggregate(t, F.lit(0).cast("long"), bit)
+    place = lambda x: F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int"))
+    return F.aggregate(t, F.lit(0).cast("long"), lambda acc, x: F.when(x.bitwiseAND(64) == half, acc.bitwiseOR(place(x))).otherwise(acc))
 
 
 def _candidates(tokens: DataFrame) -> DataFrame:
-    """(a, b) of classes that may be linked, from their prefix words (token, digest, n, at, bits); at counts from 0."""
+    """(a, b) of classes that may be linked, from their prefix words (token, digest, n, at, low, high); at counts from 0."""
     a, b = tokens.alias("a"), tokens.alias("b")
     n, m, i, j = F.col("a.n"), F.col("b.n"), F.col("a.at"), F.col("b.at")
     overlap = F.ceil((n + m) * NEED / (OF + NEED))  # words that a link needs in common
@@ -70,8 +70,8 @@ def _candidates(tokens: DataFrame) -> DataFrame:
     # the indexing prefix of the shorter one; asked of both sides at once, so that they remain one exchange
     indexed = F.when(n <= m, i < n - F.ceil(n * (2 * NEED) / (OF + NEED)) + 1)
     positional = 1 + F.least(n - 1 - i, m - 1 - j) >= overlap
-    apart = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= n + m - 2 * overlap
-    bitwise = apart | ((n <= 64) != (m <= 64))
+    differ = lambda half: F.bit_count(F.col(f"a.{half}").bitwiseXOR(F.col(f"b.{half}")))
+    bitwise = differ("low") + differ("high") <= n + m - 2 * overlap
     met = a.join(b, (F.col("a.token") == F.col("b.token")) & order & (n * OF >= m * NEED) & indexed & positional & bitwise)
     return met.select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b")).distinct()
 
@@ -100,11 +100,11 @@ def near_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
         F.transform(F.slice("t", F.lit(1), n - F.ceil(n * NEED / OF).cast("int") + 1), lambda x, i: F.struct(x.alias("token"), i.alias("at"))),
         lambda p: p["token"] >= 1 << 56,
     )
-    rows = written(ranked.select("doc_id", "line_no", F.xxhash64("t").alias("digest"), "n", prefix.alias("prefix"), _bits(F.col("t"), n).alias("bits")), "line-rows")
+    rows = written(ranked.select("doc_id", "line_no", F.xxhash64("t").alias("digest"), "n", prefix.alias("prefix"), _bits(F.col("t"), 0).alias("low"), _bits(F.col("t"), 64).alias("high")), "line-rows")
     place = F.min(F.struct("doc_id", "line_no")).alias("f")
-    first = rows.groupBy("digest").agg(place, F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-    classes = written(first.select("digest", "f.*", "n", "prefix", "bits"), "line-classes")
-    tokens = classes.select("digest", "n", "bits", F.explode("prefix").alias("p")).select("p.token", "p.at", "digest", "n", "bits")
+    first = rows.groupBy("digest").agg(place, F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("low").alias("low"), F.first("high").alias("high"))
+    classes = written(first.select("digest", "f.*", "n", "prefix", "low", "high"), "line-classes")
+    tokens = classes.select("digest", "n", "low", "high", F.explode("prefix").alias("p")).select("p.token", "p.at", "digest", "n", "low", "high")
     links = _verified(written(_candidates(tokens), "line-pairs"), classes, docs)
 
     places = classes.select("digest", F.struct("doc_id", "line_no").alias("place"))
