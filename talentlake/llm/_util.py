@@ -51,7 +51,7 @@ def configured(spark: SparkSession) -> SparkSession:
     """Make a session ready for this subpackage's Python stages.
 
     Executors get the package's modules as a Python file, as they need not see the driver's folders; texts go to Python
-    in batches of a few MB, so that a worker's memory follows no table's text lengths."""
+    in batches of some 2 MB, so that a worker's memory follows no table's text lengths."""
     sc = spark.sparkContext
     if not getattr(sc, "talentlake_shipped", False):
         package = Path(__file__).resolve().parents[1]
@@ -62,7 +62,7 @@ def configured(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(target))
         sc.talentlake_shipped = True
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
     return spark
 
 

@@ -34,7 +34,7 @@ BLOCK_IDS = 1 << 16
 #: Ids after which a segment is closed.
 SEGMENT_IDS = 1 << 20
 #: Distinct words after which a worker forgets their ids; one block may add its own to them.
-MEMO = 600_000
+MEMO = 400_000
 #: Bytes of text encoded at once.
 BLOCK = 1 << 17
 #: Stands between words that are encoded together; words that hold it are encoded alone.

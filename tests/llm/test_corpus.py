@@ -101,6 +101,17 @@ def groups(nodes, links):
     return {n: find(n) for n in nodes}
 
 
+def test_components_in_rounds(spark):
+    configured(spark)
+    r = random.Random(5)
+    pairs = [(r.randrange(400), r.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(40)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    one = {x["node"]: x["root"] for x in components.components(df).collect()}
+    rounds = {x["node"]: x["root"] for x in components.components(df, in_task=10).collect()}
+    real = [p for p in pairs if p[0] != p[1]]
+    assert one == rounds == groups({x for p in real for x in p}, real)
+
+
 def test_components(spark):
     links = [(1, 2), (3, 2), (9, 8), (8, 7), (7, 6), (6, 5), (4, 4), (5, 6)] + [(i, i + 1) for i in range(20, 60)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -196,6 +207,18 @@ def test_leaks(spark, frame, empty):
     assert decontaminate.leaks(empty, benchmark).count() == 0 and decontaminate.leaks(docs, benchmark.where("false")).count() == 0
 
 
+def test_leaks_of_few_literal_words(spark, frame):
+    configured(spark)
+    cities = "Paris 1900, London 1908, Stockholm 1912, Antwerp 1920, Amsterdam 1928, Berlin 1936, Helsinki 1952, Melbourne 1956"
+    texts = ["What is 17 times 23?", "Solve 3 4 5 6 7 8 9 10 for x.", cities]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    r = random.Random(2)
+    rows = [(i, f"{prose(r, 9)}. {t} {prose(r, 9)}", "en", "s") for i, t in enumerate(texts)]
+    rows += [(10, "What is 18 times 24?", "en", "s"), (11, "Paris 1900, Rome 1960", "en", "s"), (12, None, "en", "s"), (13, prose(r, 5000), "en", "s")]
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(frame(rows), items).collect()}
+    assert got == {(0, 0), (1, 1), (2, 2)}
+
+
 def test_leaks_compare_the_slots_of_matched_windows(spark, frame):
     r = random.Random(29)
     coincide = "the box holds 3 red and 5 blue marbles that were put there by the children of the village school"
@@ -234,6 +257,25 @@ def test_lines(spark, frame, empty):
 # -- passages ---------------------------------------------------------------------------------------------------------
 
 
+def test_lines_of_many_sizes_against_brute_force(spark, frame):
+    """Links of every size of line, repeated rows, a null id, clashing names and a long line."""
+    configured(spark)
+    r = random.Random(41)
+    base = [prose(r, n) for n in (1, 2, 3, 4, 7, 20, 70, 150, 400)]
+    texts = [edited(r, b, k) for b in base for k in (0, 0, 1, 2, 5, len(b.split()) // 5)] + [prose(r, 20000)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)] + [(3, texts[3], "en", "s"), (None, texts[0], "en", "s")]
+    got = lines.near_lines(frame(rows)).collect()
+    sets = {i: set(words(t)) for i, t in enumerate(texts)}
+    like = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    kinds = {frozenset(s) for s in sets.values()}
+    assert len(got) == len(rows)
+    for g in got:
+        own = sets[g["doc_id"] if g["doc_id"] is not None else 0]
+        assert g["n_links"] == sum(k != own and like(k, own) for k in kinds)
+    named = frame(rows).withColumnRenamed("source", "gone_lines")
+    assert lines.kept_text(named, lines.near_lines(named)).columns == named.columns
+
+
 def test_compact_windows_cover_every_passage():
     import numpy as np
 
@@ -284,18 +326,47 @@ def test_windows_of_a_large_group_meet_by_either_side():
     import numpy as np
     import pyarrow as pa
 
-    def window(doc, right, left):  # (key of min-hash and side, doc, c, l, r) by either side
-        return [(1000 + right, doc, 30, 0, 60), (2000 + left, doc, 30, 0, 60)]
+    def window(doc, right, left):  # (key of min-hash and side, doc, c) by either side
+        return [(1000 + right, doc, 30), (2000 + left, doc, 30)]
 
     # two batches: 1 and 2 agree on the left, 2 and 30 on the right; each side has a large group
     one = [*window(1, 1, 7), *window(2, 2, 7), *[w for d in range(3, 15) for w in window(d, 1, 7)]]
     two = [*window(30, 2, 8), *[w for d in range(31, 45) for w in window(d, 3, 8)]]
-    sent = [passages._linked([np.array(x) for x in zip(*b, strict=True)], keep=True) for b in (one, two)]
-    rows = sorted((r for b in sent for r in b.to_pylist()), key=lambda r: (r["key"], r["doc"], r["c"]))
+    links, rows = [], []
+    for batch in (one, two):
+        cols, x, y, still = passages._linked([np.array(z) for z in zip(*batch, strict=True)], keep=True)
+        links += zip(cols[1][x].tolist(), cols[1][y].tolist(), strict=True)
+        rows += [{"key": int(cols[0][i]), "doc": int(cols[1][i]), "c": int(cols[2][i]), "odoc": None, "shift": None, "hi": None} for i in still]
+    rows.sort(key=lambda r: (r["key"], r["doc"], r["c"]))
+    kinds = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("c", pa.int32()), ("odoc", pa.int64()), ("shift", pa.int32()), ("hi", pa.int32())])
     for n in (1, 3, 1000):  # whatever the cuts between batches
-        cuts = [pa.RecordBatch.from_pylist(rows[i : i + n], sent[0].schema) for i in range(0, len(rows), n)]
-        links = [(r["doc"], r["odoc"]) for b in passages._runs(iter(cuts)) for r in b.to_pylist()]
-        assert all(a > b for a, b in links) and joined([[*range(1, 15), *range(30, 45)]], links) == [True]
+        cuts = [pa.RecordBatch.from_pylist(rows[i : i + n], kinds) for i in range(0, len(rows), n)]
+        met = links + [(r["doc"], r["odoc"]) for b in passages._runs(iter(cuts)) for r in b.to_pylist()]
+        assert all(a > b for a, b in met) and joined([[*range(1, 15), *range(30, 45)]], met) == [True]
+
+
+def test_edited_passages_against_brute_force(spark, frame):
+    """Passages of 80 words in differing contexts with one or two edits; brute force says which are links."""
+    configured(spark)
+    r, rows, near = random.Random(37), [], set()
+    for k in range(150):
+        base = prose(r, 80).split()
+        other = list(base)
+        for _ in range(r.choice([1, 1, 2])):
+            at, how = r.randrange(10, 70), r.choice(["put", "insert", "drop"])
+            other[at : at + (how != "insert")] = [] if how == "drop" else [prose(r, 1) + "z"]
+        sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (base, other)]
+        rows += [(2 * k + j, f"{prose(r, 30)} {' '.join(w)} {prose(r, 25)}", "en", "s") for j, w in enumerate((base, other))]
+        if 100 * len(sets[0] & sets[1]) >= 75 * len(sets[0] | sets[1]):
+            near.add((2 * k + 1, 2 * k))
+    rows += [(1000, " ".join(["again"] * 300), "en", "s"), (1001, "now " + " ".join(["again"] * 200), "en", "s")]  # one phrase over and over
+    rows += [(1002, None, "en", "s"), (1003, rows[0][1], "en", "s")]
+    got = {(g["doc_id"], g["other_id"]) for g in passages.passages(frame(rows)).collect()}
+    assert got <= near | {(1003, 0), (1003, 1)}
+    assert len(near) > 100 and len(near & got) >= 0.95 * len(near)
+    found = {g["doc_id"]: g for g in passages.repeated(frame(rows)).collect()}
+    assert set(found) == {x for p in got for x in p}
+    assert all(g["group_id"] <= g["doc_id"] and g["n_links"] >= 1 for g in found.values()) and found[1003]["group_id"] == 0
 
 
 def test_passages_of_boilerplate_in_differing_contexts(spark, frame):
@@ -335,14 +406,16 @@ def test_pipeline_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     names, columns = [n for n, _ in corpus_pipeline.STAGES], docs.columns
     assert len(names) == 5
-    kept = corpus_pipeline.written(docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(10**6).cast("long")).withColumn("text", F.lit("123 !!"))), "t")
+    odd = [(10**6, "123 !!"), (10**6 + 1, "Съешь же ещё этих мягких французских булок, да выпей чаю. " * 5)]
+    more = spark.createDataFrame(odd, "doc_id long, text string").join(docs.limit(1).drop("doc_id", "text")).withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.written(docs.unionByName(more.select(*docs.columns)), "t")
     counts = [kept.count()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         kept = corpus_pipeline.written(stage(spark, kept, sf_dir), "t")
         assert kept.columns == columns, name
         counts.append(kept.count())
         if name == "language_id":
-            assert counts[-1] == counts[-2] - 1
+            assert counts[-1] == counts[-2] - 2
         if name == "near_dedup":
             sets = [shingle_set(x["text"]) for x in kept.collect()]
             assert not any(100 * len(a & b) >= 75 * len(a | b) for a, b in combinations(sets, 2) if a and b)

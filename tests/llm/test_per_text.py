@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -148,6 +149,21 @@ def test_main_text_odd_rows(spark, model):
     assert got[1] == "" and got[2] == "" and set(got) == {1, 2, 3}
 
 
+@pytest.mark.parametrize("page", ["<a " * 200_000, "<div>" * 30_000 + "x", "<a \"" * 150_001, "<div>" * 20_000 + "</b>" * 50_000, "<p><table>" + "<div>" * 30_000, "<!" * 200_000])
+def test_hostile_pages_are_read_in_one_pass(page, model):
+    began = time.perf_counter()
+    html_text.main_text(page, model)
+    assert time.perf_counter() - began < 4
+
+
+@pytest.mark.parametrize("before, after", [("<object>", "</object>"), ("<noscript>", "</noscript>"), ("<svg>", ""), ("<select>", ""), ("<p title=\"x>", "")])
+def test_article_within_or_behind_odd_markup(before, after, model):
+    article = "<article>" + "".join(f"<p>Some words, here and there, number {i} of a long story. And more of it.</p>" for i in range(6)) + "</article>"
+    plain = html_text.main_text(f"<html><body>{article}</body></html>", model)
+    assert len(plain) > 300
+    assert html_text.main_text(f"<html><body><nav><a href=/x>x</a></nav>{before}{article}{after}<footer>Copyright</footer></body></html>", model) == plain
+
+
 def test_marginals_equal_enumeration():
     parent, top = [-1, 0, 0, 2, 2], [True, False, False, False, False]
     unary, pair = [0.3, -1.0, 0.7, 2.0, -0.2], (((0.9, 0.1), (0.2, 0.8)), ((0.5, 0.5), (0.4, 0.6)))
@@ -204,6 +220,35 @@ def test_tokens_equal_the_library(spark, small, frame, empty):
     assert token_files.decode(spark, path).count() == 0
 
 
+def test_long_texts_and_tables_that_grow():
+    import numpy as np
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from talentlake.llm._util import text_buffers
+
+    coder, library = token_files.Encoder(queries.vocabulary()), Tokenizer.from_file(queries.vocabulary())
+    texts = ["", " ".join(f"{i}q" for i in range(150_000)), "x" * 300_000 + " y", "<|endoftext|> Hello <|END", None, "\"Hi,\" it's. a.b, " * 20_000]
+    ids, n = coder.encode(*text_buffers(pa.array(texts)))
+    for text, own in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert own.tolist() == [*library.encode(text or "", add_special_tokens=False).ids, token_files.END_ID]
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from talentlake.llm._util import text_buffers
+
+    plain = token_files.word_hashes
+    monkeypatch.setattr(token_files, "word_hashes", lambda *a, **k: (np.full_like((x := plain(*a, **k))[0], 7), *x[1:]))
+    coder = token_files.Encoder(queries.vocabulary())
+    ids, n = coder.encode(*text_buffers(pa.array(["one two", "three four one"])))
+    monkeypatch.undo()
+    want, m = token_files.Encoder(queries.vocabulary()).encode(*text_buffers(pa.array(["one two", "three four one"])))
+    assert ids.tolist() == want.tolist() and n.tolist() == m.tolist()
+
+
 def test_segment_ranges():
     ids = np.arange(200_000) % 50_000
     seg = token_files.Segment(token_files.to_bytes(np.array([5]), np.array([True]), np.array([200_000]), ids))
