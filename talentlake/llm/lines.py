@@ -96,15 +96,12 @@ def near_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     lines = line_rows(docs)
     ranked = lines.select("doc_id", "line_no", _ranks(F.col("words"), _classes_of_counts(lines)).alias("t")).withColumn("n", F.size("t"))
     n = F.col("n")
-    prefix = F.filter(
-        F.transform(F.slice("t", F.lit(1), n - F.ceil(n * NEED / OF).cast("int") + 1), lambda x, i: F.struct(x.alias("token"), i.alias("at"))),
-        lambda p: p["token"] >= 1 << 56,
-    )
+    prefix = F.slice("t", F.lit(1), n - F.ceil(n * NEED / OF).cast("int") + 1)
     rows = written(ranked.select("doc_id", "line_no", F.xxhash64("t").alias("digest"), "n", prefix.alias("prefix"), _bits(F.col("t"), 0).alias("low"), _bits(F.col("t"), 64).alias("high")), "line-rows")
     place = F.min(F.struct("doc_id", "line_no")).alias("f")
     first = rows.groupBy("digest").agg(place, F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("low").alias("low"), F.first("high").alias("high"))
     classes = written(first.select("digest", "f.*", "n", "prefix", "low", "high"), "line-classes")
-    tokens = classes.select("digest", "n", "low", "high", F.explode("prefix").alias("p")).select("p.token", "p.at", "digest", "n", "low", "high")
+    tokens = classes.select("digest", "n", "low", "high", F.posexplode("prefix").alias("at", "token")).where(F.col("token") >= 1 << 56)
     links = _verified(written(_candidates(tokens), "line-pairs"), classes, docs)
 
     places = classes.select("digest", F.struct("doc_id", "line_no").alias("place"))

@@ -33,10 +33,10 @@ MAGIC, HEADER = b"TLS8", struct.Struct("<4sIQQQQQ")
 BLOCK_IDS = 1 << 16
 #: Ids after which a segment is closed.
 SEGMENT_IDS = 1 << 20
-#: Distinct words after which a worker forgets their ids; one block may add its own to them.
-MEMO = 400_000
+#: Distinct words after which a worker forgets those it met once; one block may add its own to them.
+MEMO = 600_000
 #: Bytes of text encoded at once.
-BLOCK = 1 << 17
+BLOCK = 1 << 18
 #: Stands between words that are encoded together; words that hold it are encoded alone.
 SEPARATOR = "\u2661"
 END_ID = 2
@@ -250,7 +250,21 @@ class Encoder:
 
     def clear(self) -> None:
         self.known, self.flat, self.starts, self.counts = _Places(), _Grown(np.int32), _Grown(np.int64), _Grown(np.int32)
-        self.ends = _Grown(np.uint64, 3)
+        self.ends, self.hashes, self.again = _Grown(np.uint64, 3), _Grown(np.uint64), _Grown(bool)
+
+    def _forget(self) -> None:
+        """Let go of the words that were not met again since they were learnt; of all, if most were."""
+        kept = np.flatnonzero(self.again.data[: self.again.n])
+        if 2 * len(kept) > MEMO:
+            return self.clear()
+        starts, counts = self.starts.data[kept], self.counts.data[kept]
+        upto = np.cumsum(counts, dtype=np.int64) - counts
+        flat = self.flat.data[np.repeat(starts - upto, counts) + np.arange(int(counts.sum()))]
+        hashes, ends = self.hashes.data[kept], self.ends.data[kept]
+        self.clear()
+        for grown, values in ((self.flat, flat), (self.starts, upto), (self.counts, counts), (self.ends, ends), (self.hashes, hashes), (self.again, np.zeros(len(kept), bool))):
+            grown.add(values)
+        self.known.add(hashes)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -288,7 +302,7 @@ class Encoder:
     def _block(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids per text) of a block of texts, without end ids."""
         if self.known.n > MEMO:
-            self.clear()
+            self._forget()
         whole, size = set(), len(offsets) - 1
         data = raw.tobytes()
         if b"<|" in data:
@@ -300,11 +314,14 @@ class Encoder:
         h[h == 0] = 1
         at = self.known.find(h)
         lacking = np.flatnonzero(at < 0)
+        self.again.data[at[at >= 0]] = True
         if len(lacking):
             fresh_, first = np.unique(h[lacking], return_index=True)
             where = lacking[first]
             self._learn([data[a:b].lower().decode("utf-8", "replace") for a, b in zip(begin[where].tolist(), end[where].tolist(), strict=True)])
             self.ends.add(tell[where])
+            self.hashes.add(fresh_)
+            self.again.add(np.zeros(len(fresh_), bool))
             self.known.add(fresh_)
             at[lacking] = self.known.find(h[lacking])
         other = (self.ends.data[at] != tell).any(1)
