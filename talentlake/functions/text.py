@@ -97,9 +97,40 @@ def exact_value(text: Column) -> Column:
     return F.pandas_udf(_valued, "string")(text)
 
 
+def _valued_text(x: str) -> str:
+    return unicodedata.normalize("NFKC", x).casefold()
+
+
+@lru_cache(maxsize=1)
+def _value_tables() -> tuple[str, str, tuple]:
+    """Characters of the basic plane whose value is one other character, their values, and (character, value) of the
+    others whose value is two or three ASCII characters, fractions and ligatures above all. Made from the rule at first use."""
+    one, more = [], []
+    for code in range(128, 0x10000):
+        c = chr(code)
+        if 0xD800 <= code < 0xE000:
+            continue
+        v = _valued_text(c)
+        if v != c.lower() and len(v) == 1:
+            one.append((c, v))
+        elif v != c.lower() and 1 < len(v) <= 3 and v.isascii() and v.isalnum() and code < 0x2190 or 0xFB00 <= code <= 0xFB06:
+            more.append((c, v))
+    return "".join(c for c, _ in one), "".join(v for _, v in one), tuple(more)
+
+
+#: Characters that a value may change beyond their case: all but those of plain Latin texts and of composed Vietnamese ones.
+_ODD = r"[\u00A0\u00A8\u00AA\u00AF\u00B2-\u00B5\u00B8-\u00BA\u00BC-\u00BE\u00DF\u0130-\u0149\u017F\u01C4-\u01CC\u01F1-\u01F3\u0250-\u1E9F\u1F00-\uFFFF]"
+
+
 def value(text: Column) -> Column:
-    """exact_value for texts in composed form without compatibility characters: lower case and collapsed."""
-    return collapse(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
+    """exact_value in the JVM, for texts in composed form: compatibility characters of the basic plane by a table, lower
+    case, white space collapsed. Only texts that hold such a character pay for it; characters with values of over three
+    letters keep their form."""
+    one, values, more = _value_tables()
+    wide = F.translate(text, one, values)
+    for c, v in more:
+        wide = F.replace(wide, F.lit(c), F.lit(v))
+    return collapse(F.lower(F.when(text.rlike(_ODD), wide).otherwise(text)))
 
 
 def folded_words(text: Column) -> Column:

@@ -91,8 +91,9 @@ def output_problems(raw: Column) -> Column:
 def merged(rows: DataFrame, strategy: str, raw: str = "raw_output", result: str = "result") -> DataFrame:
     """rows with result made from a model's valid answer and the fixed layout score of the deterministic result."""
     o, r = F.from_json(F.col(raw), MATCH_OUTPUT), F.col(result)
-    out = rows.withColumn("o", o).withColumn("t", round1(r["scores"]["ats"] + F.col("o.impact_score") + F.col("o.semantic_score") + F.col("o.tone_score")))
-    o = F.col("o")
+    packed = rows.select(F.struct(*[F.col(c) for c in rows.columns]).alias("row"), o.alias("o"))
+    o, r = F.col("o"), F.col("row")[result]
+    out = packed.withColumn("t", round1(r["scores"]["ats"] + o["impact_score"] + o["semantic_score"] + o["tone_score"]))
     keep = lambda name: o[name].alias(name)
     scores = F.struct(r["scores"]["ats"].alias("ats"), *[round1(o[f"{k}_score"]).alias(k) for k in ("impact", "semantic", "tone")])
     notes = F.struct(r["score_notes"]["ats"].alias("ats"), *[o[f"{k}_notes"].alias(k) for k in ("impact", "semantic", "tone")])
@@ -102,7 +103,8 @@ def merged(rows: DataFrame, strategy: str, raw: str = "raw_output", result: str
         keep("quantified_lines"), F.slice(o["strengths"], 1, 5).alias("strengths"), F.slice(o["improvements"], 1, 5).alias("improvements"), r["extraction"].alias("extraction"),
         F.lit(STRATEGIES[strategy]).alias("method"), F.lit(strategy).alias("strategy"),
     )
-    return out.withColumn(result, new).drop("o", "t")
+    made = out.select("row", new.alias("made"))
+    return made.select(*[F.col("made").alias(c) if c == result else F.col("row")[c].alias(c) for c in rows.columns])
 
 
 def output_schema() -> str:

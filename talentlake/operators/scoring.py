@@ -96,15 +96,37 @@ def text_features(rows: DataFrame, text: str) -> DataFrame:
     )
 
 
-def evaluate(pairs: DataFrame, text: str = "cv_text", jd: str = "jd_text", profile: str = "profile", cv: str | None = None) -> DataFrame:
-    """pairs with column result: the whole evaluation of each CV against its description.
+def description_skills(items: DataFrame, jd: str = "jd_text", out: str = "jd_skills") -> DataFrame:
+    """items with the skills that their descriptions name, made once an item, for evaluate."""
+    packed = items.select(F.struct(*[F.col(c) for c in items.columns if c.lower() != out.lower()]).alias("pair"), fold(F.col(jd)).alias("folded"))
+    return packed.select("pair.*", skills_in(F.col("folded")).alias(out))
+
+
+def evaluate(
+    pairs: DataFrame, text: str = "cv_text", jd: str = "jd_text", profile: str = "profile", cv: str | None = None, jd_skills: str | None = None
+) -> DataFrame:
+    """pairs with column result, one of that name being replaced: the whole evaluation of each CV against its description.
 
     With cv, a typed record, its structured text is read instead of `text`, its declared skills come before those found,
-    and sections are those that the record fills."""
-    rows = pairs.withColumn("read_text", structured_text(F.col(cv)) if cv else F.col(text))
-    rows = text_features(rows, "read_text").withColumn("jd_skills", skills_in(fold(F.col(jd))))
+    and sections are those that the record fills. jd_skills names a column from description_skills, which spares reading a
+    description for each of its pairs."""
+    kept = [c for c in pairs.columns if c.lower() != "result"]
+    read = {"read_text": structured_text(F.col(cv)) if cv else F.col(text), "read_jd": F.col(jd), "read_profile": F.col(profile)}
+    if cv:
+        read["read_cv"] = F.col(cv)
+    wanted = F.col(jd_skills) if jd_skills else None
+    if wanted is None:
+        read["jd_folded"] = fold(F.col(jd))
+    else:
+        read["jd_skills"] = wanted
+    # the caller's columns travel in a struct, so that none meets a name used below
+    rows = pairs.select(F.struct(*[F.col(c) for c in kept]).alias("pair"), *[c.alias(k) for k, c in read.items()])
+    if wanted is None:
+        rows = rows.withColumn("jd_skills", skills_in(F.col("jd_folded"))).drop("jd_folded")
+    rows = text_features(rows, "read_text")
+    jd, profile = "read_jd", "read_profile"
     if cv:
-        c = F.col(cv)
+        c = F.col("read_cv")
         declared = F.filter(F.transform(F.concat(c["skills"]["hard_skills"], c["skills"]["soft_skills"]), strip), lambda s: s != "")
         rows = rows.withColumn("cv_skills", F.array_distinct(F.concat(declared, "found_skills")))
         has = {"summary": strip(c["summary"]) != "", "skills": F.size(declared) > 0, **{k: F.size(c[k]) > 0 for k in ("experience", "projects", "education")}}
@@ -156,4 +178,4 @@ def evaluate(pairs: DataFrame, text: str = "cv_text", jd: str = "jd_text", profi
         passives.alias("passive_phrases_found"), quantified.alias("quantified_lines"), F.slice(or_else(strong, STRONG[2]), 1, 4).alias("strengths"),
         F.slice(or_else(better, IMPROVE[6]), 1, 5).alias("improvements"), p.alias("extraction"), F.lit(METHOD_RECORD if cv else METHOD_TEXT).alias("method"),
     )
-    return rows.withColumn("result", result).select(*pairs.columns, "result")
+    return rows.select("pair", result.alias("result")).select("pair.*", "result")

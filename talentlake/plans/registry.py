@@ -490,16 +490,17 @@ def impact_tone(spark, d):
 
 
 def _pairs(spark, d) -> DataFrame:
-    """Each document beside one benchmark item."""
+    """Each document beside one benchmark item, the items in turn, with the skills that the item names."""
     b = t(spark, d, "benchmark").select("item_id", F.col("text").alias("jd_text"))
-    return _cvs(spark, d).withColumn("item_id", F.col("doc_id") % 40).join(b, "item_id")
+    n = b.count()
+    return _cvs(spark, d).withColumn("item_id", F.col("doc_id") % n).join(scoring.description_skills(b), "item_id")
 
 
 def _tokens_sql(x: str) -> str:
     return "list_filter(list_distinct(regexp_extract_all(" + _fold(x) + r", '[a-zA-ZÀ-ỹ][\p{L}\p{M}\p{N}_+#.-]{2,}'" + f")), lambda x: NOT list_contains({_texts(tx.STOP_WORDS)}, x))"
 
 
-_OVERLAP_SQL = f"(SELECT doc_id, item_id, CASE WHEN len(j) = 0 THEN 0.0 ELSE least(1.0, len(list_intersect(c, j)) / greatest(8.0, len(j) * 0.55)) END AS overlap FROM (SELECT doc_id, item_id, {_tokens_sql('d.text')} AS c, {_tokens_sql('b.text')} AS j FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40))"
+_OVERLAP_SQL = f"(SELECT doc_id, item_id, CASE WHEN len(j) = 0 THEN 0.0 ELSE least(1.0, len(list_intersect(c, j)) / greatest(8.0, len(j) * 0.55)) END AS overlap FROM (SELECT doc_id, item_id, {_tokens_sql('d.text')} AS c, {_tokens_sql('b.text')} AS j FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)))"
 
 
 @query(f"SELECT doc_id, item_id, round(overlap, 6) AS overlap FROM {_OVERLAP_SQL}")
@@ -520,7 +521,7 @@ def total_verdict(spark, d):
 @query()
 def evaluate_pairs(spark, d):
     """The whole evaluation of each document against an item."""
-    rows = scoring.evaluate(_pairs(spark, d).withColumn("profile", _profile()))
+    rows = scoring.evaluate(_pairs(spark, d).withColumn("profile", _profile()), jd_skills="jd_skills")
     return rows.select("doc_id", "item_id", "result.total_score", "result.verdict", "result.scores", "result.matched_skills", "result.missing_skills", "result.must_have_coverage", "result.strengths", "result.improvements")
 
 
@@ -528,15 +529,15 @@ def evaluate_pairs(spark, d):
 def evaluate_records(spark, d):
     """The same for reconstructed records, whose declared skills and filled sections count."""
     cvs = _pointer_rows(spark, d).select("doc_id", pointer.reconstruct(F.col("pointer"), F.col("text"))["cv"].alias("cv"))
-    rows = cvs.join(_pairs(spark, d).select("doc_id", "jd_text", _profile().alias("profile")), "doc_id")
-    return scoring.evaluate(rows, cv="cv").select("doc_id", "result.total_score", "result.scores", "result.cv_skills", "result.method")
+    rows = cvs.join(_pairs(spark, d).select("doc_id", "jd_text", "jd_skills", _profile().alias("profile")), "doc_id")
+    return scoring.evaluate(rows, cv="cv", jd_skills="jd_skills").select("doc_id", "result.total_score", "result.scores", "result.cv_skills", "result.method")
 
 
 @query()
 def strategy_results(spark, d):
     """Results of the deterministic strategy and of one with a model, here a constant function, under one contract."""
     cvs = _pointer_rows(spark, d).select("doc_id", pointer.reconstruct(F.col("pointer"), F.col("text"))["cv"].alias("cv"))
-    rows = scoring.evaluate(cvs.join(_pairs(spark, d).select("doc_id", "jd_text", _profile().alias("profile")), "doc_id"), cv="cv")
+    rows = scoring.evaluate(cvs.join(_pairs(spark, d).select("doc_id", "jd_text", "jd_skills", _profile().alias("profile")), "doc_id"), cv="cv", jd_skills="jd_skills")
     answer = '{"impact_score":20,"impact_notes":"","semantic_score":30,"semantic_notes":"","tone_score":10,"tone_notes":"","must_have_coverage":0.5,"matched_skills":["SQL"],"missing_skills":[],"unverified_skills":[],"action_verbs_found":[],"passive_phrases_found":[],"quantified_lines":0,"strengths":[],"improvements":[]}'
     asked = matching.asked(matching.prompts(rows.withColumn("ats", F.col("result.scores.ats")), "zero_shot_m1"), lambda prompt: answer)
     model = matching.merged(asked, "zero_shot_m1").select("doc_id", "result.total_score", "result.verdict", "result.method", "result.strategy")
@@ -698,9 +699,9 @@ def multi_column_join(spark, d):
 
 
 @query(f"""SELECT page_id, CASE WHEN page_id % 10 / 100 >= 0.02 AND n < 80 THEN 'ocr_en' WHEN n > 0 THEN 'native_text' ELSE 'skip_near_blank' END AS route
-FROM (SELECT page_id, length(trim(regexp_replace(CASE WHEN page_id % 3 = 0 THEN '' ELSE left(html, CAST(page_id % 200 AS INT)) END, '{_WS}+', ' ', 'g'))) AS n FROM pages)""")
+FROM (SELECT page_id, length(trim(regexp_replace(CASE WHEN page_id % 3 = 0 THEN '' ELSE regexp_replace(html, '<[^>]*>', '', 'g') END, '{_WS}+', ' ', 'g'))) AS n FROM pages)""")
 def page_router(spark, d):
-    native = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.left("html", (F.col("page_id") % 200).cast("int")))
+    native = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.regexp_replace("html", "<[^>]*>", ""))
     return t(spark, d, "pages").select("page_id", layout.route(F.col("page_id") % 10 / 100, native).alias("route"))
 
 

@@ -193,3 +193,13 @@ def test_retrieval(spark):
     rows = spark.createDataFrame([(1, json.dumps(cv), "prefer specific action verbs"), (2, json.dumps(cv), "zzz")], "id int, cv string, jd string").withColumn("cv", F.from_json("cv", CV))
     got = {r["id"]: [s["id"] for s in r["sources"]] for r in matching.retrieved(rows, "id", "cv", "jd").collect()}
     assert got[1][0] == "project_rubric_tone_v1" and len(got[2]) == 3
+
+
+def test_evaluation_keeps_columns_of_clashing_names(spark):
+    p = F.struct(F.lit(1).alias("page_count"), F.lit(1).alias("native_text_pages"), F.lit(900).alias("character_count"), F.lit(9).alias("block_count"), F.lit(False).alias("likely_multi_column"), F.lit(False).alias("needs_ocr"))
+    rows = spark.createDataFrame([("Python developer\nSkills: SQL", "We need Python and SQL", "a", "b", "c")], "cv_text string, jd_text string, scores string, matched string, total string").withColumn("profile", p)
+    plain = scoring.evaluate(rows.drop("scores", "matched", "total")).first()["result"]
+    out = scoring.evaluate(rows.withColumn("result", F.lit(1))).first()
+    assert (out["scores"], out["matched"], out["total"]) == ("a", "b", "c") and out["result"] == plain
+    items = scoring.description_skills(rows)
+    assert scoring.evaluate(items, jd_skills="jd_skills").first()["result"] == plain

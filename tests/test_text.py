@@ -78,3 +78,9 @@ def test_redaction(spark):
     pages = spark.createDataFrame([("d", 2, "b@c.dd"), ("d", 1, "Jane Doe\nx")], "doc_id string, page_no int, text string")
     row = redact.redacted_pages(pages, prefix=True).first()
     assert row["text"] == "[SOURCE p1]\n[MASKED]\nx\n\n[SOURCE p2]\n[MASKED]" and row["within_limit"]
+
+
+def test_value_of_compatibility_characters(spark):
+    texts = ["Ｐｙｔｈｏｎ　３", "Kỹ năng ĐẠI HỌC", "Straße ﬁn", "m² №5 ™", "ſpark", "C++ / .NET  x", "é Ünï", "ＡＢＣ１２３", "", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select(tx.value(F.col("x")).alias("v"), tx.exact_value(F.col("x")).alias("e")).collect()
+    assert [r["v"] for r in rows] == [r["e"] for r in rows]
