@@ -20,14 +20,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 50_000
 #: Values of a table of whole numbers up to which it is broadcast: some 16 MB at most.
 BROADCAST_KEYS = 500_000
+#: Bytes of compressed Parquet up to which a written table is broadcast.
+BROADCAST_BYTES = 8 << 20
 #: Replicas of a lookup table that is too large to broadcast, so that hot keys spread.
 SALTS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where none is set, a temporary one if all runs in one
+    process (tests), else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="talentlake-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -97,6 +102,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _written_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a table from written(); 0 for another."""
+    path = getattr(df, "written_path", None)
+    if path is None:
+        return 0
+    spark = df.sparkSession
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(jpath).getLength()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like these that df has no column for (Spark compares names without case)."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -119,7 +134,8 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
     for k, n in zip(keys, names, strict=True):
         on = F.col(k).eqNullSafe(F.col(n)) if on is None else on & F.col(k).eqNullSafe(F.col(n))
     narrow = all(kind in ("bigint", "int") for _, kind in small.dtypes)
-    if rows <= (max(BROADCAST_KEYS // len(small.columns), BROADCAST_ROWS) if narrow else BROADCAST_ROWS):
+    fits = rows <= (max(BROADCAST_KEYS // len(small.columns), BROADCAST_ROWS) if narrow else BROADCAST_ROWS)
+    if fits and _written_bytes(small) <= BROADCAST_BYTES:
         return big.join(F.broadcast(right), on, how).drop(*names)
     if how in ("left_semi", "left_anti"):
         return big.join(right, on, how)
