@@ -113,6 +113,11 @@ def efficiency(rows: DataFrame, number: str, *by: str) -> DataFrame:
     return out.select(*by, "total", "mean", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"))
 
 
+def mean_confidence(lines: DataFrame, key: str, confidence: str) -> DataFrame:
+    """(key, n_lines, mean_confidence) of read lines; lines without a confidence count but do not weigh, null if none has one."""
+    return lines.groupBy(key).agg(F.count(F.lit(1)).alias("n_lines"), F.avg(confidence).alias("mean_confidence"))
+
+
 def joined(gold: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
     """Gold beside prediction; an error at run time unless both hold the same keys, each once."""
     both = gold.withColumn("g", F.lit(1)).join(predicted.withColumn("p", F.lit(1)), key, "full_outer")

@@ -70,9 +70,19 @@ def profiles(pages: DataFrame, most_pages: int = MOST_PAGES) -> DataFrame:
     return out.select("doc_id", "text", profile.alias("profile"), F.when(F.col("page_count") > most_pages, F.format_string("more than %d pages", F.lit(most_pages))).alias("error"))
 
 
+def with_rejected(read: DataFrame, documents: DataFrame) -> DataFrame:
+    """read (of profiles or ingested) with a row for each of documents (doc_id, each once, and encrypted, null for no): one
+    without pages or an encrypted one has an error and no text, also where its pages were read."""
+    rows = documents.select("doc_id", F.coalesce("encrypted", F.lit(False)).alias("is_encrypted")).join(read.withColumn("has_pages", F.lit(True)), "doc_id", "left")
+    error = F.when(F.col("is_encrypted"), F.lit("encrypted")).when(F.col("has_pages").isNull(), F.lit("no pages")).otherwise(F.col("error"))
+    given = {"text": F.when(~F.col("is_encrypted"), F.col("text")), "error": error}
+    return rows.select(*[given.get(c, F.col(c)).alias(c) for c in read.columns])
+
+
 def ingested(pages: DataFrame, language: str) -> DataFrame:
     """(doc_id, text, page_count, native_text_pages, ocr_pages, character_count, routes, ocr_quality_warning, error) with OCR
-    text where a page's native text is short; an error where OCR found nothing, or for no or too many pages."""
+    text where a page's native text is short; an error where OCR found nothing, or for too many pages. A document without
+    pages has no row here; with_rejected adds it."""
     native = strip(F.coalesce("native_text", F.lit("")))
     rows = pages.withColumn("n", native).withColumn("is_native", F.length("n") >= NATIVE_PAGE)
     ocr_route = F.lit("paddleocr_latin_vi" if language == "vi" else "paddleocr_en")

@@ -14,6 +14,7 @@ from talentlake.operators.retrieve import top_k
 from talentlake.operators.scoring import verdict
 from talentlake.schemas import MATCH_OUTPUT
 
+# Fixed value: the names of the strategies in results.
 STRATEGIES = {
     "deterministic_b1": "B1 · Deterministic baseline",
     "zero_shot_m1": "M1 · Zero-shot (Groq Qwen 3.8 27B)",
@@ -31,6 +32,38 @@ KNOWLEDGE = (
     ("project_rubric_ats_v1", "internal_project_rubric", "ATS layout evidence must come from the PDF analysis. An LLM receiving structured CV text must not infer fonts, columns, icons or reading order. The ATS score supplied by the deterministic PDF analyzer is fixed."),
 )
 
+# Fixed value: the examples that the few-shot strategy shows.
+EXAMPLES = """\
+Example A: CV explicitly states Python and FastAPI in a project; JD requires Python, FastAPI and Docker.
+Expected: matched_skills=["Python","FastAPI"], missing_skills=["Docker"], must_have_coverage=0.6667.
+Do not claim Docker experience or recommend adding it unless the candidate truly has it.
+
+Example B: CV lists AWS in Skills but no experience/project mentions AWS; JD requires AWS.
+Expected: AWS can be matched lexically and must also appear in unverified_skills. The improvement should ask for truthful evidence or removal."""
+# Fixed value: the prompt; its places are for strategy, context, layout score, record and description.
+PROMPT = """\
+You are an evidence-grounded CV-to-JD matching engine.
+Strategy: {}
+{}
+
+The PDF analyzer already fixed ATS score at {}/20. Do not rescore layout.
+Score only Impact (0-30), Semantic match (0-35), and Tone (0-15).
+Use only facts explicitly present in CVSchema and JD. Never invent skills, years, metrics or achievements.
+Keep improvements truthful: recommend adding a missing skill only if the candidate actually has it; otherwise recommend learning it.
+
+=== CVSchema 2.0 without personal contact fields ===
+{}
+
+=== JOB DESCRIPTION ===
+{}
+
+Return data matching the required JSON schema. matched_skills and missing_skills must be grounded in the JD.
+"""
+#: Most tokens of a prompt that a model is given (fixed value).
+MOST_TOKENS = 5120
+#: JSON Schema of the types in an answer.
+KINDS = {"double": {"type": "number"}, "int": {"type": "integer"}, "string": {"type": "string"}, "array<string>": {"type": "array", "items": {"type": "string"}}}
+
 
 def payload(cv: Column) -> Column:
     """A record without its personal fields, as JSON."""
@@ -50,20 +83,18 @@ def retrieved(queries: DataFrame, key: str, cv: str, jd: str, k: int = 3) -> Dat
     return named.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "source_status", "text"))).alias("sources")).withColumnRenamed("query_id", key)
 
 
-def prompts(rows: DataFrame, strategy: str, cv: str = "cv", jd: str = "jd_text", ats: str = "ats", sources: str = "sources", examples: str = "") -> DataFrame:
+def prompts(rows: DataFrame, strategy: str, cv: str = "cv", jd: str = "jd_text", ats: str = "ats", sources: str = "sources", examples: str = EXAMPLES) -> DataFrame:
     """rows with the prompt of a strategy; rag_m3 reads the retrieved sources."""
     if strategy not in STRATEGIES or strategy == "deterministic_b1":
         raise ValueError(f"no such model strategy: {strategy}")
     context = {
         "zero_shot_m1": F.lit("No examples or retrieved knowledge are provided. Evaluate zero-shot."),
         "few_shot_m2": F.lit("Use these formatting and evidence examples:\n" + examples),
-        "rag_m3": F.concat(F.lit("Use the retrieved internal project rubric below, not as an external quotation:\n"), F.to_json(F.col(sources))) if sources in rows.columns else F.lit(""),
+        "rag_m3": F.concat(F.lit("Use the retrieved internal project rubric below. Do not present it as an external academic quotation:\n"), F.to_json(F.col(sources))) if sources in rows.columns else F.lit(""),
     }[strategy]
-    body = F.concat(
-        F.lit(f"Match a CV with a job description on evidence alone.\nStrategy: {strategy}\n"), context, F.lit("\n\nThe layout score is fixed at "), F.col(ats).cast("string"),
-        F.lit("/20; do not rescore it. Score Impact (0-30), Semantic (0-35) and Tone (0-15) from facts stated below only.\n\n=== CV ===\n"), payload(F.col(cv)), F.lit("\n\n=== JOB DESCRIPTION ===\n"), F.col(jd),
-        F.lit("\n\nAnswer as JSON of the required schema; matched and missing skills come from the description.\n"),
-    )
+    values = [F.lit(strategy), context, F.col(ats).cast("string"), payload(F.col(cv)), F.col(jd)]
+    pieces = [F.lit(piece) for piece in PROMPT.split("{}")]
+    body = F.concat(pieces[0], *[part for value, piece in zip(values, pieces[1:], strict=True) for part in (value, piece)])
     return rows.withColumn("prompt", body)
 
 
@@ -107,6 +138,16 @@ def merged(rows: DataFrame, strategy: str, raw: str = "raw_output", result: str
     return made.select(*[F.col("made").alias(c) if c == result else F.col("row")[c].alias(c) for c in rows.columns])
 
 
+def length_error(tokens: Column, most: int = MOST_TOKENS) -> Column:
+    """Why a prompt of so many tokens is not given to a model; null if it is. A null count is of an empty prompt."""
+    return F.when(tokens > most, F.format_string("Prompt has %d tokens; maximum is %d", tokens, F.lit(most)))
+
+
 def output_schema() -> str:
-    """The answer's fields and ranges as JSON, for a model's structured output."""
-    return json.dumps({"fields": MATCH_OUTPUT, "ranges": RANGES})
+    """The JSON Schema of an answer, for a model's structured output."""
+    fields = dict(f.split(" ", 1) for f in MATCH_OUTPUT.split(", "))
+    properties = {}
+    for name, kind in fields.items():
+        low, high = RANGES.get(name, (None, None))
+        properties[name] = {**KINDS[kind], **({"minimum": low} if low is not None else {}), **({"maximum": high} if high is not None else {})}
+    return json.dumps({"type": "object", "additionalProperties": False, "properties": properties, "required": list(fields)})

@@ -544,6 +544,20 @@ def strategy_results(spark, d):
     return rows.select("doc_id", "result.total_score", "result.verdict", "result.method").unionByName(model, allowMissingColumns=True)
 
 
+@query("""SELECT l_orderkey, l_linenumber, list_filter([CASE WHEN l_linenumber = 7 THEN 'missing:tone_notes' END, CASE WHEN l_quantity > 30 THEN 'range:impact_score' END, CASE WHEN l_partkey % 40 > 35 THEN 'range:semantic_score' END,
+CASE WHEN l_suppkey % 20 > 15 THEN 'range:tone_score' END], lambda x: x IS NOT NULL) AS problems FROM lineitem""")
+def model_output_problems(spark, d):
+    """Answers of a model that lack a key or hold numbers out of range."""
+    none, text = F.array().cast("array<string>"), F.lit("")
+    values = {
+        "impact_score": F.col("l_quantity").cast("double"), "impact_notes": text, "semantic_score": (F.col("l_partkey") % 40).cast("double"), "semantic_notes": text,
+        "tone_score": (F.col("l_suppkey") % 20).cast("double"), "tone_notes": F.when(F.col("l_linenumber") != 7, text), "must_have_coverage": F.lit(0.5), "quantified_lines": F.lit(1),
+        **{k: none for k in ("matched_skills", "missing_skills", "unverified_skills", "action_verbs_found", "passive_phrases_found", "strengths", "improvements")},
+    }
+    raw = F.to_json(F.struct(*[v.alias(k) for k, v in values.items()]))
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", matching.output_problems(raw).alias("problems"))
+
+
 @query()
 def retrieved_guidance(spark, d):
     cvs = _pointer_rows(spark, d).select("doc_id", pointer.reconstruct(F.col("pointer"), F.col("text"))["cv"].alias("cv"))
@@ -634,6 +648,22 @@ def span_accuracy(spark, d):
     return _rounded(evaluation.span_accuracy(rows))
 
 
+@query(f"""
+WITH n AS (SELECT doc_id, len({_lines('text')}) AS n FROM documents WHERE trim(text) <> ''),
+p AS (
+  SELECT 'summary_span' AS kind, CASE WHEN n >= 1 THEN [1, 1] END AS gold, CASE WHEN n >= 1 THEN [1, 1] END AS pred, true AS found FROM n
+  UNION ALL SELECT 'experience.description_span', CASE WHEN n >= 3 THEN [2, 3] END, CASE WHEN doc_id % 3 = 0 THEN [1, 2] WHEN n >= 3 THEN [2, 3] END, doc_id % 5 <> 0 FROM n
+  UNION ALL SELECT 'projects.details_span', NULL, NULL, true FROM n)
+SELECT kind, CAST(count(*) AS BIGINT) AS all_slots, CAST(count(*) FILTER (found AND gold IS NOT DISTINCT FROM pred) AS BIGINT) AS all_exact, CAST(count(gold) AS BIGINT) AS non_null_gold,
+CAST(count(*) FILTER (gold IS NOT NULL AND found AND gold IS NOT DISTINCT FROM pred) AS BIGINT) AS non_null_exact FROM p GROUP BY ROLLUP (kind)""")
+def span_slot_accuracy(spark, d):
+    """Spans of pointer records against predictions that cite other lines or lack an entry."""
+    rows = _pointer_rows(spark, d)
+    jobs = F.transform(F.col("pointer.experience"), lambda e: e.withField("description_span", F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(e["description_span"])))
+    rows = rows.withColumn("predicted", F.col("pointer").withField("experience", F.filter(jobs, lambda e: F.col("doc_id") % 5 != 0)))
+    return evaluation.span_accuracy(evaluation.span_pairs(rows, "doc_id", "pointer", "predicted")).select("kind", "all_slots", "all_exact", "non_null_gold", "non_null_exact")
+
+
 @query("""
 SELECT 'quality' AS flag, CAST(count(*) FILTER (quality = 1) AS BIGINT) AS n, round(count(*) FILTER (quality = 1) / count(*), 6) AS rate FROM labels
 UNION ALL SELECT 'toxic', CAST(count(*) FILTER (toxic = 1) AS BIGINT), round(count(*) FILTER (toxic = 1) / count(*), 6) FROM labels""")
@@ -712,7 +742,8 @@ def dark_ratio(spark, d):
 
 @query("SELECT conv_id, CAST(count(*) AS BIGINT) AS n_lines, round(avg(CASE WHEN turn % 2 = 0 THEN length(text) END), 6) AS mean_confidence FROM conversations GROUP BY conv_id")
 def mean_confidence(spark, d):
-    return t(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_lines"), F.round(F.avg(F.when(F.col("turn") % 2 == 0, F.length("text"))), 6).alias("mean_confidence"))
+    lines = t(spark, d, "conversations").select("conv_id", F.when(F.col("turn") % 2 == 0, F.length("text")).alias("confidence"))
+    return _rounded(evaluation.mean_confidence(lines, "conv_id", "confidence"))
 
 
 @query()

@@ -182,12 +182,23 @@ def test_model_strategy(spark):
     assert r["total_score"] == round(r["scores"]["ats"] + 58, 1) and r["must_have_coverage"] == 0.6667 and len(r["strengths"]) == 5
     with pytest.raises(ValueError):
         matching.prompts(rows, "deterministic_b1")
+    few = matching.prompts(rows, "few_shot_m2").first()["prompt"]
+    assert matching.EXAMPLES in few and f"fixed ATS score at {r['scores']['ats']}/20" in few and few.count("SQL and Python") == 1
     bad = {**ANSWER, "impact_score": 31, "x": 1}
     del bad["tone_notes"]
     got = spark.createDataFrame([(json.dumps(bad),), (answer,), ("no",)], "raw string").select(matching.output_problems(F.col("raw")).alias("p")).collect()
     assert [r["p"] for r in got] == [["missing:tone_notes", "extra:x", "range:impact_score"], [], ["json"]]
 
 
+def test_model_contract(spark):
+    schema = json.loads(matching.output_schema())
+    assert set(schema["required"]) == set(schema["properties"]) == set(ANSWER) and not schema["additionalProperties"]
+    assert schema["properties"]["impact_score"] == {"type": "number", "minimum": 0, "maximum": 30}
+    assert schema["properties"]["quantified_lines"] == {"type": "integer", "minimum": 0}
+    rows = spark.createDataFrame([(5120,), (5121,), (None,)], "n int").select(matching.length_error(F.col("n")).alias("e")).collect()
+    assert [r["e"] for r in rows] == [None, "Prompt has 5121 tokens; maximum is 5120", None]
+
+
 def test_retrieval(spark):
     cv, _ = pointer.rebuilt(RECORD, pointer.lines_of(SOURCE))
     rows = spark.createDataFrame([(1, json.dumps(cv), "prefer specific action verbs"), (2, json.dumps(cv), "zzz")], "id int, cv string, jd string").withColumn("cv", F.from_json("cv", CV))

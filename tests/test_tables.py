@@ -177,6 +177,19 @@ def test_jobs_batch_and_stream(spark, tmp_path):
     assert changes.count(("t", "COMPLETED")) == 1 and ("u", "COMPLETED") not in changes and {t: s for t, s in changes} == batch
 
 
+def test_finalized_once(spark, tmp_path):
+    build = lambda s: state.finalized_once(s.withColumn("at", F.timestamp_seconds("seq")), "token", "at")
+    got = streamed(spark, tmp_path, [JOBS[:3], JOBS[3:]], "token string, status string, seq bigint", build)
+    assert sorted(r["token"] for r in got) == ["t", "u"] and {r["seq"] for r in got if r["token"] == "t"} == {3}
+
+
+def test_rejected_documents(spark):
+    read = spark.createDataFrame([("a", "x", None, 1), ("b", "y", None, 2), ("c", "z", "page count", 13)], "doc_id string, text string, error string, page_count int")
+    documents = spark.createDataFrame([("a", None), ("b", True), ("c", False), ("d", None)], "doc_id string, encrypted boolean")
+    got = {r["doc_id"]: (r["text"], r["error"], r["page_count"]) for r in layout.with_rejected(read, documents).collect()}
+    assert got == {"a": ("x", None, 1), "b": (None, "encrypted", 2), "c": ("z", "page count", 13), "d": (None, "no pages", None)}
+
+
 def test_stores(spark, tmp_path):
     jobs = spark.createDataFrame([("a", "COMPLETED", "2024-01-01 00:00:00"), ("b", "IN_QUEUE", "2024-01-01 21:00:01"), ("c", "IN_QUEUE", "2024-01-01 20:59:59"), ("d", "FAILED", None)], "token string, status string, u string").withColumn("updated_at", F.to_timestamp("u"))
     gone = state.expired(jobs, F.lit("2024-01-02 00:00:00").cast("timestamp")).collect()
