@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentlake.llm import decontaminate, html_text, langid, lines, merkle, mixing, near_dup, passages, secrets, token_files
+from talentlake.llm import align, decontaminate, fill_middle, html_text, langid, lines, merkle, mixing, near_dup, passages, secrets, token_files
 from talentlake.llm._util import configured, new_path
 
 
@@ -67,8 +67,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.aligned(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_secret_scan, op4_decontamination, op5_line_dedup, op6_repeated_passages, op7_main_text, op8_near_duplicates, op9_token_files, op10_fingerprints)}
+    first = (op1_language_id, op2_mix_sources, op3_secret_scan, op4_decontamination, op5_line_dedup, op6_repeated_passages, op7_main_text)
+    rest = (op8_near_duplicates, op9_token_files, op10_fingerprints, op11_token_alignment, op12_fill_middle)
+    return {f.__name__: f for f in first + rest}
 
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -97,6 +107,17 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.root AS component_id,
 FROM s JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id) m ON m.doc_id = s.doc_id"""
 
 
+OP12_SQL = """
+WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS x FROM documents),
+h AS (SELECT doc_id, t, u, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || x[i:i + 7] AS BIGINT)) AS h FROM u),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express; the others are held against brute force in tests/llm."""
-    return {"op5_line_dedup": OP5_SQL, "op8_near_duplicates": OP8_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op8_near_duplicates": OP8_SQL, "op12_fill_middle": OP12_SQL}
