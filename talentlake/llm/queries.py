@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentlake.llm import align, decontaminate, fill_middle, html_text, langid, lines, merkle, mixing, near_dup, passages, secrets, token_files
+from talentlake.llm import align, decontaminate, fill_middle, html_text, langid, lines, merkle, mixing, near_dup, packing, passages, secrets, token_files
 from talentlake.llm._util import configured, new_path
 
 
@@ -75,9 +75,13 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(_table(spark, sf_dir, "documents"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.packed(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
+
+
 def queries() -> dict:
     first = (op1_language_id, op2_mix_sources, op3_secret_scan, op4_decontamination, op5_line_dedup, op6_repeated_passages, op7_main_text)
-    rest = (op8_near_duplicates, op9_token_files, op10_fingerprints, op11_token_alignment, op12_fill_middle)
+    rest = (op8_near_duplicates, op9_token_files, op10_fingerprints, op11_token_alignment, op12_fill_middle, op13_packing)
     return {f.__name__: f for f in first + rest}
 
 

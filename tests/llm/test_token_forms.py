@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talentlake.llm import align, chunks, fill_middle, queries
+from talentlake.llm import align, chunks, fill_middle, packing, queries
 from talentlake.llm._util import configured, text_buffers
 
 ODD = [
@@ -146,3 +147,104 @@ def test_fill_middle_sql(spark, sf_dir):
     want = con.execute(queries.OP12_SQL)
     names = [d[0] for d in want.description]
     assert sorted(map(tuple, queries.op12_fill_middle(spark, sf_dir).select(names).collect())) == sorted(want.fetchall())
+
+
+# -- packing ----------------------------------------------------------------------------------------------------------
+
+
+def check_pieces(pieces, texts):
+    """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) hold every id once and need no padding."""
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
+    want = Counter()
+    for i, t in texts:
+        ids = np.array([*coder.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want[i, len(ids), zlib.crc32(ids.tobytes())] += 1
+    by_doc, by_sequence = {}, {}
+    for i, start, length, crc, n, sequence, offset in pieces:
+        assert length > 0 and 0 <= crc < 1 << 32
+        by_doc.setdefault(i, []).append((start, length, crc, n))
+        by_sequence.setdefault(sequence, []).append((offset, length))
+    for of in by_sequence.values():
+        at = 0
+        for offset, length in sorted(of):
+            assert offset == at
+            at += length
+        assert at == 1024 or at < 1024 and at.bit_count() == 1  # no padding at all
+    assert Counter(i for i, _ in texts) == Counter({i: sum(s == 0 for s, *_ in of) for i, of in by_doc.items()})
+    assert sum(length for of in by_doc.values() for _, length, *_ in of) == sum(n * k for (_, n, _), k in want.items())
+    return by_doc, want
+
+
+def test_packing_of_odd_texts(spark, frame, empty, rows):
+    configured(spark)
+    path = queries.vocabulary("byte_bpe_50k.json")
+    long = " ".join(f"w{k}" for k in range(40_000))
+    every = rows + [(50, long, None, None), (51, "a" * 5000 + "\n" + "b <|endoftext|> c<|endoftext|>\n\n<|endoftext|> d", None, None)] + [(100 + k, "same words again and again " * 30, "x", "x") for k in range(300)]
+    pieces = packing.packed(frame(every).repartition(3), path)
+    kept = pieces.collect()
+    by_doc, want = check_pieces([(r["doc_id"], r["start"], r["length"], zlib.crc32(bytes(r["ids"])), r["doc_tokens"], r["sequence_id"], r["offset"]) for r in kept], [(r[0], r[1]) for r in every])
+    ids = {}
+    for r in sorted(kept, key=lambda r: r["start"]):
+        ids.setdefault(r["doc_id"], []).append(bytes(r["ids"]))
+    single = [r[0] for r in every if [x[0] for x in every].count(r[0]) == 1]
+    assert all((i, len(b"".join(ids[i])) // 4, zlib.crc32(b"".join(ids[i]))) in want for i in single)
+    whole = packing.sequences(pieces).collect()
+    assert sum(len(r["ids"]) for r in whole) == 4 * sum(r["n_tokens"] for r in whole) == sum(len(r["ids"]) for r in kept)
+    assert packing.packed(empty, path).count() == 0
+
+
+def test_packing_query(spark, small, sf_dir):
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    pieces = list(map(tuple, queries.op13_packing(spark, sf_dir).select(columns).collect()))
+    by_doc, want = check_pieces(pieces, [(r["doc_id"], r["text"]) for r in small.select("doc_id", "text").collect()])
+    for i, of in by_doc.items():
+        at, crc = 0, 0
+        for start, length, _, n in sorted(of):
+            assert start == at
+            at += length
+        assert at == n
+        if len(of) == 1:
+            assert (i, n, of[0][2]) in want
+
+
+@pytest.mark.parametrize("kind", ["even", "short", "few", "hot", "one", "none"])
+def test_plan_places_every_rest(kind):
+    """Every rest of a histogram has its place, places don't overlap, and only the line cuts rests."""
+    rng = np.random.default_rng(7)
+    v = np.arange(1024)
+    counts = {"even": rng.poisson(20, 1024), "short": rng.poisson(200 * np.exp(-v / 250)), "few": rng.poisson(0.2, 1024), "hot": np.where(v == 700, 9000, rng.poisson(9, 1024)), "one": (v == 3) * 5, "none": 0 * v}[kind]
+    plan = packing.planned(counts)
+    counts[0] = 0
+    used, cut_ = {}, 0
+    for length in v[1:]:
+        for rank in range(counts[length]):
+            got = plan.places(int(length), rank)
+            assert sum(n for *_, n in got) == length
+            cut_ += len(got) > 1
+            for sequence, offset, n in got:
+                used.setdefault(sequence, []).append((offset, n))
+    assert sorted(used) == list(range(plan.n_sequences))
+    for of in used.values():
+        at = 0
+        for offset, n in sorted(of):
+            assert offset == at
+            at += n
+        assert at == 1024 or at.bit_count() == 1
+    if kind in ("even", "short"):
+        assert cut_ < 0.05 * counts.sum()
+
+
+def test_least_squares_meets_the_histogram():
+    """Where a histogram is a sum of combinations, the solver finds amounts of no error."""
+    rng = np.random.default_rng(3)
+    every = packing.combinations(np.full(1024, 100))
+    counts = np.zeros(1024, np.int64)
+    for j in rng.integers(0, len(every), 200):
+        np.add.at(counts, every[j], 50)
+    counts[0] = 0
+    rows = packing.combinations(counts)
+    x = packing.repeats(rows, counts, 3000)
+    left = counts - np.bincount(rows.ravel(), np.repeat(x, rows.shape[1]), 1024)
+    assert (x >= 0).all() and np.abs(left[1:]).sum() < 0.01 * counts.sum()
