@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from talentlake.functions import skills as sk
 from talentlake.functions import text as tx
 from talentlake.operators import evaluation, integrity, jsonc, layout, matching, pointer, policy, redact, retrieve, scoring
-from talentlake.session import ship
+from talentlake.session import new_path, ship
 from talentlake.sources import files
-from talentlake.streaming import state
+from talentlake.sources.store import Store
+from talentlake.streaming import sinks, state, timers
+from talentlake.streaming.replay import replayed
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ALL: dict[str, tuple[Query, str | None]] = {}
@@ -841,6 +843,81 @@ def resume_pending(spark, d):
     return state.pending(t(spark, d, "orders").select("o_orderkey"), done, "o_orderkey")
 
 
+def _job_events(spark, d) -> DataFrame:
+    k = F.col("event_id") % 9
+    status = F.when(k == 0, "COMPLETED").when(k == 1, "FAILED").when(k == 2, "IN_QUEUE").otherwise("IN_PROGRESS")
+    return t(spark, d, "events").select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("at"), status.alias("status"))
+
+
+_TTL = "CASE WHEN r.status IN ('COMPLETED', 'FAILED') THEN INTERVAL 24 HOUR ELSE INTERVAL 3 HOUR END"
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT user_id, CASE event_id % 9 WHEN 0 THEN 'COMPLETED' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'IN_QUEUE' ELSE 'IN_PROGRESS' END AS status, ts,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r AS (
+  SELECT user_id, rn, 1 AS life, status, ts AS began, ts AS updated FROM e WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.rn, r.life + CASE WHEN e.ts > r.updated + {_TTL} THEN 1 ELSE 0 END,
+    CASE WHEN e.ts > r.updated + {_TTL} OR r.status NOT IN ('COMPLETED', 'FAILED') THEN e.status ELSE r.status END,
+    CASE WHEN e.ts > r.updated + {_TTL} THEN e.ts ELSE r.began END,
+    CASE WHEN e.ts > r.updated + {_TTL} OR r.status NOT IN ('COMPLETED', 'FAILED') THEN e.ts ELSE r.updated END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1),
+l AS (SELECT user_id, arg_max(status, rn) AS status, any_value(began) AS began, arg_max(updated, rn) AS updated, count(*) AS n FROM r GROUP BY user_id, life),
+x AS (SELECT r.*, updated + {_TTL} AS expired FROM l r)
+SELECT user_id, status, epoch_us(began) AS began_us, epoch_us(updated) AS updated_us, epoch_us(expired) AS expired_us, CAST(n AS BIGINT) AS n_events FROM x
+WHERE epoch_ms(expired) < (SELECT epoch_ms(max(ts)) FROM events)""")
+def job_lives(spark, d):
+    """The events as a stream: jobs that its timers cleaned up, in three runs from one checkpoint."""
+    timers.timed(spark)
+    out = new_path(spark, "job-lives")
+    sink = lambda lives, checkpoint: lives.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    replayed(_job_events(spark, d), "at", lambda rows, checkpoint: sink(timers.job_lives_stream(rows, "user_id", "status", "at", "event_id"), checkpoint))
+    us = [F.unix_micros(f"{c}_at").alias(f"{c}_us") for c in ("began", "updated", "expired")]
+    return spark.read.parquet(out).select("user_id", "status", *us, "n_events")
+
+
+@query("""
+WITH f AS (SELECT user_id, event_id, CASE event_id % 9 WHEN 0 THEN 'COMPLETED' ELSE 'FAILED' END AS status, event_id % 2 = 0 AS consent, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_id % 9 < 2)
+SELECT 'results' AS store, user_id, event_id FROM f WHERE rn = 1
+UNION ALL SELECT 'opted_in', user_id, event_id FROM f WHERE rn = 1 AND status = 'COMPLETED' AND consent AND user_id % 10 <> 3""")
+def stored_once(spark, d):
+    """Finished jobs of the events' stream in two stores; every batch comes twice, as after a failure."""
+    schema = "user_id long, event_id long, event_type string, status string, research_consent boolean, at struct<t:timestamp,i:long>, batch_id long"
+    root = new_path(spark, "stored-once")
+    results, opted_in = (Store(spark, f"{root}/{name}", schema) for name in ("results", "opted_in"))
+    gone = Store(spark, f"{root}/withdrawn", "user_id long")
+    events = _job_events(spark, d)
+    gone.append(events.where("user_id % 10 = 3").select("user_id").distinct())
+    rows = events.withColumn("research_consent", F.col("event_id") % 2 == 0)
+    once = sinks.finalizer(results, opted_in, "user_id", withdrawn=gone)
+
+    def twice(batch: DataFrame, number: int) -> None:
+        batch = batch.withColumn("at", F.struct(F.col("at").alias("t"), F.col("event_id").alias("i")))
+        once(batch, number)
+        once(batch, number)
+
+    replayed(rows, "at", lambda s, checkpoint: s.writeStream.foreachBatch(twice).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    named = [x.read().select(F.lit(name).alias("store"), "user_id", "event_id") for name, x in (("results", results), ("opted_in", opted_in))]
+    return named[0].unionByName(named[1])
+
+
+@query("""
+SELECT 'before' AS version, c_custkey, c_name FROM customer
+UNION ALL SELECT 'after', c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 4 = 0)""")
+def erased_store(spark, d):
+    """A store before and after a stream of withdrawal codes: who reads the old version goes on seeing it."""
+    store = Store(spark, new_path(spark, "erased-store"), "c_custkey long, c_name string, withdrawal_hash string")
+    customers = t(spark, d, "customer").select("c_custkey", "c_name", F.sha2(F.col("c_custkey").cast("string"), 256).alias("withdrawal_hash"))
+    store.append(customers.where("c_custkey % 2 = 0"))
+    store.append(customers.where("c_custkey % 2 <> 0"))
+    before = store.read()
+    codes = t(spark, d, "orders").where("o_orderkey % 4 = 0").select(F.concat(F.lit(" "), F.col("o_custkey").cast("string")).alias("code"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    replayed(codes, "at", lambda s, checkpoint: s.writeStream.foreachBatch(sinks.eraser(store)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), spans=2)
+    named = [x.select(F.lit(name).alias("version"), "c_custkey", "c_name") for name, x in (("before", before), ("after", store.read()))]
+    return named[0].unionByName(named[1])
+
+
 @query("SELECT CAST(o_custkey AS VARCHAR) AS remote_job_id, min(lpad(CAST(o_orderkey AS VARCHAR), 12, '0')) AS token FROM orders WHERE o_custkey % 3 = 0 GROUP BY o_custkey")
 def job_by_remote_id(spark, d):
     jobs = t(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("remote_job_id"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("token"))

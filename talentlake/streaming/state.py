@@ -1,18 +1,17 @@
 """State over time: request limits, job life cycles, consent, erasure and clean-up, as batch and as streams.
 
 The batch forms read sorted partitions row by row with a bounded state, so a key that has a third of all events needs no
-more memory than any other; the stream forms keep the same state per key.
+more memory than any other. Streams with timers are in timers.py, sinks that store once in sinks.py.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 #: Requests of one client in a window of seconds, the hours after which a job goes, and the states that end one (fixed values).
 MOST_REQUESTS, WINDOW_S, PENDING_H, FINISHED_H = 5, 3600, 3, 24
@@ -53,21 +52,6 @@ def limited(events: DataFrame, key: str, epoch: str, order: str, most: int = MOS
     return events.where(F.col(epoch).isNotNull() & F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, epoch, order).mapInPandas(run, schema)
 
 
-def limited_stream(events: DataFrame, key: str, epoch: str, order: str, most: int = MOST_REQUESTS, window: int = WINDOW_S) -> DataFrame:
-    """The same over a stream of (key, epoch, order); each batch's requests of a key are taken in order."""
-    kinds = dict(events.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (key, epoch, order)) + ", allowed boolean"
-
-    def step(name, frames, state):
-        limiter = Limiter(most, window, state.get[0] if state.exists else ())
-        rows = pd.concat(list(frames)).sort_values([epoch, order])
-        rows["allowed"] = [limiter.allow(int(t)) for t in rows[epoch]]
-        state.update((list(limiter.log),))
-        yield rows[[key, epoch, order, "allowed"]]
-
-    return events.select(key, epoch, order).groupBy(key).applyInPandasWithState(step, schema, "log array<bigint>", "append", GroupStateTimeout.NoTimeout)
-
-
 def trailing_count(events: DataFrame, key: str, epoch: str, window: int = WINDOW_S) -> DataFrame:
     """events with n_trailing, all events of the key in the last `window` seconds, this one and those at its second included."""
     w = Window.partitionBy(key).orderBy(epoch).rangeBetween(-window, 0)
@@ -88,40 +72,11 @@ def job_states(events: DataFrame, token: str = "token", status: str = "status",
     ).select(token, F.coalesce("f", "l").alias("status"), "n_events")
 
 
-def job_states_stream(events: DataFrame, token: str = "token", status: str = "status", order: str = "seq") -> DataFrame:
-    """The same as a stream that puts out each change of a job's state once; what follows a final state changes nothing."""
-    kinds = dict(events.dtypes)
-
-    def step(name, frames, state):
-        now, was = (state.get[0] if state.exists else None), []
-        for s in pd.concat(list(frames)).sort_values(order)[status]:
-            if now not in FINAL and s != now:
-                now = s
-                was.append(s)
-        if now is not None:
-            state.update((now,))
-        yield pd.DataFrame({token: [name[0]] * len(was), "status": was})
-
-    return events.select(token, status, order).groupBy(token).applyInPandasWithState(step, f"{token} {kinds[token]}, status string", "status string", "append", GroupStateTimeout.NoTimeout)
-
-
 def finalized_once(events: DataFrame, token: str, time: str, delay: str = "24 hours") -> DataFrame:
     """The first final event of each job in a stream, however often poll and webhook report it."""
     return events.where(F.col("status").isin(*FINAL)).withWatermark(time, delay).dropDuplicatesWithinWatermark([token])
 
 
-def store_batch(write_result: Callable[[DataFrame], None], write_opt_in: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: results of all finished jobs to one sink, consented ones to another. Both rows carry the
-    batch's number, by which a repeated batch is known."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        marked = batch.withColumn("batch_id", F.lit(number).cast("long"))
-        write_result(marked)
-        write_opt_in(marked.where("status = 'COMPLETED' and research_consent"))
-
-    return write
-
-
 def expired(jobs: DataFrame, now: Column, updated: str = "updated_at", status: str = "status") -> DataFrame:
     """Jobs to be cleaned up: finished ones after a day, others after three hours. A job without a time stays."""
     hours = F.when(F.col(status).isin(*FINAL), FINISHED_H).otherwise(PENDING_H)

@@ -10,7 +10,7 @@ from talentlake.operators import evaluation, integrity, layout
 from talentlake.schemas import CV
 from talentlake.session import ship
 from talentlake.sources import files
-from talentlake.streaming import state
+from talentlake.streaming import state, timers
 
 
 def cv(**changes):
@@ -152,6 +152,7 @@ def streamed(spark, tmp_path, batches, schema, build):
     source.mkdir()
     for i, rows in enumerate(batches):
         pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).to_json(source / f"{i}.json", orient="records", lines=True)
+    timers.timed(spark)
     stream = build(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"file://{source}"))
     run = stream.writeStream.foreachBatch(lambda df, n: out.extend(df.collect())).option("checkpointLocation", f"file://{tmp_path}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination(120)
@@ -160,7 +161,7 @@ def streamed(spark, tmp_path, batches, schema, build):
 
 def test_limiter_stream(spark, tmp_path):
     ship(spark)
-    got = streamed(spark, tmp_path, [REQUESTS[:4], REQUESTS[4:]], "who string, epoch bigint, n int", lambda s: state.limited_stream(s, "who", "epoch", "n", 2, 100))
+    got = streamed(spark, tmp_path, [REQUESTS[:4], REQUESTS[4:]], "who string, epoch bigint, n int", lambda s: timers.limited_stream(s, "who", "epoch", "n", 2, 100))
     assert {r["n"]: r["allowed"] for r in got} == plain_limiter(REQUESTS, 2, 100)
 
 
@@ -172,7 +173,7 @@ def test_jobs_batch_and_stream(spark, tmp_path):
     schema = "token string, status string, seq bigint"
     batch = {r["token"]: r["status"] for r in state.job_states(spark.createDataFrame(JOBS, schema)).collect()}
     assert batch == {"t": "COMPLETED", "u": "FAILED", "v": "IN_QUEUE"}
-    got = streamed(spark, tmp_path, [JOBS[:3], JOBS[3:]], schema, state.job_states_stream)
+    got = streamed(spark, tmp_path, [JOBS[:3], JOBS[3:]], schema, lambda s: timers.job_states_stream(s.withColumn("at", F.timestamp_seconds("seq")), "token", "status", "at", "seq"))
     changes = [(r["token"], r["status"]) for r in got]
     assert changes.count(("t", "COMPLETED")) == 1 and ("u", "COMPLETED") not in changes and {t: s for t, s in changes} == batch
 
@@ -197,9 +198,5 @@ def test_stores(spark, tmp_path):
     store = spark.createDataFrame([("s1", "h1"), ("s2", "h1")], "submission_id string, source_sha256 string").withColumn("withdrawal_hash", F.sha2("submission_id", 256))
     assert [r[0] for r in state.withdrawn(store, spark.createDataFrame([(" s1 ",)], "code string")).select("submission_id").collect()] == ["s2"]
     assert tuple(state.public_stats(store).first()) == (2, 1)
-    saved = []
-    write = state.store_batch(lambda df: saved.append(df.count()), lambda df: saved.append(df.count()))
-    write(spark.createDataFrame([("COMPLETED", True), ("COMPLETED", False), ("FAILED", True)], "status string, research_consent boolean"), 7)
-    assert saved == [3, 1]
     delays = spark.range(7).select(state.poll_delay(F.col("id"))).collect()
     assert [r[0] for r in delays] == [0.8, 2.5, 2.5, 2.5, 2.5, 5.0, 5.0]
