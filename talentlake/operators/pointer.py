@@ -1,20 +1,21 @@
 """Pointer records: validation, spans, reconstruction from source lines, and the parse of a whole response.
 
-The exact validator walks one description of the record (SHAPE) and reports every problem; spans and reconstruction also
-have built-in forms for typed records.
+One description of the record (SHAPE) is walked twice: problems() over a Python value, and variant_problems(), which builds
+the expression that finds the same problems in a variant. Whole responses are parsed by the latter, without Python.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentlake.functions.text import source_lines
-from talentlake.operators.jsonc import attempt
-from talentlake.operators.policy import policy_message
+from talentlake.operators.jsonc import attempt, free_names, once, variant
+from talentlake.operators.policy import policy_message, skill_policy
 from talentlake.schemas import CV, EVIDENCE, ISSUES, POINTER
 
 PARSER_VERSION = "talentlake-pointer-1"
@@ -160,8 +161,157 @@ def canonical(cv: dict) -> dict:
     return order(cv, CV_SHAPE)
 
 
-def skill_key(value: str) -> str:
-    return " ".join(unicodedata.normalize("NFKC", value).casefold().split())
+# -- the same in built-in functions, over variants ----------------------------------------------------------------------
+# The expression is built as SQL text: it has some thousand parts, each of which would be a call to the JVM otherwise.
+
+_NONE = f"CAST(array() AS {ISSUES})"
+_QUOTED = r"""CASE WHEN contains({0}, "'") AND NOT contains({0}, '"') THEN concat('"', replace({0}, '\\', '\\\\'), '"') ELSE concat("'", replace(replace({0}, '\\', '\\\\'), "'", "\\'"), "'") END"""
+
+
+class _Names:
+    """Fresh names of lambda variables."""
+
+    def __init__(self):
+        self.n = 0
+
+    def __call__(self, start: str) -> str:
+        self.n += 1
+        return f"{start}{self.n}"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "\\'") + "'"
+
+
+def _sql_once(names: _Names, value: str, build: Callable[[str], str]) -> str:
+    """build over a name for a value that is computed once."""
+    x = names("x")
+    return f"transform(array({value}), {x} -> {build(x)})[0]"
+
+
+def _sql_issue(code: str, field: str, message: str, category: str = "schema", retryable: bool = True) -> str:
+    return f"named_struct('code', '{code}', 'field', {field}, 'message', {message}, 'category', '{category}', 'retryable', {str(retryable).lower()})"
+
+
+def _sql_if(bad: str, issue: str) -> str:
+    return f"CASE WHEN {bad} THEN array({issue}) ELSE {_NONE} END"
+
+
+def _sql_kind(names: _Names, value: str) -> str:
+    """The kind of a variant, named as messages name it. A number with a fraction, also of zero, is a float."""
+    return _sql_once(names, f"coalesce(schema_of_variant({value}), 'VOID')", lambda k: (
+        f"CASE WHEN {k} = 'STRING' THEN 'str' WHEN {k} = 'VOID' THEN 'NoneType' WHEN {k} = 'BIGINT' OR {k} RLIKE '^DECIMAL[(](19|[23][0-9]),0[)]$' THEN 'int' "
+        f"WHEN {k} = 'BOOLEAN' THEN 'bool' WHEN startswith({k}, 'ARRAY') THEN 'list' WHEN startswith({k}, 'OBJECT') THEN 'dict' ELSE 'float' END"
+    ))
+
+
+def kind_of(value: str) -> Column:
+    """The kind of a variant, given as SQL: NoneType, str, bool, int, float, list or dict."""
+    return F.expr(_sql_kind(_Names(), value))
+
+
+class _Sql:
+    """SQL of the problems of a variant against a shape, in the order of _Walk."""
+
+    def __init__(self, line_count: str):
+        self.names, self.line_count = _Names(), line_count
+
+    def expect(self, value: str, kinds: tuple[str, ...], code: str, field: str, what: str) -> str:
+        allowed = ", ".join(map(_text, kinds))
+        return _sql_once(self.names, _sql_kind(self.names, value), lambda k: _sql_if(f"{k} NOT IN ({allowed})", _sql_issue(code, field, f"concat('expected {what}, got ', {k})")))
+
+    def keys(self, value: str, fields: str, shape: dict, field: str) -> str:
+        known = "array(" + ", ".join(map(_text, sorted(shape))) + ")"
+        shown = lambda found: f"concat('[', array_join(transform(array_sort({found}), y -> {_QUOTED.format('y')}), ', '), ']')"
+        parts = []
+        for code, words, found in (("missing_keys", "missing keys: ", f"array_except({known}, map_keys({fields}))"), ("extra_keys", "extra keys: ", f"array_except(map_keys({fields}), {known})")):
+            parts.append(_sql_once(self.names, found, lambda x, code=code, words=words: _sql_if(f"size({x}) > 0", _sql_issue(code, field, f"concat('{words}', {shown(x)})"))))
+        return f"CASE WHEN {fields} IS NULL THEN {self.expect(value, ('dict',), 'object_type', field, 'object')} ELSE concat({', '.join(parts)}) END"
+
+    def each(self, fields: str, shape: dict, at: str | None) -> str:
+        path = lambda name: _text(name) if at is None else f"concat({at}, {_text('.' + name)})"
+        found = [_sql_once(self.names, f"try_element_at({fields}, {_text(name)})", lambda v, name=name, kind=kind: self.visit(v, kind, path(name))) for name, kind in shape.items()]
+        return f"concat({', '.join(found)})"
+
+    def listed(self, value: str, field: str, item: Callable[[str, str], str]) -> str:
+        x, i = self.names("x"), self.names("i")
+        wrong = self.expect(value, ("list",), "array_type", field, "array")
+        inside = lambda items: f"CASE WHEN {items} IS NULL THEN {wrong} ELSE flatten(transform({items}, ({x}, {i}) -> {item(x, i)})) END"
+        return _sql_once(self.names, f"try_variant_get({value}, '$', 'array<variant>')", inside)
+
+    def visit(self, value: str, kind, field: str) -> str:
+        numbered = lambda i: f"concat({field}, '[', CAST({i} AS STRING), ']')"
+        if isinstance(kind, dict):  # fields are looked at only if all are there
+            return self.fields_of(value, lambda f: self.closed(value, f, kind, field))
+        if isinstance(kind, list):
+            item = lambda x, i: self.fields_of(x, lambda f: f"concat({self.keys(x, f, kind[0], numbered(i))}, CASE WHEN {f} IS NULL THEN {_NONE} ELSE {self.each(f, kind[0], numbered(i))} END)")
+            return self.listed(value, field, item)
+        if kind == "texts":
+            return self.listed(value, field, lambda x, i: self.visit(x, "text", numbered(i)))
+        if kind == "text":
+            return self.expect(value, ("str",), "string_type", field, "string")
+        if kind == "number":
+            return self.expect(value, ("NoneType", "int", "float"), "number_or_null_type", field, "number or null")
+        if kind == "integer":
+            return self.expect(value, ("NoneType", "int"), "integer_or_null_type", field, "integer or null")
+        return self.span(value, field)
+
+    def fields_of(self, value: str, build: Callable[[str], str]) -> str:
+        return _sql_once(self.names, f"try_variant_get({value}, '$', 'map<string,variant>')", build)
+
+    def closed(self, value: str, fields: str, kind: dict, field: str) -> str:
+        found = [self.each(fields, {k: "text" if v == "masked" else v for k, v in kind.items()}, field)]
+        for name in (n for n, v in kind.items() if v == "masked"):
+            own = f"try_element_at({fields}, {_text(name)})"
+            issue = _sql_issue("pii_not_masked", f"concat({field}, {_text('.' + name)})", _text(f"must be {MASK}"), "policy", False)
+            found.append(_sql_if(f"schema_of_variant({own}) = 'STRING' AND try_variant_get({own}, '$', 'string') <> '{MASK}'", issue))
+        return _sql_once(self.names, self.keys(value, fields, kind, field), lambda k: f"CASE WHEN size({k}) > 0 THEN {k} ELSE concat({', '.join(found)}) END")
+
+    def span(self, value: str, field: str) -> str:
+        x, count = self.names("x"), f"CAST({self.line_count} AS STRING)"
+
+        def inside(items: str) -> str:
+            paired = f"coalesce(size({items}) = 2 AND forall({items}, {x} -> {_sql_kind(self.names, x)} = 'int'), false)"
+            ends = ", ".join(f"'{c}', try_variant_get(get({items}, {k}), '$', 'decimal(38,0)')" for c, k in (("a", 0), ("b", 1)))
+            wrong = _sql_issue("span_type", field, "'expected null or exactly two integer line numbers'")
+            return f"CASE WHEN coalesce(schema_of_variant({value}), 'VOID') = 'VOID' THEN {_NONE} WHEN {paired} THEN {_sql_once(self.names, f'named_struct({ends})', broken)} ELSE array({wrong}) END"
+
+        def broken(s: str) -> str:
+            a, b = f"CAST({s}.a AS STRING)", f"CAST({s}.b AS STRING)"
+            rules = (
+                (f"{s}.a < 1", "span_start_before_first_line", f"concat('start=', {a}, ', minimum=1')"), (f"{s}.b < {s}.a", "span_reversed", f"concat('start=', {a}, ', end=', {b})"),
+                (f"{s}.b > {self.line_count}", "span_end_after_last_line", f"concat('end=', {b}, ', line_count=', {count})"),
+            )
+            return f"concat({', '.join(_sql_if(bad, _sql_issue(code, field, message, 'span')) for bad, code, message in rules)})"
+
+        return _sql_once(self.names, f"try_variant_get({value}, '$', 'array<variant>')", inside)
+
+
+def variant_problems(value: str, line_count: str, shape: dict = SHAPE) -> Column:
+    """All problems of a variant, as problems() has them and in its order, without Python. Both are given as SQL."""
+    sql = _Sql(line_count)
+    found = sql.fields_of(value, lambda f: f"concat({sql.keys(value, f, shape, _text('$'))}, CASE WHEN {f} IS NULL THEN {_NONE} ELSE {sql.each(f, shape, None)} END)")
+    return F.expr(found)
+
+
+def typed_paths(value: str, shape: dict = SHAPE) -> Column:
+    """(path, kind) of the fields that a shape names, as they are in a variant (given as SQL); list items by their number."""
+    names = _Names()
+    cell = lambda path, x: f"named_struct('path', {path}, 'kind', {_sql_kind(names, x)})"
+    got = lambda x, path, kind="variant": f"try_variant_get({x}, '{path}', '{kind}')"
+    paths = []
+    for name, kind in shape.items():
+        at = f"$.{name}"
+        own = [at, *[f"{at}.{k}" for k in kind]] if isinstance(kind, dict) else [at]
+        paths.append(f"array({', '.join(cell(_text(p), got(value, p)) for p in own)})")
+        if isinstance(kind, list):
+            cells = ", ".join(cell(f"concat('{at}[', CAST(i AS STRING), '].{k}')", got("x", f"$.{k}")) for k in kind[0])
+            paths.append(f"coalesce(flatten(transform({got(value, at, 'array<variant>')}, (x, i) -> array({cells}))), CAST(array() AS array<struct<path:string,kind:string>>))")
+    return F.expr(f"concat({', '.join(paths)})")
+
+
+def _issue(code: str, field: Column, message: Column, category: str, retryable: bool = True) -> Column:
+    return F.struct(F.lit(code).alias("code"), field.alias("field"), message.alias("message"), F.lit(category).alias("category"), F.lit(retryable).alias("retryable"))
 
 
 RESULT = (
@@ -171,42 +321,44 @@ RESULT = (
 )
 
 
-def _parse_response(source, strict, recoverable, steps, value, strict_error, recovery_error):
-    lines = lines_of(source or "")
-    if not lines:
-        return None
-    record = json.loads(value) if value is not None else None
-    cv = evidence = None
-    shaped = spanned = skilled = False
-    if record is None:
-        issues = [("json_not_recoverable", "$", recovery_error or strict_error or "unknown JSON error", "json", True)]
-    else:
-        issues = problems(record, len(lines))
-        kinds = {i[3] for i in issues}
-        shaped = not kinds & {"schema", "policy"}
-        spanned = shaped and "span" not in kinds
-        if spanned and isinstance(record, dict):
-            built, evidence = rebuilt(record, lines)
-            cv = canonical(built)
-            message = policy_message([skill_key(s) for s in cv["skills"]["hard_skills"]], [skill_key(s) for s in cv["skills"]["soft_skills"]])
-            skilled = message is None
-            if message:
-                issues.append(("skill_policy", "skills", message, "policy", False))
-    status = "failed" if record is None else "success" if cv is not None and not issues else "needs_review"
-    return (
-        PARSER_VERSION, status, strict, recoverable, list(steps), json.dumps(record, ensure_ascii=False) if isinstance(record, dict) else None,
-        shaped, spanned, json.dumps(cv, ensure_ascii=False) if cv is not None else None, cv is not None, skilled, evidence,
-        list(dict.fromkeys(i[1] for i in issues if i[4])), issues, strict_error, recovery_error,
-    )
+def with_pointer(rows: DataFrame, source: Column, parse: str = "parse", out: str = "pointer_parse") -> DataFrame:
+    """rows with a struct `out`: the parse of a response, from jsonc.with_parse's struct and the source text; null where the
+    source has no line. All of it is built-in functions over the response's variant, in steps that are columns of their own."""
+    names = free_names(rows, "p_lines", "p_variant", "p_kind", "p_found", "p_valid", "p_made", "p_policy")
+    lines, value, kind, found, valid, made, policy = map(F.col, names)
+    j, cv = F.col(parse), made["cv"]
+    lost = kind == "NoneType"
+    has = lambda *kinds: F.exists(found, lambda i: i["category"].isin(*kinds))
+    why = F.coalesce(j["recovery_error"], j["strict_error"], F.lit("unknown JSON error"))
+    staged = rows.withColumn(names[0], source_lines(source)).withColumn(names[1], variant(j["value"])).withColumn(names[2], kind_of(names[1]))
+    issues = F.when(lost, F.array(_issue("json_not_recoverable", F.lit("$"), why, "json"))).otherwise(variant_problems(names[1], f"size({names[0]})"))
+    staged = staged.withColumn(names[3], issues)
+    staged = staged.withColumn(names[4], F.struct((~lost & ~has("schema", "policy")).alias("shaped"), (~lost & ~has("schema", "policy", "span")).alias("spanned")))
+    record = F.when(valid["spanned"], F.try_variant_get(value, "$", POINTER))
+    staged = staged.withColumn(names[5], once(record, lambda r: F.when(r.isNotNull(), _rebuilt(r, lines))))
+    staged = staged.withColumn(names[6], skill_policy(cv["skills"]["hard_skills"], cv["skills"]["soft_skills"])["message"])
+    spanned = valid["spanned"]
+    unskilled = F.array(_issue("skill_policy", F.lit("skills"), policy, "policy", False))
+    every = F.when(policy.isNull(), found).otherwise(F.concat(found, unskilled))
+    status = F.when(lost, "failed").when(spanned & policy.isNull() & (F.size(found) == 0), "success").otherwise("needs_review")
+    cells = {
+        "parser_version": F.lit(PARSER_VERSION), "status": status, "strict_json": j["strict_json"], "recoverable_json": j["recoverable_json"],
+        "recovery_steps": j["recovery_steps"], "parsed_json": F.when(kind == "dict", j["value"]), "pointer_schema_valid": valid["shaped"],
+        "span_contract_valid": spanned, "cv_json": F.when(spanned, F.to_json(cv, {"ignoreNullFields": "false"})), "cvschema_valid": spanned,
+        "skill_policy_valid": spanned & policy.isNull(), "evidence": made["evidence"],
+        "retry_targets": F.array_distinct(F.transform(F.filter(found, lambda i: i["retryable"]), lambda i: i["field"])), "issues": every,
+        "strict_error": j["strict_error"], "recovery_error": j["recovery_error"],
+    }
+    result = F.struct(*[c.alias(n) for n, c in cells.items()]).cast(RESULT)
+    return staged.withColumn(out, F.when(F.size(lines) > 0, result)).drop(*names)
 
 
-def parsed_pointer(json_parse: Column, source: Column) -> Column:
-    """The parse of a response, from jsonc.parsed's struct and the source text; null where the source has no line."""
-    return F.udf(_parse_response, RESULT, useArrow=True)(source, *[json_parse[k] for k in ("strict_json", "recoverable_json", "recovery_steps", "value", "strict_error", "recovery_error")])
+def skill_key(value: str) -> str:
+    return " ".join(unicodedata.normalize("NFKC", value).casefold().split())
 
 
 def parsed_record(json_parse: Column) -> Column:
-    """The check of a direct record (no pointers) from jsonc.parsed's struct: its shape, then its skills; cv_json is its canonical form."""
+    """The check of a direct record (no pointers) from jsonc.with_parse's struct: its shape, then its skills; cv_json is its canonical form."""
     kind = "struct<schema_valid:boolean,schema_error:string,skill_policy_valid:boolean,skill_policy_error:string,cv_json:string>"
     return F.udf(_parse_record, kind, useArrow=True)(json_parse["value"])
 
@@ -253,25 +405,25 @@ def span_text(lines: Column, span: Column) -> Column:
 
 def reconstruct(pointer: Column, source: Column) -> Column:
     """struct(cv, evidence) of a typed, valid pointer, in built-in functions."""
+    return once(source_lines(source), lambda lines: _rebuilt(pointer, lines))
+
 
-    def build(lines: Column) -> Column:
-        cite = lambda s: span_text(lines, s)
-        cv = F.struct(
-            pointer["personal_info"].alias("personal_info"), cite(pointer["summary_span"]).alias("summary"), pointer["skills"].alias("skills"),
-            F.transform(pointer["experience"], lambda e: F.struct(e["company"], e["job_title"], e["duration"], cite(e["description_span"]).alias("description"))).alias("experience"),
-            F.transform(pointer["projects"], lambda p: F.struct(p["name"], p["role"], p["technologies"], cite(p["details_span"]).alias("details"))).alias("projects"),
-            *[pointer[k].alias(k) for k in ("education", "certifications", "activities", "awards")],
-        )
-        entry = lambda key, s: F.struct(key.alias("key"), F.struct(s.alias("span"), cite(s).alias("text")).alias("value"))
-        path = lambda name, i, what: F.concat(F.lit(f"{name}["), i.cast("string"), F.lit(f"].{what}"))
-        evidence = F.map_from_entries(F.concat(
-            F.array(entry(F.lit("summary"), pointer["summary_span"])),
-            F.transform(pointer["experience"], lambda e, i: entry(path("experience", i, "description"), e["description_span"])),
-            F.transform(pointer["projects"], lambda p, i: entry(path("projects", i, "details"), p["details_span"])),
-        ))
-        return F.struct(cv.alias("cv"), evidence.alias("evidence"))
-
-    return F.transform(F.array(source_lines(source)), build)[0]
+def _rebuilt(pointer: Column, lines: Column) -> Column:
+    cite = lambda s: span_text(lines, s)
+    cv = F.struct(
+        pointer["personal_info"].alias("personal_info"), cite(pointer["summary_span"]).alias("summary"), pointer["skills"].alias("skills"),
+        F.transform(pointer["experience"], lambda e: F.struct(e["company"], e["job_title"], e["duration"], cite(e["description_span"]).alias("description"))).alias("experience"),
+        F.transform(pointer["projects"], lambda p: F.struct(p["name"], p["role"], p["technologies"], cite(p["details_span"]).alias("details"))).alias("projects"),
+        *[pointer[k].alias(k) for k in ("education", "certifications", "activities", "awards")],
+    )
+    entry = lambda key, s: F.struct(key.alias("key"), F.struct(s.alias("span"), cite(s).alias("text")).alias("value"))
+    path = lambda name, i, what: F.concat(F.lit(f"{name}["), i.cast("string"), F.lit(f"].{what}"))
+    evidence = F.map_from_entries(F.concat(
+        F.array(entry(F.lit("summary"), pointer["summary_span"])),
+        F.transform(pointer["experience"], lambda e, i: entry(path("experience", i, "description"), e["description_span"])),
+        F.transform(pointer["projects"], lambda p, i: entry(path("projects", i, "details"), p["details_span"])),
+    ))
+    return F.struct(cv.alias("cv"), evidence.alias("evidence"))
 
 
 def span_slots(pointer: Column) -> Column:

@@ -22,9 +22,16 @@ def policy_message(hard: list[str], soft: list[str]) -> str | None:
     return "; ".join(m for m in found if m) or None
 
 
+def shown_text(x: Column) -> Column:
+    """A text as a message quotes it: in single quotes or, if it has some and no double ones, in double quotes."""
+    plain = F.replace(x, F.lit("\\"), F.lit("\\\\"))
+    other = F.contains(x, F.lit("'")) & ~F.contains(x, F.lit('"'))
+    return F.when(other, F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
 def _shown(items: Column) -> Column:
     """A list of texts as a message shows it."""
-    return F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(F.transform(items, shown_text), ", "), F.lit("]"))
 
 
 def skill_policy(hard: Column, soft: Column) -> Column:

@@ -352,7 +352,7 @@ def json_keys_validate(spark, d):
 
 @query("SELECT event_id, event_id % 6 IN (0) AS strict_json, event_id % 6 < 5 AS recoverable_json FROM events")
 def strict_json(spark, d):
-    return t(spark, d, "events").select("event_id", jsonc.parsed(_raw()).alias("p")).select("event_id", "p.strict_json", "p.recoverable_json")
+    return jsonc.with_parse(t(spark, d, "events"), _raw()).select("event_id", "parse.strict_json", "parse.recoverable_json")
 
 
 # -- pointers ---------------------------------------------------------------------------------------------------------
@@ -405,13 +405,26 @@ def reconstruct_evidence(spark, d):
     return rows.select("doc_id", "path", F.get("e.span", F.lit(0)).alias("start_line"), F.get("e.span", F.lit(1)).alias("end_line"), F.col("e.text").alias("cited"))
 
 
-@query()
+_CV_JSON = """'{"personal_info":{"name":"[MASKED]","email":"[MASKED]","phone":"[MASKED]","github_url":""},"summary":' || to_json(CASE WHEN n >= 1 THEN l[1] ELSE '' END) || ',"skills":{"hard_skills":["SQL","Python"],"soft_skills":["' ||
+CASE WHEN doc_id % 4 = 0 THEN 'Leadership' ELSE 'Communication' END || '"]},"experience":[{"company":"Acme","job_title":' || to_json(source) || ',"duration":"2020","description":' || to_json(CASE WHEN n >= 3 THEN array_to_string(l[2:3], chr(10)) ELSE '' END) ||
+'}],"projects":[{"name":"Tool","role":"","technologies":["Python"],"details":""}],"education":[{"degree":"BSc","university":' || to_json(lang) || ',"gpa":' || CASE WHEN doc_id % 2 = 0 THEN '3.5' ELSE 'null' END || ',"year_graduated":' ||
+CASE WHEN doc_id % 3 = 0 THEN '2020' ELSE 'null' END || '}],"certifications":[],"activities":[],"awards":[]}'"""
+
+
+@query(f"""
+WITH r AS (SELECT doc_id, source, lang, l, len(l) AS n, doc_id % 5 = 0 AS wrapped, doc_id % 5 <> 0 AND doc_id % 7 = 0 AS lost, doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND doc_id % 11 = 0 AND len(l) >= 3 AS turned, doc_id % 4 = 0 AS odd
+  FROM (SELECT doc_id, source, lang, {_lines('text')} AS l FROM documents WHERE trim(text) <> '') WHERE len(l) > 0)
+SELECT doc_id, CASE WHEN lost THEN 'failed' WHEN turned OR odd THEN 'needs_review' ELSE 'success' END AS status, NOT wrapped AND NOT lost AS strict_json, NOT lost AS recoverable_json,
+CASE WHEN wrapped THEN ['leading_think', 'markdown_fence'] ELSE [] END AS recovery_steps, NOT lost AS pointer_schema_valid, NOT lost AND NOT turned AS span_contract_valid, NOT lost AND NOT turned AS cvschema_valid,
+NOT lost AND NOT turned AND NOT odd AS skill_policy_valid,
+CASE WHEN lost THEN ['json:json_not_recoverable:$'] WHEN turned THEN ['span:span_reversed:experience[0].description_span'] WHEN odd THEN ['policy:skill_policy:skills'] ELSE [] END AS issues,
+CASE WHEN NOT lost AND NOT turned THEN md5({_CV_JSON}) END AS cv_md5 FROM r""")
 def parse_pointer(spark, d):
     """Responses with and without wrappers and faults, parsed in full."""
-    rows = _pointer_rows(spark, d)
-    body = F.to_json("pointer", {"ignoreNullFields": "false"})
+    rows = _pointer_rows(spark, d).withColumn("body", F.to_json("pointer", {"ignoreNullFields": "false"}))
+    body = F.col("body")
     raw = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("<think>x</think>```json\n"), body, F.lit("\n```"))).when(F.col("doc_id") % 7 == 0, F.concat(body, F.lit(" tail"))).when(F.col("doc_id") % 11 == 0, F.replace(body, F.lit("[2,3]"), F.lit("[3,1]"))).otherwise(body)
-    out = rows.select("doc_id", pointer.parsed_pointer(jsonc.parsed(raw), F.col("text")).alias("p"))
+    out = pointer.with_pointer(jsonc.with_parse(rows, raw), F.col("text"), out="p")
     issues = F.array_sort(F.transform("p.issues", lambda i: F.concat_ws(":", i["category"], i["code"], i["field"])))
     return out.select("doc_id", "p.status", "p.strict_json", "p.recoverable_json", "p.recovery_steps", "p.pointer_schema_valid", "p.span_contract_valid", "p.cvschema_valid", "p.skill_policy_valid", issues.alias("issues"), F.md5(F.col("p.cv_json").cast("binary")).alias("cv_md5"))
 

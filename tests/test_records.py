@@ -2,6 +2,7 @@
 
 import copy
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ def changed(path, value):
 
 def parse(spark, raws, source=SOURCE):
     ship(spark)
-    rows = spark.createDataFrame(list(enumerate(raws)), "i int, raw string").select("i", pointer.parsed_pointer(jsonc.parsed(F.col("raw")), F.lit(source)).alias("p"))
+    rows = pointer.with_pointer(jsonc.with_parse(spark.createDataFrame(list(enumerate(raws)), "i int, raw string"), F.col("raw")), F.lit(source), out="p")
     return [r["p"] for r in sorted(rows.collect(), key=lambda r: r["i"])]
 
 
@@ -48,6 +49,67 @@ def test_strict_json(spark):
     assert got[1]["error"] == "duplicate_json_key=b" and got[2]["error"] == "non_standard_json_constant=NaN" and got[4]["value"] == "null"
 
 
+TEXTS = [
+    None, '{"a":1}', '{"a":1} x', '{"a":1}{', '{"a":1,"a":2}', '{"a":NaN}', "NaN", "Infinity", "1", "1.0", "1e3", "12345678901234567890", "null", '"x"', "[1,2.0,true,null]", "", "  ", '"a\tb"', "01", "{a:1}", "[1,]",
+    "/*c*/1", '  {"a":1}\n', '{"x":{"a":1,"a":1}}', "tru", "\ufeff1", '"\\u00e9\\n"', "-", "-1", "+1", ".5", "5.", "1,2", "1]", '1}', '1,"e":0}', '"}', "]", "{", '{"v":1}', '{"a":[{"b":{}}]}', "x" * 50, "[" * 40 + "]" * 40,
+]
+
+
+def test_built_in_parser_is_as_strict_as_python(spark):
+    """The variant is null for what Python refuses, and the two phases tell the same errors as two parses in Python."""
+    ship(spark)
+    wrapped = [f"<think>q</think>{x}" for x in TEXTS if x] + [f"```json\n{x}\n```" for x in TEXTS if x]
+    rows = spark.createDataFrame(list(enumerate([*TEXTS, *wrapped])), "i int, raw string")
+    fine = {r["raw"]: r["ok"] for r in rows.select("raw", jsonc.variant(F.col("raw")).isNotNull().alias("ok")).collect()}
+    assert {x: jsonc.attempt(x)[1] for x in TEXTS if x is not None} == {x: fine[x] for x in TEXTS if x is not None} and not fine[None]
+    for r in jsonc.with_parse(rows.select("*", jsonc.unwrapped(F.col("raw")).alias("u")), F.col("raw")).collect():
+        p = r["parse"]
+        if r["raw"] is None:
+            assert p["strict_json"] is None and p["value"] is None
+            continue
+        first, second = r["raw"].strip(), r["u"]["candidate"]
+        (_, ok1, error1), (_, ok2, error2) = jsonc.attempt(first), jsonc.attempt(second)
+        assert (p["strict_json"], p["recoverable_json"], p["strict_error"], p["recovery_error"]) == (ok1, ok1 or ok2, error1, None if ok1 else error2), r["raw"]
+        assert p["value"] == (first if ok1 else second if ok2 else None) and p["recovery_steps"] == ([] if ok1 else r["u"]["steps"])
+
+
+def scrambled(value, rng):
+    """A record with some of its parts replaced, dropped or added."""
+    odd = [None, 1, -3, 2.0, 2.5, True, "x", "[MASKED]", "", [], {}, [1, 2], [3, 1], [0, 99], [1], ["a", 1], {"k": None}, 10**20, "it's"]
+    if rng.random() < 0.08:
+        return copy.deepcopy(rng.choice(odd))
+    if isinstance(value, dict):
+        out = {k: scrambled(v, rng) for k, v in value.items() if rng.random() > 0.02}
+        return out | ({rng.choice(["x", "it's", 'q"', "b\\s", 'both\'"']): 1} if rng.random() < 0.06 else {})
+    if isinstance(value, list):
+        return [scrambled(v, rng) for v in value] + ([copy.deepcopy(value[0])] if value and rng.random() < 0.2 else [])
+    return value
+
+
+def test_built_in_validator_equals_the_walk(spark):
+    rng = random.Random(5)
+    full = {**RECORD, "projects": [{"name": "n", "role": "", "technologies": ["a"], "details_span": [1, 3]}], "awards": ["w"]}
+    records = [full, RECORD, [1], "x", 3, {}, True] + [scrambled(full, rng) for _ in range(400)]
+    rows = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "i int, raw string").repartition(3)
+    got = {r["i"]: [tuple(x) for x in r["p"]] for r in rows.select("i", jsonc.variant(F.col("raw")).alias("v")).select("i", pointer.variant_problems("v", "9").alias("p")).collect()}
+    for i, record in enumerate(records):
+        assert got[i] == pointer.problems(record, 9), record
+    assert sum(bool(v) for v in got.values()) > 200
+
+
+def test_paths_have_kinds(spark):
+    row = spark.createDataFrame([(json.dumps(RECORD),)], "raw string").select(jsonc.variant(F.col("raw")).alias("v")).select(pointer.typed_paths("v").alias("p")).first()
+    kinds = {x["path"]: x["kind"] for x in row["p"]}
+    assert kinds["$.summary_span"] == "list" and kinds["$.skills.hard_skills"] == "list" and kinds["$.education[0].gpa"] == "int" and kinds["$.education[0].year_graduated"] == "NoneType"
+    assert kinds["$.personal_info.name"] == "str" and "$.projects[0].name" not in kinds
+
+
+def test_messages_quote_apostrophes(spark):
+    texts = ["plain", "it's", 'say "x"', 'both \' and "', "back\\slash"]
+    got = spark.createDataFrame([(x,) for x in texts], "x string").select("x", policy.shown_text(F.col("x")).alias("s")).collect()
+    assert {r["x"]: r["s"] for r in got} == {x: repr(x) for x in texts}
+
+
 def test_wrappers(spark):
     raws = [" <think>a</think>\n<think>b</think> x", "<think>open x", "</tool_call></tool_call> x", "```JSON\n x \n```", "```json x``` tail", "<think>a</think></tool_call>```x```"]
     rows = spark.createDataFrame(list(enumerate(raws)), "i int, v string").select("i", jsonc.unwrapped(F.col("v")).alias("o"))
@@ -102,7 +164,7 @@ def test_record_parse(spark):
     ship(spark)
     cv, _ = pointer.rebuilt(RECORD, pointer.lines_of(SOURCE))
     raws = [json.dumps(cv), json.dumps({**cv, "x": 1}), "nope"]
-    rows = spark.createDataFrame(list(enumerate(raws)), "i int, raw string").select("i", pointer.parsed_record(jsonc.parsed(F.col("raw"))).alias("p"))
+    rows = jsonc.with_parse(spark.createDataFrame(list(enumerate(raws)), "i int, raw string"), F.col("raw")).select("i", pointer.parsed_record(F.col("parse")).alias("p"))
     got = {r["i"]: r["p"] for r in rows.collect()}
     assert got[0]["schema_valid"] and got[0]["skill_policy_valid"] and not got[1]["schema_valid"] and got[2]["schema_error"] == "json_not_recoverable"
 
