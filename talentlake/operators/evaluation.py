@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentlake.functions.text import value
 from talentlake.operators.pointer import span_slots
+from talentlake.session import new_path
 
 LIST_FIELDS = {"experience": ("company", "job_title", "duration", "description"), "projects": ("name", "role", "details"), "education": ("university", "degree", "gpa", "year_graduated")}
 LONG_TEXT = ("summary", "experience.description", "projects.details")
@@ -106,11 +109,81 @@ def issue_counts(rows: DataFrame, issues: str) -> DataFrame:
     return each.groupBy(F.concat_ws(":", "i.category", "i.code").alias("issue")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def efficiency(rows: DataFrame, number: str, *by: str) -> DataFrame:
+#: Numbers of a group up to which its percentiles are computed at once, buckets of a histogram, and targets that are broadcast.
+AT_ONCE, BUCKETS, TARGETS = 100_000, 4096, 20_000
+
+
+def exact_percentiles(rows: DataFrame, number: str, probabilities: list[float], *by: str, at_once: int | None = None) -> DataFrame:
+    """(*by, q): exact percentiles, linear between ranks, of each group; null where it has no number.
+
+    Small groups, and those with infinite numbers or none-numbers, are aggregated at once. For a larger one each pass
+    counts the numbers of a range by bucket and goes on with the bucket that holds a wanted rank, until that has few
+    numbers or one value: no task holds a large group, however its numbers lie. What a pass finds is a row for each wanted
+    rank, written to the shared folder."""
+    at_once = AT_ONCE if at_once is None else at_once
+    spark, names = rows.sparkSession, [f"k{i}" for i in range(len(by))]
+    rows = rows.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col(number).cast("double").alias("x"))
+    ask = F.array(*[F.lit(float(p)) for p in probabilities])
+    back = [F.col(n).alias(c) for n, c in zip(names, by, strict=True)]
+
+    def kept(df: DataFrame) -> DataFrame:
+        path = new_path(spark, "percentiles")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def on_keys(left: DataFrame, right: DataFrame) -> tuple[DataFrame, Column]:
+        """right with other names for the keys, and the condition that keys are the same."""
+        renamed = right.withColumnsRenamed({n: f"t_{n}" for n in names})
+        return renamed, reduce(lambda a, n: a & F.col(n).eqNullSafe(F.col(f"t_{n}")), names, F.lit(True))
+
+    odd = F.coalesce(F.max(F.isnan("x") | (F.abs("x") == float("inf"))), F.lit(False))
+    sizes = kept(rows.groupBy(*names).agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), odd.alias("odd")))
+    large = sizes.where((F.col("n") > at_once) & ~F.col("odd"))
+    n_large = large.count()
+    if not n_large:
+        return rows.groupBy(*names).agg(F.percentile("x", ask).alias("q")).select(*back, "q")
+    close = F.broadcast if n_large * 2 * len(probabilities) <= TARGETS else lambda df: df
+    few, same = on_keys(rows, large.select(*names))
+    small = rows.join(close(few), same, "left_anti").groupBy(*names).agg(F.percentile("x", ask).alias("q"))
+    if not names:  # the one group is large
+        small = small.where(F.lit(False))
+    # a target is a rank (from 0) and the range of numbers that it lies in, with `skip` numbers below and n within
+    place = lambda p: p * (F.col("n") - 1)
+    ranks = F.array_distinct(F.flatten(F.transform(ask, lambda p: F.array(F.floor(place(p)), F.ceil(place(p))))))
+    targets = kept(large.select(*names, F.explode(ranks).alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("skip"), "n"))
+    values = []
+    while True:
+        one = F.col("lo") == F.col("hi")
+        values.append(targets.where(one).select(*names, "rank", F.col("lo").alias("x")))
+        right, same = on_keys(rows, targets.where(~one & (F.col("n") <= at_once)))
+        nth = Window.partitionBy(*[f"t_{n}" for n in names], "rank").orderBy("x")
+        near = rows.join(close(right), same & F.col("x").between(F.col("lo"), F.col("hi"))).withColumn("i", F.row_number().over(nth) - 1 + F.col("skip"))
+        values.append(near.where(F.col("i") == F.col("rank")).select(*names, "rank", "x"))
+        wide = targets.where(~one & (F.col("n") > at_once))
+        if not wide.take(1):
+            break
+        right, same = on_keys(rows, wide.drop("n"))
+        share = (F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        bucket = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).alias("bucket")
+        inside = rows.join(close(right), same & F.col("x").between(F.col("lo"), F.col("hi")))
+        counts = inside.groupBy(*names, "rank", "skip", bucket).agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        before = Window.partitionBy(*names, "rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("skip", F.col("skip") + F.coalesce(F.sum("n").over(before), F.lit(0)))
+        targets = kept(counts.where((F.col("skip") <= F.col("rank")) & (F.col("rank") < F.col("skip") + F.col("n"))).select(*names, "rank", "lo", "hi", "skip", "n"))
+    found = reduce(DataFrame.unionByName, values).groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("v"))  # a few ranks a group
+    right, same = on_keys(found, large.select(*names, "n"))
+    both = found.join(close(right), same)
+    low, high = (lambda p: F.element_at("v", F.floor(place(p)))), (lambda p: F.element_at("v", F.ceil(place(p))))
+    between = lambda p: F.when(F.floor(place(p)) == F.ceil(place(p)), low(p)).otherwise((F.ceil(place(p)) - place(p)) * low(p) + (place(p) - F.floor(place(p))) * high(p))
+    return small.unionByName(both.select(*names, F.transform(ask, between).alias("q"))).select(*back, "q")
+
+
+def efficiency(rows: DataFrame, number: str, *by: str, at_once: int | None = None) -> DataFrame:
     """Sum, mean, median and 95th percentile (linear between ranks) of a number."""
-    q = F.percentile(number, F.array(F.lit(0.5), F.lit(0.95)))
-    out = rows.groupBy(*by).agg(F.sum(number).alias("total"), F.avg(number).alias("mean"), q.alias("q"))
-    return out.select(*by, "total", "mean", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"))
+    q = exact_percentiles(rows, number, [0.5, 0.95], *by, at_once=at_once)
+    out = rows.groupBy(*by).agg(F.sum(number).alias("total"), F.avg(number).alias("mean"))
+    same = reduce(lambda a, b: a & b, [F.col(f"o.{c}").eqNullSafe(F.col(f"q.{c}")) for c in by], F.lit(True))
+    return out.alias("o").join(q.alias("q"), same).select(*[F.col(f"o.{c}").alias(c) for c in by], "total", "mean", F.col("q.q")[0].alias("p50"), F.col("q.q")[1].alias("p95"))
 
 
 def mean_confidence(lines: DataFrame, key: str, confidence: str) -> DataFrame:

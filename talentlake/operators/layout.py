@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentlake.functions.text import collapse, is_contact_line, strip
@@ -25,17 +25,22 @@ def multi_column(blocks: Column, width: Column) -> Column:
 
 
 def multi_column_join(blocks: DataFrame) -> DataFrame:
-    """The same over block rows (page_id, width, x0, y0, x1, y1, text) as a range join within each page: (page_id, multi_column)."""
-    full = blocks.where(strip(F.col("text")) != "").withColumn("w", F.greatest("width", F.lit(1.0)))
-    left = (F.col("x0") < F.col("w") * LEFT_BELOW) & (F.col("x1") < F.col("w") * LEFT_END)
-    right = F.col("x0") > F.col("w") * LEFT_BELOW
-    counts = full.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(left).alias("n_left"), F.count_if(right).alias("n_right"))
-    enough = counts.where((F.col("n") >= BLOCKS) & (F.col("n_left") >= PER_SIDE) & (F.col("n_right") >= PER_SIDE)).select("page_id")
-    a = full.where(left).join(enough, "page_id", "left_semi").select("page_id", F.col("y0").alias("a0"), F.col("y1").alias("a1"))
-    b = full.where(right).select("page_id", F.col("y0").alias("b0"), F.col("y1").alias("b1"))
-    beside = a.join(b, "page_id").where(F.least("a1", "b1") - F.greatest("a0", "b0") > OVERLAP).select("page_id").distinct()
-    pages = blocks.select("page_id").distinct()
-    return pages.join(beside.withColumn("multi_column", F.lit(True)), "page_id", "left").fillna(False, ["multi_column"])
+    """The same over block rows (page_id, width, x0, y0, x1, y1, text): (page_id, multi_column).
+
+    A sweep down each page: for each block, how far down the blocks of the other side reach that begin no lower. No pairs
+    are made, so a page of n blocks costs a sort of n rows; the sweep and the counts share one shuffle by page."""
+    w = F.greatest("width", F.lit(1.0))
+    left = (F.col("x0") < w * LEFT_BELOW) & (F.col("x1") < w * LEFT_END)
+    side = F.when(strip(F.col("text")) != "", F.when(left, "l").when(F.col("x0") > w * LEFT_BELOW, "r").otherwise("-"))
+    rows = blocks.select("page_id", "y0", "y1", side.alias("side"))
+    down = Window.partitionBy("page_id").orderBy("y0").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    tall = F.col("y1") - F.col("y0") > OVERLAP
+    far = {k: F.max(F.when((F.col("side") == k) & tall, F.col("y1"))).over(down) for k in ("l", "r")}
+    met = F.when(F.col("side") == "l", far["r"]).when(F.col("side") == "r", far["l"])
+    swept = rows.withColumn("beside", tall & (met - F.col("y0") > OVERLAP))
+    by = swept.groupBy("page_id").agg(F.count("side").alias("n"), *[F.count_if(F.col("side") == k).alias(k) for k in ("l", "r")], F.max("beside").alias("beside"))
+    enough = (F.col("n") >= BLOCKS) & (F.col("l") >= PER_SIDE) & (F.col("r") >= PER_SIDE)
+    return by.select("page_id", (enough & F.coalesce("beside", F.lit(False))).alias("multi_column"))
 
 
 def dark_ratio(pixels: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentlake.functions.text import round1
+from talentlake.operators.jsonc import once, variant
 from talentlake.operators.retrieve import top_k
 from talentlake.operators.scoring import verdict
 from talentlake.schemas import MATCH_OUTPUT
@@ -98,31 +99,64 @@ def prompts(rows: DataFrame, strategy: str, cv: str = "cv", jd: str = "jd_text",
     return rows.withColumn("prompt", body)
 
 
-def asked(rows: DataFrame, model: Callable[[str], str]) -> DataFrame:
-    """rows with raw_output: what the model, a function from prompt to text, answers. It runs batch by batch on executors."""
+def asked(rows: DataFrame, model: Callable[[str], str], tokens: Callable[[str], int] | None = None, most: int = MOST_TOKENS) -> DataFrame:
+    """rows with raw_output, what the model, a function from prompt to text, answers, and model_error. It runs batch by
+    batch on executors. With tokens, a function that counts a prompt's, one of over `most` is refused before the model is
+    called: it has no output but an error. A prompt is never cut."""
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(raw_output=[model(p) for p in b["prompt"]])
+            sizes = [tokens(p) if tokens else 0 for p in b["prompt"]]
+            outputs = [model(p) if n <= most else None for p, n in zip(b["prompt"], sizes, strict=True)]
+            errors = [None if n <= most else f"Prompt has {n} tokens; maximum is {most}" for n in sizes]
+            yield b.assign(raw_output=pd.Series(outputs, b.index, dtype=object), model_error=pd.Series(errors, b.index, dtype=object))
 
-    return rows.mapInPandas(ask, type(rows.schema)([*rows.schema.fields]).add("raw_output", "string"))
+    return rows.mapInPandas(ask, type(rows.schema)([*rows.schema.fields]).add("raw_output", "string").add("model_error", "string"))
+
+
+def _typed(kind: str, value: Column) -> Column:
+    """Whether a variant has the kind of a field."""
+    schema = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+    if kind == "string":
+        return schema == "STRING"
+    if kind == "double":
+        return (schema == "BIGINT") | (schema == "DOUBLE") | schema.startswith("DECIMAL")
+    if kind == "int":
+        return (schema == "BIGINT") | schema.rlike(r"^DECIMAL\(\d+,0\)$")
+    return F.coalesce(F.forall(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING"), F.lit(False))
 
 
 def output_problems(raw: Column) -> Column:
-    """What is wrong with a model's answer: unknown or missing keys, and numbers out of range."""
-    names = [c.split()[0] for c in MATCH_OUTPUT.split(", ")]
-    known = F.array(*[F.lit(n) for n in names])
-    keys, typed = F.json_object_keys(raw), F.from_json(raw, MATCH_OUTPUT)
-    bad = [F.when(~typed[n].between(lo, hi if hi is not None else 1 << 30), F.lit(f"range:{n}")) for n, (lo, hi) in RANGES.items()]
-    return F.when(keys.isNull(), F.array(F.lit("json"))).otherwise(
-        F.concat(F.transform(F.array_sort(F.array_except(known, keys)), lambda k: F.concat(F.lit("missing:"), k)), F.transform(F.array_sort(F.array_except(keys, known)), lambda k: F.concat(F.lit("extra:"), k)), F.array_compact(F.array(*bad)))
-    )
+    """What is wrong with a model's answer: no strict JSON object, missing or unknown keys, values of another type, and
+    numbers out of range. Numbers in quotes and truth values are no numbers; a whole number may be written with a zero
+    fraction."""
+    kinds = dict(f.split(" ", 1) for f in MATCH_OUTPUT.split(", "))
+    known = F.array(*[F.lit(n) for n in kinds])
+    named = lambda start, found: F.transform(F.array_sort(found), lambda k: F.concat(F.lit(start), k))
+
+    def judged(fields: Column) -> Column:
+        keys = F.map_keys(fields)
+        checks = []
+        for name, kind in kinds.items():
+            value = F.try_element_at(fields, F.lit(name))
+            lo, hi = RANGES.get(name, (None, None))
+            number = F.try_variant_get(value, "$", "double")
+            beyond = F.lit(False) if lo is None else (number < lo) | (number > hi if hi is not None else F.lit(False))
+            wrong = F.when(~_typed(kind, value), F.lit(f"type:{name}")).when(beyond, F.lit(f"range:{name}"))
+            checks.append(F.when(value.isNotNull(), wrong))
+        return F.concat(named("missing:", F.array_except(known, keys)), named("extra:", F.array_except(keys, known)), F.array_compact(F.array(*checks)))
+
+    found = once(F.try_variant_get(variant(raw), "$", "map<string,variant>"), lambda f: F.when(f.isNotNull(), judged(f)))
+    return F.coalesce(found, F.array(F.lit("json")))
 
 
 def merged(rows: DataFrame, strategy: str, raw: str = "raw_output", result: str = "result") -> DataFrame:
-    """rows with result made from a model's valid answer and the fixed layout score of the deterministic result."""
-    o, r = F.from_json(F.col(raw), MATCH_OUTPUT), F.col(result)
-    packed = rows.select(F.struct(*[F.col(c) for c in rows.columns]).alias("row"), o.alias("o"))
+    """rows with result made from a model's valid answer and the fixed layout score of the deterministic result, and
+    `problems` of the answer (of a clashing name, `problems_`). An answer with problems is refused: its result is null."""
+    told = "problems"
+    while told in rows.columns:
+        told += "_"
+    packed = rows.select(F.struct(*[F.col(c) for c in rows.columns]).alias("row"), F.from_json(F.col(raw), MATCH_OUTPUT).alias("o"), output_problems(F.col(raw)).alias("p"))
     o, r = F.col("o"), F.col("row")[result]
     out = packed.withColumn("t", round1(r["scores"]["ats"] + o["impact_score"] + o["semantic_score"] + o["tone_score"]))
     keep = lambda name: o[name].alias(name)
@@ -134,8 +168,8 @@ def merged(rows: DataFrame, strategy: str, raw: str = "raw_output", result: str
         keep("quantified_lines"), F.slice(o["strengths"], 1, 5).alias("strengths"), F.slice(o["improvements"], 1, 5).alias("improvements"), r["extraction"].alias("extraction"),
         F.lit(STRATEGIES[strategy]).alias("method"), F.lit(strategy).alias("strategy"),
     )
-    made = out.select("row", new.alias("made"))
-    return made.select(*[F.col("made").alias(c) if c == result else F.col("row")[c].alias(c) for c in rows.columns])
+    made = out.select("row", "p", F.when(F.size("p") == 0, new).alias("made"))
+    return made.select(*[F.col("made").alias(c) if c == result else F.col("row")[c].alias(c) for c in rows.columns], F.col("p").alias(told))
 
 
 def length_error(tokens: Column, most: int = MOST_TOKENS) -> Column:
@@ -151,3 +185,16 @@ def output_schema() -> str:
         low, high = RANGES.get(name, (None, None))
         properties[name] = {**KINDS[kind], **({"minimum": low} if low is not None else {}), **({"maximum": high} if high is not None else {})}
     return json.dumps({"type": "object", "additionalProperties": False, "properties": properties, "required": list(fields)})
+
+
+#: Fixed values of a request: the system message, the schema's name and the most tokens of an answer.
+SYSTEM, SCHEMA_NAME, ANSWER_TOKENS = "Return only evidence-grounded structured matching data.", "cv_jd_matching", 1600
+
+
+def request(prompt: Column, model: str) -> Column:
+    """The body of a request to a chat model, as JSON: both messages, no sampling, and the strict schema of the answer."""
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    head = F.to_json(F.struct(F.lit(model).alias("model"), F.array(message("system", F.lit(SYSTEM)), message("user", F.coalesce(prompt, F.lit("")))).alias("messages")))
+    schema = {"type": "json_schema", "json_schema": {"name": SCHEMA_NAME, "strict": True, "schema": json.loads(output_schema())}}
+    rest = json.dumps({"temperature": 0, "reasoning_effort": "none", "max_tokens": ANSWER_TOKENS, "response_format": schema}, separators=(",", ":"))
+    return F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit("," + rest[1:]))

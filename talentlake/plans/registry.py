@@ -559,18 +559,37 @@ def strategy_results(spark, d):
     return rows.select("doc_id", "result.total_score", "result.verdict", "result.method").unionByName(model, allowMissingColumns=True)
 
 
-@query("""SELECT l_orderkey, l_linenumber, list_filter([CASE WHEN l_linenumber = 7 THEN 'missing:tone_notes' END, CASE WHEN l_quantity > 30 THEN 'range:impact_score' END, CASE WHEN l_partkey % 40 > 35 THEN 'range:semantic_score' END,
-CASE WHEN l_suppkey % 20 > 15 THEN 'range:tone_score' END], lambda x: x IS NOT NULL) AS problems FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, list_filter([CASE WHEN l_linenumber = 7 THEN 'missing:tone_notes' END,
+CASE WHEN l_linenumber = 3 THEN 'type:impact_score' WHEN l_quantity > 30 THEN 'range:impact_score' END, CASE WHEN l_partkey % 40 > 35 THEN 'range:semantic_score' END,
+CASE WHEN l_linenumber = 6 THEN 'type:tone_score' WHEN l_suppkey % 20 > 15 THEN 'range:tone_score' END, CASE WHEN l_linenumber = 4 THEN 'type:matched_skills' END,
+CASE WHEN l_linenumber = 5 THEN 'type:quantified_lines' END], lambda x: x IS NOT NULL) AS problems FROM lineitem""")
 def model_output_problems(spark, d):
-    """Answers of a model that lack a key or hold numbers out of range."""
+    """Answers of a model that lack a key, hold numbers out of range, or values of another type."""
     none, text = F.array().cast("array<string>"), F.lit("")
     values = {
         "impact_score": F.col("l_quantity").cast("double"), "impact_notes": text, "semantic_score": (F.col("l_partkey") % 40).cast("double"), "semantic_notes": text,
         "tone_score": (F.col("l_suppkey") % 20).cast("double"), "tone_notes": F.when(F.col("l_linenumber") != 7, text), "must_have_coverage": F.lit(0.5), "quantified_lines": F.lit(1),
         **{k: none for k in ("matched_skills", "missing_skills", "unverified_skills", "action_verbs_found", "passive_phrases_found", "strengths", "improvements")},
     }
-    raw = F.to_json(F.struct(*[v.alias(k) for k, v in values.items()]))
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", matching.output_problems(raw).alias("problems"))
+    raw, line = F.to_json(F.struct(*[v.alias(k) for k, v in values.items()])), F.col("l_linenumber")
+    for number, wrong in ((3, '"impact_score":"abc"'), (4, '"matched_skills":"SQL"'), (5, '"quantified_lines":1.5'), (6, '"tone_score":null')):
+        name = wrong.split(":")[0]
+        raw = F.when(line == number, F.regexp_replace(raw, name + r":(\[\]|[0-9.]+)", wrong)).otherwise(raw)
+    rows = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", raw.alias("raw"))
+    return rows.select("l_orderkey", "l_linenumber", matching.output_problems(F.col("raw")).alias("problems"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 2000 THEN 'Prompt has ' || length(text) || ' tokens; maximum is 2000' END AS model_error, CASE WHEN length(text) <= 2000 THEN CAST(length(text) AS VARCHAR) END AS raw_output FROM documents")
+def refused_prompts(spark, d):
+    """Texts as prompts, their signs as tokens, to a model that tells a prompt's length: it never sees the longer ones."""
+    rows = t(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("prompt"))
+
+    def model(prompt: str) -> str:
+        if len(prompt) > 2000:
+            raise ValueError("a long prompt came through")
+        return str(len(prompt))
+
+    return matching.asked(rows, model, len, 2000).select("doc_id", "model_error", "raw_output")
 
 
 @query()

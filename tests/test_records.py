@@ -252,6 +252,47 @@ def test_model_strategy(spark):
     assert [r["p"] for r in got] == [["missing:tone_notes", "extra:x", "range:impact_score"], [], ["json"]]
 
 
+def test_wrongly_typed_answers_are_refused(spark):
+    """Each wrong type is named, and merged() gives no result for such an answer."""
+    wrong = [
+        ("impact_score", "abc"), ("impact_score", "21"), ("impact_score", True), ("impact_score", float("1e300")), ("impact_notes", 3), ("tone_score", None), ("matched_skills", "SQL"), ("matched_skills", [1]),
+        ("matched_skills", ["a", None]), ("matched_skills", [None]), ("matched_skills", {}), ("quantified_lines", 1.5), ("quantified_lines", -1), ("must_have_coverage", 1.01), ("strengths", None),
+    ]
+    fine = [("quantified_lines", 2.0), ("impact_score", 30), ("impact_score", 0), ("matched_skills", []), ("matched_skills", ["a", "b"])]
+    cases = wrong + fine
+    rows = spark.createDataFrame([(i, json.dumps({**ANSWER, k: v})) for i, (k, v) in enumerate(cases)], "i int, raw string")
+    got = {r["i"]: r["p"] for r in rows.select("i", matching.output_problems(F.col("raw")).alias("p")).collect()}
+    beyond = {3, 12, 13}
+    assert [got[i] for i in range(len(cases))] == [[f"{'range' if i in beyond else 'type'}:{k}"] for i, (k, _) in enumerate(wrong)] + [[]] * len(fine)
+    others = ["[]", "null", "3", "", None, '{"impact_score":1,"impact_score":2}', json.dumps(ANSWER) + " x"]
+    told = spark.createDataFrame([(x,) for x in others], "raw string").select(matching.output_problems(F.col("raw")).alias("p")).collect()
+    assert [r["p"] for r in told] == [["json"]] * len(others)
+    cv, _ = pointer.rebuilt(RECORD, pointer.lines_of(SOURCE))
+    base = spark.createDataFrame([(json.dumps(cv), "SQL and Python", (1, 1, 900, 3, False, False))], "cv string, jd_text string, profile struct<page_count:int,native_text_pages:int,character_count:int,block_count:int,likely_multi_column:boolean,needs_ocr:boolean>")
+    base = scoring.evaluate(base.withColumn("cv", F.from_json("cv", CV)), cv="cv").select("result").crossJoin(rows.withColumnRenamed("raw", "raw_output"))  # one row
+    out = {r["i"]: (r["result"], r["problems"]) for r in matching.merged(base, "zero_shot_m1").collect()}
+    assert all((out[i][0] is None) == bool(got[i]) and out[i][1] == got[i] for i in got)
+
+
+def test_long_prompts_never_reach_the_model(spark):
+    ship(spark)
+    rows = spark.createDataFrame([(1, "a b c"), (2, "a b c d"), (3, "")], "i int, prompt string")
+
+    def model(prompt):
+        assert len(prompt.split()) < 4
+        return prompt.upper()
+
+    got = {r["i"]: (r["raw_output"], r["model_error"]) for r in matching.asked(rows, model, lambda p: len(p.split()), 3).collect()}
+    assert got == {1: ("A B C", None), 2: (None, "Prompt has 4 tokens; maximum is 3"), 3: ("", None)}
+    assert [r["model_error"] for r in matching.asked(rows.where("i = 1"), lambda p: p).collect()] == [None]
+
+
+def test_request_body(spark):
+    body = json.loads(spark.createDataFrame([('say "x"\n',)], "p string").select(matching.request(F.col("p"), "m").alias("b")).first()["b"])
+    assert body["messages"] == [{"role": "system", "content": matching.SYSTEM}, {"role": "user", "content": 'say "x"\n'}] and body["temperature"] == 0 and body["model"] == "m"
+    assert body["response_format"]["json_schema"]["strict"] and body["response_format"]["json_schema"]["schema"] == json.loads(matching.output_schema())
+
+
 def test_model_contract(spark):
     schema = json.loads(matching.output_schema())
     assert set(schema["required"]) == set(schema["properties"]) == set(ANSWER) and not schema["additionalProperties"]
