@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from talentlake.functions.text import value
+from talentlake.operators.jsonc import once
 from talentlake.operators.pointer import span_slots
 from talentlake.session import new_path
 
@@ -91,6 +93,62 @@ def span_accuracy(pairs: DataFrame) -> DataFrame:
     return out.withColumn("all_slots_accuracy", F.try_divide("all_exact", "all_slots")).withColumn("non_null_gold_accuracy", F.try_divide("non_null_exact", "non_null_gold"))
 
 
+# -- whole records ------------------------------------------------------------------------------------------------------
+
+#: What a missing place shows in a list of errors (fixed value).
+MISSING = "__MISSING__"
+
+
+def leaves(value: Column, kind: DataType, path: Column | None = None) -> Column:
+    """All places of a nested value as (path, value): fields by name, items by number, a list's length as `path[]`; the value
+    is text, null where there is none. A null struct or list is a place of its own."""
+    name = lambda part: F.lit(part) if path is None else F.concat(path, F.lit("." + part))
+    at = F.lit("$") if path is None else path
+    leaf = lambda where, text: F.array(F.struct(where.alias("path"), text.cast("string").alias("value")))
+    if isinstance(kind, StructType):
+        inside = F.concat(*[leaves(value[f.name], f.dataType, name(f.name)) for f in kind.fields])
+        return F.when(value.isNull(), leaf(at, F.lit(None))).otherwise(inside)
+    if isinstance(kind, ArrayType):
+        each = F.flatten(F.transform(value, lambda x, i: leaves(x, kind.elementType, F.concat(at, F.lit("["), i.cast("string"), F.lit("]")))))
+        return F.when(value.isNull(), leaf(at, F.lit(None))).otherwise(F.concat(leaf(F.concat(at, F.lit("[]")), F.size(value)), each))
+    return leaf(at, value)
+
+
+def differences(expected: Column, actual: Column) -> Column:
+    """(path, expected, actual) of the places of two arrays of leaves that differ, by path; a place that only one has shows
+    MISSING for the other. Null equals null alone."""
+    by = lambda side: F.map_from_entries(side)
+    other = lambda m, k: F.when(F.map_contains_key(m, k), F.element_at(m, k)).otherwise(F.lit(MISSING))
+
+    def apart(m: Column) -> Column:
+        paths = F.array_sort(F.array_union(F.map_keys(m["e"]), F.map_keys(m["a"])))
+        every = F.transform(paths, lambda k: F.struct(k.alias("path"), other(m["e"], k).alias("expected"), other(m["a"], k).alias("actual")))
+        return F.filter(every, lambda d: ~d["expected"].eqNullSafe(d["actual"]))
+
+    return once(F.struct(by(expected).alias("e"), by(actual).alias("a")), apart)
+
+
+def sample_errors(rows: DataFrame, key: str, gold_pointer: str, gold_cv: str, parse: str = "pointer_parse") -> DataFrame:
+    """Each sample's parse (of pointer.with_pointer) against gold records: (key, status, pointer_exact, cvschema_exact,
+    pointer_differences, cv_differences, span_errors, retry_targets).
+
+    Records are compared deeply and null-safe, as typed values. A response that gave no record differs in all places."""
+    pointer_kind, cv_kind = rows.schema[gold_pointer].dataType, rows.schema[gold_cv].dataType
+    read = rows.select(
+        key, F.col(f"{parse}.status").alias("status"), F.col(f"{parse}.retry_targets").alias("retry_targets"), F.col(gold_pointer).alias("gp"), F.col(gold_cv).alias("gc"),
+        F.from_json(F.col(f"{parse}.parsed_json"), pointer_kind).alias("pp"), F.from_json(F.col(f"{parse}.cv_json"), cv_kind).alias("pc"),
+    )
+    none = F.array().cast("array<struct<path:string,value:string>>")
+    of = lambda c, kind: F.when(F.col(c).isNotNull(), leaves(F.col(c), kind)).otherwise(none)
+    places = read.select("*", *[of(c, kind).alias(f"l_{c}") for c, kind in (("gp", pointer_kind), ("pp", pointer_kind), ("gc", cv_kind), ("pc", cv_kind))])
+    shown = lambda side: F.transform(span_slots(F.col(side)), lambda x: F.struct(x["path"].alias("path"), F.to_json(x["span"]).alias("value")))
+    spans = F.filter(differences(shown("gp"), F.coalesce(shown("pp"), none)), lambda d: ~F.coalesce(d["expected"] == MISSING, F.lit(False)))
+    return places.select(
+        key, "status", F.col("pp").eqNullSafe(F.col("gp")).alias("pointer_exact"), F.col("pc").eqNullSafe(F.col("gc")).alias("cvschema_exact"),
+        differences(F.col("l_gp"), F.col("l_pp")).alias("pointer_differences"), differences(F.col("l_gc"), F.col("l_pc")).alias("cv_differences"), spans.alias("span_errors"), "retry_targets",
+    )
+
+
 def flag_rates(rows: DataFrame, *flags: str) -> DataFrame:
     """(flag, n, rate) of boolean columns."""
     one = rows.agg(F.count(F.lit(1)).alias("all"), *[F.count_if(F.col(f)).alias(f) for f in flags])

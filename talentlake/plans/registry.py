@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from talentlake.functions import skills as sk
 from talentlake.functions import text as tx
 from talentlake.operators import evaluation, integrity, jsonc, layout, matching, pointer, policy, redact, retrieve, scoring
+from talentlake.schemas import CV, POINTER
 from talentlake.session import new_path, ship
 from talentlake.sources import files
 from talentlake.sources.store import Store
@@ -698,6 +699,56 @@ def span_slot_accuracy(spark, d):
     return evaluation.span_accuracy(evaluation.span_pairs(rows, "doc_id", "pointer", "predicted")).select("kind", "all_slots", "all_exact", "non_null_gold", "non_null_exact")
 
 
+_RECORDS = f"""(SELECT doc_id, source, lang, l, len(l) AS n, doc_id % 3 = 0 AND len(l) >= 3 AS turned, doc_id % 5 = 0 AS graded, doc_id % 7 = 0 AS dropped,
+ CASE WHEN len(l) >= 3 THEN array_to_string(l[2:3], chr(10)) ELSE '' END AS told, CASE WHEN len(l) >= 3 THEN array_to_string(CASE WHEN doc_id % 3 = 0 THEN l[1:2] ELSE l[2:3] END, chr(10)) ELSE '' END AS cited
+ FROM (SELECT doc_id, source, lang, {_lines('text')} AS l FROM documents WHERE trim(text) <> '') WHERE len(l) > 0)"""
+
+
+def _parsed_records(spark, d) -> DataFrame:
+    """Gold records, and the parse of responses that cite other lines, give another grade, or drop a project."""
+    rows = _pointer_rows(spark, d)
+    jobs = F.transform(F.col("pointer.experience"), lambda e: e.withField("description_span", F.when((F.col("doc_id") % 3 == 0) & e["description_span"].isNotNull(), F.array(F.lit(1), F.lit(2))).otherwise(e["description_span"])))
+    schools = F.transform(F.col("pointer.education"), lambda e: e.withField("gpa", F.when(F.col("doc_id") % 5 == 0, 4.0).otherwise(e["gpa"])))
+    works = F.filter(F.col("pointer.projects"), lambda p: F.col("doc_id") % 7 != 0)
+    told = F.col("pointer").withField("experience", jobs).withField("education", schools).withField("projects", works)
+    rows = rows.select("doc_id", "text", F.col("pointer").cast(POINTER).alias("pointer"), F.to_json(told, {"ignoreNullFields": "false"}).alias("raw"))
+    rows = rows.withColumn("gold", pointer.reconstruct(F.col("pointer"), F.col("text"))["cv"].cast(CV))
+    return pointer.with_pointer(jsonc.with_parse(rows, F.col("raw")), F.col("text"))
+
+
+@query(f"""
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'needs_review' ELSE 'success' END AS status, NOT (turned OR graded OR dropped) AS pointer_exact, NOT (told <> cited OR graded OR dropped) AS cvschema_exact,
+list_sort(list_concat(CASE WHEN turned THEN ['experience[0].description_span[0]', 'experience[0].description_span[1]'] ELSE [] END, CASE WHEN graded THEN ['education[0].gpa'] ELSE [] END,
+CASE WHEN dropped THEN ['projects[]', 'projects[0].name', 'projects[0].role', 'projects[0].technologies[]', 'projects[0].technologies[0]', 'projects[0].details_span'] ELSE [] END)) AS pointer_paths,
+list_sort(list_concat(CASE WHEN told <> cited THEN ['experience[0].description'] ELSE [] END, CASE WHEN graded THEN ['education[0].gpa'] ELSE [] END,
+CASE WHEN dropped THEN ['projects[]', 'projects[0].name', 'projects[0].role', 'projects[0].technologies[]', 'projects[0].technologies[0]', 'projects[0].details'] ELSE [] END)) AS cv_paths,
+list_concat(CASE WHEN turned THEN ['experience[0].description_span:[2,3]:[1,2]'] ELSE [] END, CASE WHEN dropped THEN ['projects[0].details_span:null:__MISSING__'] ELSE [] END) AS span_errors FROM {_RECORDS}""")
+def record_exactness(spark, d):
+    """Whole records against gold: exactness, and every place that differs."""
+    out = evaluation.sample_errors(_parsed_records(spark, d), "doc_id", "pointer", "gold")
+    paths = lambda c: F.transform(c, lambda x: x["path"])
+    spans = F.transform("span_errors", lambda x: F.concat_ws(":", x["path"], F.coalesce(x["expected"], F.lit("null")), F.coalesce(x["actual"], F.lit("null"))))
+    return out.select("doc_id", "status", "pointer_exact", "cvschema_exact", paths("pointer_differences").alias("pointer_paths"), paths("cv_differences").alias("cv_paths"), spans.alias("span_errors"))
+
+
+@query(f"""
+WITH r AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS g, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS y, CASE WHEN source IS NULL THEN 0 ELSE 1 END AS s, CASE WHEN lang IS NULL THEN 0 ELSE 1 END AS u FROM {_RECORDS}),
+f AS (
+  SELECT 'summary' AS field, 1 AS tp, 0 AS fp, 0 AS fn FROM r UNION ALL SELECT 'skills.hard_skills', 2, 0, 0 FROM r UNION ALL SELECT 'skills.soft_skills', 1, 0, 0 FROM r
+  UNION ALL SELECT 'experience.company', 1, 0, 0 FROM r UNION ALL SELECT 'experience.job_title', s, 0, 0 FROM r UNION ALL SELECT 'experience.duration', 1, 0, 0 FROM r
+  UNION ALL SELECT 'experience.description', CASE WHEN told = cited THEN 1 ELSE 0 END, CASE WHEN told <> cited THEN 1 ELSE 0 END, CASE WHEN told <> cited THEN 1 ELSE 0 END FROM r WHERE n >= 3
+  UNION ALL SELECT 'projects.name', CASE WHEN dropped THEN 0 ELSE 1 END, 0, CASE WHEN dropped THEN 1 ELSE 0 END FROM r UNION ALL SELECT 'projects.technologies', CASE WHEN dropped THEN 0 ELSE 1 END, 0, CASE WHEN dropped THEN 1 ELSE 0 END FROM r
+  UNION ALL SELECT 'education.university', u, 0, 0 FROM r UNION ALL SELECT 'education.degree', 1, 0, 0 FROM r
+  UNION ALL SELECT 'education.gpa', CASE WHEN graded THEN 0 ELSE g END, CASE WHEN graded THEN 1 ELSE 0 END, CASE WHEN graded THEN g ELSE 0 END FROM r UNION ALL SELECT 'education.year_graduated', y, 0, 0 FROM r),
+c AS (SELECT field, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM f GROUP BY field)
+SELECT field, tp, fp, fn, {_PRF} FROM c WHERE tp + fp + fn > 0""")
+def record_prf(spark, d):
+    """Precision and recall by field, over the values of whole reconstructed records."""
+    rows = _parsed_records(spark, d).select("doc_id", "gold", F.from_json("pointer_parse.cv_json", CV).alias("predicted"))
+    gold, predicted = (evaluation.items(rows, "doc_id", side) for side in ("gold", "predicted"))
+    return _rounded(evaluation.scored(evaluation.counts(evaluation.compared(gold, predicted, ["doc_id", "field", "item"]), "field")))
+
+
 @query("""
 SELECT 'quality' AS flag, CAST(count(*) FILTER (quality = 1) AS BIGINT) AS n, round(count(*) FILTER (quality = 1) / count(*), 6) AS rate FROM labels
 UNION ALL SELECT 'toxic', CAST(count(*) FILTER (toxic = 1) AS BIGINT), round(count(*) FILTER (toxic = 1) / count(*), 6) FROM labels""")

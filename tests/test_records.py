@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from talentlake.operators import jsonc, matching, pointer, policy, scoring
+from talentlake.operators import evaluation, jsonc, matching, pointer, policy, scoring
 from talentlake.schemas import CV
 from talentlake.session import ship
 
@@ -317,3 +317,47 @@ def test_evaluation_keeps_columns_of_clashing_names(spark):
     assert (out["scores"], out["matched"], out["total"]) == ("a", "b", "c") and out["result"] == plain
     items = scoring.description_skills(rows)
     assert scoring.evaluate(items, jd_skills="jd_skills").first()["result"] == plain
+
+
+def places(value, path=""):
+    """All places of a nested value, as evaluation.leaves has them."""
+    if isinstance(value, dict):
+        return {k: v for name, x in value.items() for k, v in places(x, f"{path}.{name}".lstrip(".")).items()}
+    if isinstance(value, list):
+        return {f"{path}[]": str(len(value))} | {k: v for i, x in enumerate(value) for k, v in places(x, f"{path}[{i}]").items()}
+    return {path: value}
+
+
+def test_differences_of_records(spark):
+    """Deep, typed and null-safe: against a plain walk over pairs of changed records."""
+    ship(spark)
+    full = {**RECORD, "projects": [{"name": "n", "role": "", "technologies": ["a", "b"], "details_span": None}], "awards": ["w"]}
+    changes = [([], None), (["summary_span"], None), (["summary_span"], [2, 3]), (["awards"], []), (["awards"], ["w", "v"]), (["projects"], []), (["projects", 0, "technologies"], ["a"]), (["education", 0, "gpa"], None), (["skills", "hard_skills"], ["SQL", "Python"]), (["projects", 0, "details_span"], [1, 2])]
+    def apply(path, value):
+        out = copy.deepcopy(full)
+        at = out
+        for k in path[:-1]:
+            at = at[k]
+        if path:
+            at[path[-1]] = value
+        return out
+
+    records = [apply(p, v) for p, v in changes]
+    rows = spark.createDataFrame([(i, json.dumps(full), json.dumps(r)) for i, r in enumerate(records)], "i int, gold string, raw string").select("i", "raw", pointer.typed_pointer(F.col("gold")).alias("gold"), F.lit(SOURCE).alias("text"))
+    rows = rows.withColumn("cv", pointer.reconstruct(F.col("gold"), F.col("text"))["cv"].cast(CV))
+    parsed = pointer.with_pointer(jsonc.with_parse(rows, F.col("raw")), F.col("text"))
+    got = {r["i"]: r for r in evaluation.sample_errors(parsed, "i", "gold", "cv").collect()}
+    want = places(full)
+    show = lambda v: v if v is None or isinstance(v, str) else str(float(v)) if isinstance(v, float) else str(v)
+    for i, record in enumerate(records):
+        have = places(record)
+        paths = sorted(k for k in {**want, **have} if (k in want, want.get(k)) != (k in have, have.get(k)))
+        assert [d["path"] for d in got[i]["pointer_differences"]] == paths and got[i]["pointer_exact"] == (not paths), i
+        assert all(d["expected"] == (show(want[d["path"]]) if d["path"] in want else evaluation.MISSING) or "gpa" in d["path"] for d in got[i]["pointer_differences"])
+    assert got[0]["cvschema_exact"] and got[0]["status"] == "success" and not got[0]["span_errors"]
+    assert [tuple(x) for x in got[2]["span_errors"]] == [("summary_span", "[2,2]", "[2,3]")] and [tuple(x) for x in got[1]["span_errors"]] == [("summary_span", "[2,2]", None)]
+    assert [tuple(x) for x in got[5]["span_errors"]] == [("projects[0].details_span", None, evaluation.MISSING)]
+    assert [d["path"] for d in got[2]["cv_differences"]] == ["summary"] and not got[8]["cvschema_exact"]
+    lost = pointer.with_pointer(jsonc.with_parse(rows.where("i = 0").withColumn("raw", F.lit("no")), F.col("raw")), F.col("text"))
+    none = evaluation.sample_errors(lost, "i", "gold", "cv").first()
+    assert none["status"] == "failed" and not none["pointer_exact"] and not none["cvschema_exact"] and len(none["pointer_differences"]) == len(want) and len(none["span_errors"]) == 3
