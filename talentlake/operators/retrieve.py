@@ -2,23 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentlake.functions.text import rag_tokens
 
+#: Tokens at most that are summed by masks instead of being joined, and the share of items from which on a token is one.
+COMMON, COMMON_SHARE = 8, 0.02
+#: Parts that a ranking is cut into before its best rows meet.
+SALTS = 64
 
-def top_k(queries: DataFrame, items: DataFrame, k: int = 3, empty: bool = False) -> DataFrame:
+
+def _first(rows: DataFrame, k: int, by: list[str], order: list[Column], salt: str) -> DataFrame:
+    """The first k rows of each group with `rank`, in two steps, so that a large group is spread over many tasks."""
+    part = F.pmod(F.xxhash64(salt), F.lit(SALTS))
+    some = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by, part).orderBy(*order))).where(F.col("rank") <= k)
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def common_tokens(items: DataFrame, most: int = COMMON, share: float = COMMON_SHARE) -> list[str]:
+    """The most frequent tokens of items (item_id, tokens), `most` at most, of those that a share of all items has."""
+    n = items.count()
+    counts = items.select(F.explode("tokens").alias("token")).groupBy("token").count()
+    return [r["token"] for r in counts.where(F.col("count") > share * n).orderBy(F.desc("count"), "token").limit(most).collect()]
+
+
+def top_k(queries: DataFrame, items: DataFrame, k: int = 3, empty: bool = False, common: int = COMMON, share: float = COMMON_SHARE) -> DataFrame:
     """(query_id, item_id, overlap, rank): each query's k items by falling overlap of tokens, then by item_id.
 
-    queries: query_id, text; items: item_id, text. Tokens meet in an equi-join, so only pairs that share one are made, and
-    counts are summed before the ranking. With empty, for small sets of items, the first items fill up what shares none."""
-    q = queries.select("query_id", F.explode(rag_tokens(F.col("text"))).alias("token"))
-    i = items.select("item_id", F.explode(rag_tokens(F.col("text"))).alias("token"))
-    found = q.join(i, "token").groupBy("query_id", "item_id").agg(F.count(F.lit(1)).alias("overlap"))
+    queries: query_id, text; items: item_id, text. The tokens that most items have are bits of a mask: two texts share as
+    many of them as their masks have bits in common. The other tokens meet in an equi-join and are summed. Of items that
+    share common tokens alone with a query, only the first k of each mask can be among its best: such with more tokens in
+    common, or with smaller ids, stand before the others. So all pairs of a token that all items share are never made, and
+    the result is exact. With empty, for small sets of items, the first items fill up what shares none."""
+    q = queries.select("query_id", rag_tokens(F.col("text")).alias("tokens"))
+    i = items.select("item_id", rag_tokens(F.col("text")).alias("tokens"))
+    hot = common_tokens(i, common, share)
+
+    def split(rows: DataFrame, key: str, mask: str) -> DataFrame:
+        bits = [F.when(F.array_contains("tokens", t), 1 << n).otherwise(0) for n, t in enumerate(hot)]
+        rest = F.array_except("tokens", F.array(*[F.lit(t) for t in hot])) if hot else F.col("tokens")
+        return rows.select(key, sum(bits, F.lit(0)).alias(mask), rest.alias("tokens"))
+
+    q, i = split(q, "query_id", "q_mask"), split(i, "item_id", "i_mask")
+    rare = q.select("query_id", "q_mask", F.explode("tokens").alias("token")).join(i.select("item_id", "i_mask", F.explode("tokens").alias("token")), "token")
+    met = rare.groupBy("query_id", "item_id", "q_mask", "i_mask").agg(F.count(F.lit(1)).alias("n"))
+    found = met.select("query_id", "item_id", (F.col("n") + F.bit_count(F.col("q_mask").bitwiseAND(F.col("i_mask")))).alias("overlap"))
+    if hot:
+        ids = _first(i.where("i_mask > 0 and item_id is not null").select("item_id", "i_mask"), k, ["i_mask"], [F.col("item_id")], "item_id").drop("rank")
+        each = ids.withColumn("q_mask", F.explode(F.sequence(F.lit(1), F.lit((1 << len(hot)) - 1))))  # 2 ** common masks, k items each
+        shared = each.withColumn("overlap", F.bit_count(F.col("q_mask").bitwiseAND(F.col("i_mask"))).cast("long")).where("overlap > 0")
+        best = _first(shared.select("q_mask", "item_id", "overlap"), k, ["q_mask"], [F.desc("overlap"), F.col("item_id")], "item_id").drop("rank")
+        alike = q.select("query_id", "q_mask").join(F.broadcast(best), "q_mask").select("query_id", "item_id", "overlap")
+        found = found.unionByName(alike).groupBy("query_id", "item_id").agg(F.max("overlap").alias("overlap"))
     if empty:
         few = items.orderBy("item_id").limit(k).select("item_id")  # k rows
         rest = queries.select("query_id").distinct().withColumn("i", F.explode(F.lit([r["item_id"] for r in few.collect()]))).select("query_id", F.col("i").alias("item_id"))
         found = found.unionByName(rest.join(found, ["query_id", "item_id"], "left_anti").withColumn("overlap", F.lit(0).cast("long")))
-    best = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "item_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return _first(found, k, ["query_id"], [F.desc("overlap"), F.col("item_id")], "item_id").select("query_id", "item_id", "overlap", "rank")

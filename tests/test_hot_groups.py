@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from talentlake.operators import evaluation, layout
+from talentlake.operators import evaluation, layout, retrieve
 from talentlake.session import ship
 from talentlake.streaming import state
 
@@ -74,3 +74,31 @@ def test_percentiles_by_passes(spark, kind):
     assert got[None] == pytest.approx([1.0, 1.5, 2.0, 2.9, 3.0]) and got["same"] == [2.5] * 5 and got["none"] is None and got["inf"][0] == 1.0
     whole = evaluation.exact_percentiles(frame.where("g = 'hot'"), "x", ask, at_once=100).first()["q"]
     assert whole == pytest.approx(got["hot"], rel=1e-12)
+
+
+@pytest.mark.parametrize(("common", "k"), [(0, 3), (2, 1), (4, 3), (8, 5)])
+def test_best_items_with_common_tokens(spark, common, k):
+    """Masks, rare tokens and ties of ids against a ranking of all pairs."""
+    rng = random.Random(k)
+    words = ["alpha", "beta", "gamma", "delta", *[f"rare{n}" for n in range(60)]]
+    text = lambda: " ".join([w for w in words[:4] if rng.random() < 0.7] + rng.sample(words[4:], rng.randrange(0, 4)))
+    items, queries = {n: text() for n in range(400)}, {n: text() for n in range(60)} | {90: "nothing here", 91: "", 92: "alpha"}
+    frame = lambda rows, key: spark.createDataFrame(list(rows.items()) + [(-1, None)], f"{key} int, text string").repartition(3)
+    got = {}
+    for r in retrieve.top_k(frame(queries, "query_id"), frame(items, "item_id"), k, common=common).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["item_id"], r["overlap"]))
+    for key, q in queries.items():
+        shared = sorted((-len({*q.split()} & {*t.split()}), n) for n, t in items.items())
+        want = [(rank, n, -s) for rank, (s, n) in enumerate([x for x in shared if x[0] < 0][:k], 1)]
+        assert sorted(got.get(key, [])) == want, key
+    assert -1 not in got
+
+
+def test_tokens_of_all_items_are_not_joined(spark):
+    """Every item has the same two tokens: the join gets none of them."""
+    items = spark.range(5000).select(F.col("id").alias("item_id"), F.concat(F.lit("shared words "), F.lit("own"), F.col("id")).alias("text"))
+    queries = spark.createDataFrame([(1, "shared words"), (2, "shared own77"), (3, "own77 own78 shared words")], "query_id int, text string")
+    got = {(r["query_id"], r["rank"]): (r["item_id"], r["overlap"]) for r in retrieve.top_k(queries, items, 2).collect()}
+    assert got == {(1, 1): (0, 2), (1, 2): (1, 2), (2, 1): (77, 2), (2, 2): (0, 1), (3, 1): (77, 3), (3, 2): (78, 3)}
+    tokens = retrieve.common_tokens(items.select("item_id", F.split("text", " ").alias("tokens")))
+    assert tokens == ["shared", "words"]
