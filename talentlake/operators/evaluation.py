@@ -139,13 +139,19 @@ def sample_errors(rows: DataFrame, key: str, gold_pointer: str, gold_cv: str, pa
         F.from_json(F.col(f"{parse}.parsed_json"), pointer_kind).alias("pp"), F.from_json(F.col(f"{parse}.cv_json"), cv_kind).alias("pc"),
     )
     none = F.array().cast("array<struct<path:string,value:string>>")
-    of = lambda c, kind: F.when(F.col(c).isNotNull(), leaves(F.col(c), kind)).otherwise(none)
-    places = read.select("*", *[of(c, kind).alias(f"l_{c}") for c, kind in (("gp", pointer_kind), ("pp", pointer_kind), ("gc", cv_kind), ("pc", cv_kind))])
+    same = F.array().cast("array<struct<path:string,expected:string,actual:string>>")
+    exact = read.withColumns({f"{x}_exact": F.col(p).eqNullSafe(F.col(g)) for x, p, g in (("pointer", "pp", "gp"), ("cvschema", "pc", "gc"))})
+
+    def apart(x: str, gold: str, predicted: str, kind: DataType) -> Column:
+        """Places are listed only for records that aren't the same."""
+        of = lambda c: F.when(F.col(c).isNotNull(), leaves(F.col(c), kind)).otherwise(none)
+        return F.when(F.col(f"{x}_exact"), same).otherwise(differences(of(gold), of(predicted)))
+
     shown = lambda side: F.transform(span_slots(F.col(side)), lambda x: F.struct(x["path"].alias("path"), F.to_json(x["span"]).alias("value")))
     spans = F.filter(differences(shown("gp"), F.coalesce(shown("pp"), none)), lambda d: ~F.coalesce(d["expected"] == MISSING, F.lit(False)))
-    return places.select(
-        key, "status", F.col("pp").eqNullSafe(F.col("gp")).alias("pointer_exact"), F.col("pc").eqNullSafe(F.col("gc")).alias("cvschema_exact"),
-        differences(F.col("l_gp"), F.col("l_pp")).alias("pointer_differences"), differences(F.col("l_gc"), F.col("l_pc")).alias("cv_differences"), spans.alias("span_errors"), "retry_targets",
+    return exact.select(
+        key, "status", "pointer_exact", "cvschema_exact", apart("pointer", "gp", "pp", pointer_kind).alias("pointer_differences"), apart("cvschema", "gc", "pc", cv_kind).alias("cv_differences"),
+        F.when(F.col("pointer_exact"), same).otherwise(spans).alias("span_errors"), "retry_targets",
     )
 
 
