@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentlake.functions.text import fold_text, folded_words
+from talentlake.functions.text import collapse, fold, fold_text, folded_words
 
 # Results follow from these words.
 SKILLS = {
@@ -92,15 +92,6 @@ SOFT_MARKERS = (
 QUANTIFIED = r"(?U)\d+[.,]?\d*\s*%|\b\d{2,}[+]?\b|\b\d+[xX]\b"
 
 
-def has_alias(folded: Column, alias: str) -> Column:
-    """Whether a folded text names an alias: as a word if the alias is of ASCII letters, digits and blanks, else anywhere.
-    A plain search goes first, as it is far cheaper than the pattern."""
-    name = fold_text(alias)
-    if re.fullmatch("[a-z0-9 ]+", name):
-        return folded.contains(name) & folded.rlike(f"(?<![a-z0-9]){name}(?![a-z0-9])")
-    return folded.contains(name)
-
-
 def any_of(tests) -> Column:
     out = F.lit(False)
     for t in tests:
@@ -108,24 +99,83 @@ def any_of(tests) -> Column:
     return out
 
 
+def is_word(folded: str) -> bool:
+    """Whether an alias counts as a word, or words: ASCII letters, digits and blanks alone. Others count anywhere."""
+    return bool(re.fullmatch("[a-z0-9 ]+", folded))
+
+
 def skills_in(folded: Column) -> Column:
-    """Skills that a folded text names, in dictionary order."""
-    return F.array_compact(F.array(*[F.when(any_of(has_alias(folded, a) for a in aliases), F.lit(name)) for name, aliases in SKILLS.items()]))
+    """Skills that a folded text names, in dictionary order.
+
+    One pass cuts the text into words and keeps those of the dictionary, whatever its size; an alias of one word is looked
+    up among them, and the text is searched again only for aliases of which all words are there. Aliases with other
+    characters, of which there are few, are searched for as they stand."""
+    names = {name: [fold_text(a) for a in aliases] for name, aliases in SKILLS.items()}
+    vocabulary = dict.fromkeys(w for aliases in names.values() for a in aliases if is_word(a) for w in a.split(" "))
+    words = F.array_intersect(F.split(folded, "[^a-z0-9]+"), F.array(*[F.lit(w) for w in vocabulary]))
+
+    def named(have: Column, alias: str) -> Column:
+        if not is_word(alias):
+            return folded.contains(alias)
+        parts = alias.split(" ")
+        all_there = F.array_contains(have, parts[0])
+        for w in parts[1:]:
+            all_there = all_there & F.array_contains(have, w)
+        return all_there if len(parts) == 1 else all_there & folded.rlike(f"(?<![a-z0-9]){alias}(?![a-z0-9])")
+
+    found = lambda have: F.array_compact(F.array(*[F.when(any_of(named(have, a) for a in aliases), F.lit(n)) for n, aliases in names.items()]))
+    return F.transform(F.array(words), found)[0]  # a lambda's variable is evaluated once
 
 
 def dictionary(spark: SparkSession) -> DataFrame:
-    """The skill dictionary as rows (ord, canonical, alias, folded, is_word); about a hundred."""
-    rows = [(i, name, a, fold_text(a), bool(re.fullmatch("[a-z0-9 ]+", fold_text(a)))) for i, (name, aliases) in enumerate(SKILLS.items()) for a in aliases]
-    return spark.createDataFrame(rows, "ord int, canonical string, alias string, folded string, is_word boolean")
-
-
-def skills_by_join(texts: DataFrame, key: str, folded: str) -> DataFrame:
-    """skills_in as a join with the dictionary, whose size is fixed: (key, skills)."""
-    words = F.broadcast(dictionary(texts.sparkSession).withColumnRenamed("folded", "alias_folded"))
-    word = F.rlike(F.col(folded), F.concat(F.lit("(?<![a-z0-9])"), F.col("alias_folded"), F.lit("(?![a-z0-9])")))
-    met = F.col(folded).contains(F.col("alias_folded")) & F.when(F.col("is_word"), word).otherwise(True)
-    hits = texts.select(key, folded).join(words, met).groupBy(key).agg(F.array_sort(F.collect_set(F.struct("ord", "canonical"))).alias("s"))
-    return hits.select(key, F.col("s.canonical").alias("skills"))
+    """The skill dictionary as rows (ord, canonical, alias); about a hundred."""
+    rows = [(i, name, a) for i, (name, aliases) in enumerate(SKILLS.items()) for a in aliases]
+    return spark.createDataFrame(rows, "ord int, canonical string, alias string")
+
+
+def grams(folded: Column, most: int) -> Column:
+    """Runs of one to `most` words of a folded text that a single blank parts and nothing else."""
+    # other characters and longer blanks are words of their own, which no alias holds
+    words = F.regexp_extract_all(folded, F.lit("[a-z0-9]+|[^a-z0-9 ]+| {2,}"), F.lit(0))
+
+    def cut(all_: Column) -> Column:
+        out, runs = [all_], all_
+        for n in range(2, most + 1):
+            # the last n - 1 runs have no such word, so they become null
+            runs = F.zip_with(runs, F.slice(all_, F.lit(n), F.size(all_)), lambda x, y: F.concat(x, F.lit(" "), y))
+            out.append(runs)
+        return F.concat(*out)
+
+    return F.transform(F.array(words), cut)[0]
+
+
+#: Aliases up to which a dictionary is broadcast, and those with other characters that it may hold at most.
+BROADCAST_ALIASES, MOST_ODD = 200_000, 1000
+
+
+def skills_by_join(texts: DataFrame, key: str, folded: str, aliases: DataFrame | None = None) -> DataFrame:
+    """skills_in for a dictionary of any size, given as rows (ord, canonical, alias): (key, skills) of texts that name any.
+
+    Runs of words of a text meet the aliases by hash; the dictionary is counted and broadcast while it is small. Aliases with
+    characters beside a-z, 0-9 and blanks are searched for in each text; a dictionary of over MOST_ODD of them is refused.
+    White space inside an alias is one blank. A null text, a null or empty alias name nothing; rows of equal keys are one
+    text; texts and dictionary may have other columns."""
+    aliases = dictionary(texts.sparkSession) if aliases is None else aliases
+    rows = aliases.select("ord", "canonical", collapse(fold(F.col("alias"))).alias("alias")).where("alias != ''").withColumn("word", F.col("alias").rlike("^[a-z0-9 ]+$"))
+    n, most = rows.where("word").agg(F.count(F.lit(1)), F.max(F.size(F.split("alias", " ")))).first()
+    odd = rows.where("not word").limit(MOST_ODD + 1).collect()
+    if len(odd) > MOST_ODD:
+        raise ValueError(f"over {MOST_ODD} aliases have characters beside a-z, 0-9 and blanks")
+    skill = F.struct(F.col("ord"), F.col("canonical"))
+    named = rows.where("word").select("alias", skill.alias("skill"))
+    doc = texts.select(F.col(key).alias("key"), F.col(folded).alias("folded"))
+    runs = doc.select("key", F.explode(grams(F.col("folded"), most or 1)).alias("alias"))
+    hits = runs.join(F.broadcast(named) if n <= BROADCAST_ALIASES else named, "alias").select("key", "skill")
+    if odd:
+        met = [F.when(F.col("folded").contains(r["alias"]), F.struct(F.lit(r["ord"]).alias("ord"), F.lit(r["canonical"]).alias("canonical"))) for r in odd]
+        hits = hits.union(doc.select("key", F.explode(F.array_compact(F.array(*met))).alias("skill")))
+    by_text = hits.groupBy("key").agg(F.array_sort(F.collect_set("skill")).alias("s"))
+    return by_text.select(F.col("key").alias(key), F.col("s.canonical").alias("skills"))
 
 
 def sections_in(folded: Column) -> dict[str, Column]:

@@ -1,5 +1,6 @@
 """Text functions against small specifications in plain Python."""
 
+import random
 import re
 import unicodedata
 
@@ -84,3 +85,32 @@ def test_value_of_compatibility_characters(spark):
     texts = ["Ｐｙｔｈｏｎ　３", "Kỹ năng ĐẠI HỌC", "Straße ﬁn", "m² №5 ™", "ſpark", "C++ / .NET  x", "é Ünï", "ＡＢＣ１２３", "", None]
     rows = spark.createDataFrame([(x,) for x in texts], "x string").select(tx.value(F.col("x")).alias("v"), tx.exact_value(F.col("x")).alias("e")).collect()
     assert [r["v"] for r in rows] == [r["e"] for r in rows]
+
+
+def _named(folded, alias):
+    return re.search(f"(?<![a-z0-9]){alias}(?![a-z0-9])", folded) if re.fullmatch("[a-z0-9 ]+", alias) else alias in folded
+
+
+def test_dictionary_forms_equal_search(spark):
+    """One pass over the words finds what a search for each alias finds, in the column form and in the join form."""
+    rng = random.Random(3)
+    aliases = [a for names in sk.SKILLS.values() for a in names]
+    parts = [w for a in aliases for w in a.split(" ")] + aliases + ["x", "k8", "|", "ß", "7"]
+    texts = [None, "", "  ", "spring  boot", "spring\nboot", "xspring boot", "(spring boot)", "spring boots", "node js js", "a.netb", "sql server", "é sql", "ésql"]
+    texts += ["".join(rng.choice(parts) + rng.choice([" ", " ", " ", "  ", ", ", "\n", "", "-", "."]) for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, f string").withColumn("alias", F.lit("clash")).repartition(4)
+    want = {i: [n for n, names in sk.SKILLS.items() if any(_named(x or "", tx.fold_text(a)) for a in names)] for i, x in enumerate(texts)}
+    assert {r["i"]: r["s"] for r in rows.select("i", sk.skills_in(F.col("f")).alias("s")).collect()} == want
+    assert {r["i"]: r["skills"] for r in sk.skills_by_join(rows, "i", "f").collect()} == {i: s for i, s in want.items() if s}
+
+
+def test_dictionary_of_any_size(spark):
+    """Aliases given as a table: many, long, null, empty and repeated ones; the plan does not grow with them."""
+    given = [(i, f"S{i}", f"word{i} of use") for i in range(5000)] + [(9000, "Long", "A b c d e"), (9000, "Long", "a b c d e"), (9001, "Odd", "é+"), (9002, "No", None), (9003, "No", "")]
+    table = spark.createDataFrame(given, "ord int, canonical string, alias string").withColumn("note", F.lit(1))
+    texts = spark.createDataFrame([(1, "word7 of use, word4999 of use"), (2, "a b c d e+"), (3, "word7 of user"), (4, None), (1, "z e+")], "i int, f string")
+    got = {r["i"]: r["skills"] for r in sk.skills_by_join(texts, "i", "f", table).collect()}
+    assert got == {1: ["S7", "S4999", "Odd"], 2: ["Long", "Odd"]}
+    assert sk.skills_by_join(texts, "i", "f", table.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        sk.skills_by_join(texts, "i", "f", spark.range(1001).select(F.col("id").cast("int").alias("ord"), F.lit("x").alias("canonical"), F.concat(F.lit("+"), "id").alias("alias")))
