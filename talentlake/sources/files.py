@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentlake.operators.integrity import is_safe_path
 
-#: Members that a result archive must have, beside a single root folder.
-MEMBERS = "name string, size bigint, sha256 string, content binary"
-
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with a given schema; blank lines are skipped, a broken one is an error."""
@@ -28,28 +29,115 @@ def reference_csv(spark: SparkSession, path: str) -> DataFrame:
     return out.toDF(*[c.lstrip("﻿") for c in out.columns])
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(name, size, sha256) of files."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+#: Bytes of a file that are held at a time; bytes of an archive's member up to which its content is returned.
+CHUNK, MOST_MEMBER = 1 << 20, 64 << 20
+#: What reading a member may raise: broken data, a wrong checksum, a method or password that is not supported.
+_BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError)
+
+
+class _Stream(io.RawIOBase):
+    """An Arrow file as a stream whose bad positions are the errors that readers of archives expect."""
+
+    def __init__(self, file):
+        self._file = file
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        return self._file.readinto(buffer)
+
+    def tell(self) -> int:
+        return self._file.tell()
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        try:
+            return self._file.seek(offset, whence)
+        except pa.ArrowInvalid as bad:
+            raise OSError(str(bad)) from bad
+
+    def close(self) -> None:
+        self._file.close()
+        super().close()
 
 
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _opened(path: str) -> io.BufferedReader:
+    """A seekable stream of a file, by its path as Spark lists it, which is not percent-encoded."""
+    scheme, rest = path.split(":", 1)
+    if scheme == "file":
+        system, name = pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    else:
+        host, inner = rest.lstrip("/").split("/", 1)
+        system, root = pafs.FileSystem.from_uri(f"{scheme}://{host}/")
+        name = f"{root.rstrip('/')}/{inner}"
+    return io.BufferedReader(_Stream(system.open_input_file(name)), CHUNK)
+
+
+def _chunks(stream) -> Iterator[bytes]:
+    while chunk := stream.read(CHUNK):
+        yield chunk
+
+
+def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        for path, content in zip(b["path"], b["content"], strict=True):
-            try:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    broken = z.testzip()
-                    rows = [(path, i.filename, i.file_size, z.read(i) if i.filename != broken else None, i.filename == broken) for i in z.infolist()]
-            except zipfile.BadZipFile:
-                rows = [(path, None, None, None, True)]
-            yield pd.DataFrame(rows, columns=["archive", "name", "size", "content", "broken"])
-
-
-def zip_members(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, name, size, content, broken) of each member of archives; one row without a name for what is no archive."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(_members, "archive string, name string, size bigint, content binary, broken boolean")
+        for path in b["path"]:
+            digest, size = hashlib.sha256(), 0
+            with _opened(path) as f:
+                for chunk in _chunks(f):
+                    digest.update(chunk)
+                    size += len(chunk)
+            yield pd.DataFrame({"path": [path], "size": [size], "sha256": [digest.hexdigest()]})
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """The paths of files as Spark lists them, which leaves out empty ones; no content is read, and files come to tasks by
+    their size."""
+    return spark.read.format("binaryFile").load(path).select("path")
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(name, size, sha256) of files, each read in pieces of CHUNK bytes, so that no file is held whole. Empty files
+    give no row, as Spark lists none; files of equal names in several folders give a row each."""
+    rows = _listed(spark, path).mapInPandas(_hashed, "path string, size bigint, sha256 string")
+    return rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), "size", "sha256")
+
+
+def _member(z: zipfile.ZipFile, info: zipfile.ZipInfo, most: int) -> tuple:
+    """(size, sha256, content, broken) of a member: all of it is read and checked, content only kept up to `most` bytes."""
+    digest, kept, size = hashlib.sha256(), [], 0
+    try:
+        with z.open(info) as f:
+            for chunk in _chunks(f):
+                digest.update(chunk)
+                size += len(chunk)
+                kept = [*kept, chunk] if size <= most else []
+    except _BROKEN:
+        return info.file_size, None, None, True
+    return size, digest.hexdigest(), b"".join(kept) if size <= most else None, False
+
+
+def zip_members(spark: SparkSession, path: str, most_bytes: int = MOST_MEMBER) -> DataFrame:
+    """(archive, name, size, sha256, content, broken) of each member of archives; one row without a name for what is no archive.
+
+    Archives are read through a seekable stream and members in pieces of CHUNK bytes. The content of a member of over
+    most_bytes is null, its size and hash are there. A member that can't be read is broken, with the size that the archive
+    tells; those after it are read none the less."""
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["archive", "name", "size", "sha256", "content", "broken"]
+        for b in batches:
+            for p in b["path"]:
+                try:
+                    with _opened(p) as f, zipfile.ZipFile(f) as z:
+                        for info in z.infolist():  # a frame each, so that one content is held at a time
+                            yield pd.DataFrame([(p, info.filename, *_member(z, info, most_bytes))], columns=columns)
+                except zipfile.BadZipFile:
+                    yield pd.DataFrame([(p, None, None, None, None, True)], columns=columns)
+
+    return _listed(spark, path).mapInPandas(members, "archive string, name string, size bigint, sha256 string, content binary, broken boolean")
 
 
 def archive_problems(members: DataFrame, required: list[str]) -> DataFrame:

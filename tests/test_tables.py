@@ -1,6 +1,8 @@
 """Evaluation, layout, integrity, sources, state and streams."""
 
+import hashlib
 import json
+import random
 import zipfile
 
 import pandas as pd
@@ -200,3 +202,51 @@ def test_stores(spark, tmp_path):
     assert tuple(state.public_stats(store).first()) == (2, 1)
     delays = spark.range(7).select(state.poll_delay(F.col("id"))).collect()
     assert [r[0] for r in delays] == [0.8, 2.5, 2.5, 2.5, 2.5, 5.0, 5.0]
+
+
+def test_files_are_hashed_in_pieces(spark, tmp_path):
+    """Hashes of files of all sizes, and a file of 3 GB (a sparse one) by workers of under 500 MB."""
+    ship(spark)
+    sizes = {"empty": 0, "one": 1, "even": files.CHUNK, "more": files.CHUNK + 1, "a b%20ü": 3 * files.CHUNK - 1}
+    for name, n in sizes.items():
+        (tmp_path / f"{name}.bin").write_bytes(random.Random(n).randbytes(n))
+    got = {r["name"]: (r["size"], r["sha256"]) for r in files.file_hashes(spark, f"file://{tmp_path}/*.bin").collect()}
+    assert got == {f"{k}.bin": (n, hashlib.sha256(random.Random(n).randbytes(n)).hexdigest()) for k, n in sizes.items() if n}  # Spark lists no empty file
+
+    with open(tmp_path / "large.dat", "wb") as f:
+        f.truncate(3 << 30)
+    zeros = hashlib.sha256()
+    for _ in range(3 << 4):
+        zeros.update(bytes(64 << 20))
+
+    def measured(batches):
+        import resource
+
+        for b in files._hashed(batches):
+            yield b.assign(peak=resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
+
+    row = files._listed(spark, f"file://{tmp_path}/large.dat").mapInPandas(measured, "path string, size bigint, sha256 string, peak bigint").first()
+    assert (row["size"], row["sha256"]) == (3 << 30, zeros.hexdigest()) and row["peak"] < 500 << 10
+    (tmp_path / "large.dat").unlink()
+
+
+def test_archive_members_in_pieces(spark, tmp_path):
+    """Large members keep size and hash, a broken one hides none after it, and all is as written."""
+    ship(spark)
+    data = {"run/small": b"{}", "run/none": b"", "run/even": bytes(1000), "run/over": bytes(1001), "run/large": random.Random(1).randbytes(3 * files.CHUNK + 7)}
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for name, content in data.items():
+            z.writestr(name, content)
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("run/first", "abcdefgh")
+        z.writestr("run/second", "ijkl")
+    spoilt = (tmp_path / "b.zip").read_bytes().replace(b"abcdefgh", b"abcdXfgh")
+    (tmp_path / "b.zip").write_bytes(spoilt)
+    (tmp_path / "c.zip").write_bytes(b"x")
+    rows = files.zip_members(spark, f"file://{tmp_path}/*.zip", most_bytes=1000).collect()
+    of = lambda name: {r["name"]: r for r in rows if r["archive"].endswith(name)}
+    a, b, c = of("a.zip"), of("b.zip"), of("c.zip")
+    assert {k: (r["size"], r["sha256"], r["broken"]) for k, r in a.items()} == {k: (len(v), hashlib.sha256(v).hexdigest(), False) for k, v in data.items()}
+    assert {k: r["content"] for k, r in a.items()} == {k: v if len(v) <= 1000 else None for k, v in data.items()}
+    assert b["run/first"]["broken"] and b["run/first"]["content"] is None and bytes(b["run/second"]["content"]) == b"ijkl"
+    assert list(c) == [None] and c[None]["broken"]
