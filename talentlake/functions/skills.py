@@ -89,7 +89,8 @@ SOFT_MARKERS = (
     "kha nang lam viec nhom", "ky nang lam viec nhom", "lam viec nhom", "lang nghe", "lanh dao", "quan ly thoi gian", "thich nghi",
     "thuyet trinh", "trach nhiem", "tu duy phan bien",
 )
-QUANTIFIED = r"(?U)\d+[.,]?\d*\s*%|\b\d{2,}[+]?\b|\b\d+[xX]\b"
+#: All three forms begin with a digit, so other places are set aside by one test.
+QUANTIFIED = r"(?U)(?=\d)(?:\d+[.,]?\d*\s*%|\b\d{2,}[+]?\b|\b\d+[xX]\b)"
 
 
 def any_of(tests) -> Column:

@@ -11,15 +11,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space and line ends as Unicode text handling knows them; Java's \s and \R know fewer.
-SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+#: Single Latin signs are one lookup for the JVM and a range before the rest spares the other ones, so that most letters
+#: are told from white space by two tests; LINE_END begins with its class for the same reason.
+SPACE = r"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
+LINE_END = r"[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028-\u2029](?:(?<=\r)\n)?"
+#: The same signs as SPACE, and those cut off both ends of a line that is shown.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+BULLETS = " •▪●\t-"
 #: Letters by which a text counts as Vietnamese (fixed value).
 VIETNAMESE = "ăâđêôơưĂÂĐÊÔƠƯạảãàáặẳẵằắậẩẫầấẹẻẽèéệểễềếịỉĩìíọỏõòóộổỗồốợởỡờớụủũùúựửữừứỵỷỹỳý"
 
 
 def strip(text: Column) -> Column:
     """Text without white space at its ends."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse(text: Column) -> Column:
@@ -46,7 +51,7 @@ def indexed_prompt(text: Column) -> Column:
 def display_lines(text: Column) -> Column:
     """Lines that are not blank, with white space collapsed and bullets, dashes and blanks cut off both ends; some may be left empty."""
     full = F.filter(F.split(text, LINE_END, -1), lambda x: strip(x) != "")
-    return F.transform(full, lambda x: F.regexp_replace(F.regexp_replace(x, f"[{SPACE}]+", " "), r"^[ •▪●\t-]+|[ •▪●\t-]+$", ""))
+    return F.transform(full, lambda x: F.btrim(F.regexp_replace(x, f"[{SPACE}]+", " "), F.lit(BULLETS)))
 
 
 def fold_text(value: str) -> str:
@@ -72,11 +77,12 @@ def _fold_table() -> tuple[str, str]:
 
 def fold(text: Column) -> Column:
     """fold_text in the JVM: a table over the basic plane, made from the rule at first use, and ß and the Latin ligatures.
-    Characters that fold to several others but for these keep their form; exact_fold has no such exception."""
+    Characters that fold to several others but for these keep their form; exact_fold has no such exception. Only texts
+    with other characters than ASCII pay for the table."""
     out = F.translate(F.lower(text), *_fold_table())
     for c in "ßﬀﬁﬂﬃﬄﬅﬆ":
         out = F.replace(out, F.lit(c), F.lit(fold_text(c)))
-    return out
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(out)
 
 
 def _folded(text: pd.Series) -> pd.Series:
@@ -156,9 +162,13 @@ def overlap_tokens(text: Column) -> Column:
     return F.array_except(found, F.array(*[F.lit(w) for w in STOP_WORDS]))
 
 
+#: VIETNAMESE as a class that tells Latin letters by one lookup, as SPACE.
+_VIETNAMESE = "".join(c for c in VIETNAMESE if c < "\u0100") + r"[\u0100-\u1eff&&[" + "".join(c for c in VIETNAMESE if c >= "\u0100") + "]]"
+
+
 def detected_language(text: Column) -> Column:
     """vi if a Vietnamese letter occurs, else en; null for a text without letters."""
-    return F.when(text.rlike(r"\p{L}"), F.when(text.rlike(f"[{VIETNAMESE}]"), "vi").otherwise("en"))
+    return F.when(text.rlike(r"\p{L}"), F.when(text.rlike(f"[{_VIETNAMESE}]"), "vi").otherwise("en"))
 
 
 CONTACT_MARKS = ("@", "gmail", "github.com/", "linkedin.com/", "facebook.com/")
@@ -166,10 +176,15 @@ CONTACT_MARKS = ("@", "gmail", "github.com/", "linkedin.com/", "facebook.com/")
 
 def is_contact_line(text: Column) -> Column:
     """A line with a Vietnamese telephone number or a mark of an address."""
-    out = text.rlike(r"(?U)(?<!\d)(?:\+?84|0)[\d\s().-]{7,18}(?!\d)")
-    for mark in CONTACT_MARKS:
-        out = out | F.lower(text).contains(mark)
-    return out
+
+    def marked(low: Column) -> Column:
+        out = low.contains(CONTACT_MARKS[0])
+        for mark in CONTACT_MARKS[1:]:
+            out = out | low.contains(mark)
+        return out
+
+    # the first sign alone sets most places aside
+    return text.rlike(r"(?U)(?=[+80])(?<!\d)(?:\+?84|0)[\d\s().-]{7,18}(?!\d)") | F.transform(F.array(F.lower(text)), marked)[0]
 
 
 def round1(number: Column) -> Column:
@@ -200,7 +215,12 @@ def percent(number: Column) -> Column:
 
 def n_words(text: Column) -> Column:
     """Words parted by white space."""
-    return F.size(F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != ""))
+    return F.size(F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), F.lit(0)))
+
+
+def has_words(text: Column, least: int) -> Column:
+    """Whether a text has so many words or more; no more of it is read."""
+    return text.rlike(f"^[{SPACE}]*(?:[^{SPACE}]++[{SPACE}]++){{{least - 1}}}[^{SPACE}]")
 
 
 def replaced(text: Column, pattern: str, by) -> Column:

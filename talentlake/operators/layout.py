@@ -58,8 +58,12 @@ def route(dark: Column, native: Column, language: Column | str = "en", force: bo
 
 def chosen_lines(paddle: Column, viet: Column) -> Column:
     """Of two readings of a page's lines, the first for contact lines, else the second; as many as the shorter has."""
-    n = F.least(F.size(paddle), F.size(viet))
-    return F.zip_with(F.slice(paddle, F.lit(1), n), F.slice(viet, F.lit(1), n), lambda p, v: F.when(is_contact_line(p), strip(p)).otherwise(strip(v)))
+
+    def chosen(both: Column) -> Column:
+        n = F.least(F.size(both["p"]), F.size(both["v"]))
+        return F.zip_with(F.slice(both["p"], F.lit(1), n), F.slice(both["v"], F.lit(1), n), lambda p, v: strip(F.when(is_contact_line(p), p).otherwise(v)))
+
+    return F.transform(F.array(F.struct(paddle.alias("p"), viet.alias("v"))), chosen)[0]  # each reading is made once
 
 
 def profiles(pages: DataFrame, most_pages: int = MOST_PAGES) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentlake.functions.skills import ACTION_VERBS, PASSIVE_PHRASES, is_quantified, phrases_in, sections_in, skills_in
-from talentlake.functions.text import clamp, display_lines, fold, n_words, overlap_tokens, round1, strip
+from talentlake.functions.text import clamp, display_lines, fold, has_words, overlap_tokens, round1, strip
 
 METHOD_TEXT, METHOD_RECORD = "Deterministic web baseline v1", "Qwen Pointer P0 + deterministic matching baseline v1"
 # Fixed values of reports.
@@ -88,7 +88,7 @@ def text_features(rows: DataFrame, text: str) -> DataFrame:
     lines = rows.withColumn("folded", fold(F.col(text))).withColumn("lines", display_lines(F.col(text)))
     return (
         lines.withColumn("quantified", F.size(F.filter("lines", is_quantified)))
-        .withColumn("bullets", F.size(F.filter("lines", lambda x: n_words(x) >= 4)))
+        .withColumn("bullets", F.size(F.filter("lines", lambda x: has_words(x, 4))))
         .withColumn("actions", phrases_in(F.col("folded"), ACTION_VERBS))
         .withColumn("passives", phrases_in(F.col("folded"), PASSIVE_PHRASES))
         .withColumn("found_skills", skills_in(F.col("folded")))

@@ -127,3 +127,24 @@ def test_mask_email_equals_its_sql(spark, tmp_path):
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert got == dict(db.execute(registry.oracle_sql()["mask_email"]).fetchall())
     assert run(spark, texts[:2], redact.mask_emails) == ["[MASKED] [MASKED]", "[MASKED]\n[MASKED];[MASKED]"]
+
+
+def test_text_classes_equal_unicode(spark):
+    """White space, line ends, words and marks of numbers, over all signs of the basic plane and odd lines."""
+    signs = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    spaces = run(spark, signs, lambda c: c.rlike(f"^[{tx.SPACE}]$") & ~c.rlike(f"^[^{tx.SPACE}]$"), "boolean")
+    assert [s for s, is_space in zip(signs, spaces, strict=True) if is_space] == [s for s in signs if s.isspace()] == sorted(tx.SPACES)
+    ends = run(spark, signs, lambda c: F.concat(F.lit("a"), c, F.lit("b")).rlike(f"^a(?:{tx.LINE_END})b"), "boolean")
+    assert [s for s, is_end in zip(signs, ends, strict=True) if is_end] == [s for s in signs if len(f"a{s}b".splitlines()) == 2]
+    lines = ["", " ", "a", "a b c d", " a  b\xa0c　d ", "a b c ", " a b c d e", "a\r\n\r\rb\n\n"]
+    assert run(spark, lines, lambda c: tx.has_words(c, 4), "boolean") == [len(x.split()) >= 4 for x in lines]
+    assert run(spark, lines, tx.n_words, "int") == [len(x.split()) for x in lines]
+    plain = lambda c: F.when(c.rlike(r"\p{L}"), F.when(c.rlike(f"[{tx.VIETNAMESE}]"), "vi").otherwise("en"))
+    assert run(spark, signs, tx.detected_language) == run(spark, signs, plain)
+    quantified = ["1x", "a1x", "12", "a12", "12a", "3 %", "1,5%", "7", "٣%", "10+ ", "x", "é12"]
+    old = r"(?U)\d+[.,]?\d*\s*%|\b\d{2,}[+]?\b|\b\d+[xX]\b"
+    assert run(spark, quantified, sk.is_quantified, "boolean") == run(spark, quantified, lambda c: c.rlike(old), "boolean")
+    tel = ["call 0912345678", "10912345678", "+84 91 234 56 78", "84912345678x", "8491", "a@b", "GMAIL", "LinkedIn.com/x", "none", "00912345678"]
+    old = r"(?U)(?<!\d)(?:\+?84|0)[\d\s().-]{7,18}(?!\d)"
+    marks = lambda x: any(m in x.lower() for m in tx.CONTACT_MARKS)
+    assert run(spark, tel, tx.is_contact_line, "boolean") == [a or marks(x) for a, x in zip(run(spark, tel, lambda c: c.rlike(old), "boolean"), tel, strict=True)]
