@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -102,3 +103,33 @@ def test_tokens_of_all_items_are_not_joined(spark):
     assert got == {(1, 1): (0, 2), (1, 2): (1, 2), (2, 1): (77, 2), (2, 2): (0, 1), (3, 1): (77, 3), (3, 2): (78, 3)}
     tokens = retrieve.common_tokens(items.select("item_id", F.split("text", " ").alias("tokens")))
     assert tokens == ["shared", "words"]
+
+
+def test_top_k_ways_agree(spark):
+    """A small side of queries or of items in every task, and the join, all give what brute force gives."""
+    rng = random.Random(3)
+    words = [f"w{i:02d}x" for i in range(30)]
+    queries = {n: " ".join(rng.choices(words, k=rng.randrange(0, 6))) for n in range(12)} | {90: None}
+    items = {n * 7 % 101: " ".join(rng.choices(words, k=rng.randrange(0, 9))) for n in range(60)} | {900: None}
+    sets = lambda rows: {k: set((v or "").split()) for k, v in rows.items()}
+    q, i, want = sets(queries), sets(items), set()
+    for a in q:
+        ranked = sorted((-len(q[a] & i[b]), b) for b in i if q[a] & i[b])[:3]
+        want |= {(a, b, -n, at + 1) for at, (n, b) in enumerate(ranked)}
+    frame = lambda rows, key: spark.createDataFrame(list(rows.items()), f"{key} long, text string").repartition(5)
+    few_pairs = {}
+    for most in (0, 20, 1000):
+        found = retrieve.top_k(frame(queries, "query_id"), frame(items, "item_id"), most_few=most)
+        assert {tuple(r) for r in found.select("query_id", "item_id", "overlap", "rank").collect()} == want
+        few_pairs[most] = "MapInArrow" in found._jdf.queryExecution().toString()
+    assert few_pairs == {0: False, 20: True, 1000: True}
+
+
+def test_blocks_of_retrieval(monkeypatch):
+    """Rows are counted alike however a batch is cut."""
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 6, 7, 8, 9]), pa.array([["a", "b"], None, [], ["b", "x"], ["c", "a"]])], ["id", "tokens"])
+    for cells in (1, 6, 10**6):
+        monkeypatch.setattr(retrieve, "CELLS", cells)
+        found = list(retrieve._blocks(iter([batch.slice(1), batch.slice(0, 1)]), [["a", "b"], ["b", "c"], []]))
+        assert [x for ids, _ in found for x in ids.to_pylist()] == [6, 7, 8, 9, 5]
+        assert np.concatenate([n for _, n in found]).tolist() == [[0, 0, 0], [0, 0, 0], [1, 1, 0], [1, 1, 0], [2, 1, 0]]
