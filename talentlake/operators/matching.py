@@ -80,8 +80,10 @@ def retrieved(queries: DataFrame, key: str, cv: str, jd: str, k: int = 3) -> Dat
     c = F.col(cv)["skills"]
     text = F.concat_ws(" ", F.col(jd), F.array_join(F.concat(c["hard_skills"], c["soft_skills"]), " "))
     found = top_k(queries.select(F.col(key).alias("query_id"), text.alias("text")), knowledge(queries.sparkSession).select(F.col("position").alias("item_id"), "text"), k, empty=True)
-    named = found.join(F.broadcast(knowledge(queries.sparkSession).select(F.col("position").alias("item_id"), "id", "source_status", "text")), "item_id")
-    return named.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "source_status", "text"))).alias("sources")).withColumnRenamed("query_id", key)
+    ranked = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("r"))
+    pieces = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("id", "source_status", "text"), row, strict=True)]) for row in KNOWLEDGE])  # texts are not shuffled
+    of = lambda x: once(F.element_at(pieces, x["item_id"] + 1), lambda p: F.struct(x["rank"].alias("rank"), p["id"].alias("id"), p["source_status"].alias("source_status"), p["text"].alias("text")))
+    return ranked.select(F.col("query_id").alias(key), F.transform("r", of).alias("sources"))
 
 
 def prompts(rows: DataFrame, strategy: str, cv: str = "cv", jd: str = "jd_text", ats: str = "ats", sources: str = "sources", examples: str = EXAMPLES) -> DataFrame:
