@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,15 @@ def timed(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _in_order(rows: Iterator[pd.DataFrame], time: str, order: str) -> pd.DataFrame:
+    """A key's rows by time, then order; nulls last."""
+    frames = list(rows)
+    every = frames[0] if len(frames) == 1 else pd.concat(frames)
+    if every[order].dtype.kind in "iuf":
+        return every.take(np.lexsort((every[order].to_numpy(), every[time].to_numpy())))
+    return every.sort_values([time, order], kind="stable")
+
+
 class _Lives(StatefulProcessor):
     """One job at a time for each token: its state, when it began, was last changed, and how many events it had. Puts out
     ended jobs or, with changes, each new state."""
@@ -45,20 +55,24 @@ class _Lives(StatefulProcessor):
         """The last microsecond at which a job still stands."""
         return job[2] + int(self.hours[job[0] in FINAL] * 3_600_000_000)
 
-    def _row(self, key, job: tuple) -> pd.DataFrame:
-        """The row of a job that ended."""
-        if self.changes:
-            return pd.DataFrame({self.names[0]: [key[0]], "status": [EXPIRED], "at": [self._end(job)]})
-        return pd.DataFrame({self.names[0]: [key[0]], "status": [job[0]], "began_at": [job[1]], "updated_at": [job[2]], "expired_at": [self._end(job)], "n_events": [job[3]]})
+    def _row(self, job: tuple) -> tuple:
+        """What is said of a job that ended."""
+        return (EXPIRED, self._end(job)) if self.changes else (*job[:3], self._end(job), job[3])
+
+    def _frame(self, key, out: list[tuple]) -> pd.DataFrame:
+        """All rows of a call in one frame, as each frame is a batch on its way to the JVM."""
+        names = ("status", "at") if self.changes else ("status", "began_at", "updated_at", "expired_at", "n_events")
+        return pd.DataFrame({self.names[0]: [key[0]] * len(out)} | dict(zip(names, map(list, zip(*out, strict=True)), strict=True)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         _, status, time, order = self.names
-        every = pd.concat(list(rows)).sort_values([time, order], kind="stable")
-        job, out = (tuple(self.job.get()) if self.job.exists() else None), []
+        every = _in_order(rows, time, order)
+        job, out = self.job.get(), []
+        job = None if job is None else tuple(job)
         was = None if job is None else self._end(job)
         for s, at in zip(every[status].tolist(), every[time].tolist(), strict=True):
             if job is not None and at > self._end(job):
-                out.append(self._row(key, job))
+                out.append(self._row(job))
                 job = None
             before = None if job is None else job[0]
             if job is None:
@@ -68,20 +82,21 @@ class _Lives(StatefulProcessor):
             else:
                 job = (s, job[1], at, job[3] + 1)
             if self.changes and job[0] != before:
-                out.append(pd.DataFrame({self.names[0]: [key[0]], "status": [job[0]], "at": [at]}))
+                out.append((job[0], at))
         self.job.update(job)
         end = self._end(job)
         if end != was:
             if was is not None:
                 self.handle.deleteTimer(was // 1000 + 1)
             self.handle.registerTimer(end // 1000 + 1)  # in milliseconds, as the watermark
-        yield from out
+        if out:
+            yield self._frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.job.exists():
-            job = tuple(self.job.get())
+        job = self.job.get()
+        if job is not None:
             self.job.clear()
-            yield self._row(key, job)
+            yield self._frame(key, [self._row(tuple(job))])
 
 
 def _jobs(events: DataFrame, token: str, status: str, time: str, order: str, delay: str, hours: tuple[float, float], changes: bool) -> DataFrame:
@@ -125,7 +140,7 @@ class _Requests(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         _, epoch, order = self.names
-        every = pd.concat(list(rows)).sort_values([epoch, order], kind="stable")
+        every = _in_order(rows, epoch, order)
         limiter = Limiter(self.most, self.window, [int(x[0]) for x in self.log.get()] if self.log.exists() else ())
         out = {c: every[c].tolist() for c in self.names} | {"allowed": [limiter.allow(int(t)) for t in every[epoch]]}
         if limiter.log:

@@ -1,5 +1,6 @@
 """State that ends by timers, stores that are filled once, and erasure under readers."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +177,30 @@ def test_writers_at_once(spark, monkeypatch):
     assert sorted(r[0] for r in other.read(1).collect()) == [0, 1, 2]
     one.compact()
     assert len(one.manifest()["parts"]) == 1 and other.read().count() == 3
+
+
+def test_lives_of_a_call_are_one_frame():
+    """However many jobs of a token end in a call, its rows travel in one batch, in order; so do changes of state."""
+
+    class Job:
+        now = None
+        get = lambda self: self.now
+        exists = lambda self: self.now is not None
+        update = lambda self, job: setattr(self, "now", job)
+
+    class Handle:
+        registerTimer = deleteTimer = lambda self, at: None
+
+    hour = 3_600_000_000
+    times = [0, 10 * hour, 10 * hour, 40 * hour, 50 * hour]
+    rows = [pd.DataFrame({"s": ["IN_QUEUE", "FAILED", "IN_PROGRESS", "IN_QUEUE", "IN_QUEUE"], "t": times, "o": [1, 3, 2, 4, 5]}).iloc[part] for part in ([4, 1], [2, 0, 3])]
+    for changes in (False, True):
+        lives = timers._Lives("token", "s", "t", "o", (3, 24), changes)
+        lives.handle, lives.job = Handle(), Job()
+        (frame,) = lives.handleInputRows((7,), iter(rows), None)
+        got = frame.values.tolist()
+        if changes:
+            assert got == [[7, s, at * hour] for s, at in (("IN_QUEUE", 0), ("EXPIRED", 3), ("IN_PROGRESS", 10), ("FAILED", 10), ("EXPIRED", 34), ("IN_QUEUE", 40), ("EXPIRED", 43), ("IN_QUEUE", 50))]
+        else:
+            assert got == [[7, "IN_QUEUE", 0, 0, 3 * hour, 1], [7, "FAILED", 10 * hour, 10 * hour, 34 * hour, 2], [7, "IN_QUEUE", 40 * hour, 40 * hour, 43 * hour, 1]]
+        assert lives.job.now == ("IN_QUEUE", 50 * hour, 50 * hour, 1)
