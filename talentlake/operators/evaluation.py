@@ -36,9 +36,17 @@ def items(records: DataFrame, key: str, cv: str, norm=value) -> DataFrame:
 
 
 def compared(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
-    """keys of either side with in_gold and in_pred. Both sides hold distinct rows."""
-    g, p = gold.select(*keys, F.lit(True).alias("in_gold")), predicted.select(*keys, F.lit(True).alias("in_pred"))
-    return g.join(p, keys, "full_outer").fillna(False, ["in_gold", "in_pred"])
+    """keys of either side, each once, with in_gold and in_pred. Rows may be repeated; such with a null key equal none of the
+    other side.
+
+    Both sides are dealt out by their keys before they are grouped: no task that reads holds a table of its keys, and
+    nothing is sorted for a join."""
+    named = lambda rows, side: rows.select(*keys, F.lit(side).alias("in_gold"), F.lit(not side).alias("in_pred"))
+    parts = int(gold.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number isn't merged into few large ones
+    both = named(gold, True).unionByName(named(predicted, False)).repartition(parts, *keys)
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    met = both.groupBy(*keys, F.when(~whole, F.col("in_gold")).alias("side_")).agg(F.bool_or("in_gold").alias("in_gold"), F.bool_or("in_pred").alias("in_pred"))
+    return met.drop("side_")
 
 
 def counts(rows: DataFrame, *by: str) -> DataFrame:
@@ -72,7 +80,8 @@ def micro_macro(by_field: DataFrame) -> DataFrame:
 def mismatches(rows: DataFrame, key: str) -> DataFrame:
     """(key, field, extra, missing) of every field whose sets differ, values sorted."""
     part = lambda test: F.array_sort(F.collect_set(F.when(test, F.col("item"))))
-    out = rows.groupBy(key, "field").agg(part(~F.col("in_gold")).alias("extra"), part(~F.col("in_pred")).alias("missing"))
+    # fields whose items all agree have no row here
+    out = rows.where(F.col("in_gold") != F.col("in_pred")).groupBy(key, "field").agg(part(~F.col("in_gold")).alias("extra"), part(~F.col("in_pred")).alias("missing"))
     return out.where((F.size("extra") > 0) | (F.size("missing") > 0))
 
 

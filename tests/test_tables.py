@@ -250,3 +250,13 @@ def test_archive_members_in_pieces(spark, tmp_path):
     assert {k: r["content"] for k, r in a.items()} == {k: v if len(v) <= 1000 else None for k, v in data.items()}
     assert b["run/first"]["broken"] and b["run/first"]["content"] is None and bytes(b["run/second"]["content"]) == b"ijkl"
     assert list(c) == [None] and c[None]["broken"]
+
+
+def test_compared_unites_repeats_and_sorts_nothing(spark):
+    rows = lambda *v: spark.createDataFrame(list(v), "k long, field string, item string")
+    gold = rows((1, "a", "x"), (1, "a", "x"), (1, "a", "y"), (None, "a", "z"), (2, None, "q"))
+    predicted = rows((1, "a", "x"), (1, "a", "x"), (1, "b", "y"), (None, "a", "z"))
+    found = evaluation.compared(gold, predicted, ["k", "field", "item"])
+    want = [(1, "a", "x", True, True), (1, "a", "y", True, False), (None, "a", "z", True, False), (2, None, "q", True, False), (1, "b", "y", False, True), (None, "a", "z", False, True)]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
