@@ -13,6 +13,10 @@ two shingles SIDE places apart, each is linked with the one before it and the fi
 own large groups before the shuffle and sends on the first window of each alone, so a passage that a third of all texts
 share sends few rows for the side that they share; links that are made travel under keys of their own.
 
+Such a group of several documents is a crowd. Once the links are verified, a second round takes the crowds whose documents
+are not yet one component: there each document outside the largest component meets all of other components, in blocks, and
+those that may share a passage are verified like the others. So no two documents of a group stay apart that share one.
+
 Linked centres of a pair at one shift are one interval of each text over the hash functions, with MARGIN shingles around
 it; overlapping ones are one region, which is read again and verified: the stretch of each text that the other holds, of LEAST distinct shingles or more, with a
 Jaccard likeness of 0.75 or more. So one phrase over and over is no passage. All regions are verified, each pair of
@@ -40,6 +44,8 @@ from talentlake.llm.near_dup import NEED, OF, WIDTH
 HASHES, LEAST = 3, 46
 #: Places from a centre to its sides; windows of one key up to which all are linked with each other.
 SIDE, CLOSE = 22, 9
+#: Documents of a block of a crowd that meet those of another block, and distinct shingles that two passages have in common.
+APART, ENOUGH = 128, -(-2 * LEAST * NEED // (OF + NEED))
 #: Shingles around the first and last linked centre of a pair that are read for verification.
 MARGIN = 2 * LEAST
 #: Held shingles for each other one in a stretch: it makes a likeness of 0.75 at least if both texts have it.
@@ -48,7 +54,8 @@ BLOCK = 1 << 18
 _MULT = np.random.Generator(np.random.PCG64(46)).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = 24  # low bits that hold a place in a block
 _NAMES = ["key", "doc", "c", "odoc", "shift", "hi"]
-#: A window that is open for links (key, doc, c), or linked centres c to hi of a pair of documents, doc the later one.
+#: A window that is open for links (key, doc, c; hi is 1 if it stands for a crowd of its batch), or linked centres c to hi
+#: of a pair of documents, doc the later one.
 _ROW = "key long, doc long, c int, odoc long, shift int, hi int"
 
 
@@ -99,7 +106,8 @@ def compact(packed: np.ndarray, rows: np.ndarray, first: np.ndarray, last: np.nd
     return np.array(left, np.int64), c, np.array(right, np.int64)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sided(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Rows (key of min-hash and side, document, centre) of the windows of each batch of (doc, text)."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         raw, offsets = text_buffers(batch.column(1))
@@ -126,19 +134,28 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         sided = mix64(mix64(key[on] + np.uint64(which)) + own[side[on]])
                         found.append((sided.view(np.int64), ids[a + rw[c[on]]], c[on] + lo - first[rw[c[on]]]))
         if found:
-            rows = [np.concatenate(x) for x in zip(*found, strict=True)]
-            rows, x, y, still = _linked(rows, keep=True)
-            doc, odoc, shift, low, high = _merged(rows, x, y)
-            # links that are made need no partner: any key will do, so that none is hot
-            any_key = mix64(doc.astype(np.uint64) * np.uint64(3) + mix64(odoc.astype(np.uint64) + low.astype(np.uint64))).view(np.int64)
-            n, m = len(still), len(doc)
-            none = np.concatenate((np.ones(n, bool), np.zeros(m, bool)))
-            pad = np.zeros(n, np.int64)
-            key, own, at = (np.concatenate(z) for z in ((rows[0][still], any_key), (rows[1][still], doc), (rows[2][still], low)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(own), pa.array(at.astype(np.int32)), pa.array(np.concatenate((pad, odoc)), mask=none),
-                 pa.array(np.concatenate((pad, shift)).astype(np.int32), mask=none), pa.array(np.concatenate((pad, high)).astype(np.int32), mask=none)], _NAMES
-            )
+            yield [np.concatenate(x) for x in zip(*found, strict=True)]
+
+
+def _every_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for key, doc, c in _sided(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc.astype(np.int64)), pa.array(c.astype(np.int32))], ["key", "doc", "c"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _sided(batches):
+        rows, x, y, still = _linked(rows, keep=True)
+        doc, odoc, shift, low, high = _merged(rows, x, y)
+        # links that are made need no partner: any key will do, so that none is hot
+        any_key = mix64(doc.astype(np.uint64) * np.uint64(3) + mix64(odoc.astype(np.uint64) + low.astype(np.uint64))).view(np.int64)
+        n, m = len(still), len(doc)
+        none = np.concatenate((np.ones(n, bool), np.zeros(m, bool)))
+        pad, crowd = np.zeros(n, np.int64), _crowded(rows)[still].astype(np.int64)
+        key, own, at = (np.concatenate(z) for z in ((rows[0][still], any_key), (rows[1][still], doc), (rows[2][still], low)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key), pa.array(own), pa.array(at.astype(np.int32)), pa.array(np.concatenate((pad, odoc)), mask=none),
+             pa.array(np.concatenate((pad, shift)).astype(np.int32), mask=none), pa.array(np.concatenate((crowd, high)).astype(np.int32))], _NAMES
+        )
 
 
 def _linked(rows: list[np.ndarray], keep: bool) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
@@ -173,6 +190,14 @@ def _linked(rows: list[np.ndarray], keep: bool) -> tuple[list[np.ndarray], np.nd
     return rows, x[ok], y[ok], at[~large | (head == at) | alone] if keep else at[:0]
 
 
+def _crowded(rows: list[np.ndarray]) -> np.ndarray:
+    """Of rows sorted by key and document, those of a crowd: a group of over CLOSE windows of several documents."""
+    key, doc = rows[0], rows[1]
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+    size = np.diff(np.append(starts, len(key)))
+    return ((size > CLOSE) & (doc[starts] != doc[starts + size - 1])).repeat(size)
+
+
 def _merged(rows: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     """(doc, odoc, shift, first centre, last centre) of links, one row for each pair of documents and shift."""
     doc, odoc, c, shift = rows[1][x], rows[1][y], rows[2][x], rows[2][x] - rows[2][y]
@@ -190,8 +215,9 @@ def _link_batch(doc: np.ndarray, odoc: np.ndarray, shift: np.ndarray, low: np.nd
     return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(odoc.astype(np.int64)), *ints], ["doc", "odoc", "shift", "lo", "hi"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and document, the links that they bring along, and links among the open ones, over batch borders."""
+def _runs(batches: Iterator[pa.RecordBatch], crowds: bool = False) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and document, the links that they bring along, and links among the open ones, over batch borders;
+    with crowds also a row (key, null) for each key whose group is a crowd, in its batch or here."""
     carry = None
     for batch in batches:
         closed = batch.column(3).is_valid()
@@ -202,11 +228,15 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         rows = [batch.column(k).to_numpy() for k in range(3)]
+        marked = rows[0][batch.column(5).fill_null(0).to_numpy() > 0]
         if carry is not None:
             rows = [np.concatenate(z) for z in zip(carry, rows, strict=True)]
         rows, x, y, _ = _linked(rows, keep=False)
         if len(x):
             yield _link_batch(*_merged(rows, x, y))
+        if crowds and len(marked := np.unique(np.concatenate((marked, rows[0][_crowded(rows)])))):
+            none = pa.nulls(len(marked), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(marked), none, *[x.cast(pa.int32()) for x in (none, none, none)]], ["doc", "odoc", "shift", "lo", "hi"])
         last = np.flatnonzero(rows[0] == rows[0][-1])
         others = last[rows[1][last] != rows[1][last[0]]]
         if len(last) > CLOSE and len(others):  # of a large group, its first, the first of another document, and its last
@@ -214,6 +244,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = [z[last] for z in rows]
 
 
+def _runs_and_crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _runs(batches, crowds=True)
+
+
 def _distinct(h: np.ndarray) -> int:
     return len(np.unique(h))
 
@@ -349,12 +383,8 @@ def _verify(docs: DataFrame, regions: DataFrame) -> DataFrame:
     return found.select("doc", "odoc", *places, "like")
 
 
-def passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Pairs of documents with near-duplicate passages: doc_id, other_id (smaller), and, from the first to the last such
-    passage, start_word and n_words in each, the passages' number and their highest likeness."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null")
-    open_ = docs.mapInArrow(tidied(_windows), _ROW).repartition("key").sortWithinPartitions("key", "doc", "c")
-    links = open_.mapInArrow(tidied(_runs), "doc long, odoc long, shift int, lo int, hi int")
+def _regions(links: DataFrame) -> DataFrame:
+    """(doc, odoc, l, r, ol, orr) to verify, from linked centres (doc, odoc, shift, lo, hi) of pairs of documents."""
     # interval join over the hash functions: linked windows of a pair at one shift are one interval of each text, and
     # intervals that overlap in the later text are one region
     links = links.repartition("doc", "odoc").groupBy("doc", "odoc", "shift").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
@@ -366,8 +396,11 @@ def passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     boxes = boxes.withColumn("apart", F.coalesce((F.col("l") > reach).cast("int"), F.lit(0)))
     boxes = boxes.withColumn("island", F.sum("apart").over(before.rowsBetween(Window.unboundedPreceding, 0)))
     regions = boxes.groupBy("doc", "odoc", "island").agg(F.min("l").alias("l"), F.max("r").alias("r"), F.min("ol").alias("ol"), F.max("orr").alias("orr"))
-    regions = written(regions.drop("island"), "passage-regions")
-    good = _verify(docs, regions)
+    return written(regions.drop("island"), "passage-regions")
+
+
+def _paired(good: DataFrame) -> DataFrame:
+    """The pairs of verified passages, one row each."""
     # passages of a pair that overlap, from regions at several shifts, count as one
     ends = F.array_sort(F.collect_set(F.struct("a", "b")))
     start = F.struct(F.lit(-1).alias("until"), F.lit(0).alias("n"))
@@ -381,9 +414,131 @@ def passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     )
 
 
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, doc, root, centres, 32-bit shingle hashes from before the first to behind the last of them) of documents in
+    crowds; those of fewer than LEAST distinct shingles hold no passage."""
+    for batch in batches:
+        raw, offsets = text_buffers(batch.column(1))
+        for a, b in blocks(offsets, BLOCK):
+            h, rows = shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            at, h = np.searchsorted(rows, np.arange(b - a + 1)), (h >> np.uint64(32)).astype(np.uint32)
+            out: list[list] = [[] for _ in range(5)]
+            for i in range(a, b):
+                mine = h[at[i - a] : at[i - a + 1]]
+                for w in batch.column(2)[i].as_py():
+                    c = sorted(x for x in w["c"] if x < len(mine))
+                    near = mine[max(c[0] - MARGIN, 0) : c[-1] + MARGIN + 1] if c else mine[:0]
+                    if _distinct(near) >= LEAST:
+                        for k, value in enumerate((w["key"], batch.column(0)[i].as_py(), w["root"], c, near.tobytes())):
+                            out[k].append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], ["key", "doc", "root", "c", "s"])
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of one list has in common with each of another."""
+    tables = []
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    for sets in (left, right):
+        all_, of = np.concatenate(sets), np.arange(len(sets)).repeat([len(x) for x in sets])
+        at = np.searchsorted(both, all_)
+        on = np.flatnonzero(both[np.minimum(at, len(both) - 1)] == all_) if len(both) else at[:0]
+        table = np.zeros((len(sets), len(both)), np.float32)
+        table[of[on], at[on]] = 1
+        tables.append(table)
+    return tables[0] @ tables[1].T
+
+
+def _may_hold(run: np.ndarray, other: np.ndarray) -> bool:
+    """Whether a run of shingles has a stretch of LEAST places, with RATE for each other one, that a sorted set holds."""
+    at = np.minimum(np.searchsorted(other, run), len(other) - 1)
+    total = np.concatenate(([0], np.cumsum(np.where(other[at] == run, 1, -RATE))))
+    return bool((total[LEAST:] >= np.minimum.accumulate(total)[:-LEAST]).any())
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Linked centres of pairs of a crowd, of rows (key, row block, column block, side, doc, root, major, centres, shingles)
+    sorted by the first four: each row of side 0 with those of side 1 of other components, if they have enough shingles in
+    common for a passage, in stretches of both. Centres meet the first and the last of the other side, which has the region of all of them."""
+    place, left, right = None, [], []
+
+    def met() -> Iterator[pa.RecordBatch]:
+        if not left or not right:
+            return
+        (doc, root), (odoc, oroot, major) = (np.array([r[:n] for r in rows], np.int64).T for rows, n in ((left, 2), (right, 3)))
+        ok = (doc[:, None] != odoc) & (root[:, None] != oroot) & ((oroot == major) | (doc[:, None] > odoc))
+        links = [[] for _ in range(5)]
+        if ok.any():
+            sets, osets = ([np.unique(r[4]) for r in rows] for rows in (left, right))
+            ok &= _common(sets, osets) >= ENOUGH
+        for i, j in np.argwhere(ok).tolist():
+            if not (_may_hold(left[i][4], osets[j]) and _may_hold(right[j][4], sets[i])):
+                continue
+            one, two = (left[i], right[j]) if doc[i] > odoc[j] else (right[j], left[i])
+            for to in (two[3][0], two[3][-1]):
+                for k, value in enumerate(([one[0]] * len(one[3]), [two[0]] * len(one[3]), one[3] - to, one[3], one[3])):
+                    links[k].append(value)
+        if links[0]:
+            yield _link_batch(*map(np.concatenate, links))
+
+    for batch in batches:
+        keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+        for i, key in enumerate(keys):
+            if key != place:
+                yield from met()
+                place, left, right = key, [], []
+            row = [batch.column(k)[i].as_py() for k in (4, 5, 6)] + [np.array(batch.column(7)[i].as_py(), np.int64), np.frombuffer(batch.column(8)[i].as_py(), np.uint32)]
+            (right if batch.column(3)[i].as_py() else left).append(row)
+    yield from met()
+
+
+def _apart(docs: DataFrame, crowds: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links (doc, odoc, shift, lo, hi) between documents of a crowd that pairs don't connect: each outside the crowd's
+    largest component with all of other components, in blocks of APART documents a side."""
+    roots = components(pairs, "doc_id", "other_id").withColumnRenamed("node", "doc")
+    every = docs.mapInArrow(tidied(_every_window), "key long, doc long, c int")
+    found = lookup(every, crowds, ["key"], "left_semi").groupBy("key", "doc").agg(F.collect_set("c").alias("c"))
+    mine = written(lookup(found, roots, ["doc"], hot=False).withColumn("root", F.coalesce("root", "doc")), "passage-crowded")
+
+    def split(rows: DataFrame) -> DataFrame:
+        """(key, major, n, out): of keys with several components, the largest one, all documents and those outside of it."""
+        each = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+        main = each.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n"))
+        return main.where(F.col("m.n") < F.col("n")).select("key", F.col("m.root").alias("major"), "n", (F.col("n") - F.col("m.n")).alias("out"))
+
+    some = lookup(mine, written(split(mine).select("key"), "passage-split"), ["key"], "left_semi")
+    wanted = written(some.groupBy("doc").agg(F.collect_list(F.struct("key", "root", "c")).alias("w")), "passage-outside")
+    some = lookup(docs, wanted.select("doc"), ["doc"], "left_semi")
+    texts = lookup(some, wanted, ["doc"], "inner", hot=False).select("doc", "text", "w")
+    held = written(texts.mapInArrow(tidied(_contexts), "key long, doc long, root long, c array<int>, s binary"), "passage-contexts")
+    held = lookup(held, written(split(held), "passage-open"), ["key"], "inner")
+    parts, spread = lambda n: F.ceil(F.col(n) / APART), F.xxhash64("doc", "key")
+    block, blocks_ = lambda n: F.pmod(spread, parts(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), parts(n).cast("int") - 1))
+    left = held.where("root != major").select("key", block("out").alias("rb"), blocks_("n").alias("cb"), F.lit(0).alias("side"), "doc", "root", "major", "c", "s")
+    right = held.select("key", blocks_("out").alias("rb"), block("n").alias("cb"), F.lit(1).alias("side"), "doc", "root", "major", "c", "s")
+    met = left.union(right).repartition("key", "rb", "cb").sortWithinPartitions("key", "rb", "cb", "side")
+    return met.mapInArrow(tidied(_meetings), "doc long, odoc long, shift int, lo int, hi int").distinct()
+
+
+def passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Pairs of documents with near-duplicate passages: doc_id, other_id (smaller), and, from the first to the last such
+    passage, start_word and n_words in each, the passages' number and their highest likeness."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null")
+    open_ = docs.mapInArrow(tidied(_windows), _ROW).repartition("key").sortWithinPartitions("key", "doc", "c")
+    links = written(open_.mapInArrow(tidied(_runs_and_crowds), "doc long, odoc long, shift int, lo int, hi int"), "passage-met")
+    regions = _regions(links.where("odoc is not null"))
+    crowds = written(links.where("odoc is null").select(F.col("doc").alias("key")).distinct(), "passage-crowds")
+    drop_path(spark, links.written_path)
+    pairs = written(_paired(_verify(docs, regions)), "passage-links")
+    if crowds.isEmpty():
+        return pairs
+    return pairs.unionByName(_paired(_verify(docs, _regions(_apart(docs, crowds, pairs)))))
+
+
 def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document that has a passage in common with another: doc_id, group_id (the smallest doc_id reachable over
-    such passages), n_links (documents it was linked with: all in small groups, in large ones the neighbours that stand
+    such passages), n_links (documents it was linked with: all in small groups, in crowds the neighbours that stand
     for the rest), start_word and n_words from its first to its last such passage, and the highest likeness."""
     pairs = written(passages(docs, text, doc_id), "passage-links")
     groups = components(pairs, "doc_id", "other_id")

@@ -384,6 +384,22 @@ def test_passages_of_boilerplate_in_differing_contexts(spark, frame):
     assert joined(pairs, got) == [True] * 120
 
 
+def test_passages_of_a_crowd_that_stand_between_others(spark, frame):
+    """Passages of 50 words with 40 in common, taken in turn: neither the first of their crowd nor the one before is alike."""
+    configured(spark)
+    r, rows, kinds = random.Random(47), [], {}
+    for k in range(20):
+        core, ends = prose(r, 40), [prose(r, 10) for _ in range(3)]
+        for i in range(12):
+            rows.append((100 * k + i, f"{prose(r, 20)} {core} {ends[i % 3]} {prose(r, 20)}", "en", "s"))
+            kinds.setdefault((k, i % 3), []).append(100 * k + i)
+    want = {d: min(kind) for kind in kinds.values() for d in kind}
+    for n in (1, 8):
+        found = {g["doc_id"]: g for g in passages.repeated(frame(rows).repartition(n, "doc_id")).collect()}
+        assert {d: g["group_id"] for d, g in found.items()} == want
+        assert all(g["n_words"] == 50 for g in found.values())
+
+
 def test_passages_between_copies_that_share_one_more(spark, frame):
     configured(spark)
     r = random.Random(27)
