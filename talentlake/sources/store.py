@@ -20,6 +20,13 @@ from pyspark.sql import functions as F
 #: Times that a writer tries again after another was first.
 TRIES = 20
 PART = "store_part"
+#: Keys up to which a join sends them to every task through the driver.
+FEW = 10_000
+
+
+def keyed(keys: DataFrame) -> DataFrame:
+    """Keys as the right side of a join: broadcast if a count finds few, else shuffled, so that the driver gets none."""
+    return F.broadcast(keys) if keys.limit(FEW + 1).count() <= FEW else keys.hint("merge")
 
 
 class Store:
@@ -116,6 +123,7 @@ class Store:
     def erase(self, keys: DataFrame, column: str, stream: str | None = None, batch: int | None = None) -> dict:
         """Take out the rows whose column is among keys' first column. Only the parts that have some are written anew."""
         gone = keys.select(F.col(keys.columns[0]).alias(column)).where(F.col(column).isNotNull()).distinct()
+        gone = keyed(gone)
 
         def step(now: dict) -> dict | None:
             if stream is not None and now["batches"].get(stream, -1) >= batch:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talentlake.sources.store import Store
+from talentlake.sources.store import Store, keyed
 from talentlake.streaming.state import FINAL
 
 
@@ -19,7 +19,7 @@ def new_tokens(batch: DataFrame, store: Store, token: str, order: str) -> DataFr
     """A batch's first row of each token that a store doesn't have. Only tokens of the store are read."""
     first = Window.partitionBy(token).orderBy(order)
     rows = batch.where(F.col(token).isNotNull()).withColumn("nth_", F.row_number().over(first)).where("nth_ = 1").drop("nth_")
-    return rows.join(store.read().select(token), token, "left_anti").select(*batch.columns)
+    return rows.join(keyed(store.read().select(token)), token, "left_anti").select(*batch.columns)
 
 
 def finalizer(results: Store, opted_in: Store, token: str = "token", order: str = "at", stream: str = "finalize", withdrawn: Store | None = None) -> Callable[[DataFrame, int], None]:
@@ -34,7 +34,7 @@ def finalizer(results: Store, opted_in: Store, token: str = "token", order: str
         results.append(new_tokens(final, results, token, order), stream, number)
         mine = results.read().where(F.col("batch_id") == number).where("status = 'COMPLETED' and research_consent")
         if withdrawn is not None:
-            mine = mine.join(withdrawn.read().select(token), token, "left_anti")
+            mine = mine.join(keyed(withdrawn.read().select(token)), token, "left_anti")
         opted_in.append(new_tokens(mine, opted_in, token, order), stream, number)
 
     return run

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talentlake.session import new_path, ship
+from talentlake.sources import store as store_module
 from talentlake.sources.store import Store
 from talentlake.streaming import sinks, state, timers
 from talentlake.streaming.replay import replayed
@@ -159,6 +160,24 @@ def test_erasure_under_a_reader(spark):
     assert store.read().count() == 0 and store.read().columns == ["id", "withdrawal_hash"]
 
 
+def test_many_keys_are_not_sent_to_the_driver(spark, monkeypatch):
+    seen, joined = [], type(spark.range(1)).join
+
+    def join(self, *args, **kind):
+        out = joined(self, *args, **kind)
+        seen.append("BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(type(spark.range(1)), "join", join)
+    for few, broadcast in ((5, False), (10_000, True)):
+        monkeypatch.setattr(store_module, "FEW", few)
+        store, seen[:] = Store(spark, new_path(spark, "keys"), "id long"), []
+        store.append(spark.range(100))
+        store.erase(spark.range(0, 100, 2), "id")
+        assert seen == [broadcast] * 2 and sorted(r[0] for r in store.read().collect()) == list(range(1, 100, 2))
+    monkeypatch.undo()
+
+
 def test_writers_at_once(spark, monkeypatch):
     """A writer that another one forestalls looks again and loses nothing."""
     root = new_path(spark, "race")
