@@ -294,6 +294,40 @@ def variant_problems(value: str, line_count: str, shape: dict = SHAPE) -> Column
     return F.expr(found)
 
 
+def _sql_type(kind) -> str:
+    """A shape's type with fields by name, as variants have them; numbers and spans, whose kinds count, stay variants."""
+    if isinstance(kind, dict):
+        return f"struct<{','.join(f'{k}:{_sql_type(kind[k])}' for k in sorted(kind))}>"
+    if isinstance(kind, list):
+        return f"array<{_sql_type(kind[0])}>"
+    return {"texts": "array<string>", "text": "string", "masked": "string"}.get(kind, "variant")
+
+
+def _sql_sound(names: _Names, x: str, kind, line_count: str) -> str:
+    """SQL of whether a value of _sql_type has no problem."""
+    if isinstance(kind, dict):
+        return " AND ".join([f"{x} IS NOT NULL", *[f"({_sql_sound(names, f'{x}.{k}', v, line_count)})" for k, v in kind.items()]])
+    if isinstance(kind, list) or kind == "texts":
+        y = names("y")
+        return f"{x} IS NOT NULL AND forall({x}, {y} -> coalesce({_sql_sound(names, y, 'text' if kind == 'texts' else kind[0], line_count)}, false))"
+    if kind in ("text", "masked"):
+        return f"{x} = '{MASK}'" if kind == "masked" else f"{x} IS NOT NULL"
+    if kind == "span":
+        s = names("s")
+        ends = f"exists(array(try_variant_get({x}, '$', 'array<int>')), {s} -> size({s}) = 2 AND {s}[0] >= 1 AND {s}[1] >= {s}[0] AND {s}[1] <= {line_count})"
+        return f"is_variant_null({x}) OR (schema_of_variant({x}) = 'ARRAY<BIGINT>' AND {ends})"
+    return f"is_variant_null({x}) OR schema_of_variant({x}) IN ('BIGINT'{', ' + repr('DOUBLE') if kind == 'number' else ''}){' OR startswith(schema_of_variant(' + x + '), ' + repr('DECIMAL') + ')' if kind == 'number' else ''}"
+
+
+def sound(value: str, line_count: str, shape: dict = SHAPE) -> Column:
+    """Whether a variant is for certain a record without problems, by one cast: the typed record's JSON is then the variant's
+    own, so all fields are there, no others, and of their kinds. Where it says no, variant_problems has to look."""
+    kind, names = _sql_type(shape), _Names()
+    text = lambda x: f"to_json({x}, map('ignoreNullFields', 'false'))"
+    test = lambda r: f"coalesce({_sql_sound(names, r, shape, line_count)}, false) AND {text(r)} = to_json({value})"
+    return F.coalesce(F.expr(_sql_once(names, f"try_variant_get({value}, '$', '{kind}')", test)), F.lit(False))
+
+
 def typed_paths(value: str, shape: dict = SHAPE) -> Column:
     """(path, kind) of the fields that a shape names, as they are in a variant (given as SQL); list items by their number."""
     names = _Names()
@@ -331,7 +365,8 @@ def with_pointer(rows: DataFrame, source: Column, parse: str = "parse", out: str
     has = lambda *kinds: F.exists(found, lambda i: i["category"].isin(*kinds))
     why = F.coalesce(j["recovery_error"], j["strict_error"], F.lit("unknown JSON error"))
     staged = rows.withColumn(names[0], source_lines(source)).withColumn(names[1], variant(j["value"])).withColumn(names[2], kind_of(names[1]))
-    issues = F.when(lost, F.array(_issue("json_not_recoverable", F.lit("$"), why, "json"))).otherwise(variant_problems(names[1], f"size({names[0]})"))
+    issues = F.when(lost, F.array(_issue("json_not_recoverable", F.lit("$"), why, "json")))
+    issues = issues.when(sound(names[1], f"size({names[0]})"), F.array().cast(ISSUES)).otherwise(variant_problems(names[1], f"size({names[0]})"))
     staged = staged.withColumn(names[3], issues)
     staged = staged.withColumn(names[4], F.struct((~lost & ~has("schema", "policy")).alias("shaped"), (~lost & ~has("schema", "policy", "span")).alias("spanned")))
     record = F.when(valid["spanned"], F.try_variant_get(value, "$", POINTER))

@@ -361,3 +361,37 @@ def test_differences_of_records(spark):
     lost = pointer.with_pointer(jsonc.with_parse(rows.where("i = 0").withColumn("raw", F.lit("no")), F.col("raw")), F.col("text"))
     none = evaluation.sample_errors(lost, "i", "gold", "cv").first()
     assert none["status"] == "failed" and not none["pointer_exact"] and not none["cvschema_exact"] and len(none["pointer_differences"]) == len(want) and len(none["span_errors"]) == 3
+
+
+def test_sound_records_have_no_problems(spark):
+    """What one cast finds sound has no problem; each odd value sends a record to the full look."""
+    import json
+
+    from pyspark.sql import functions as F
+
+    from talentlake.operators import jsonc, pointer
+
+    masked = {k: pointer.MASK for k in ("name", "email", "phone")} | {"github_url": ""}
+    good = {
+        "personal_info": masked, "summary_span": [1, 1], "skills": {"hard_skills": ["SQL"], "soft_skills": []},
+        "experience": [{"company": "aé\"\\/\n", "job_title": "b", "duration": "c", "description_span": None}],
+        "projects": [{"name": "", "role": "", "technologies": ["x"], "details_span": [2, 3]}],
+        "education": [{"degree": "", "university": "", "gpa": 4.0, "year_graduated": 2020}, {"degree": "", "university": "", "gpa": None, "year_graduated": None}],
+        "certifications": [], "activities": [], "awards": ["x"],
+    }
+    bad = []
+    for path in (("summary_span",), ("skills",), ("skills", "hard_skills"), ("experience", 0), ("experience", 0, "company"), ("experience", 0, "description_span"), ("education", 0, "gpa"), ("education", 0, "year_graduated"), ("awards", 0), ("personal_info", "name")):
+        for odd in (None, "x", 5, 2.0, True, [], {}, [2.0, 3.0], [1, None], [0, 1], [3, 2], [1, 9], [1, 2, 3], [1, 2], "DELETE"):
+            one = json.loads(json.dumps(good))
+            at = one
+            for k in path[:-1]:
+                at = at[k]
+            at[path[-1]] = odd
+            if odd == "DELETE":
+                del at[path[-1]]
+            bad.append(one)
+    bad += [good | {"more": 1}, [], "x", None]
+    rows = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate([good, *bad])], "i int, raw string").withColumn("v", jsonc.variant(F.col("raw")))
+    got = dict(rows.select("i", pointer.sound("v", "4")).collect())
+    assert got[0] and not any(got[i] and pointer.problems(x, 4) for i, x in enumerate([good, *bad]))
+    assert sum(got.values()) > 5
