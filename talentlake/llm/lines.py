@@ -5,11 +5,12 @@ bucket has in the corpus (BUCKETS counts, a table of fixed size), then by hash.
 its first line. Of two classes with a Jaccard likeness of NEED/OF, the one of more words has a word of its probing prefix
 (the first n - ceil(n * NEED/OF) + 1) in the indexing prefix of the other (its first n - ceil(n * 2 * NEED/(OF + NEED)) + 1).
 Pairs that share one pass the length filter, the positional filter (enough words are left behind the shared one) and a
-filter on 128 bits of their words; what is left is verified on the lines' words, so all links between classes are found. A
-line is removed if an earlier line equals or resembles it, removed or not.
+filter on 128 bits of their words; what is left is verified on the lines' words, which travel once for many pairs, so all
+links between classes are found. A line is removed if an earlier line equals or resembles it, removed or not.
 
-Words that a bucket counts once are in one line alone and are not joined. Words are told apart by 56-bit hashes in the
-join and as they are when a pair is verified; equal sets are told by a 64-bit hash of these hashes.
+Words that a bucket counts once are in one line alone and are not joined. Words are told apart by 64-bit hashes, in the join
+by 32-bit numbers, which only lets more pairs meet, and as they are when a pair is verified; equal sets are told by a 64-bit
+hash of their words' hashes.
 
 Defined results: null and blank texts and lines have no row; repeated rows with one id are lines of one document, whose
 equal numbers are equal places; a null id comes first; an empty table gives an empty table; lines of any length are whole.
@@ -25,6 +26,8 @@ from talentlake.llm._util import fresh, lookup, written
 NEED, OF = 75, 100
 #: Buckets of words whose counts order them, and buckets that a row of the collected table has.
 BUCKETS, PER_ROW = 1 << 18, 1 << 10
+#: Pairs that are verified beside each other, from one copy of their lines.
+CELL_PAIRS = 4096
 
 
 def line_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -35,9 +38,9 @@ def line_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
 
 
 def _classes_of_counts(lines: DataFrame) -> list[int]:
-    """By bucket of word hashes, 0 for a count of up to one, else one more than four times the count's binary logarithm."""
+    """By bucket of word hashes, 0 for a count of up to one, else one more than 2.25 times the count's binary logarithm, 63 at most."""
     found = lines.select(F.explode("words").alias("w")).groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    sized = found.select("b", F.least(F.lit(127), F.when(F.col("n") > 1, 1 + F.floor(4 * F.log2("n"))).otherwise(0)).cast("int").alias("c"))
+    sized = found.select("b", F.least(F.lit(63), F.when(F.col("n") > 1, 1 + F.floor(2.25 * F.log2("n"))).otherwise(0)).cast("int").alias("c"))
     pairs = F.transform(F.collect_list(F.struct("b", "c")), lambda x: F.concat_ws(":", x["b"], x["c"]))
     out = [0] * BUCKETS
     for row in sized.groupBy((F.col("b") / PER_ROW).cast("int")).agg(F.array_join(pairs, ",").alias("s")).collect():  # BUCKETS / PER_ROW rows
@@ -47,46 +50,75 @@ def _classes_of_counts(lines: DataFrame) -> list[int]:
     return out
 
 
-def _ranks(words: Column, classes: list[int]) -> Column:
-    """Distinct words as numbers whose order is that of rarity: the bucket's class, then 56 bits of the hash."""
-    known = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<tinyint>")
-    rank = lambda h: F.shiftleft(F.get(known, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    return F.sort_array(F.array_distinct(F.transform(F.transform(words, lambda w: F.xxhash64(w)), rank)))
+def _hashes(words: Column) -> Column:
+    """A line's set: the hashes of its distinct words, sorted."""
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
-def _bits(t: Column, half: int) -> Column:
-    """One half of 128 bits of a line's words: those whose bit's number has it in its place 6."""
-    one = F.lit(1).cast("long")
-    place = lambda x: F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int"))
-    return F.aggregate(t, F.lit(0).cast("long"), lambda acc, x: F.when(x.bitwiseAND(64) == half, acc.bitwiseOR(place(x))).otherwise(acc))
+def _ranks(hashes: Column, classes: list[int]) -> Column:
+    """A set's words as 32-bit numbers whose order is that of rarity: the bucket's class, less 32, then 26 bits of the hash.
+    Words of one number only meet more pairs, as a prefix is cut from all numbers, repeated ones included."""
+    known = F.split(F.lit(",".join(str(c - 32) for c in classes)), ",").cast("array<tinyint>")
+    rank = lambda h: F.shiftleft(F.get(known, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("int"), 26).bitwiseOR(F.shiftrightunsigned(h, 38).cast("int"))
+    return F.sort_array(F.transform(hashes, rank))
+
+
+def _bits(hashes: Column, half: int) -> Column:
+    """One half of 128 bits of a set: whether the words whose hash has `half` in its place 6 are odd in number, by 64 places.
+    Two sets differ in as many words at least as in bits."""
+    own = lambda x: F.shiftrightunsigned(x if half else F.bitwise_not(x), 6).bitwiseAND(1)
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", own(x), x.bitwiseAND(63).cast("int"))))
+
+
+def _whole(over: Column, under: int) -> Column:
+    """The quotient of whole numbers, rounded up, without decimals."""
+    return F.call_function("div", over + (under - 1), F.lit(under))
 
 
 def _candidates(tokens: DataFrame) -> DataFrame:
     """(a, b) of classes that may be linked, from their prefix words (token, digest, n, at, low, high); at counts from 0."""
     a, b = tokens.alias("a"), tokens.alias("b")
     n, m, i, j = F.col("a.n"), F.col("b.n"), F.col("a.at"), F.col("b.at")
-    overlap = F.ceil((n + m) * NEED / (OF + NEED))  # words that a link needs in common
+    overlap = _whole((n + m) * NEED, OF + NEED)  # words that a link needs in common
     order = (n < m) | ((n == m) & (F.col("a.digest") < F.col("b.digest")))
     # the indexing prefix of the shorter one; asked of both sides at once, so that they remain one exchange
-    indexed = F.when(n <= m, i < n - F.ceil(n * (2 * NEED) / (OF + NEED)) + 1)
-    positional = 1 + F.least(n - 1 - i, m - 1 - j) >= overlap
+    indexed = F.when(n <= m, i < n - _whole(n * (2 * NEED), OF + NEED) + 1)
+    positional = F.least(n - i, m - j) >= overlap
     differ = lambda half: F.bit_count(F.col(f"a.{half}").bitwiseXOR(F.col(f"b.{half}")))
     bitwise = differ("low") + differ("high") <= n + m - 2 * overlap
     met = a.join(b, (F.col("a.token") == F.col("b.token")) & order & (n * OF >= m * NEED) & indexed & positional & bitwise)
     return met.select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b")).distinct()
 
 
+def _placed(pairs: DataFrame) -> DataFrame:
+    """pairs with a cell: pairs of one neighbourhood share it, so that a line's words travel once a cell and not once a pair.
+
+    A class's home is the least digest among it and those that it is paired with, a pair's the lesser of its classes'. A home
+    of over CELL_PAIRS pairs is cut into blocks by both classes."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("digest"), "b"), F.struct(F.col("b").alias("digest"), F.col("a").alias("b")))).alias("e"))
+    homes = written(ends.groupBy("e.digest").agg(F.least("e.digest", F.min("e.b")).alias("home")), "line-homes")
+    one = pairs.join(homes.select(F.col("digest").alias("a"), F.col("home").alias("ha")), "a").join(homes.select(F.col("digest").alias("b"), F.col("home").alias("hb")), "b")
+    at_home = written(one.select("a", "b", F.least("ha", "hb").alias("home")), "line-homed")
+    large = at_home.groupBy("home").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL_PAIRS).select("home", F.ceil(F.sqrt(F.col("n") / CELL_PAIRS)).alias("side"))
+    side = F.coalesce("side", F.lit(1).cast("long"))
+    return lookup(at_home, written(large, "line-large"), ["home"]).select("a", "b", F.xxhash64("home", F.pmod("a", side), F.pmod("b", side)).alias("cell"))
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs (a, b) of class digests with their likeness, where it is high enough, from the lines' words."""
-    sides = written(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(classes.select("digest", "doc_id", "line_no"), "digest"), "line-sides")
-    wanted = sides.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "digest")).alias("wanted"))
+    """pairs (a, b) of class digests that are alike, from the lines' words."""
+    placed = written(_placed(pairs), "line-placed")
+    cells = placed.select("cell", F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.collect_set("cell").alias("cells"))
+    sides = cells.join(classes, "digest")
+    wanted = sides.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "digest", "cells")).alias("wanted"))
     texts = lookup(docs, written(wanted, "line-wanted"), ["doc_id"], "inner", hot=False)
     parts = texts.select(F.split(F.lower("text"), "\n", -1).alias("l"), F.explode("wanted").alias("w"))
-    words = written(parts.select(F.col("w.digest").alias("digest"), F.array_distinct(F.array_remove(F.split(F.get("l", F.col("w.line_no") - 1), " ", -1), "")).alias("words")), "line-words")
-    both = pairs.join(words.select(F.col("digest").alias("a"), F.col("words").alias("x")), "a").join(words.select(F.col("digest").alias("b"), F.col("words").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    like = both.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("likeness"))
-    return written(like.where(F.col("likeness") * OF >= NEED).distinct(), "line-links")
+    words = parts.select(F.col("w.cells").alias("cells"), F.col("w.digest").alias("digest"), F.array_distinct(F.array_remove(F.split(F.get("l", F.col("w.line_no") - 1), " ", -1), "")).alias("words"))
+    # rows that share an id may have other texts at the same place, or the same words again
+    own = words.where(F.xxhash64(_hashes(F.col("words"))) == F.col("digest")).select(F.explode("cells").alias("cell"), F.struct("digest", F.sort_array("words").alias("words")).alias("side"))
+    at = own.groupBy("cell").agg(F.map_from_entries(F.collect_set("side")).alias("held"))
+    both = placed.join(at, "cell").select("a", "b", F.element_at("held", F.col("a")).alias("x"), F.element_at("held", F.col("b")).alias("y"))
+    alike = F.size(F.array_intersect("x", "y")) * (OF + NEED) >= (F.size("x") + F.size("y")) * NEED
+    return written(both.where(alike).select("a", "b"), "line-links")
 
 
 def near_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -94,14 +126,13 @@ def near_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     classes that resemble its class), removed."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     lines = line_rows(docs)
-    ranked = lines.select("doc_id", "line_no", _ranks(F.col("words"), _classes_of_counts(lines)).alias("t")).withColumn("n", F.size("t"))
-    n = F.col("n")
-    prefix = F.slice("t", F.lit(1), n - F.ceil(n * NEED / OF).cast("int") + 1)
-    rows = written(ranked.select("doc_id", "line_no", F.xxhash64("t").alias("digest"), "n", prefix.alias("prefix"), _bits(F.col("t"), 0).alias("low"), _bits(F.col("t"), 64).alias("high")), "line-rows")
-    place = F.min(F.struct("doc_id", "line_no")).alias("f")
-    first = rows.groupBy("digest").agg(place, F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("low").alias("low"), F.first("high").alias("high"))
-    classes = written(first.select("digest", "f.*", "n", "prefix", "low", "high"), "line-classes")
-    tokens = classes.select("digest", "n", "low", "high", F.posexplode("prefix").alias("at", "token")).where(F.col("token") >= 1 << 56)
+    hashed = lines.select("doc_id", "line_no", _hashes(F.col("words")).alias("h")).withColumn("n", F.size("h"))
+    n, h = F.col("n"), F.col("h")
+    prefix = F.slice(_ranks(h, _classes_of_counts(lines)), F.lit(1), n - _whole(n * NEED, OF).cast("int") + 1)
+    rows = written(hashed.select("doc_id", "line_no", F.xxhash64("h").alias("digest"), "n", prefix.alias("prefix"), _bits(h, 0).alias("low"), _bits(h, 64).alias("high")), "line-rows")
+    classes = written(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "line_no")).alias("f")).select("digest", "f.*"), "line-classes")
+    sets = rows.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "low", "high")])
+    tokens = sets.select("digest", "n", "low", "high", F.posexplode("prefix").alias("at", "token")).where(F.col("token") >= -31 << 26)
     links = _verified(written(_candidates(tokens), "line-pairs"), classes, docs)
 
     places = classes.select("digest", F.struct("doc_id", "line_no").alias("place"))

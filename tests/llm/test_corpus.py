@@ -276,6 +276,22 @@ def test_lines_of_many_sizes_against_brute_force(spark, frame):
     assert lines.kept_text(named, lines.near_lines(named)).columns == named.columns
 
 
+def test_lines_are_verified_on_their_own_words(spark, frame, monkeypatch):
+    """Whatever pairs meet: blocks of a crowd lose none, and rows that share an id and differ in text keep their own words."""
+    r = random.Random(12)
+    hot = prose(r, 50)
+    rows = [(i, edited(r, hot, i % 6), "en", "s") for i in range(30)]
+    other = prose(r, 30)
+    rows += [(7, other, "en", "s"), (40, other + " end", "en", "s"), (9, rows[9][1], "en", "s")]
+    sets = {frozenset(words(t)) for _, t, _, _ in rows}
+    want = {s: sum(s != o and 100 * len(s & o) >= 75 * len(s | o) for o in sets) for s in sets}
+    digests = lambda tokens, name: tokens.select(tokens.digest.alias(name)).distinct()
+    monkeypatch.setattr(lines, "_candidates", lambda tokens: digests(tokens, "a").crossJoin(digests(tokens, "b")).where("a < b"))
+    monkeypatch.setattr(lines, "CELL_PAIRS", 50, raising=False)
+    got = lines.near_lines(frame(rows)).collect()
+    assert sorted((x["doc_id"], x["n_links"]) for x in got) == sorted((i, want[frozenset(words(t))]) for i, t, _, _ in rows)
+
+
 def test_compact_windows_cover_every_passage():
     import numpy as np
 
