@@ -152,33 +152,56 @@ def grams(folded: Column, most: int) -> Column:
 
 #: Aliases up to which a dictionary is broadcast, and those with other characters that it may hold at most.
 BROADCAST_ALIASES, MOST_ODD = 200_000, 1000
+#: Aliases of several words that one word may stand for; those of a more crowded word are met by their runs of words.
+ANCHORED = 20
 
 
 def skills_by_join(texts: DataFrame, key: str, folded: str, aliases: DataFrame | None = None) -> DataFrame:
     """skills_in for a dictionary of any size, given as rows (ord, canonical, alias): (key, skills) of texts that name any.
 
-    Runs of words of a text meet the aliases by hash; the dictionary is counted and broadcast while it is small. Aliases with
-    characters beside a-z, 0-9 and blanks are searched for in each text; a dictionary of over MOST_ODD of them is refused.
-    White space inside an alias is one blank. A null text, a null or empty alias name nothing; rows of equal keys are one
-    text; texts and dictionary may have other columns."""
+    A text's distinct words meet the aliases by hash, an alias of several words by its longest one, and is then searched for;
+    where a word stands for many aliases, these meet the text's runs of words instead. The dictionary is counted and broadcast
+    while it is small. Aliases with characters beside a-z, 0-9 and blanks are searched for in each text; a dictionary of over
+    MOST_ODD of them is refused. White space inside an alias is one blank. A null text, a null or empty alias name nothing;
+    rows of equal keys are one text; texts and dictionary may have other columns."""
     aliases = dictionary(texts.sparkSession) if aliases is None else aliases
-    rows = aliases.select("ord", "canonical", collapse(fold(F.col("alias"))).alias("alias")).where("alias != ''").withColumn("word", F.col("alias").rlike("^[a-z0-9 ]+$"))
-    n, most = rows.where("word").agg(F.count(F.lit(1)), F.max(F.size(F.split("alias", " ")))).first()
-    odd = rows.where("not word").limit(MOST_ODD + 1).collect()
-    if len(odd) > MOST_ODD:
-        raise ValueError(f"over {MOST_ODD} aliases have characters beside a-z, 0-9 and blanks")
-    skill = F.struct(F.col("ord"), F.col("canonical"))
-    named = rows.where("word").select("alias", skill.alias("skill"))
+    skill = F.struct(F.col("ord"), F.col("canonical")).alias("skill")
+    rows = aliases.select(skill, collapse(fold(F.col("alias"))).alias("alias")).where("alias != ''").withColumn("word", F.col("alias").rlike("^[a-z0-9 ]+$"))
+    parts = F.split("alias", " ")
+    longest = F.array_max(F.transform(parts, lambda w: F.struct(F.length(w), w.alias("w"))))["w"]
+    rows = rows.withColumn("parts", F.when(F.col("word"), F.size(parts)).otherwise(1)).withColumn("anchor", F.when(F.col("word"), longest).otherwise(F.col("alias")))
+    n, odd = _counted(rows)
+    small = n <= BROADCAST_ALIASES
+    # a dictionary that is shuffled meets all aliases of several words by runs, so that no text travels with its words
+    crowded = rows.where("parts > 1").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (ANCHORED if small else 0)).select("anchor")
+    by_run = rows.where("parts > 1").join(crowded, "anchor", "left_semi").select("alias", "skill", "parts")
+    anchored = rows.where("parts > 1").join(crowded, "anchor", "left_anti").select(*rows.columns) if small else rows.limit(0)
+    by_word = rows.where("parts = 1").union(anchored)
+    runs_n, most = by_run.agg(F.count(F.lit(1)), F.max("parts")).first()
+
     doc = texts.select(F.col(key).alias("key"), F.col(folded).alias("folded"))
-    runs = doc.select("key", F.explode(grams(F.col("folded"), most or 1)).alias("alias"))
-    hits = runs.join(F.broadcast(named) if n <= BROADCAST_ALIASES else named, "alias").select("key", "skill")
-    if odd:
-        met = [F.when(F.col("folded").contains(r["alias"]), F.struct(F.lit(r["ord"]).alias("ord"), F.lit(r["canonical"]).alias("canonical"))) for r in odd]
-        hits = hits.union(doc.select("key", F.explode(F.array_compact(F.array(*met))).alias("skill")))
+    words = F.array_distinct(F.split("folded", "[^a-z0-9]+"))
+    met = F.concat(words, F.array_compact(F.array(*[F.when(F.col("folded").contains(x), F.lit(x)) for x in odd]))) if odd else words
+    if small:
+        there = (F.col("parts") == 1) | (F.col("folded").contains(F.col("alias")) & F.expr("folded rlike concat('(?<![a-z0-9])', alias, '(?![a-z0-9])')"))
+        hits = doc.select("key", "folded", F.explode(met).alias("anchor")).join(F.broadcast(by_word), "anchor").where(there).select("key", "skill")
+    else:
+        hits = doc.select("key", F.explode(met).alias("anchor")).join(by_word, "anchor").select("key", "skill")
+    if runs_n:
+        runs = doc.select("key", F.explode(grams(F.col("folded"), most)).alias("alias"))
+        hits = hits.union(runs.join(F.broadcast(by_run) if small else by_run, "alias").select("key", "skill"))
     by_text = hits.groupBy("key").agg(F.array_sort(F.collect_set("skill")).alias("s"))
     return by_text.select(F.col("key").alias(key), F.col("s.canonical").alias("skills"))
 
 
+def _counted(rows: DataFrame) -> tuple[int, list[str]]:
+    """How many aliases there are, and those of other characters."""
+    odd = [r["alias"] for r in rows.where("not word").select("alias").limit(MOST_ODD + 1).collect()]
+    if len(odd) > MOST_ODD:
+        raise ValueError(f"over {MOST_ODD} aliases have characters beside a-z, 0-9 and blanks")
+    return rows.where("word").count(), list(dict.fromkeys(odd))
+
+
 def sections_in(folded: Column) -> dict[str, Column]:
     """Which sections a folded text has, by any of their names."""
     return {name: any_of(folded.contains(fold_text(a)) for a in aliases) for name, aliases in SECTIONS.items()}

@@ -118,6 +118,20 @@ def test_dictionary_of_any_size(spark):
         sk.skills_by_join(texts, "i", "f", spark.range(1001).select(F.col("id").cast("int").alias("ord"), F.lit("x").alias("canonical"), F.concat(F.lit("+"), "id").alias("alias")))
 
 
+def test_dictionary_join_reads_texts_once(spark, sf_dir, monkeypatch):
+    """Texts are read and folded once; crowded words, and dictionaries that are shuffled, find the same."""
+    plan = registry.queries()["skill_join"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1
+    given = [(i, f"S{i}", f"a{i} management") for i in range(30)] + [(40, "M", "management"), (41, "T", "of b c"), (42, "P", "c++")]
+    table = spark.createDataFrame(given, "ord int, canonical string, alias string")
+    texts = spark.createDataFrame([(1, "a3 management, a29  management"), (2, "xof b c of b cx"), (3, "x of b c++"), (4, "(of b c)"), (5, None)], "i int, f string")
+    want = {1: ["S3", "M"], 3: ["P"], 4: ["T"]}
+    for most in (sk.BROADCAST_ALIASES, 2):
+        monkeypatch.setattr(sk, "BROADCAST_ALIASES", most)
+        got = {r["i"]: r["skills"] for r in sk.skills_by_join(texts, "i", "f", table).collect()}
+        assert got == want | {3: ["T", "P"]}
+
+
 def test_mask_email_equals_its_sql(spark, tmp_path):
     """Addresses one character apart, at both ends, before line ends, and beside signs that only one engine's \\w has."""
     texts = ["a@b.com c@d.com", "a@b.com\nc@d.com;e@f.org", "a@b.com, c@d.com", "x a@b.com\n", "a@b@c.com", "a@b.com@c@d.com", "a@b.com²", "²a@b.com", "Ⓐa@b.com", "é@b.com\u200d", "e\u0301a@b.comx\u0301", "a@b.com.", "", None]
