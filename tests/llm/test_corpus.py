@@ -292,6 +292,31 @@ def test_lines_are_verified_on_their_own_words(spark, frame, monkeypatch):
     assert sorted((x["doc_id"], x["n_links"]) for x in got) == sorted((i, want[frozenset(words(t))]) for i, t, _, _ in rows)
 
 
+def test_links_within_crowds_are_counted_not_listed(spark, frame, monkeypatch):
+    """Crowds of near copies, two of them alike, with differences that several lines share, copies and lines of no crowd: links
+    and places against brute force, though few of the pairs are listed."""
+    r = random.Random(77)
+    hot = prose(r, 60)
+    near = " ".join(x if i % 6 else x + "q" for i, x in enumerate(hot.split()))  # another crowd, linked with the first in part
+    tail = " ".join(f"extra{i}" for i in range(9))
+    rows = [(i, edited(r, hot, i % 7), "en", "s") for i in range(90)] + [(100 + i, edited(r, near, i % 7), "en", "s") for i in range(50)]
+    rows += [(200 + i, edited(r, hot, 3) + " " + tail, "en", "s") for i in range(12)] + [(300 + i, edited(r, prose(r, 30), 2), "en", "s") for i in range(20)]
+    rows += [(400, rows[5][1], "en", "s"), (None, rows[6][1], "en", "s"), (401, hot + "\n" + near, "en", "s")]
+    r.shuffle(rows)
+    sets = sorted(((-1 if i is None else i), k, frozenset(words(line))) for i, t, _, _ in rows for k, line in enumerate(t.split("\n"), 1))
+    like = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    kinds = {s for _, _, s in sets}
+    want = [(i, k, sum(o != s and like(o, s) for o in kinds), any(like(o, s) for _, _, o in sets[:at])) for at, (i, k, s) in enumerate(sets)]
+    listed, joined = [], lines._joined_links
+    verified = lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda pairs, *more: listed.append(pairs.count()) or verified(pairs, *more))
+    monkeypatch.setattr(lines, "_joined_links", lambda members: listed.append(joined(members).count()) or joined(members))
+    got = lines.near_lines(frame(rows)).collect()
+    assert sorted((-1 if x["doc_id"] is None else x["doc_id"], x["line_no"], x["n_links"], x["removed"]) for x in got) == want
+    in_first = [s for i, _, s in sets if 0 <= i < 90]
+    assert sum(listed) < sum(a != b and like(a, b) for a in in_first for b in in_first) // 2
+
+
 def test_compact_windows_cover_every_passage():
     import numpy as np
 
