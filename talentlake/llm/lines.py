@@ -43,9 +43,10 @@ ALONE = -31 << 26
 
 
 def line_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, line_no, words) of lines that have a word; lines are numbered from 1, blank ones included."""
+    """(doc_id, line_no, mark, words) of lines that have a word; lines are numbered from 1, blank ones included. A line's mark
+    is its hash, which tells it from lines of other rows with its id."""
     each = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.posexplode(F.split(F.lower(F.col(text)), "\n", -1)).alias("i", "line"))
-    rows = each.select("doc_id", (F.col("i") + 1).alias("line_no"), F.array_remove(F.split("line", " ", -1), "").alias("words"))
+    rows = each.select("doc_id", (F.col("i") + 1).alias("line_no"), F.xxhash64("line").alias("mark"), F.array_remove(F.split("line", " ", -1), "").alias("words"))
     return rows.where(F.size("words") > 0)
 
 
@@ -141,10 +142,11 @@ def _sized(named: list[str], h: Column) -> list[Column]:
     return [*named, n.alias("n"), _prefix(h, n - _whole(n * NEED, OF).cast("int") + 1).alias("prefix"), _bits(h, 0).alias("low"), _bits(h, 64).alias("high")]
 
 
-def _merged(centres: DataFrame, ranked: Callable) -> DataFrame:
-    """(crowd, centre) from (crowd, centre, size) without crowds whose centre is near that of a larger one. Centres meet as lines do."""
+def _merged(centres: DataFrame, ranked: Callable) -> tuple[DataFrame, DataFrame]:
+    """(crowd, centre) from (crowd, centre, size) without crowds whose centre is near that of a larger one, and the centres'
+    prefix words. Centres meet as lines do."""
     sets = centres.select(F.col("crowd").alias("digest"), ranked(F.col("centre")).alias("h"))
-    tokens = _tokens(written(sets.select(*_sized(["digest"], F.col("h"))), "line-centre-sets"))
+    tokens = written(_tokens(sets.select(*_sized(["digest"], F.col("h")))), "line-centre-words")
     one = lambda x: centres.select(F.col("crowd").alias(x), F.struct("size", "crowd", "centre").alias(f"{x}_"))
     met = tokens.alias("a").join(tokens.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.digest") < F.col("b.digest")) & _may_link())
     pairs = met.select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b")).distinct().join(one("a"), "a").join(one("b"), "b")
@@ -152,27 +154,26 @@ def _merged(centres: DataFrame, ranked: Callable) -> DataFrame:
     apart = F.size(x) + F.size(y) - 2 * F.size(F.array_intersect(x, y))
     close = pairs.where(apart * (OF + NEED) * 2 <= (F.size(x) + F.size(y)) * (OF - NEED))
     less = written(close.select(F.array_min(F.array("a_", "b_"))["crowd"].alias("crowd")).distinct(), "line-less")
-    return written(lookup(centres.select("crowd", "centre"), less, ["crowd"], "left_anti"), "line-centres")
+    left = written(lookup(centres.select("crowd", "centre"), less, ["crowd"], "left_anti"), "line-centres")
+    return left, written(lookup(tokens, less.select(F.col("crowd").alias("digest")), ["digest"], "left_anti"), "line-head-words")
 
 
-def _centres(crowded: DataFrame, classes: DataFrame, docs: DataFrame, ranked: Callable) -> DataFrame:
-    """(crowd, centre) of crowds; the centre is the words that over half of its lines have."""
-    held = written(_words(crowded.join(classes, "digest"), docs, ranked, ["crowd"]).select("crowd", "words"), "line-crowded")
+def _centres(crowded: DataFrame, classes: DataFrame, docs: DataFrame, ranked: Callable) -> tuple[DataFrame, DataFrame]:
+    """(crowd, centre) of crowds, and the centres' prefix words; the centre is the words that over half of its lines have."""
+    held = written(_words(crowded.join(classes, "digest"), docs, ["crowd"]).select("crowd", "words"), "line-crowded")
     size = written(held.groupBy("crowd").agg(F.count(F.lit(1)).alias("size")), "line-sizes")
     count = held.select("crowd", F.explode("words").alias("w")).groupBy("crowd", "w").agg(F.count(F.lit(1)).alias("n"))
     usual = lookup(count, size, ["crowd"], "inner").where(F.col("n") * 2 > F.col("size"))
     return _merged(written(usual.groupBy("crowd").agg(F.collect_list("w").alias("centre")).join(size, "crowd"), "line-usual"), ranked)
 
 
-def _members(rows: DataFrame, centres: DataFrame, classes: DataFrame, docs: DataFrame, ranked: Callable) -> DataFrame:
+def _members(rows: DataFrame, centres: DataFrame, heads: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Classes that are near a crowd's centre (digest, crowd, place, n, slack, differ). They meet the centres as lines meet."""
-    sets = centres.select(F.col("crowd").alias("digest"), ranked(F.col("centre")).alias("h"))
-    heads = written(_tokens(sets.select(*_sized(["digest"], F.col("h")))), "line-head-words")
     heads = F.broadcast(heads) if heads.count() <= BROADCAST_ROWS else heads
     met = _tokens(rows.select("digest", "n", "low", "high", "prefix")).alias("a").join(heads.alias("b"), (F.col("a.token") == F.col("b.token")) & _may_link())
     bits = F.bit_count(F.col("a.low").bitwiseXOR(F.col("b.low"))) + F.bit_count(F.col("a.high").bitwiseXOR(F.col("b.high")))
     near = met.select("a.digest", F.struct(bits.alias("bits"), F.col("b.digest").alias("crowd")).alias("c")).groupBy("digest").agg(F.min("c").alias("c")).select("digest", "c.crowd")
-    held = _words(near.join(classes, "digest"), docs, ranked, ["crowd", "doc_id"]).dropDuplicates(["digest"])
+    held = _words(near.join(classes, "digest"), docs, ["crowd", "doc_id"]).dropDuplicates(["digest"])
     both = lookup(held, centres, ["crowd"], "inner")
     apart = both.select("digest", "crowd", F.struct("doc_id", "line_no").alias("place"), F.size("words").alias("n"), F.array_union(F.array_except("words", "centre"), F.array_except("centre", "words")).alias("differ"))
     slack = F.col("n").cast("long") * (OF - NEED) - F.size("differ") * (OF + NEED)
@@ -234,22 +235,22 @@ def _placed(pairs: DataFrame) -> DataFrame:
     return lookup(at_home, written(large, "line-large"), ["home"]).select("a", "b", F.xxhash64("home", F.pmod("a", side), F.pmod("b", side)).alias("cell"))
 
 
-def _words(sides: DataFrame, docs: DataFrame, ranked: Callable, keep: list[str]) -> DataFrame:
-    """(digest, line_no, words) and columns to keep of classes (digest, doc_id, line_no), from the documents' texts."""
+def _words(sides: DataFrame, docs: DataFrame, keep: list[str]) -> DataFrame:
+    """(digest, line_no, words) and columns to keep of classes (digest, doc_id, line_no, mark), from the documents' texts."""
     carried = [c for c in keep if c != "doc_id"]
-    wanted = sides.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "digest", *carried)).alias("wanted"))
+    wanted = sides.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "digest", "mark", *carried)).alias("wanted"))
     texts = lookup(docs, written(wanted, "line-wanted"), ["doc_id"], "inner", hot=False)
     parts = texts.select("doc_id", F.split(F.lower("text"), "\n", -1).alias("l"), F.explode("wanted").alias("w"))
-    words = parts.select("doc_id", "w.*", F.array_distinct(F.array_remove(F.split(F.get("l", F.col("w.line_no") - 1), " ", -1), "")).alias("words"))
     # rows that share an id may have other texts at the same place, or the same words again
-    return words.where(F.xxhash64(ranked(F.col("words"))) == F.col("digest")).select("digest", "line_no", *keep, "words")
+    own = parts.select("doc_id", "w.*", F.get("l", F.col("w.line_no") - 1).alias("line")).where(F.xxhash64("line") == F.col("mark"))
+    return own.select("digest", "line_no", *keep, F.array_distinct(F.array_remove(F.split("line", " ", -1), "")).alias("words"))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ranked: Callable) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """pairs (a, b) of class digests that are alike, from the lines' words."""
     placed = written(_placed(pairs), "line-placed")
     cells = placed.select("cell", F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.collect_set("cell").alias("cells"))
-    own = _words(cells.join(classes, "digest"), docs, ranked, ["cells"]).select(F.explode("cells").alias("cell"), F.struct("digest", F.sort_array("words").alias("words")).alias("side"))
+    own = _words(cells.join(classes, "digest"), docs, ["cells"]).select(F.explode("cells").alias("cell"), F.struct("digest", F.sort_array("words").alias("words")).alias("side"))
     at = own.groupBy("cell").agg(F.map_from_entries(F.collect_set("side")).alias("held"))
     both = placed.join(at, "cell").select("a", "b", F.element_at("held", F.col("a")).alias("x"), F.element_at("held", F.col("b")).alias("y"))
     alike = F.size(F.array_intersect("x", "y")) * (OF + NEED) >= (F.size("x") + F.size("y")) * NEED
@@ -263,11 +264,11 @@ def near_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     lines = line_rows(docs)
     counts = _classes_of_counts(lines)
     ranked = lambda words: _ranked(words, counts)
-    hashed = lines.select("doc_id", "line_no", ranked(F.col("words")).alias("h"))
-    rows = written(hashed.select(*_sized(["doc_id", "line_no", F.xxhash64("h").alias("digest")], F.col("h"))), "line-rows")
-    classes = written(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "line_no")).alias("f")).select("digest", "f.*"), "line-classes")
-    centres = _centres(_crowded(rows), classes, docs, ranked)
-    members = _members(rows, centres, classes, docs, ranked)
+    hashed = lines.select("doc_id", "line_no", "mark", ranked(F.col("words")).alias("h"))
+    rows = written(hashed.select(*_sized(["doc_id", "line_no", "mark", F.xxhash64("h").alias("digest")], F.col("h"))), "line-rows")
+    classes = written(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "line_no", "mark")).alias("f")).select("digest", "f.*"), "line-classes")
+    centres, heads = _centres(_crowded(rows), classes, docs, ranked)
+    members = _members(rows, centres, heads, classes, docs)
 
     crowds = written(members.select("digest", "crowd"), "line-crowd")
     taken = crowds.count()
@@ -280,7 +281,7 @@ def near_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
         tokens = _tokens(in_crowds)
         near = alone.join(tokens.select("token").distinct(), "token", "left_semi")
         pairs = pairs.union(_across(tokens, near, members, centres))
-    links = _verified(written(pairs, "line-pairs"), classes, docs, ranked).union(_joined_links(members))
+    links = _verified(written(pairs, "line-pairs"), classes, docs).union(_joined_links(members))
 
     places = classes.select("digest", F.struct("doc_id", "line_no").alias("place"))
     sided = written(links, "line-links").join(places.select(F.col("digest").alias("a"), F.col("place").alias("pa")), "a").join(places.select(F.col("digest").alias("b"), F.col("place").alias("pb")), "b")
@@ -289,7 +290,7 @@ def near_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     counted = each.groupBy("digest").agg(F.sum("n_links").alias("n_links"), F.max("late").alias("late"))
 
     named = classes.select("digest", F.col("doc_id").alias("class_doc_id"), F.col("line_no").alias("class_line_no")).join(counted, "digest", "left")
-    out = rows.select("doc_id", "line_no", "digest").join(written(named, "line-named"), "digest")
+    out = rows.select("doc_id", "line_no", "digest").join(written(named, "line-named").hint("merge"), "digest")
     own = F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("line_no") == F.col("class_line_no"))
     links_ = F.coalesce("n_links", F.lit(0)).cast("long")
     return out.select("doc_id", "line_no", "class_doc_id", "class_line_no", links_.alias("n_links"), (~own | F.coalesce("late", F.lit(False))).alias("removed"))
